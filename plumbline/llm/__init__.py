@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import exact_dedup, mixing
+from plumbline.llm import exact_dedup, mixing, toxicity
 
 _QUERIES = {
     "op1_exact_dedup": (exact_dedup.op1_exact_dedup, exact_dedup.ORACLE_SQL),
     "op7_source_mixing": (mixing.op7_source_mixing, mixing.ORACLE_SQL),
+    "op9_toxicity": (toxicity.op9_toxicity, None),
 }
 
 
