@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import audio, exact_dedup, mixing, packing, toxicity
+from plumbline.llm import audio, exact_dedup, licences, line_dedup, mixing, packing, toxicity
 
 _QUERIES = {
     "op1_exact_dedup": (exact_dedup.op1_exact_dedup, exact_dedup.ORACLE_SQL),
     "op4_packing": (packing.op4_packing, None),
     "op5_audio": (audio.op5_audio, None),
+    "op6_line_dedup": (line_dedup.op6_line_dedup, line_dedup.ORACLE_SQL),
     "op7_source_mixing": (mixing.op7_source_mixing, mixing.ORACLE_SQL),
+    "op8_licences": (licences.op8_licences, licences.ORACLE_SQL),
     "op9_toxicity": (toxicity.op9_toxicity, None),
 }
 
