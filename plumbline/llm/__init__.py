@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import audio, exact_dedup, licences, line_dedup, mixing, packing, toxicity
+from plumbline.llm import audio, exact_dedup, licences, line_dedup, mixing, packing, quality, toxicity
 
 _QUERIES = {
     "op1_exact_dedup": (exact_dedup.op1_exact_dedup, exact_dedup.ORACLE_SQL),
@@ -16,6 +16,7 @@ _QUERIES = {
     "op7_source_mixing": (mixing.op7_source_mixing, mixing.ORACLE_SQL),
     "op8_licences": (licences.op8_licences, licences.ORACLE_SQL),
     "op9_toxicity": (toxicity.op9_toxicity, None),
+    "op10_quality": (quality.op10_quality, None),
 }
 
 
