@@ -1,16 +1,17 @@
-"""Small helpers that the training-data operators share: Arrow text buffers,
-durable intermediate tables and polynomial fingerprints of byte strings."""
+"""Small helpers that the training-data operators share: Arrow text buffers and rolling
+hashes of byte strings."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.operators.components import durable, shared_dir
+
+__all__ = ["BLOCK", "byte_table", "documents", "durable", "gear_hash", "mix64", "shared_dir", "utf8"]
+
 BLOCK = 1 << 21
 
 
@@ -18,29 +19,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor can reach: spark.checkpoint.dir, or a
-    temporary one of our own where that is unset (local tests)."""
-    conf = spark.sparkContext.getConf()
-    set_dir = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if set_dir:
-        return set_dir.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="spark-plumbline-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
-def durable(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, is computed
-    once, and outlives any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null counts as empty. Row i is
     bytes[offsets[i]:offsets[i + 1]]."""
