@@ -32,7 +32,7 @@ GROUP = 4096
 END_ID = 0
 RECEIVERS = 32
 SWEEPS = 8
-WORDS_KEPT = 200_000
+WORDS_KEPT = 400_000
 VOCABULARY = "word_bpe_49k.json"
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -40,18 +40,27 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 class WordIds(dict):
     """Token ids of white-space separated words, as little-endian 32-bit integers. The
-    vocabulary's tokens never cross white space, so a text's ids are its words' ids."""
+    vocabulary's tokens never cross white space, so a text's ids are its words' ids; nor do
+    they cross from a letter to a full stop or comma, so a word's stop is looked up apart.
+    Words are kept in two generations, the older of which goes when the younger is full."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.older: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.older.get(word)
+        if ids is None:
+            if len(word) > 1 and word[-1] in b".,;:!?" and word[-2:-1].isalpha():
+                ids = self[word[:-1]] + self[word[-1:]]
+            else:
+                ids = np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
         if len(word) <= 64:
             if len(self) >= WORDS_KEPT:
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids
@@ -65,7 +74,9 @@ def word_ids(vocabulary: str) -> WordIds:
 
 
 def token_bytes(text: bytes, words: WordIds) -> bytes:
-    return b"".join([words[w] for w in text.split()]) + END_ID.to_bytes(4, "little")
+    # The vocabulary folds case; folding ASCII here makes fewer words. Special tokens tell case apart.
+    folded = text if b"<|" in text else text.lower()
+    return b"".join([words[w] for w in folded.split()]) + END_ID.to_bytes(4, "little")
 
 
 def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
