@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import audio, exact_dedup, jaccard_join, licences, line_dedup, mixing, packing, quality, toxicity
+from plumbline.llm import audio, exact_dedup, jaccard_join, licences, line_dedup, mixing, packing, quality, suffix_dedup, toxicity
 
 _QUERIES = {
     "op1_exact_dedup": (exact_dedup.op1_exact_dedup, exact_dedup.ORACLE_SQL),
     "op2_jaccard_join": (jaccard_join.op2_jaccard_join, None),
+    "op3_suffix_dedup": (suffix_dedup.op3_suffix_dedup, None),
     "op4_packing": (packing.op4_packing, None),
     "op5_audio": (audio.op5_audio, None),
     "op6_line_dedup": (line_dedup.op6_line_dedup, line_dedup.ORACLE_SQL),
