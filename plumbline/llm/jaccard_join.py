@@ -14,9 +14,10 @@ link when their sets' Jaccard similarity is 0.8 or more, compared in whole numbe
    sets are compared with one of them (a star); after linking, only sets that are still in
    other components are compared with the rest. Under the other orders such a token lets
    all its sets pass, which loses nothing.
-5. Candidates must have sizes that allow 0.8 and pass a parity bound (the XOR of 1024-bit
-   parity maps never has more bits than the sets' symmetric difference); then the sets
-   themselves are intersected.
+5. Candidates must have sizes that allow 0.8 and pass a parity bound (the XOR of two parity
+   maps never has more bits than the sets' symmetric difference). Then the sets themselves
+   are intersected: of a group of near copies each with one other, and only pairs that
+   are still in different components after that with each other.
 6. Components come from iterated joins, labelled by their smallest doc_id.
 
 Edge cases: null, empty and white-space texts have no shingles and link with nothing; their
@@ -48,6 +49,9 @@ GROUP = 256
 BUCKET_POSTINGS = 1 << 20
 DOC_POSTINGS = 96  # typical, to set the number of buckets
 PARITY = 1024
+PARITY_MOST = 1 << 16
+LEVEL_STEP = 1.25
+PICKS = 2
 SALTS = 16
 SLICES = 16
 SEEN_KEPT = 1 << 17
@@ -71,7 +75,19 @@ def _key(digest: bytes) -> int:
 
 
 def _parity(shingles: np.ndarray) -> bytes:
-    return np.packbits(np.bincount((shingles & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).tobytes()
+    """The XOR of the shingles' bits, in a map of PARITY bits or, for larger sets, about one
+    bit a shingle. A map folds to half its size by XOR of its halves."""
+    bits = min(max(PARITY, 1 << (len(shingles) - 1).bit_length()), PARITY_MOST)
+    return np.packbits(np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def parity_distance(x: np.ndarray, y: np.ndarray) -> int:
+    """Bits by which two maps differ: at most the size of the symmetric difference."""
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
 
 
 def set_profiles(docs: DataFrame) -> DataFrame:
@@ -99,8 +115,8 @@ def set_profiles(docs: DataFrame) -> DataFrame:
 
 
 def frequency_levels(profiles: DataFrame) -> np.ndarray:
-    """Level of each sketch cell: 0 up to twice the mean, then one for each doubling. One
-    byte a cell, whatever the input."""
+    """Level of each sketch cell: 0 up to LEVEL_STEP times the mean, then one for each such
+    step, 63 at most. One byte a cell, whatever the input."""
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros((1 << SKETCH_BITS) // SLICES, np.int64)
@@ -113,7 +129,7 @@ def frequency_levels(profiles: DataFrame) -> np.ndarray:
     for s, c in zip(blocks["slice"], blocks["counts"], strict=True):
         counts[s] = np.frombuffer(c, np.int64)
     counts = counts.ravel()
-    return np.log2(np.maximum(counts / max(2 * counts.mean(), 1.0), 1.0)).astype(np.uint8)
+    return np.minimum(np.log(np.maximum(counts / max(counts.mean(), 1.0), 1.0)) / np.log(LEVEL_STEP), 63).astype(np.uint8)
 
 
 def prefix(shingles: np.ndarray, levels: np.ndarray, order: int) -> np.ndarray:
@@ -224,9 +240,12 @@ def _within_bounds(pairs: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
-            x, y = (utf8(batch.column(c))[0].reshape(-1, PARITY // 8) for c in ("pa", "pb"))
-            apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
-            ok = (5 * np.minimum(na, nb) >= 4 * np.maximum(na, nb)) & (apart <= na + nb - 2 * -(-4 * (na + nb) // 9))
+            ok = 5 * np.minimum(na, nb) >= 4 * np.maximum(na, nb)
+            most = na + nb - 2 * -(-4 * (na + nb) // 9)  # largest symmetric difference of linked sets
+            pa_, pb_ = batch.column("pa"), batch.column("pb")
+            for k in np.flatnonzero(ok):
+                x, y = (np.frombuffer(c[int(k)].as_buffer(), np.uint8) for c in (pa_, pb_))
+                ok[k] = parity_distance(x, y) <= most[k]
             yield batch.select(["da", "db"]).filter(pa.array(ok))
 
     return pairs.select("da", "na", "pa", "db", "nb", "pb").mapInArrow(rows, "da binary, db binary")
@@ -284,11 +303,16 @@ def candidate_pairs(matches: DataFrame) -> DataFrame:
     return pairs.unionAll(stars).distinct()
 
 
-def left_over_pairs(matches: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Within the first order's large groups: sets outside the group's commonest component
-    against all sets of other components."""
+def large_groups(matches: DataFrame, classes: DataFrame) -> DataFrame:
+    """token and class of the members of the first order's large groups."""
     members = matches.where("token is not null and ord = 0").select("token", F.col("a").alias("key"))
-    members = members.join(classes.select("key", "digest", "n_shingles", "parity", "rep"), "key").join(labels.select(F.col("node").alias("digest"), "label"), "digest", "left")
+    return members.join(classes.select("key", "digest", "n_shingles", "parity", "rep"), "key").drop("key")
+
+
+def left_over_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Within large groups: sets outside the group's commonest component against all sets of
+    other components."""
+    members = members.join(labels.select(F.col("node").alias("digest"), "label"), "digest", "left")
     members = durable(members.select("token", "digest", "n_shingles", "parity", F.coalesce("label", "rep").alias("comp")), "members")
     common = members.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max(F.struct("n", "comp"))["comp"].alias("common"))
     others = members.join(common, "token").where("comp <> common").drop("common")
@@ -297,6 +321,26 @@ def left_over_pairs(matches: DataFrame, classes: DataFrame, labels: DataFrame) -
     return side(others, "a").join(side(members, "b"), "token").where(f"ca <> cb and {sizes}").dropDuplicates(["da", "db"])
 
 
+def settle(pairs: DataFrame, sets: DataFrame, classes: DataFrame, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Links that join what the pairs can join, and the components (node, label). Each set is
+    first compared with one partner; pairs that this has put into one component need no
+    comparison. After PICKS such rounds all pairs that are left are compared."""
+    rest = pairs
+    for k in range(PICKS + 1):
+        picked = rest.groupBy("db").agg(F.min("da").alias("da")).select("da", "db") if k < PICKS else rest
+        new = durable(verified(picked, sets), "links")
+        links = new if links is None else links.unionAll(new)
+        labels = _labels(classes, links)
+        if k == PICKS:
+            break
+        side = lambda c, l: labels.select(F.col("node").alias(c), F.col("label").alias(l))  # noqa: B023, E731, E741
+        apart = rest.join(picked, ["da", "db"], "left_anti").join(side("da", "la"), "da", "left").join(side("db", "lb"), "db", "left")
+        rest = durable(apart.where("la is null or lb is null or la <> lb").select("da", "db"), "pairs")
+        if rest.isEmpty():
+            break
+    return links, labels
+
+
 def near_duplicates(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs."""
     profiles = durable(set_profiles(docs), "profiles")
@@ -308,14 +352,13 @@ def near_duplicates(docs: DataFrame, group: int = GROUP) -> DataFrame:
     classes = rows.where("digest is not null and doc_id is not null").groupBy("digest", "n_shingles", "parity").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     classes = durable(classes.withColumn("key", _key_column(F.col("digest"))), "classes")
     pairs = durable(_within_bounds(_sided(candidate_pairs(matches), classes)), "pairs")
-    links = _links(docs, classes, pairs)
-    labels = _labels(classes, links)
-    if not matches.where("token is not null and ord = 0").isEmpty():
-        rest = durable(_within_bounds(left_over_pairs(matches, classes, labels)), "pairs")
-        if not rest.isEmpty():
-            more = _links(docs, classes, rest)
-            if not more.isEmpty():
-                labels = _labels(classes, links.unionAll(more))
+    members = durable(large_groups(matches, classes), "large-groups")
+    used = pairs.select(F.col("da").alias("digest")).unionAll(pairs.select(F.col("db").alias("digest"))).unionAll(members.select("digest")).distinct()
+    sets = durable(shingle_table(docs, classes.join(used, "digest", "left_semi")).dropDuplicates(["digest"]), "sets")
+    links, labels = settle(pairs, sets, classes)
+    rest = durable(_within_bounds(left_over_pairs(members, labels)), "pairs")
+    if not rest.isEmpty():
+        links, labels = settle(rest, sets, classes, links)
     found = classes.join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("digest", F.coalesce("label", "rep").alias("component_id"), "copies")
     # Only classes of several rows, or linked ones, change a row's component; copies are spread over SALTS tasks.
     shared = found.join(classes.select("digest", "rep"), "digest").where("copies > 1 or component_id <> rep").select("digest", "component_id")
@@ -334,12 +377,6 @@ def _key_column(digest):
     return F.shiftleft(high, 32).bitwiseOR(low)
 
 
-def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    used = pairs.select(F.col("da").alias("digest")).unionAll(pairs.select(F.col("db").alias("digest"))).distinct()
-    sets = durable(shingle_table(docs, classes.join(used, "digest", "left_semi")), "sets")
-    return durable(verified(pairs, sets.dropDuplicates(["digest"])), "links")
-
-
 def _labels(classes: DataFrame, links: DataFrame) -> DataFrame:
     linked = links.select(F.col("a").alias("digest")).unionAll(links.select(F.col("b").alias("digest"))).distinct()
     nodes = classes.join(linked, "digest", "left_semi").select(F.col("digest").alias("node"), F.col("rep").alias("label"))
