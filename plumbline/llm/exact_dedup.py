@@ -148,9 +148,19 @@ def exact_groups(docs: DataFrame, width: int = 16, seeds: int = SEEDS) -> DataFr
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """docs without all but one row of each group of equal texts (the largest doc_id)."""
-    keep = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_kept_id"]), "left_semi")
+    """docs with one row of each group of equal texts: the one with the largest doc_id, and of
+    rows that repeat both doc_id and text one."""
+    marks = durable(exact_groups(docs).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_text"), "kept", "group_size"), "verdicts")
+    gone = durable(marks.where("not kept").select("_id", "_text"), "gone")
+    again = marks.where("kept and group_size > 1").groupBy("_id", "_text").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_id", "_text")
+    again = durable(again, "repeated")
+    text = F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256)
+    same = lambda t: docs["doc_id"].cast("long").eqNullSafe(t["_id"]) & (text == t["_text"])
+    kept = docs.join(gone, same(gone), "left_anti")
+    if again.isEmpty():
+        return kept
+    once = docs.join(again, same(again), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, same(again), "left_anti").unionAll(once)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

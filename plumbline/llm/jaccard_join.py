@@ -370,6 +370,14 @@ def near_duplicates(docs: DataFrame, group: int = GROUP) -> DataFrame:
     return full.select("doc_id", "n_shingles", own.alias("component_id")).unionAll(keyed.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
+def first_of_groups(docs: DataFrame) -> DataFrame:
+    """docs with one row of each group of near duplicates, the one with the smallest doc_id.
+    Rows without shingles or doc_id stay."""
+    found = near_duplicates(docs)
+    gone = durable(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct(), "gone")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_id"], "left_anti")
+
+
 def _key_column(digest):
     """The first eight bytes as a little-endian signed integer, as _key has it."""
     swapped = reduce(F.concat, [F.substring(F.hex(digest), 2 * k + 1, 2) for k in range(7, -1, -1)])
