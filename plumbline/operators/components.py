@@ -40,8 +40,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, rounds: int = 64) -
     """
     both = edges.select("a", "b").where("a <> b").distinct()
     both = durable(both.unionAll(both.select("b", "a")), "edges")
-    owners = nodes.select(F.col("node").alias("owner"), F.col("label").alias("owned"))
     now = durable(nodes.select("node", "label"), "labels")
+    owners = now.select(F.col("node").alias("owner"), F.col("label").alias("owned"))
     for _ in range(rounds):
         around = both.join(now.withColumnRenamed("node", "a"), "a").groupBy("b").agg(F.min("label").alias("near")).withColumnRenamed("b", "node")
         hooked = now.join(around, "node", "left").select("node", F.col("label").alias("was"), F.least("label", F.coalesce("near", "label")).alias("label"))

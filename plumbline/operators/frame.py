@@ -114,9 +114,9 @@ angles AS (SELECT *, row_number() OVER w AS n, coalesce(lead(theta) OVER w, firs
   count(*) OVER (PARTITION BY cid) AS cnt FROM points WHERE kind = 'absolute' WINDOW w AS (PARTITION BY cid ORDER BY theta, pid)),
 gaps AS (SELECT *, CASE WHEN nxt - theta < 0 THEN nxt - theta + 2 * pi() ELSE nxt - theta END AS gap FROM angles),
 opened AS (SELECT *, first_value(n) OVER (PARTITION BY cid ORDER BY gap DESC, n ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS opening FROM gaps),
-placed AS (SELECT *, (n - opening - 1 + cnt) % cnt AS at FROM opened),
-broken AS (SELECT *, CASE WHEN at > 0 AND (CASE WHEN theta < lag(theta) OVER w THEN theta - lag(theta) OVER w + 2 * pi() ELSE theta - lag(theta) OVER w END) > 1.3962634015954636e-1 THEN 1 ELSE 0 END AS brk FROM placed WINDOW w AS (PARTITION BY cid ORDER BY at)),
-clusters AS (SELECT *, CAST(sum(brk) OVER (PARTITION BY cid ORDER BY at) AS BIGINT) AS k FROM broken),
+placed AS (SELECT *, (n - opening - 1 + cnt) % cnt AS spot FROM opened),
+broken AS (SELECT *, CASE WHEN spot > 0 AND (CASE WHEN theta < lag(theta) OVER w THEN theta - lag(theta) OVER w + 2 * pi() ELSE theta - lag(theta) OVER w END) > 1.3962634015954636e-1 THEN 1 ELSE 0 END AS brk FROM placed WINDOW w AS (PARTITION BY cid ORDER BY spot)),
+clusters AS (SELECT *, CAST(sum(brk) OVER (PARTITION BY cid ORDER BY spot) AS BIGINT) AS k FROM broken),
 np AS (SELECT kind, cid, pid, theta, r, z, wind_a, crossings, seam_safe, CAST(CASE WHEN kind = 'relative' THEN wind_a ELSE 0 END AS BIGINT) + crossings AS label,
   kind || ':' || cid AS node, kind || ':' || lpad(cid, 19, '0') AS nkey FROM chains
   UNION ALL SELECT kind, cid || '.' || k, pid, theta, r, z, wind_a, 0, NOT max(least(theta, 2 * pi() - theta) < 1.7453292519943295e-1) OVER (PARTITION BY cid, k), CAST(wind_a AS BIGINT),

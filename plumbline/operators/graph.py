@@ -14,6 +14,7 @@ ROUNDS = 64
 
 def graph_components(edges: DataFrame) -> DataFrame:
     """akey-style node and label (its component's least node)."""
+    edges = durable(edges.select("akey", "bkey"), "edges")
     nodes = edges.select(F.col("akey").alias("node")).unionAll(edges.select("bkey")).distinct().withColumn("label", F.col("node"))
     return connected_components(nodes, edges.select(F.col("akey").alias("a"), F.col("bkey").alias("b")))
 
@@ -39,6 +40,7 @@ def potentials(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 def component_table(edges: DataFrame) -> DataFrame:
     """Per component: root, n_nodes, n_edges, n_cycles (edges that close one), consistent."""
+    edges = durable(edges.select("akey", "bkey", "offset"), "equations")
     pot = potentials(edges)
     side = lambda s: pot.select(F.col("node").alias(s + "key"), F.col("pot").alias("pot_" + s), F.col("root").alias("root_" + s))
     e = edges.join(side("a"), "akey").join(side("b"), "bkey")
@@ -53,6 +55,7 @@ def constant_nodes(points: DataFrame) -> DataFrame:
 
 
 def _per_component(edges: DataFrame, solve, schema: str) -> DataFrame:
+    edges = durable(edges, "equations")
     comp = graph_components(edges).withColumnRenamed("node", "akey").withColumnRenamed("label", "component")
     return edges.join(comp, "akey").groupBy("component").applyInPandas(solve, schema)
 
