@@ -3,6 +3,9 @@ hashes of byte strings."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -10,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.operators.components import durable, shared_dir
 
-__all__ = ["BLOCK", "byte_table", "documents", "durable", "gear_hash", "mix64", "shared_dir", "utf8"]
+__all__ = ["BLOCK", "byte_table", "documents", "durable", "gear_hash", "mix64", "shared_dir", "small_batches", "utf8"]
 
 BLOCK = 1 << 21
 
@@ -19,6 +22,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most `rows` rows for what is executed inside: for rows of tens of
+    kilobytes, of which the usual ten thousand don't fit an executor's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null counts as empty. Row i is
     bytes[offsets[i]:offsets[i + 1]]."""

@@ -39,19 +39,20 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.buffers import documents, durable, mix64, utf8
+from plumbline.llm.buffers import documents, durable, mix64, small_batches, utf8
 from plumbline.llm.shingles import shingle_sets
 from plumbline.operators.components import connected_components
 
 SKETCH_BITS = 20
 ORDERS = 3
 GROUP = 256
-BUCKET_POSTINGS = 1 << 20
+BUCKET_POSTINGS = 1 << 19
 DOC_POSTINGS = 96  # typical, to set the number of buckets
 PARITY = 1024
 PARITY_MOST = 1 << 16
 LEVEL_STEP = 1.25
 PICKS = 2
+VERIFY_ROWS = 128
 SALTS = 16
 SLICES = 16
 SEEN_KEPT = 1 << 17
@@ -328,7 +329,8 @@ def settle(pairs: DataFrame, sets: DataFrame, classes: DataFrame, links: DataFra
     rest = pairs
     for k in range(PICKS + 1):
         picked = rest.groupBy("db").agg(F.min("da").alias("da")).select("da", "db") if k < PICKS else rest
-        new = durable(verified(picked, sets), "links")
+        with small_batches(pairs.sparkSession, VERIFY_ROWS):
+            new = durable(verified(picked, sets), "links")
         links = new if links is None else links.unionAll(new)
         labels = _labels(classes, links)
         if k == PICKS:
@@ -386,6 +388,7 @@ def _key_column(digest):
 
 
 def _labels(classes: DataFrame, links: DataFrame) -> DataFrame:
+    links = durable(links, "links")
     linked = links.select(F.col("a").alias("digest")).unionAll(links.select(F.col("b").alias("digest"))).distinct()
     nodes = classes.join(linked, "digest", "left_semi").select(F.col("digest").alias("node"), F.col("rep").alias("label"))
     return connected_components(nodes, links)
