@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.geometry import cut_crossing, frame_twist, gap_width, label_diff, sector_cell, wrap_angle
-from plumbline.operators import audit, frame, graph, matching, settings
+from plumbline.operators import audit, controls, frame, graph, localize, matching, repair, settings
+from plumbline.operators.components import durable
 from plumbline.operators.frame import NODES_SQL
 from plumbline.sources.helix import AXIS, POINTS_SQL, axis_table, helix_points
 
@@ -124,8 +125,6 @@ def conflicts(spark, sf_dir):
 
 
 def match_stats(spark, sf_dir):
-    from plumbline.operators.components import durable
-
     c = durable(cells(spark, sf_dir), "cells")
     centres = durable(matching.crowded_centres(c, CFG), "centres")
     return matching.match_stats(c, centres, durable(matching.links(c, CFG, centres), "links"), CFG)
@@ -167,6 +166,66 @@ def constant_label_nodes(spark, sf_dir):
     return graph.constant_nodes(nodes(spark, sf_dir))
 
 
+def conflict_brackets(spark, sf_dir):
+    found = durable(found_links(spark, sf_dir), "links")
+    return localize.conflict_brackets(found, matching.conflicts(found, CFG), nodes(spark, sf_dir))
+
+
+def quarantine(spark, sf_dir):
+    return repair.quarantine(found_edges(spark, sf_dir))
+
+
+def edge_cut(spark, sf_dir):
+    return repair.edge_cut(found_edges(spark, sf_dir))
+
+
+def certified_links(spark, sf_dir):
+    found = durable(found_links(spark, sf_dir), "links")
+    return repair.certified_links(found, matching.edges(found, CFG)).select("a", "b", "pid_a", "pid_b", "offset")
+
+
+def order_feasible(spark, sf_dir):
+    ok, dist = graph.feasible(_arcs(spark, sf_dir), rounds=20)
+    return dist.agg(F.count(F.lit(1)).alias("n_nodes"), F.lit(ok).alias("feasible"))
+
+
+def planted_steps(spark, sf_dir):
+    return controls.planted_order_audit(controls.plant_steps(nodes(spark, sf_dir)), CFG)
+
+
+def planted_switches(spark, sf_dir):
+    return controls.planted_order_audit(controls.plant_sheet_switch(nodes(spark, sf_dir), CFG.wrap_spacing_median), CFG)
+
+
+def noise_null(spark, sf_dir):
+    return controls.noise_null(nodes(spark, sf_dir), CFG, rounds=5)
+
+
+def sensitivity_sweep(spark, sf_dir):
+    return controls.sensitivity_sweep(audit.with_slopes(nodes(spark, sf_dir), CFG.sense), CFG, dzs=(5.0, 10.0))
+
+
+def review_queue(spark, sf_dir):
+    n = durable(nodes(spark, sf_dir), "nodes")
+    found = durable(matching.links(matching.in_cells(audit.with_slopes(n, CFG.sense), CFG), CFG), "links")
+    tags = n.select("nkey", "node").distinct()
+    q = repair.quarantine(matching.edges(found, CFG)).where("chosen").join(tags, "nkey").select("node")
+    robust = matching.conflicts(found, CFG).select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("robustness", F.lit(1.0))
+    steps = audit.step_audit(n, CFG).where("violation")
+    queue = localize.review_queue(matching.conflicts(found, CFG), steps, durable(q, "quarantine"), robust, n)
+    return queue.withColumn("evidence", F.array_join("evidence", "; "))
+
+
+def settings_differ(spark, sf_dir):
+    """Equations under the usual support rule against a stricter one, both ways."""
+    from dataclasses import replace
+
+    found = durable(found_links(spark, sf_dir), "links")
+    now, strict = (matching.edges(found, c).select("a", "b", "offset") for c in (CFG, replace(CFG, min_edge_support=3)))
+    left, right = now.exceptAll(strict).withColumn("only_in", F.lit("now")), strict.exceptAll(now).withColumn("only_in", F.lit("strict"))
+    return left.unionAll(right)
+
+
 # --- the same in SQL -------------------------------------------------------------------
 
 _WRAP = "(({d}) - 2 * pi() * ceil((({d}) - pi()) / (2 * pi())))"
@@ -227,6 +286,13 @@ bo AS (SELECT akey AS x, bkey AS y FROM ed UNION SELECT bkey, akey FROM ed),
 rc(x, y) AS (SELECT x, x FROM bo UNION SELECT rc.x, bo.y FROM rc JOIN bo ON rc.y = bo.x),
 lab AS (SELECT x AS nkey, min(y) AS component FROM rc GROUP BY x)"""
 
+PLANTED = f"WITH {POINTS_SQL}, {NODES_SQL.replace('np AS (SELECT kind, cid, pid', 'np0 AS (SELECT kind, cid, pid')}" + """,
+rk AS (SELECT *, count(*) OVER (PARTITION BY nkey) AS n, row_number() OVER (PARTITION BY nkey ORDER BY pid) AS i FROM np0 WHERE {kind}),
+np AS (SELECT kind, cid, pid, theta, {r} AS r, z, seam_safe, {label} AS label, d || '#' || node AS node, d || '#' || nkey AS nkey FROM rk, (VALUES (1), (-1)) t(d) WHERE n >= 4)"""
+ORDER_PAIRS = SLOPES[len(NP):] + f""", op AS (SELECT a.node, a.label - b.label + {_cut("a.theta", "b.theta")} AS d, {_gap("a", "b")} AS gap FROM pc a JOIN pc b ON a.nkey = b.nkey AND a.pid < b.pid AND a.kind <> 'same'
+  AND abs(a.z - b.z) <= 10 AND abs({_wrap("a.theta - b.theta")}) <= {_DT})
+SELECT node, count(*) AS n_pairs, count(*) FILTER (d <> 0 AND d * gap < 0 AND abs(gap) > 7) AS n_sign, count(*) FILTER (d = 0 AND abs(gap) > 14) AS n_split FROM op WHERE gap IS NOT NULL GROUP BY node"""
+
 QUERIES = {
     "classify": (classified, f"WITH {POINTS_SQL} SELECT cid, any_value(kind) AS kind, count(*) AS n_points FROM points GROUP BY cid"),
     "normalise_annotations": (normalised, f"WITH {POINTS_SQL} SELECT cid, pid, coalesce(wind_a, 0) AS wind_a, kind <> 'same' AS has_annotations FROM points"),
@@ -286,4 +352,26 @@ SELECT node, pid_a, pid_b, round(residual, 6) AS residual, abs(residual) > 14 AS
     "component_cycles": (component_cycles, None),
     "cycles": (cycles, None),
     "constant_label_nodes": (constant_label_nodes, f"{NP} SELECT node FROM np GROUP BY node HAVING count(DISTINCT label) <= 1"),
+    "conflict_brackets": (
+        conflict_brackets,
+        f"""{LINKS}, cl AS (SELECT lk.* FROM lk JOIN sup2 USING (akey, bkey, off) WHERE sup2.support >= 2 AND sup2.k > 1),
+en AS (SELECT a AS node, b AS partner, pid_a AS pid, off AS o FROM cl UNION ALL SELECT b, a, pid_b, -off FROM cl),
+gr AS (SELECT node, partner, o, arg_max(en.pid, (np.r, -en.pid)) AS outer_pid, arg_min(en.pid, (np.r, en.pid)) AS inner_pid FROM en JOIN np USING (node, pid) GROUP BY ALL),
+nx AS (SELECT *, row_number() OVER w AS i, lead(o) OVER w AS o2, lead(inner_pid) OVER w AS p2 FROM gr WINDOW w AS (PARTITION BY node, partner ORDER BY o))
+SELECT node, partner, o AS offset_1, o2 AS offset_2, outer_pid AS pid_1, p2 AS pid_2 FROM nx WHERE i = 1 AND o2 IS NOT NULL""",
+    ),
+    "quarantine": (quarantine, None),
+    "edge_cut": (edge_cut, None),
+    "certified_links": (certified_links, None),
+    "order_feasible": (order_feasible, None),
+    "planted_steps": (planted_steps, PLANTED.format(kind="kind = 'relative'", r="r", label="label + CASE WHEN i > n // 2 THEN d ELSE 0 END") + ORDER_PAIRS),
+    "planted_switches": (planted_switches, PLANTED.format(kind="kind <> 'absolute'", r="r + CASE WHEN i > n // 2 THEN d * 2e1 ELSE 0 END", label="label") + ORDER_PAIRS),
+    "noise_null": (noise_null, None),
+    "sensitivity_sweep": (sensitivity_sweep, None),
+    "review_queue": (review_queue, None),
+    "settings_differ": (
+        settings_differ,
+        f"""{LINKS}, st AS (SELECT *, count(*) FILTER (support >= 3) OVER (PARTITION BY akey, bkey) AS k3 FROM sup), e3 AS (SELECT a, b, off AS "offset" FROM st WHERE support >= 3 AND k3 = 1)
+SELECT a, b, "offset", 'now' AS only_in FROM (SELECT a, b, "offset" FROM ed EXCEPT ALL SELECT * FROM e3) UNION ALL SELECT a, b, "offset", 'strict' FROM (SELECT * FROM e3 EXCEPT ALL SELECT a, b, "offset" FROM ed)""",
+    ),
 }
