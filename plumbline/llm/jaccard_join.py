@@ -256,8 +256,8 @@ def shingle_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """digest, shingles of the classes in wanted (digest, rep)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = list(shingle_sets(*utf8(batch.column("text"))))
+        for part in (b.slice(k, VERIFY_ROWS) for b in batches for k in range(0, b.num_rows, VERIFY_ROWS)):
+            sets = list(shingle_sets(*utf8(part.column("text"))))
             yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["digest", "shingles"])
 
     reps = wanted.select(F.col("rep").alias("doc_id")).distinct()
@@ -356,7 +356,8 @@ def near_duplicates(docs: DataFrame, group: int = GROUP) -> DataFrame:
     pairs = durable(_within_bounds(_sided(candidate_pairs(matches), classes)), "pairs")
     members = durable(large_groups(matches, classes), "large-groups")
     used = pairs.select(F.col("da").alias("digest")).unionAll(pairs.select(F.col("db").alias("digest"))).unionAll(members.select("digest")).distinct()
-    sets = durable(shingle_table(docs, classes.join(used, "digest", "left_semi")).dropDuplicates(["digest"]), "sets")
+    with small_batches(docs.sparkSession, 4 * VERIFY_ROWS):
+        sets = durable(shingle_table(docs, classes.join(used, "digest", "left_semi")).dropDuplicates(["digest"]), "sets")
     links, labels = settle(pairs, sets, classes)
     rest = durable(_within_bounds(left_over_pairs(members, labels)), "pairs")
     if not rest.isEmpty():
