@@ -45,14 +45,16 @@ from plumbline.operators.components import connected_components
 
 SKETCH_BITS = 20
 ORDERS = 3
-GROUP = 256
-BUCKET_POSTINGS = 1 << 19
+GROUP = 64
+BUCKET_POSTINGS = 1 << 18
 DOC_POSTINGS = 96  # typical, to set the number of buckets
 PARITY = 1024
 PARITY_MOST = 1 << 16
 LEVEL_STEP = 1.25
 PICKS = 2
 VERIFY_ROWS = 128
+TEXT_ROWS = 2048
+HELD_POSTINGS = 1 << 18
 SALTS = 16
 SLICES = 16
 SEEN_KEPT = 1 << 17
@@ -179,7 +181,7 @@ def posting_blocks(docs: DataFrame, levels: np.ndarray, buckets: int) -> DataFra
                 tokens = [prefix(s, levels, order) for order in range(ORDERS)]
                 held.append((key, len(s), tokens))
                 postings += len(tokens[0])
-                if postings > 1 << 20:
+                if postings > HELD_POSTINGS:
                     yield packed()
                     held, postings = [], 0
         if held:
@@ -204,7 +206,7 @@ def pairs_in_groups(token: np.ndarray, key: np.ndarray, size: np.ndarray, most:
         at = at[5 * size[at] >= 4 * size[at + lag]]  # larger ones follow: a set that fails here is through
         if len(at):
             gathered.append(np.column_stack([np.minimum(key[at], key[at + lag]), np.maximum(key[at], key[at + lag])]))
-        if sum(map(len, gathered)) > 1 << 21:
+        if sum(map(len, gathered)) > 1 << 19:
             gathered = [np.unique(np.concatenate(gathered), axis=0)]
         lag += 1
     if gathered:
@@ -345,12 +347,14 @@ def settle(pairs: DataFrame, sets: DataFrame, classes: DataFrame, links: DataFra
 
 def near_duplicates(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs."""
-    profiles = durable(set_profiles(docs), "profiles")
+    with small_batches(docs.sparkSession, TEXT_ROWS):
+        profiles = durable(set_profiles(docs), "profiles")
     rows = profiles.where("slice is null").select("doc_id", "n_shingles", "digest", "parity")
     count = rows.count()
     buckets = max(1, -(-count * DOC_POSTINGS // BUCKET_POSTINGS))
     levels = frequency_levels(profiles)
-    matches = durable(match_blocks(posting_blocks(docs, levels, buckets), buckets, group), "matches")
+    with small_batches(docs.sparkSession, TEXT_ROWS):
+        matches = durable(match_blocks(posting_blocks(docs, levels, buckets), buckets, group), "matches")
     classes = rows.where("digest is not null and doc_id is not null").groupBy("digest", "n_shingles", "parity").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     classes = durable(classes.withColumn("key", _key_column(F.col("digest"))), "classes")
     pairs = durable(_within_bounds(_sided(candidate_pairs(matches), classes)), "pairs")

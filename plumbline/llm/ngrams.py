@@ -33,11 +33,11 @@ def hashed_ngrams(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield n, ((h ^ (h >> np.uint32(15))) * _STEP) >> np.uint32(32 - BITS)
 
 
-def slabs(data: np.ndarray, offsets: np.ndarray, most_rows: int = 1024) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, offsets) of runs of whole texts of about BLOCK bytes."""
+def slabs(data: np.ndarray, offsets: np.ndarray, most_rows: int = 1024, block: int = BLOCK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets) of runs of whole texts of about `block` bytes."""
     n, at = len(offsets) - 1, 0
     while at < n:
-        to = int(np.searchsorted(offsets, offsets[at] + BLOCK, "right")) - 1
+        to = int(np.searchsorted(offsets, offsets[at] + block, "right")) - 1
         to = min(max(to, at + 1), at + most_rows, n)
         yield at, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to

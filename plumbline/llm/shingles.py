@@ -47,7 +47,7 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> Iterator[np.ndarray]:
     """For each text the sorted distinct hashes of its runs of `words` words; of a shorter
     text the hash of all its words; of a text without words nothing."""
-    for _, part, ends in slabs(data, offsets):
+    for _, part, ends in slabs(data, offsets, block=1 << 20):
         # texts meet without white space between them: the words are cut at the texts' ends
         gapped = np.full(len(part) + len(ends), 32, np.uint8)
         at = np.arange(len(part)) + np.repeat(np.arange(len(ends) - 1), np.diff(ends))
