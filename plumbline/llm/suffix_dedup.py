@@ -120,6 +120,22 @@ def united(one: np.ndarray, two: np.ndarray, group: np.ndarray) -> tuple[np.ndar
     return one[first], reach[last] - shift[first], group[first]
 
 
+def _new(*columns: np.ndarray) -> np.ndarray:
+    """Where a run of equal values starts in sorted columns."""
+    if not len(columns[0]):
+        return np.zeros(0, bool)
+    changed = np.zeros(len(columns[0]) - 1, bool)
+    for c in columns:
+        changed |= c[1:] != c[:-1]
+    return np.concatenate([[True], changed])
+
+
+def _later(new: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Rows that lie after the first place of their run."""
+    first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    return (doc != doc[first]) | (start != start[first])
+
+
 def _parsed(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, Parser, np.ndarray]]:
     """doc_ids, parser and offsets of each slab."""
     ids = batch.column("doc_id").to_numpy()
@@ -153,8 +169,9 @@ def phrase_blocks(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
             doc, start, strings, trigger, mark = (np.concatenate(c) for c in zip(*parts, strict=True))
             at = np.lexsort((start, doc, mark, trigger))
             doc, start, strings, trigger, mark = doc[at], start[at], strings[at], trigger[at], mark[at]
-            first = np.concatenate([[True], (mark[1:] != mark[:-1]) | (trigger[1:] != trigger[:-1])])
-            known.append((doc[~first], start[~first], start[~first] + strings[~first] - 1 + DEPTH))
+            first = _new(mark, trigger)
+            again = _later(first, doc, start)
+            known.append((doc[again], start[again], start[again] + strings[again] - 1 + DEPTH))
             at = np.flatnonzero(first)
             at = at[np.lexsort((start[at], doc[at]))]
             doc, start, strings, trigger, mark = doc[at], start[at], strings[at], trigger[at], mark[at]
@@ -164,8 +181,9 @@ def phrase_blocks(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
             doc, start, mark = (np.concatenate(c) for c in zip(*hots, strict=True))
             at = np.lexsort((start, doc, mark))
             doc, start, mark = doc[at], start[at], mark[at]
-            first = np.concatenate([[True], mark[1:] != mark[:-1]])
-            known.append((doc[~first], start[~first], start[~first] + DEPTH))
+            first = _new(mark)
+            again = _later(first, doc, start)
+            known.append((doc[again], start[again], start[again] + DEPTH))
             doc, start, mark = doc[first], start[first], mark[first]
             n = SPREAD * buckets
             for b, k in _by_bucket(((mark >> np.uint64(32)) % np.uint64(n)).astype(np.int64), n):
@@ -214,18 +232,17 @@ def repeats(blocks: DataFrame, buckets: int) -> DataFrame:
         if grp >= buckets:
             mark = _column(frame, "mark", np.uint64)
             at = np.lexsort((start, doc, mark))
-            again = at[1:][mark[at][1:] == mark[at][:-1]]
+            again = at[_later(_new(mark[at]), doc[at], start[at])]
             one, two, doc = united(start[again], start[again] + DEPTH, doc[again])
             return _spans(doc, COVER, one, two)
         head, strings = _column(frame, "head", np.uint32), _column(frame, "strings", np.uint8).astype(np.int64)
         mark = np.concatenate([_unsix(x) for x in frame["mark"]])
         at = np.lexsort((start, doc, mark, head))
         doc, start, head, strings, mark = doc[at], start[at], head[at], strings[at], mark[at]
-        new_head = np.concatenate([[True], head[1:] != head[:-1]])
-        first = new_head | np.concatenate([[True], mark[1:] != mark[:-1]])
+        new_head, first = _new(head), _new(head, mark)
         group = np.cumsum(new_head) - 1
         several = np.bincount(group, weights=first)[group] > 1
-        again, ask = ~first, first & several
+        again, ask = _later(first, doc, start), first & several
         one, two, owner = united(start[again], start[again] + strings[again] - 1 + DEPTH, doc[again])
         return pd.concat([_spans(owner, COVER, one, two), _spans(doc[ask], REQUEST, start[ask], strings[ask])], ignore_index=True)
 
@@ -275,7 +292,7 @@ def string_repeats(blocks: DataFrame) -> DataFrame:
         start = np.repeat(begin - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
         key = np.concatenate([_unsix(x) for x in frame["mark"]]) | (head << np.uint64(48))
         at = np.lexsort((start, doc, key))
-        again = at[1:][key[at][1:] == key[at][:-1]]
+        again = at[_later(_new(key[at]), doc[at], start[at])]
         one, two, doc = united(start[again], start[again] + DEPTH, doc[again])
         return _spans(doc, COVER, one, two)
 
