@@ -324,25 +324,35 @@ def left_over_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
     return side(others, "a").join(side(members, "b"), "token").where(f"ca <> cb and {sizes}").dropDuplicates(["da", "db"])
 
 
-def settle(pairs: DataFrame, sets: DataFrame, classes: DataFrame, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Links that join what the pairs can join, and the components (node, label). Each set is
-    first compared with one partner; pairs that this has put into one component need no
-    comparison. After PICKS such rounds all pairs that are left are compared."""
-    rest = pairs
+def known_roots(links: DataFrame) -> DataFrame:
+    """node, root of linked sets: the partner two steps down of one with the least digest. Sets
+    with one root are in one component (not the other way round)."""
+    up = durable(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up")), "partners")
+    for _ in range(2):
+        above = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        up = up.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("up"))
+    return durable(up.withColumnRenamed("up", "root"), "roots")
+
+
+def settle(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that join what the pairs can join. Each set is first compared with one
+    partner; pairs that this puts into one component need no comparison. After PICKS such
+    rounds all pairs that are left are compared."""
+    rest, links = pairs, None
     for k in range(PICKS + 1):
         picked = rest.groupBy("db").agg(F.min("da").alias("da")).select("da", "db") if k < PICKS else rest
         with small_batches(pairs.sparkSession, VERIFY_ROWS):
             new = durable(verified(picked, sets), "links")
         links = new if links is None else links.unionAll(new)
-        labels = _labels(classes, links)
         if k == PICKS:
             break
-        side = lambda c, l: labels.select(F.col("node").alias(c), F.col("label").alias(l))  # noqa: B023, E731, E741
-        apart = rest.join(picked, ["da", "db"], "left_anti").join(side("da", "la"), "da", "left").join(side("db", "lb"), "db", "left")
-        rest = durable(apart.where("la is null or lb is null or la <> lb").select("da", "db"), "pairs")
+        roots = known_roots(links)
+        side = lambda c, r: roots.select(F.col("node").alias(c), F.col("root").alias(r))  # noqa: B023, E731
+        apart = rest.join(picked, ["da", "db"], "left_anti").join(side("da", "ra"), "da", "left").join(side("db", "rb"), "db", "left")
+        rest = durable(apart.where(F.coalesce("ra", "da") != F.coalesce("rb", "db")).select("da", "db"), "pairs")
         if rest.isEmpty():
             break
-    return links, labels
+    return durable(links, "links")
 
 
 def near_duplicates(docs: DataFrame, group: int = GROUP) -> DataFrame:
@@ -362,10 +372,12 @@ def near_duplicates(docs: DataFrame, group: int = GROUP) -> DataFrame:
     used = pairs.select(F.col("da").alias("digest")).unionAll(pairs.select(F.col("db").alias("digest"))).unionAll(members.select("digest")).distinct()
     with small_batches(docs.sparkSession, 4 * VERIFY_ROWS):
         sets = durable(shingle_table(docs, classes.join(used, "digest", "left_semi")).dropDuplicates(["digest"]), "sets")
-    links, labels = settle(pairs, sets, classes)
-    rest = durable(_within_bounds(left_over_pairs(members, labels)), "pairs")
-    if not rest.isEmpty():
-        links, labels = settle(rest, sets, classes, links)
+    links = settle(pairs, sets)
+    labels = _labels(classes, links)
+    if not members.isEmpty():
+        rest = durable(_within_bounds(left_over_pairs(members, labels)), "pairs")
+        if not rest.isEmpty():
+            labels = _labels(classes, links.unionAll(settle(rest, sets)))
     found = classes.join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("digest", F.coalesce("label", "rep").alias("component_id"), "copies")
     # Only classes of several rows, or linked ones, change a row's component; copies are spread over SALTS tasks.
     shared = found.join(classes.select("digest", "rep"), "digest").where("copies > 1 or component_id <> rep").select("digest", "component_id")
