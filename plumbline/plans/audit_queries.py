@@ -100,7 +100,8 @@ def order_audit(spark, sf_dir):
 
 
 def step_audit(spark, sf_dir):
-    s = audit.step_audit(nodes(spark, sf_dir), CFG)
+    # along the angle, as the day doesn't change within most traces
+    s = audit.step_audit(nodes(spark, sf_dir).withColumn("z", F.col("theta") * F.lit(100.0)), CFG)
     return s.select("node", "pid_a", "pid_b", F.round("residual", 6).alias("residual"), "violation")
 
 
@@ -179,6 +180,14 @@ def edge_cut(spark, sf_dir):
     return repair.edge_cut(found_edges(spark, sf_dir))
 
 
+def min_edge_fix(spark, sf_dir):
+    return repair.min_edge_fix(found_edges(spark, sf_dir))
+
+
+def bad_cycle_edges(spark, sf_dir):
+    return repair.edges_on_bad_cycles(graph.fundamental_cycles(found_edges(spark, sf_dir)))
+
+
 def certified_links(spark, sf_dir):
     found = durable(found_links(spark, sf_dir), "links")
     return repair.certified_links(found, matching.edges(found, CFG)).select("a", "b", "pid_a", "pid_b", "offset")
@@ -330,7 +339,7 @@ SELECT node, count(*) AS n_pairs, count(*) FILTER (d <> 0 AND d * gap < 0 AND ab
     ),
     "step_audit": (
         step_audit,
-        f"""{NP}, st AS (SELECT node, nkey, pid AS pid_a, lead(pid) OVER w AS pid_b, lead(r) OVER w - r AS dr, lead(z) OVER w - z AS dz, count(*) OVER (PARTITION BY nkey) AS n FROM np WHERE kind = 'same' WINDOW w AS (PARTITION BY nkey ORDER BY pid)),
+        f"""{NP}, st AS (SELECT node, nkey, pid AS pid_a, lead(pid) OVER w AS pid_b, lead(r) OVER w - r AS dr, lead(theta * 1e2) OVER w - theta * 1e2 AS dz, count(*) OVER (PARTITION BY nkey) AS n FROM np WHERE kind = 'same' WINDOW w AS (PARTITION BY nkey ORDER BY pid)),
 s2 AS (SELECT *, row_number() OVER (PARTITION BY nkey ORDER BY pid_a) AS i FROM st WHERE pid_b IS NOT NULL AND n >= 4),
 s3 AS (SELECT a.node, a.pid_a, a.pid_b, a.dr - median(b.dr / b.dz) * a.dz AS residual FROM s2 a JOIN s2 b ON a.nkey = b.nkey AND a.i <> b.i AND abs(a.i - b.i) <= 3 AND abs(b.dz) >= 1 WHERE abs(a.dz) >= 1 GROUP BY a.node, a.pid_a, a.pid_b, a.dr, a.dz)
 SELECT node, pid_a, pid_b, round(residual, 6) AS residual, abs(residual) > 14 AS violation FROM s3""",
@@ -362,6 +371,8 @@ SELECT node, partner, o AS offset_1, o2 AS offset_2, outer_pid AS pid_1, p2 AS p
     ),
     "quarantine": (quarantine, None),
     "edge_cut": (edge_cut, None),
+    "min_edge_fix": (min_edge_fix, None),
+    "bad_cycle_edges": (bad_cycle_edges, None),
     "certified_links": (certified_links, None),
     "order_feasible": (order_feasible, None),
     "planted_steps": (planted_steps, PLANTED.format(kind="kind = 'relative'", r="r", label="label + CASE WHEN i > n // 2 THEN d ELSE 0 END") + ORDER_PAIRS),

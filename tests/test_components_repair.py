@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from plumbline.operators.components import connected_components
 from plumbline.operators.controls import clopper_pearson
 from plumbline.operators.graph import Forest, component_table, feasible, fundamental_cycles, potentials
-from plumbline.operators.repair import canonical, min_edge_cut, min_quarantine, quarantine, violated_cycle
+from plumbline.operators.repair import canonical, edges_on_bad_cycles, min_edge_cut, min_edge_fix, min_quarantine, quarantine, violated_cycle
 
 
 def consistent(edges):
@@ -101,3 +101,14 @@ def test_clopper_pearson():
     lo, hi = clopper_pearson(86, 500)
     assert abs(lo - 0.140) < 1e-3 and abs(hi - 0.208) < 1e-3
     assert clopper_pearson(0, 10)[0] == 0.0 and clopper_pearson(10, 10)[1] == 1.0
+
+
+def test_edge_fix_keeps_all_equations(spark):
+    good = _edges(spark, [("A", "B", 1000), ("B", "C", 1000), ("A", "C", 2000)])
+    assert min_edge_fix(good).count() == 0
+    bad = _edges(spark, [("A", "B", 0), ("B", "C", 0), ("A", "C", 1)]).withColumn("editable", F.col("offset") == 1)
+    row = min_edge_fix(bad).first()
+    assert (row["akey"], row["bkey"], row["residual"], row["action"]) == ("A", "C", -1, "change")
+    stuck = bad.withColumn("editable", F.lit(False))
+    assert min_edge_fix(stuck).first()["status"] == "infeasible"
+    assert edges_on_bad_cycles(fundamental_cycles(bad)).count() == 3
