@@ -9,6 +9,8 @@ link when their sets' Jaccard similarity is 0.8 or more, compared in whole numbe
    by a hash of their own, so each order is another permutation.
 3. Under every order, a set of n shingles posts its first n - ceil(0.8 n) + 1. Linked sets
    share a posted token under each order; pairs that do so under all orders are candidates.
+   A pair is only made at a token after which both sets still hold enough for a link, as
+   they do after the first token that linked sets share.
    Postings travel as packed blocks by token bucket, one task per order and bucket.
 4. A token with more than GROUP sets is not turned into pairs. Under the first order its
    sets are compared with one of them (a star); after linking, only sets that are still in
@@ -136,17 +138,18 @@ def frequency_levels(profiles: DataFrame) -> np.ndarray:
 
 
 def prefix(shingles: np.ndarray, levels: np.ndarray, order: int) -> np.ndarray:
-    """The tokens that a set posts under an order."""
+    """The tokens that a set posts under an order, first ones first."""
     n = len(shingles)
     take = n - -(-4 * n // 5) + 1
     level = levels[(shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
     rank = (level << np.uint64(58)) | (mix64(shingles + np.uint64(0x632BE59BD9B4E019 * (order + 1) % (1 << 64))) >> np.uint64(6))
-    return shingles[np.argpartition(rank, take - 1)[:take]] if take < n else shingles
+    first = np.argpartition(rank, take - 1)[:take] if take < n else np.arange(n)
+    return shingles[first[np.argsort(rank[first])]]
 
 
 def posting_blocks(docs: DataFrame, levels: np.ndarray, buckets: int) -> DataFrame:
     """Packed postings: of each order and token bucket (grp) the sets' keys, sizes, numbers of
-    tokens, and the tokens' low halves. A task posts a set once, however many copies it
+    tokens, the tokens' low halves and their places in the sets' order. A task posts a set once, however many copies it
     reads (it remembers SEEN_KEPT sets)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,19 +159,22 @@ def posting_blocks(docs: DataFrame, levels: np.ndarray, buckets: int) -> DataFra
 
         def packed() -> pa.RecordBatch:
             keys, sizes = np.array([k for k, _, _ in held], np.int64), np.array([n for _, n, _ in held], np.int32)
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for order in range(ORDERS):
                 tokens = np.concatenate([t[order] for _, _, t in held])
-                owner = np.repeat(np.arange(len(held)), [len(t[order]) for _, _, t in held])
+                lengths = [len(t[order]) for _, _, t in held]
+                owner = np.repeat(np.arange(len(held)), lengths)
+                # a place beyond the type's range counts as an earlier one, which keeps more pairs
+                place = np.minimum(np.concatenate([np.arange(n) for n in lengths]), 65_535).astype(np.uint16)
                 bucket = (tokens >> np.uint64(32)) % np.uint64(buckets)
                 at = np.argsort(bucket, kind="stable")
                 for b, part in enumerate(np.split(at, np.searchsorted(bucket[at], np.arange(1, buckets, dtype=np.uint64)))):
                     if len(part):
                         who, count = np.unique(owner[part], return_counts=True)
-                        block = (order * buckets + b, keys[who].tobytes(), sizes[who].tobytes(), count.astype(np.int32).tobytes(), tokens[part].astype(np.uint32).tobytes())
+                        block = (order * buckets + b, keys[who].tobytes(), sizes[who].tobytes(), count.astype(np.int32).tobytes(), tokens[part].astype(np.uint32).tobytes(), place[part].tobytes())
                         for c, v in zip(out, block, strict=True):
                             c.append(v)
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], ["grp", "keys", "sizes", "counts", "tokens"])
+            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], ["grp", "keys", "sizes", "counts", "tokens", "places"])
 
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
@@ -187,13 +193,14 @@ def posting_blocks(docs: DataFrame, levels: np.ndarray, buckets: int) -> DataFra
         if held:
             yield packed()
 
-    return _texts(docs.where("doc_id is not null")).mapInArrow(rows, "grp int, keys binary, sizes binary, counts binary, tokens binary")
+    return _texts(docs.where("doc_id is not null")).mapInArrow(rows, "grp int, keys binary, sizes binary, counts binary, tokens binary, places binary")
 
 
-def pairs_in_groups(token: np.ndarray, key: np.ndarray, size: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def pairs_in_groups(token: np.ndarray, key: np.ndarray, size: np.ndarray, place: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct pairs (a < b) of sets that share a token held by at most `most` sets and whose
     sizes allow a link; and a mask over postings of larger groups. The postings are sorted
-    by token and size."""
+    by token and size. A pair is taken where its token can be the first it shares: then all
+    it shares follows, so what follows must be enough for a link in both sets."""
     edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]])) if len(token) else np.zeros(1, np.int64)
     count = np.diff(edge)
     big = np.repeat(count > most, count)
@@ -204,8 +211,11 @@ def pairs_in_groups(token: np.ndarray, key: np.ndarray, size: np.ndarray, most:
     while len(at):
         at = at[(at + lag < last[at])]
         at = at[5 * size[at] >= 4 * size[at + lag]]  # larger ones follow: a set that fails here is through
-        if len(at):
-            gathered.append(np.column_stack([np.minimum(key[at], key[at + lag]), np.maximum(key[at], key[at + lag])]))
+        to = at + lag
+        enough = np.minimum(size[at] - place[at], size[to] - place[to]) >= -(-4 * (size[at] + size[to]) // 9)
+        if enough.any():
+            x, y = key[at[enough]], key[to[enough]]
+            gathered.append(np.column_stack([np.minimum(x, y), np.maximum(x, y)]))
         if sum(map(len, gathered)) > 1 << 19:
             gathered = [np.unique(np.concatenate(gathered), axis=0)]
         lag += 1
@@ -215,7 +225,8 @@ def pairs_in_groups(token: np.ndarray, key: np.ndarray, size: np.ndarray, most:
 
 
 def match_blocks(blocks: DataFrame, buckets: int, group: int = GROUP) -> DataFrame:
-    """Pairs (order, a, b, token null) and members of large groups (order, a, b null, token)."""
+    """Pairs (order, a, b, token null) and members of large groups (order, a, b null, token,
+    place)."""
 
     def match(frame: pd.DataFrame) -> pd.DataFrame:
         order, bucket = divmod(int(frame["grp"].iloc[0]), buckets)
@@ -223,16 +234,17 @@ def match_blocks(blocks: DataFrame, buckets: int, group: int = GROUP) -> DataFra
         key = np.repeat(np.concatenate([np.frombuffer(c, np.int64) for c in frame["keys"]]), counts)
         size = np.repeat(np.concatenate([np.frombuffer(c, np.int32) for c in frame["sizes"]]), counts).astype(np.int64)
         token = np.concatenate([np.frombuffer(c, np.uint32) for c in frame["tokens"]])
-        at = np.lexsort((key, size, token))
-        token, key, size = token[at], key[at], size[at]
+        place = np.concatenate([np.frombuffer(c, np.uint16) for c in frame["places"]]).astype(np.int64)
+        at = np.lexsort((place, key, size, token))
+        token, key, size, place = token[at], key[at], size[at], place[at]
         new = np.concatenate([[True], (token[1:] != token[:-1]) | (key[1:] != key[:-1])])
-        token, key, size = token[new], key[new], size[new]
-        a, b, big = pairs_in_groups(token, key, size, group)
-        pairs = pd.DataFrame({"ord": order, "a": a, "b": pd.array(b, "Int64"), "token": pd.array([None] * len(a), "Int64")})
-        members = pd.DataFrame({"ord": order, "a": key[big], "b": pd.array([None] * int(big.sum()), "Int64"), "token": pd.array(token[big].astype(np.int64) * buckets + bucket, "Int64")})
+        token, key, size, place = token[new], key[new], size[new], place[new]
+        a, b, big = pairs_in_groups(token, key, size, place, group)
+        pairs = pd.DataFrame({"ord": order, "a": a, "b": pd.array(b, "Int64"), "token": pd.array([None] * len(a), "Int64"), "place": 0})
+        members = pd.DataFrame({"ord": order, "a": key[big], "b": pd.array([None] * int(big.sum()), "Int64"), "token": pd.array(token[big].astype(np.int64) * buckets + bucket, "Int64"), "place": place[big]})
         return pd.concat([pairs, members], ignore_index=True)
 
-    return blocks.groupBy("grp").applyInPandas(match, "ord int, a long, b long, token long")
+    return blocks.groupBy("grp").applyInPandas(match, "ord int, a long, b long, token long, place long")
 
 
 def _within_bounds(pairs: DataFrame) -> DataFrame:
@@ -307,8 +319,8 @@ def candidate_pairs(matches: DataFrame) -> DataFrame:
 
 
 def large_groups(matches: DataFrame, classes: DataFrame) -> DataFrame:
-    """token and class of the members of the first order's large groups."""
-    members = matches.where("token is not null and ord = 0").select("token", F.col("a").alias("key"))
+    """token, place and class of the members of the first order's large groups."""
+    members = matches.where("token is not null and ord = 0").select("token", "place", F.col("a").alias("key"))
     return members.join(classes.select("key", "digest", "n_shingles", "parity", "rep"), "key").drop("key")
 
 
@@ -316,12 +328,13 @@ def left_over_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Within large groups: sets outside the group's commonest component against all sets of
     other components."""
     members = members.join(labels.select(F.col("node").alias("digest"), "label"), "digest", "left")
-    members = durable(members.select("token", "digest", "n_shingles", "parity", F.coalesce("label", "rep").alias("comp")), "members")
+    members = durable(members.select("token", "place", "digest", "n_shingles", "parity", F.coalesce("label", "rep").alias("comp")), "members")
     common = members.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max(F.struct("n", "comp"))["comp"].alias("common"))
     others = members.join(common, "token").where("comp <> common").drop("common")
-    side = lambda df, s: df.select("token", *[F.col(c).alias(n + s) for c, n in (("digest", "d"), ("n_shingles", "n"), ("parity", "p"), ("comp", "c"))])
-    sizes = "5 * least(na, nb) >= 4 * greatest(na, nb)"
-    return side(others, "a").join(side(members, "b"), "token").where(f"ca <> cb and {sizes}").dropDuplicates(["da", "db"])
+    side = lambda df, s: df.select("token", *[F.col(c).alias(n + s) for c, n in (("digest", "d"), ("n_shingles", "n"), ("parity", "p"), ("comp", "c"), ("place", "at"))])
+    # as in pairs_in_groups: sizes that allow a link, and enough after the shared token
+    fits = "5 * least(na, nb) >= 4 * greatest(na, nb) and least(na - ata, nb - atb) >= (4 * (na + nb) + 8) div 9"
+    return side(others, "a").join(side(members, "b"), "token").where(f"ca <> cb and {fits}")
 
 
 def known_roots(links: DataFrame) -> DataFrame:
@@ -375,7 +388,7 @@ def near_duplicates(docs: DataFrame, group: int = GROUP) -> DataFrame:
     links = settle(pairs, sets)
     labels = _labels(classes, links)
     if not members.isEmpty():
-        rest = durable(_within_bounds(left_over_pairs(members, labels)), "pairs")
+        rest = durable(_within_bounds(left_over_pairs(members, labels)).distinct(), "pairs")
         if not rest.isEmpty():
             labels = _labels(classes, links.unionAll(settle(rest, sets)))
     found = classes.join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("digest", F.coalesce("label", "rep").alias("component_id"), "copies")
