@@ -12,15 +12,19 @@ link when their sets' Jaccard similarity is 0.8 or more, compared in whole numbe
    A pair is only made at a token after which both sets still hold enough for a link, as
    they do after the first token that linked sets share.
    Postings travel as packed blocks by token bucket, one task per order and bucket.
-4. A token with more than GROUP sets is not turned into pairs. Under the first order its
-   sets are compared with one of them (a star); after linking, only sets that are still in
-   other components are compared with the rest. Under the other orders such a token lets
-   all its sets pass, which loses nothing.
-5. Candidates must have sizes that allow 0.8 and pass a parity bound (the XOR of two parity
+4. Stars come first: under each order, the sets with the same first token are compared with
+   one of them, as are those of a token with more than GROUP sets under the first order.
+   That is a few comparisons a set and joins most near copies, whatever their number.
+   STAR_ROUNDS times more, members of a large group outside its commonest component are
+   compared with another set of that component.
+5. Only pairs that are in different components after that are looked at further. A token
+   with more than GROUP sets is turned into pairs between its components alone; under the
+   other orders it lets all its sets pass, which loses nothing.
+6. Candidates must have sizes that allow 0.8 and pass a parity bound (the XOR of two parity
    maps never has more bits than the sets' symmetric difference). Then the sets themselves
-   are intersected: of a group of near copies each with one other, and only pairs that
-   are still in different components after that with each other.
-6. Components come from iterated joins, labelled by their smallest doc_id.
+   are intersected: each first with one other, and only pairs that are still in different
+   components after that with each other.
+7. Components come from iterated joins, labelled by their smallest doc_id.
 
 Edge cases: null, empty and white-space texts have no shingles and link with nothing; their
 component is their own doc_id. Texts of fewer than five words are one shingle. Rows with a
@@ -47,7 +51,9 @@ from plumbline.operators.components import connected_components
 
 SKETCH_BITS = 20
 ORDERS = 3
-GROUP = 64
+STAR = ORDERS
+STAR_ROUNDS = 2
+GROUP = 16
 BUCKET_POSTINGS = 1 << 18
 DOC_POSTINGS = 96  # typical, to set the number of buckets
 PARITY = 1024
@@ -224,9 +230,20 @@ def pairs_in_groups(token: np.ndarray, key: np.ndarray, size: np.ndarray, place:
     return found[:, 0], found[:, 1], big
 
 
+def first_stars(token: np.ndarray, key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sets whose first token is the same, each with the one of least key (a < b). The
+    postings are sorted by token."""
+    token, key = token[place == 0], key[place == 0]
+    at = np.lexsort((key, token))
+    token, key = token[at], key[at]
+    new = np.concatenate([[True], token[1:] != token[:-1]])[: len(token)]
+    heart = key[np.flatnonzero(new)][np.cumsum(new) - 1]
+    return heart[~new], key[~new]
+
+
 def match_blocks(blocks: DataFrame, buckets: int, group: int = GROUP) -> DataFrame:
-    """Pairs (order, a, b, token null) and members of large groups (order, a, b null, token,
-    place)."""
+    """Pairs (order, a, b, token null), stars over equal first tokens (the same with STAR for
+    the order) and members of large groups (order, a, b null, token, place)."""
 
     def match(frame: pd.DataFrame) -> pd.DataFrame:
         order, bucket = divmod(int(frame["grp"].iloc[0]), buckets)
@@ -241,8 +258,10 @@ def match_blocks(blocks: DataFrame, buckets: int, group: int = GROUP) -> DataFra
         token, key, size, place = token[new], key[new], size[new], place[new]
         a, b, big = pairs_in_groups(token, key, size, place, group)
         pairs = pd.DataFrame({"ord": order, "a": a, "b": pd.array(b, "Int64"), "token": pd.array([None] * len(a), "Int64"), "place": 0})
+        a, b = first_stars(token, key, place)
+        stars = pd.DataFrame({"ord": STAR, "a": a, "b": pd.array(b, "Int64"), "token": pd.array([None] * len(a), "Int64"), "place": 0})
         members = pd.DataFrame({"ord": order, "a": key[big], "b": pd.array([None] * int(big.sum()), "Int64"), "token": pd.array(token[big].astype(np.int64) * buckets + bucket, "Int64"), "place": place[big]})
-        return pd.concat([pairs, members], ignore_index=True)
+        return pd.concat([pairs, stars, members], ignore_index=True)
 
     return blocks.groupBy("grp").applyInPandas(match, "ord int, a long, b long, token long, place long")
 
@@ -303,19 +322,22 @@ def _sided(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").where("da <> db")
 
 
+def star_pairs(matches: DataFrame) -> DataFrame:
+    """a, b of the stars over equal first tokens and over the first order's large groups."""
+    members = matches.where("token is not null and ord = 0").select("token", "a")
+    heart = members.groupBy("token").agg(F.min("a").alias("heart"))
+    wide = members.join(heart, "token").where("a <> heart").select(F.col("heart").alias("a"), F.col("a").alias("b"))
+    return matches.where(F.col("ord") == STAR).select("a", "b").unionAll(wide).distinct()
+
+
 def candidate_pairs(matches: DataFrame) -> DataFrame:
-    """a, b of the pairs that share a posted token under every order, and of the stars over
-    the first order's large groups."""
+    """a, b of the pairs that share a posted token under every order."""
     wild = matches.where("token is not null").groupBy("a").agg(F.bit_or(F.expr("shiftleft(1, ord)")).alias("wild"))
-    pairs = matches.where("token is null").groupBy("a", "b").agg(F.bit_or(F.expr("shiftleft(1, ord)")).alias("under"))
+    pairs = matches.where((F.col("ord") < ORDERS) & F.col("token").isNull()).groupBy("a", "b").agg(F.bit_or(F.expr("shiftleft(1, ord)")).alias("under"))
     pairs = pairs.where(F.col("under").bitwiseAND(1) == 1)
     pairs = pairs.join(wild.select("a", F.col("wild").alias("wa")), "a", "left").join(wild.select(F.col("a").alias("b"), F.col("wild").alias("wb")), "b", "left")
     free = F.coalesce(F.col("wa").bitwiseAND(F.col("wb")), F.lit(0))
-    pairs = pairs.where(F.col("under").bitwiseOR(free) == (1 << ORDERS) - 1).select("a", "b")
-    members = matches.where("token is not null and ord = 0").select("token", "a")
-    heart = members.groupBy("token").agg(F.min("a").alias("heart"))
-    stars = members.join(heart, "token").where("a <> heart").select(F.col("heart").alias("a"), F.col("a").alias("b")).distinct()
-    return pairs.unionAll(stars).distinct()
+    return pairs.where(F.col("under").bitwiseOR(free) == (1 << ORDERS) - 1).select("a", "b")
 
 
 def large_groups(matches: DataFrame, classes: DataFrame) -> DataFrame:
@@ -324,17 +346,49 @@ def large_groups(matches: DataFrame, classes: DataFrame) -> DataFrame:
     return members.join(classes.select("key", "digest", "n_shingles", "parity", "rep"), "key").drop("key")
 
 
-def left_over_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Within large groups: sets outside the group's commonest component against all sets of
-    other components."""
+def _with_components(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members with their components so far, and of those the ones outside their token's
+    commonest component, with that as common."""
     members = members.join(labels.select(F.col("node").alias("digest"), "label"), "digest", "left")
     members = durable(members.select("token", "place", "digest", "n_shingles", "parity", F.coalesce("label", "rep").alias("comp")), "members")
     common = members.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max(F.struct("n", "comp"))["comp"].alias("common"))
-    others = members.join(common, "token").where("comp <> common").drop("common")
-    side = lambda df, s: df.select("token", *[F.col(c).alias(n + s) for c, n in (("digest", "d"), ("n_shingles", "n"), ("parity", "p"), ("comp", "c"), ("place", "at"))])
-    # as in pairs_in_groups: sizes that allow a link, and enough after the shared token
-    fits = "5 * least(na, nb) >= 4 * greatest(na, nb) and least(na - ata, nb - atb) >= (4 * (na + nb) + 8) div 9"
-    return side(others, "a").join(side(members, "b"), "token").where(f"ca <> cb and {fits}")
+    return members, members.join(common, "token").where("comp <> common")
+
+
+def _side(members: DataFrame, s: str) -> DataFrame:
+    return members.select("token", *[F.col(c).alias(n + s) for c, n in (("digest", "d"), ("n_shingles", "n"), ("parity", "p"), ("comp", "c"), ("place", "at"))])
+
+
+# as in pairs_in_groups: sizes that allow a link, and enough after the shared token
+_FITS = "ca <> cb and 5 * least(na, nb) >= 4 * greatest(na, nb) and least(na - ata, nb - atb) >= (4 * (na + nb) + 8) div 9"
+
+
+def more_stars(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """da, na, pa, db, nb, pb: within large groups, sets outside the group's commonest component
+    against one set of it, another one each turn."""
+    members, others = _with_components(members, labels)
+    wanted = others.select("token", F.col("common").alias("comp")).distinct()
+    rank = F.xxhash64("digest", F.lit(turn))
+    heart = members.join(wanted, ["token", "comp"]).groupBy("token", "comp").agg(F.min_by(F.struct("place", "digest", "n_shingles", "parity"), rank).alias("h")).select("token", "comp", "h.*")
+    return _side(others, "a").join(_side(heart, "b"), "token").where(_FITS)
+
+
+def left_over_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """da, na, pa, db, nb, pb: within large groups, sets outside the group's commonest component
+    against all sets of other components."""
+    members, others = _with_components(members, labels)
+    return _side(others, "a").join(_side(members, "b"), "token").where(_FITS)
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (da, db) whose sets are in different components so far."""
+    side = lambda d, c: labels.select(F.col("node").alias(d), F.col("label").alias(c))
+    both = pairs.join(side("da", "ca"), "da", "left").join(side("db", "cb"), "db", "left")
+    return both.where("ca is null or cb is null or ca <> cb").select("da", "db")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("da", "db").alias("da"), F.greatest("da", "db").alias("db")).distinct()
 
 
 def known_roots(links: DataFrame) -> DataFrame:
@@ -380,17 +434,26 @@ def near_duplicates(docs: DataFrame, group: int = GROUP) -> DataFrame:
         matches = durable(match_blocks(posting_blocks(docs, levels, buckets), buckets, group), "matches")
     classes = rows.where("digest is not null and doc_id is not null").groupBy("digest", "n_shingles", "parity").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     classes = durable(classes.withColumn("key", _key_column(F.col("digest"))), "classes")
+    stars = durable(_within_bounds(_sided(star_pairs(matches), classes)), "stars")
     pairs = durable(_within_bounds(_sided(candidate_pairs(matches), classes)), "pairs")
     members = durable(large_groups(matches, classes), "large-groups")
-    used = pairs.select(F.col("da").alias("digest")).unionAll(pairs.select(F.col("db").alias("digest"))).unionAll(members.select("digest")).distinct()
+    ends = [df.select(F.col(c).alias("digest")) for df in (stars, pairs) for c in ("da", "db")]
+    used = reduce(DataFrame.unionAll, [*ends, members.select("digest")]).distinct()
     with small_batches(docs.sparkSession, 4 * VERIFY_ROWS):
         sets = durable(shingle_table(docs, classes.join(used, "digest", "left_semi")).dropDuplicates(["digest"]), "sets")
-    links = settle(pairs, sets)
+    with small_batches(docs.sparkSession, VERIFY_ROWS):
+        links = durable(verified(stars, sets), "links")
     labels = _labels(classes, links)
-    if not members.isEmpty():
-        rest = durable(_within_bounds(left_over_pairs(members, labels)).distinct(), "pairs")
-        if not rest.isEmpty():
-            labels = _labels(classes, links.unionAll(settle(rest, sets)))
+    for turn in range(STAR_ROUNDS):
+        stars = durable(_ordered(_within_bounds(more_stars(members, labels, turn))), "stars")
+        if stars.isEmpty():
+            break
+        with small_batches(docs.sparkSession, VERIFY_ROWS):
+            links = links.unionAll(durable(verified(stars, sets), "links"))
+        labels = _labels(classes, links)
+    rest = durable(_ordered(_apart(pairs, labels).unionAll(_within_bounds(left_over_pairs(members, labels)))), "pairs")
+    if not rest.isEmpty():
+        labels = _labels(classes, links.unionAll(settle(rest, sets)))
     found = classes.join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("digest", F.coalesce("label", "rep").alias("component_id"), "copies")
     # Only classes of several rows, or linked ones, change a row's component; copies are spread over SALTS tasks.
     shared = found.join(classes.select("digest", "rep"), "digest").where("copies > 1 or component_id <> rep").select("digest", "component_id")
