@@ -53,7 +53,7 @@ SKETCH_BITS = 20
 ORDERS = 3
 STAR = ORDERS
 STAR_ROUNDS = 2
-GROUP = 16
+GROUP = 64
 BUCKET_POSTINGS = 1 << 18
 DOC_POSTINGS = 96  # typical, to set the number of buckets
 PARITY = 1024
