@@ -103,6 +103,18 @@ def test_mixing_matches_plain_python(spark):
     assert kept.columns == table(spark, rows[:1]).columns and kept.where("source = 'b'").count() > 0
 
 
+def test_mixing_serves_sources_far_below_a_slot(spark):
+    # 20 million words are 76 to one of 2**18 slots; the small sources' targets are 9 to 60 words
+    big = spark.range(200).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), 100_000).alias("text"), F.element_at(F.array(F.lit("a"), F.lit("z")), (F.col("id") % 2 + 1).cast("int")).alias("source"))
+    small = spark.range(1000, 1018).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") - 997).cast("int")).alias("text"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("source"))
+    docs = big.unionAll(small).cache()
+    by_source = mixing.mix(docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"))
+    rows = {r["source"]: r for r in by_source.collect()}
+    assert len(rows) == 20 and all(r["target"] > 0 for r in rows.values())
+    assert {s: r["taken"] for s, r in rows.items() if abs(r["taken"] - r["target"]) > 2} == {}
+    assert mixing.mixed_documents(docs).select("source").distinct().count() == 20
+
+
 def test_line_dedup(spark):
     page = lambda k: f"<html><nav>Menu</nav><p>  text {k} </p><p>same</p><p>same</p><script>x='</p>'</script></html>"
     rows = [(k, "http://User@Host.example:80/a?b", page(k)) for k in range(4)] + [(9, "http://other.example/", page(1)), (10, None, None), (10, "no url", "")]
