@@ -154,21 +154,43 @@ def conflict_endpoints(arcs: DataFrame) -> DataFrame:
     return e.groupBy("u", "v").agg(F.count_distinct("grp").alias("n_groups")).where("n_groups > 1")
 
 
+def _parents_close(now: DataFrame, n: int) -> bool:
+    """Whether following parents (node, parent; null where none) comes round again, by
+    doubling the stride until it exceeds n nodes."""
+    at = now.select("node", F.col("parent").alias("up")).where("up is not null")
+    for _ in range(n.bit_length()):
+        at = durable(at.join(at.select(F.col("node").alias("up"), F.col("up").alias("up2")), "up").select("node", F.col("up2").alias("up")), "parents")
+        if at.isEmpty():
+            return False
+    return True
+
+
 def feasible(arcs: DataFrame, rounds: int | None = None) -> tuple[bool, DataFrame]:
     """Whether integers meet all bounds, and distances (node, dist) after the last round of
     shortest paths from a source before all nodes. A change in round n (the number of
-    nodes) or a distance below any simple path's sum shows a negative cycle."""
+    nodes), a distance below any simple path's sum, or parents (the arc of a node's last
+    change) that come round shows a negative cycle; parents are looked at after 4, 8, 16, ...
+    rounds. Raises where neither is shown within `rounds`, if given."""
     best = durable(arcs.groupBy("u", "v").agg(F.min("bound").alias("bound")), "bounds")
     now = durable(best.select(F.col("u").alias("node")).unionAll(best.select("v")).distinct().withColumn("dist", F.lit(0).cast("long")), "distances")
+    now = now.withColumn("parent", F.lit(None).cast(best.schema["u"].dataType))
     n = now.count()
     lowest = best.groupBy("u").agg(F.min("bound").alias("b")).agg(F.sum(F.least("b", F.lit(0)))).first()[0] or 0
-    for _ in range(min(n, rounds or n)):
-        via = best.join(now.withColumnRenamed("node", "u"), "u").groupBy(F.col("v").alias("node")).agg(F.min(F.col("dist") + F.col("bound")).alias("near"))
-        new = durable(now.join(via, "node", "left").select("node", F.col("dist").alias("was"), F.least("dist", F.coalesce("near", "dist")).alias("dist")), "distances")
-        now = new.select("node", "dist")
+    done, look = 0, 4
+    while rounds is None or done < rounds:
+        via = best.join(now.select(F.col("node").alias("u"), "dist"), "u").groupBy(F.col("v").alias("node")).agg(F.min(F.struct((F.col("dist") + F.col("bound")).alias("near"), "u")).alias("m"))
+        nearer = F.coalesce(F.col("m.near") < F.col("dist"), F.lit(False))
+        stepped = now.join(via, "node", "left").select("node", F.col("dist").alias("was"), F.when(nearer, F.col("m.near")).otherwise(F.col("dist")).alias("dist"), F.when(nearer, F.col("m.u")).otherwise(F.col("parent")).alias("parent"))
+        new = durable(stepped, "distances")
+        now = new.select("node", "dist", "parent")
+        done += 1
         state = new.agg(F.count_if(F.col("dist") != F.col("was")).alias("changed"), F.min("dist").alias("low")).first()
         if not state["changed"]:
-            return True, now
-        if state["low"] < lowest:
-            return False, now
-    return False, now
+            return True, now.select("node", "dist")
+        if done >= n or state["low"] < lowest:
+            return False, now.select("node", "dist")
+        if done == look:
+            look *= 2
+            if _parents_close(now, n):
+                return False, now.select("node", "dist")
+    raise ValueError(f"neither settled nor shown infeasible in {rounds} rounds")

@@ -38,19 +38,31 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("from_patch", "to_patch", "delta").unionAll(back).distinct()
 
 
-def reach(edges: DataFrame, roots: DataFrame, max_hops: int = 64) -> DataFrame:
-    """patch_id, root, hops, winding, via: breadth-first from the roots (patch_id). Of several
-    first arrivals the one from the least patch with the least winding counts."""
+def component_roots(edges: DataFrame, patches: DataFrame) -> DataFrame:
+    """patch_id: the least patch of each component of the graph; patches without edges are
+    components of their own."""
+    nodes = patches.select(F.col("patch_id").alias("node")).distinct().withColumn("label", F.col("node"))
+    found = connected_components(nodes, edges.select(F.col("from_patch").alias("a"), F.col("to_patch").alias("b")))
+    return found.select(F.col("label").alias("patch_id")).distinct()
+
+
+def reach(edges: DataFrame, roots: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """patch_id, root, hops, winding, via: breadth-first from the roots (patch_id), to every
+    patch they reach unless max_hops says less. Of several first arrivals the one from the
+    least patch with the least winding counts."""
     e = durable(both_ways(edges), "patch-edges")
     done = durable(roots.select("patch_id", F.col("patch_id").alias("root"), F.lit(0).alias("hops"), F.lit(0).cast("long").alias("winding"), F.lit(None).cast("string").alias("via")), "reached")
-    frontier = done
-    for hop in range(1, max_hops + 1):
+    frontier, hop = done, 0
+    while max_hops is None or hop < max_hops:
+        hop += 1
         step = frontier.join(e, frontier["patch_id"] == e["from_patch"]).groupBy("to_patch").agg(F.min(F.struct(F.col("from_patch").alias("via"), (F.col("winding") + F.col("delta")).alias("winding"), "root")).alias("m"))
         new = step.select(F.col("to_patch").alias("patch_id"), "m.root", F.lit(hop).alias("hops"), "m.winding", "m.via").join(done.select("patch_id"), "patch_id", "left_anti")
         frontier = durable(new, "frontier")
         if frontier.isEmpty():
             break
         done = done.unionByName(frontier)
+        if hop % 16 == 0:  # keep the plan short
+            done = durable(done, "reached")
     return done
 
 

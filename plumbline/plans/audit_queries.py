@@ -194,7 +194,7 @@ def certified_links(spark, sf_dir):
 
 
 def order_feasible(spark, sf_dir):
-    ok, dist = graph.feasible(_arcs(spark, sf_dir), rounds=20)
+    ok, dist = graph.feasible(_arcs(spark, sf_dir))
     return dist.agg(F.count(F.lit(1)).alias("n_nodes"), F.lit(ok).alias("feasible"))
 
 

@@ -108,9 +108,10 @@ def relative_edges(spark, sf_dir):
 
 
 def _reached(spark, sf_dir):
+    """Relative edges, and what the least patch of each component reaches."""
     e = durable(relative_edges(spark, sf_dir), "relative")
-    root = e.agg(F.min("from_patch").alias("patch_id"))
-    return e, durable(patch_graph.reach(e, root), "reached")
+    roots = patch_graph.component_roots(e, attached(spark, sf_dir).where("patch_id is not null"))
+    return e, durable(patch_graph.reach(e, roots), "reached")
 
 
 def patch_reach(spark, sf_dir):

@@ -1,12 +1,14 @@
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators.components import connected_components
 from plumbline.operators.controls import clopper_pearson
 from plumbline.operators.graph import Forest, component_table, feasible, fundamental_cycles, potentials
 from plumbline.operators.repair import canonical, edges_on_bad_cycles, min_edge_cut, min_edge_fix, min_quarantine, quarantine, violated_cycle
+from plumbline.plans import audit_queries
 
 
 def consistent(edges):
@@ -97,6 +99,25 @@ def test_negative_cycles(spark):
     assert not bad
 
 
+def test_bounds_along_a_long_chain(spark):
+    arcs = [(f"n{k:02}", f"n{k + 1:02}", -1, "g") for k in range(30)]
+    frame = lambda rows: spark.createDataFrame(rows, "u string, v string, bound long, grp string")
+    ok, dist = feasible(frame(arcs))
+    assert ok and {r["node"]: r["dist"] for r in dist.collect()} == {f"n{k:02}": -k for k in range(31)}
+    with pytest.raises(ValueError, match="neither"):
+        feasible(frame(arcs), rounds=3)
+    bad, _ = feasible(frame([*arcs, ("n30", "n00", 29, "h")]))
+    assert not bad
+    ok, _ = feasible(frame([*arcs, ("n30", "n00", 30, "h")]))
+    assert ok
+
+
+def test_order_feasible_runs_to_the_end(spark, monkeypatch):
+    arcs = spark.createDataFrame([(f"n{k:02}", f"n{k + 1:02}", -1, "g") for k in range(25)], "u string, v string, bound long, grp string")
+    monkeypatch.setattr(audit_queries, "_arcs", lambda spark, sf_dir: arcs)
+    assert tuple(audit_queries.order_feasible(spark, "").first()) == (26, True)
+
+
 def test_clopper_pearson():
     lo, hi = clopper_pearson(86, 500)
     assert abs(lo - 0.140) < 1e-3 and abs(hi - 0.208) < 1e-3

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import patch_graph, patches
+from plumbline.plans import patch_queries
 from plumbline.sources import collections as docs
 from plumbline.sources.helix import axis_table
 
@@ -74,6 +75,18 @@ def test_reach_and_loops(spark):
     assert [x["holonomy"] for x in patch_graph.loop_holonomies(r, e).collect()] == [1]
 
 
+def test_reach_has_no_end_and_roots_every_component(spark, monkeypatch):
+    rows = [(f"a{k:02}", f"a{k + 1:02}", 1) for k in range(70)] + [("b", "c", 2)]
+    e = spark.createDataFrame(rows, "from_patch string, to_patch string, delta long")
+    held = spark.createDataFrame([(p,) for p in {x for r in rows for x in r[:2]} | {"alone"}], "patch_id string").withColumn("kind", F.lit("absolute")).withColumn("wind_a", F.lit(5.0))
+    monkeypatch.setattr(patch_queries, "relative_edges", lambda spark, sf_dir: e)
+    monkeypatch.setattr(patch_queries, "attached", lambda spark, sf_dir: held)
+    got = {r["patch_id"]: (r["root"], r["hops"], r["winding"]) for r in patch_queries.patch_reach(spark, "").collect()}
+    assert got == {f"a{k:02}": ("a00", k, k) for k in range(71)} | {"b": ("b", 0, 0), "c": ("b", 1, 2), "alone": ("alone", 0, 0)}
+    few = patch_graph.reach(e, held.where("patch_id = 'a00'"), max_hops=2)
+    assert few.count() == 3
+
+
 def document(points, version="1", metadata=None):
     return json.dumps({"vc_pointcollections_json_version": version, "collections": {"7": {"name": "n", "metadata": metadata or {}, "color": [1, 0, 0], "points": points}}})
 
