@@ -71,7 +71,7 @@ def integrability(spark, sf_dir):
 
 def strip_deltas(spark, sf_dir):
     q = durable(patches.quads(cells(spark, sf_dir)), "quads")
-    r = q.where("i % 6 = 0 and j % 6 = 0").select((F.xxhash64("patch_id", "i", "j")).alias("request"), "patch_id", (F.col("i") + 0.5).alias("from_i"), (F.col("j") + 0.5).alias("from_j"), F.lit(12.5).alias("to_i"), F.lit(20.5).alias("to_j"))
+    r = q.select((F.xxhash64("patch_id", "i", "j")).alias("request"), "patch_id", (F.col("i") + 0.5).alias("from_i"), (F.col("j") + 0.5).alias("from_j"), F.lit(12.5).alias("to_i"), F.lit(20.5).alias("to_j"))
     return patches.strip_deltas(r, q, axis_table(spark, AXIS))
 
 
@@ -131,8 +131,7 @@ def anchor_votes(spark, sf_dir):
 def disconnected_subgraphs(spark, sf_dir):
     p = attached(spark, sf_dir).where("patch_id is not null")
     areas = p.groupBy("patch_id").agg(F.count(F.lit(1)).cast("double").alias("area"))
-    e = relative_edges(spark, sf_dir).where("cid % 40 = 0")
-    return patch_graph.disconnected_subgraphs(durable(e, "relative"), areas)
+    return patch_graph.disconnected_subgraphs(durable(relative_edges(spark, sf_dir), "relative"), areas)
 
 
 def named_pairs(spark, sf_dir):

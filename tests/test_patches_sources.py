@@ -87,6 +87,23 @@ def test_reach_has_no_end_and_roots_every_component(spark, monkeypatch):
     assert few.count() == 3
 
 
+def test_subgraphs_of_all_traces(spark, monkeypatch):
+    e = spark.createDataFrame([("a", "b", 7), ("c", "d", 40), ("d", "e", 41)], "from_patch string, to_patch string, cid long")
+    held = spark.createDataFrame([(p,) for p in "aabcddef"], "patch_id string")
+    monkeypatch.setattr(patch_queries, "relative_edges", lambda spark, sf_dir: e)
+    monkeypatch.setattr(patch_queries, "attached", lambda spark, sf_dir: held)
+    got = {(r["component"], r["n_patches"], r["total_area"], r["top_patches"], r["place"]) for r in patch_queries.disconnected_subgraphs(spark, "").collect()}
+    assert got == {("c", 3, 4.0, "d,c,e", 1), ("a", 2, 3.0, "a,b", 2), ("f", 1, 1.0, "f", 3)}
+
+
+def test_strips_of_all_quads(spark, monkeypatch):
+    c = grid(spark, 4, 5, lambda i, j: (10 + i, j - 2.5, 0), {(3, 4)})
+    monkeypatch.setattr(patch_queries, "cells", lambda spark, sf_dir: c)
+    asked = {r[0] for r in patches.quads(c).select(F.xxhash64("patch_id", "i", "j")).collect()}
+    got = {r["request"]: r["delta"] for r in patch_queries.strip_deltas(spark, "").collect()}
+    assert len(asked) == 11 and got.keys() == asked and set(got.values()) == {0, 1}
+
+
 def document(points, version="1", metadata=None):
     return json.dumps({"vc_pointcollections_json_version": version, "collections": {"7": {"name": "n", "metadata": metadata or {}, "color": [1, 0, 0], "points": points}}})
 
