@@ -27,29 +27,42 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.durable_path = path
+    return written
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """node, label: the least label of each node's component.
+def discard(df: DataFrame) -> None:
+    """Delete the files of a durable frame from which nothing is left to compute."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.durable_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, label (durable): the least label of each node's component.
 
-    nodes: node, label (one row a node); edges: a, b, each end in nodes, either direction.
-    A round takes the least label around each node and then follows labels once more
-    through the node that owns them, so a chain of n nodes needs about log n rounds, not n.
-    Sums are partial before each shuffle; labels are unique per node on entry.
+    nodes: node, label (one row a node, labels unique); edges: a, b, each end in nodes, either
+    direction. A round takes the least label around each node and then follows labels once
+    more through the node that owns them, so a chain of n nodes needs about log n rounds, not
+    n. Least labels are taken before each shuffle, too. Labels only fall, so rounds end.
     """
     both = edges.select("a", "b").where("a <> b").distinct()
     both = durable(both.unionAll(both.select("b", "a")), "edges")
-    now = durable(nodes.select("node", "label"), "labels")
-    owners = now.select(F.col("node").alias("owner"), F.col("label").alias("owned"))
-    for _ in range(rounds):
-        around = both.join(now.withColumnRenamed("node", "a"), "a").groupBy("b").agg(F.min("label").alias("near")).withColumnRenamed("b", "node")
-        hooked = now.join(around, "node", "left").select("node", F.col("label").alias("was"), F.least("label", F.coalesce("near", "label")).alias("label"))
+    owners = durable(nodes.select("node", "label"), "labels")
+    now = owners
+    owned = owners.select(F.col("node").alias("owner"), F.col("label").alias("owned"))
+    while True:
+        around = both.join(now.select(F.col("node").alias("a"), "label"), "a").groupBy("b").agg(F.min("label").alias("near")).withColumnRenamed("b", "node")
+        hooked = now.select("node", "label").join(around, "node", "left").select("node", F.col("label").alias("was"), F.least("label", F.coalesce("near", "label")).alias("label"))
         # the label's owner may know a lesser one
-        roots = owners.join(hooked.select(F.col("node").alias("owner"), F.col("label").alias("root")), "owner").where("root < owned").select("owned", "root")
+        roots = owned.join(hooked.select(F.col("node").alias("owner"), F.col("label").alias("root")), "owner").where("root < owned").select("owned", "root")
         jumped = hooked.join(roots, F.col("label") == F.col("owned"), "left").select("node", "was", F.coalesce("root", "label").alias("label"))
         new = durable(jumped, "labels")
-        now = new.select("node", "label")
+        if now is not owners:
+            discard(now)
         if new.where("label <> was").isEmpty():
-            return now
-    raise ValueError(f"components did not settle in {rounds} rounds")
+            discard(both)
+            discard(owners)
+            return new
+        now = new
