@@ -10,12 +10,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.operators.components import durable, shared_dir
+from plumbline.operators.components import discard, durable, shared_dir
 
-__all__ = ["BLOCK", "byte_table", "documents", "durable", "gear_hash", "mix64", "shared_dir", "small_batches", "utf8"]
+__all__ = ["BLOCK", "byte_table", "discard", "documents", "durable", "fresh", "gear_hash", "marked_possible", "mix64", "shared_dir", "small_batches", "utf8"]
 
 BLOCK = 1 << 21
+SIEVE_BITS = 1 << 23
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +27,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @contextmanager
 def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """Arrow batches of at most `rows` rows for what is executed inside: for rows of tens of
-    kilobytes, of which the usual ten thousand don't fit an executor's memory."""
+    kilobytes, of which the usual ten thousand don't fit an executor's memory. This sets the
+    session's own value meanwhile: jobs that other threads start in it see it, too."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
     spark.conf.set(key, str(rows))
@@ -35,6 +38,31 @@ def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it new to df."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
+def marked_possible(df: DataFrame, keys: DataFrame, columns: list[str], flag: str) -> DataFrame:
+    """df with a boolean column `flag`, true for every row whose values of `columns` are among
+    keys and for few others. The keys make a bitmap of SIEVE_BITS (a megabyte, whatever their
+    number), so wide rows that no key means needn't be shuffled to find that out."""
+    place = F.pmod(F.xxhash64(*columns), F.lit(SIEVE_BITS))
+    bucket, bits, at = fresh(df, "bucket", "bits", "at")
+    bitmap = keys.select(place.alias("at")).groupBy(F.bitmap_bucket_number("at").alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias(bits))
+    rows = df.withColumn(at, place).withColumn(bucket, F.bitmap_bucket_number(at)).withColumn(at, F.bitmap_bit_position(at))
+    byte = F.conv(F.hex(F.expr(f"substring({bits}, int({at} div 8) + 1, 1)")), 16, 10).cast("int")
+    found = F.expr(f"shiftleft(1, int({at} % 8))").bitwiseAND(byte) != 0
+    return rows.join(F.broadcast(bitmap), bucket, "left").withColumn(flag, F.coalesce(found, F.lit(False))).select(*df.columns, flag)
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null counts as empty. Row i is
     bytes[offsets[i]:offsets[i + 1]]."""

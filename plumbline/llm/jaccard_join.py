@@ -7,24 +7,26 @@ link when their sets' Jaccard similarity is 0.8 or more, compared in whole numbe
 2. A count sketch of 2**SKETCH_BITS cells over all shingles puts each into a level of
    frequency. ORDERS global token orders sort by level, rare ones first, and within a level
    by a hash of their own, so each order is another permutation.
-3. Under every order, a set of n shingles posts its first n - ceil(0.8 n) + 1. Linked sets
-   share a posted token under each order; pairs that do so under all orders are candidates.
-   A pair is only made at a token after which both sets still hold enough for a link, as
-   they do after the first token that linked sets share.
-   Postings travel as packed blocks by token bucket, one task per order and bucket.
-4. Stars come first: under each order, the sets with the same first token are compared with
-   one of them, as are those of a token with more than GROUP sets under the first order.
-   That is a few comparisons a set and joins most near copies, whatever their number.
-   STAR_ROUNDS times more, members of a large group outside its commonest component are
-   compared with another set of that component.
-5. Only pairs that are in different components after that are looked at further. A token
-   with more than GROUP sets is turned into pairs between its components alone; under the
-   other orders it lets all its sets pass, which loses nothing.
-6. Candidates must have sizes that allow 0.8 and pass a parity bound (the XOR of two parity
-   maps never has more bits than the sets' symmetric difference). Then the sets themselves
-   are intersected: each first with one other, and only pairs that are still in different
-   components after that with each other.
-7. Components come from iterated joins, labelled by their smallest doc_id.
+3. Under every order, the prefix of a set of n shingles is its first n - ceil(0.8 n) + 1.
+   Linked sets share a prefix token under each order. Sets that share none with a set of
+   fitting size under the first order are done; only the others' texts are read again.
+   For this, packed postings travel by token; tokens that the sketch calls frequent are
+   shared anyway and aren't posted, so no task gathers the postings of a hot token.
+4. A candidate shares prefix tokens under every order: pairs from the first order are
+   intersected with the other orders' filters before the sets are compared. Under the first
+   order, what follows the shared token must be enough for a link in both sets, as it is
+   after the first token that linked sets share.
+5. Pairs are made between components only. Stars come first: the sets whose first tokens
+   under some order are equal meet one of them; then, token by token, the sets outside the
+   token's commonest component meet one set of it, another one each turn. A turn has a pair
+   for each posting at most. When what is left is no more than LEFT pairs a posting, or a
+   turn joined nothing, all pairs between components that still share a token are compared.
+   A token's sets are dealt into blocks for that, so a hot token is many tasks.
+6. Each turn's links join the components found so far; a component is named by its
+   smallest doc_id in the end.
+
+This finds every component and every link that makes one; links inside a component that is
+already known to be one are not counted out.
 
 Edge cases: null, empty and white-space texts have no shingles and link with nothing; their
 component is their own doc_id. Texts of fewer than five words are one shingle. Rows with a
@@ -42,145 +44,144 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.buffers import documents, durable, mix64, small_batches, utf8
+from plumbline.llm.buffers import discard, documents, durable, fresh, marked_possible, mix64, small_batches, utf8
 from plumbline.llm.shingles import shingle_sets
 from plumbline.operators.components import connected_components
 
 SKETCH_BITS = 20
+SLICES = 16
+FAN = 32
 ORDERS = 3
-STAR = ORDERS
-STAR_ROUNDS = 2
-GROUP = 64
-BUCKET_POSTINGS = 1 << 18
+HOT_LEVEL = 1 << 7
+HOT_TIMES, HOT_LEAST = 8, 256
+BUCKET_POSTINGS = 1 << 19
 DOC_POSTINGS = 96  # typical, to set the number of buckets
-PARITY = 1024
-PARITY_MOST = 1 << 16
-LEVEL_STEP = 1.25
-PICKS = 2
-VERIFY_ROWS = 128
-TEXT_ROWS = 2048
 HELD_POSTINGS = 1 << 18
-SALTS = 16
-SLICES = 16
 SEEN_KEPT = 1 << 17
-
-
-def needed_overlap(a: int, b: int) -> int:
-    """Least intersection of linked sets of sizes a and b."""
-    return -(-4 * (a + b) // 9)
+LEVEL_STEP = 1.25
+LEFT = 1.0
+BLOCK_SETS = 256
+TEXT_ROWS = 2048
+SET_ROWS = 512
+HEAVY = 1000
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"))
 
 
 def _digest(shingles: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
 
 
-def _key(digest: bytes) -> int:
-    return int.from_bytes(digest[:8], "little", signed=True)
-
-
-def _parity(shingles: np.ndarray) -> bytes:
-    """The XOR of the shingles' bits, in a map of PARITY bits or, for larger sets, about one
-    bit a shingle. A map folds to half its size by XOR of its halves."""
-    bits = min(max(PARITY, 1 << (len(shingles) - 1).bit_length()), PARITY_MOST)
-    return np.packbits(np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
-
-
-def parity_distance(x: np.ndarray, y: np.ndarray) -> int:
-    """Bits by which two maps differ: at most the size of the symmetric difference."""
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
+def _key(digest: bytes | None) -> int | None:
+    return digest and int.from_bytes(digest[:8], "little", signed=True)
 
 
 def set_profiles(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds: a document's doc_id, n_shingles, digest, parity; and a task's share
-    of the count sketch as slice, counts."""
+    """Rows of two kinds: a row's doc_id, mark (hash of its text), n_shingles, digest, key (the
+    digest's head); and a task's share of the count sketch as slice, part, counts."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            n, digests, parities = [], [], []
+            n, digests = [], []
             for s in shingle_sets(data, offsets):
                 n.append(len(s))
                 digests.append(_digest(s))
-                parities.append(_parity(s) if len(s) else None)
                 np.add.at(sketch, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-            none = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(parities, pa.binary()), *none], names)
-        parts = [p.tobytes() for p in np.split(sketch, SLICES)]
-        none = pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.binary()), pa.nulls(SLICES, pa.binary())
-        yield pa.RecordBatch.from_arrays([*none, pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names)
+            none = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array([_key(d) for d in digests], pa.int64()), *none], names)
+        parts = [p.tobytes() for p in np.split(np.minimum(sketch, 65_535).astype(np.uint16), SLICES)]
+        none = [pa.nulls(SLICES, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())]
+        yield pa.RecordBatch.from_arrays([*none, pa.array(range(SLICES), pa.int32()), pa.array([TaskContext.get().partitionId()] * SLICES, pa.int32()), pa.array(parts, pa.binary())], names)
 
-    names = ["doc_id", "n_shingles", "digest", "parity", "slice", "counts"]
-    return _texts(docs).mapInArrow(rows, "doc_id long, n_shingles long, digest binary, parity binary, slice int, counts binary")
+    names = ["doc_id", "mark", "n_shingles", "digest", "key", "slice", "part", "counts"]
+    return _texts(docs).mapInArrow(rows, "doc_id long, mark long, n_shingles long, digest binary, key long, slice int, part int, counts binary")
 
 
 def frequency_levels(profiles: DataFrame) -> np.ndarray:
     """Level of each sketch cell: 0 up to LEVEL_STEP times the mean, then one for each such
-    step, 63 at most. One byte a cell, whatever the input."""
+    step, 63 at most; with HOT_LEVEL added for frequent cells. One byte a cell, whatever the
+    input."""
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros((1 << SKETCH_BITS) // SLICES, np.int64)
         for c in frame["counts"]:
-            total += np.frombuffer(c, np.uint32)
-        return pd.DataFrame({"slice": [frame["slice"].iloc[0]], "counts": [total.tobytes()]})
-
-    blocks = profiles.where("slice is not null").select("slice", "counts").groupBy("slice").applyInPandas(add, "slice int, counts binary").toPandas()
+            total += np.frombuffer(c, np.uint16 if len(c) == 2 * len(total) else np.int64)
+        return pd.DataFrame({"slice": [frame["slice"].iloc[0]], "part": [frame["part"].iloc[0]], "counts": [total.tobytes()]})
+
+    sums = profiles.where("slice is not null").select("slice", "part", "counts")
+    parts = sums.agg(F.max("part")).first()[0] or 0
+    while True:  # a sum is of FAN shares at most
+        by_share = sums.select("slice", F.floor(F.col("part") / FAN).cast("int").alias("part"), "counts")
+        sums = by_share.groupBy("slice", "part").applyInPandas(add, "slice int, part int, counts binary")
+        parts //= FAN
+        if not parts:
+            break
+        sums = durable(sums, "sums")
     counts = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES))
-    for s, c in zip(blocks["slice"], blocks["counts"], strict=True):
-        counts[s] = np.frombuffer(c, np.int64)
+    for s in sums.toLocalIterator():
+        counts[s["slice"]] = np.frombuffer(s["counts"], np.int64)
     counts = counts.ravel()
-    return np.minimum(np.log(np.maximum(counts / max(counts.mean(), 1.0), 1.0)) / np.log(LEVEL_STEP), 63).astype(np.uint8)
+    mean = max(counts.mean(), 1.0)
+    levels = np.minimum(np.log(np.maximum(counts / mean, 1.0)) / np.log(LEVEL_STEP), 63).astype(np.uint8)
+    return levels + np.where(counts >= HOT_TIMES * mean + HOT_LEAST, HOT_LEVEL, 0).astype(np.uint8)
 
 
-def prefix(shingles: np.ndarray, levels: np.ndarray, order: int) -> np.ndarray:
-    """The tokens that a set posts under an order, first ones first."""
+def prefix(shingles: np.ndarray, levels: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The prefix of a set under an order, first tokens first, and which of them are frequent."""
     n = len(shingles)
     take = n - -(-4 * n // 5) + 1
-    level = levels[(shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
-    rank = (level << np.uint64(58)) | (mix64(shingles + np.uint64(0x632BE59BD9B4E019 * (order + 1) % (1 << 64))) >> np.uint64(6))
+    level = levels[(shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+    rank = ((level & np.uint8(63)).astype(np.uint64) << np.uint64(58)) | (mix64(shingles + np.uint64(0x632BE59BD9B4E019 * (order + 1) % (1 << 64))) >> np.uint64(6))
     first = np.argpartition(rank, take - 1)[:take] if take < n else np.arange(n)
-    return shingles[first[np.argsort(rank[first])]]
+    first = first[np.argsort(rank[first])]
+    return shingles[first], level[first] >= HOT_LEVEL
 
 
 def posting_blocks(docs: DataFrame, levels: np.ndarray, buckets: int) -> DataFrame:
-    """Packed postings: of each order and token bucket (grp) the sets' keys, sizes, numbers of
-    tokens, the tokens' low halves and their places in the sets' order. A task posts a set once, however many copies it
-    reads (it remembers SEEN_KEPT sets)."""
+    """Packed postings of the first order: by token bucket (grp) tokens' low halves, keys of
+    their sets and sizes on a scale of steps of 1.25. A set with a frequent token in its
+    prefix is posted by its key alone (grp of the key, above the buckets). A task posts a set
+    once, however many copies it reads (it remembers SEEN_KEPT sets)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        held: list[tuple[int, int, list[np.ndarray]]] = []
+        held: list[tuple[int, int, np.ndarray]] = []
+        shared: list[int] = []
         postings = 0
 
         def packed() -> pa.RecordBatch:
-            keys, sizes = np.array([k for k, _, _ in held], np.int64), np.array([n for _, n, _ in held], np.int32)
-            out: list[list] = [[], [], [], [], [], []]
-            for order in range(ORDERS):
-                tokens = np.concatenate([t[order] for _, _, t in held])
-                lengths = [len(t[order]) for _, _, t in held]
-                owner = np.repeat(np.arange(len(held)), lengths)
-                # a place beyond the type's range counts as an earlier one, which keeps more pairs
-                place = np.minimum(np.concatenate([np.arange(n) for n in lengths]), 65_535).astype(np.uint16)
-                bucket = (tokens >> np.uint64(32)) % np.uint64(buckets)
-                at = np.argsort(bucket, kind="stable")
-                for b, part in enumerate(np.split(at, np.searchsorted(bucket[at], np.arange(1, buckets, dtype=np.uint64)))):
-                    if len(part):
-                        who, count = np.unique(owner[part], return_counts=True)
-                        block = (order * buckets + b, keys[who].tobytes(), sizes[who].tobytes(), count.astype(np.int32).tobytes(), tokens[part].astype(np.uint32).tobytes(), place[part].tobytes())
-                        for c, v in zip(out, block, strict=True):
-                            c.append(v)
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], ["grp", "keys", "sizes", "counts", "tokens", "places"])
+            grp, tokens, keys, sizes = [], [], [], []
+            if held:
+                token = np.concatenate([t for _, _, t in held])
+                lengths = [len(t) for _, _, t in held]
+                key = np.repeat(np.array([k for k, _, _ in held], np.int64), lengths)
+                size = np.repeat(np.array([s for _, s, _ in held], np.uint8), lengths)
+                bucket = ((token >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+                at = np.lexsort((token, bucket))
+                ends = np.searchsorted(bucket[at], np.arange(buckets + 1))
+                for b in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
+                    k = at[ends[b] : ends[b + 1]]
+                    grp.append(b)
+                    tokens.append(token[k].astype(np.uint32).tobytes())
+                    keys.append(key[k].tobytes())
+                    sizes.append(size[k].tobytes())
+            if shared:
+                key = np.array(shared, np.int64)
+                for b in np.unique(key % buckets).tolist():
+                    grp.append(buckets + b)
+                    tokens.append(b"")
+                    keys.append(key[key % buckets == b].tobytes())
+                    sizes.append(b"")
+            return pa.RecordBatch.from_arrays([pa.array(grp, pa.int32()), *(pa.array(c, pa.binary()) for c in (tokens, keys, sizes))], ["grp", "tokens", "keys", "sizes"])
 
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
@@ -190,301 +191,228 @@ def posting_blocks(docs: DataFrame, levels: np.ndarray, buckets: int) -> DataFra
                 if len(seen) >= SEEN_KEPT:
                     seen.clear()
                 seen.add(key)
-                tokens = [prefix(s, levels, order) for order in range(ORDERS)]
-                held.append((key, len(s), tokens))
-                postings += len(tokens[0])
-                if postings > HELD_POSTINGS:
+                tokens, frequent = prefix(s, levels, 0)
+                if frequent.any():
+                    shared.append(key)
+                if not frequent.all():
+                    held.append((key, int(np.log(len(s)) / np.log(1.25)), tokens[~frequent]))
+                    postings += len(tokens)
+                if postings + len(shared) > HELD_POSTINGS:
                     yield packed()
-                    held, postings = [], 0
-        if held:
-            yield packed()
-
-    return _texts(docs.where("doc_id is not null")).mapInArrow(rows, "grp int, keys binary, sizes binary, counts binary, tokens binary, places binary")
-
-
-def pairs_in_groups(token: np.ndarray, key: np.ndarray, size: np.ndarray, place: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs (a < b) of sets that share a token held by at most `most` sets and whose
-    sizes allow a link; and a mask over postings of larger groups. The postings are sorted
-    by token and size. A pair is taken where its token can be the first it shares: then all
-    it shares follows, so what follows must be enough for a link in both sets."""
-    edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]])) if len(token) else np.zeros(1, np.int64)
-    count = np.diff(edge)
-    big = np.repeat(count > most, count)
-    last = np.repeat(edge[1:], count)
-    found = np.zeros((0, 2), np.int64)
-    at, lag = np.flatnonzero(~big & (np.arange(len(token)) + 1 < last)), 1
-    gathered = []
-    while len(at):
-        at = at[(at + lag < last[at])]
-        at = at[5 * size[at] >= 4 * size[at + lag]]  # larger ones follow: a set that fails here is through
-        to = at + lag
-        enough = np.minimum(size[at] - place[at], size[to] - place[to]) >= -(-4 * (size[at] + size[to]) // 9)
-        if enough.any():
-            x, y = key[at[enough]], key[to[enough]]
-            gathered.append(np.column_stack([np.minimum(x, y), np.maximum(x, y)]))
-        if sum(map(len, gathered)) > 1 << 19:
-            gathered = [np.unique(np.concatenate(gathered), axis=0)]
-        lag += 1
-    if gathered:
-        found = np.unique(np.concatenate(gathered), axis=0)
-    return found[:, 0], found[:, 1], big
-
-
-def first_stars(token: np.ndarray, key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sets whose first token is the same, each with the one of least key (a < b). The
-    postings are sorted by token."""
-    token, key = token[place == 0], key[place == 0]
-    at = np.lexsort((key, token))
-    token, key = token[at], key[at]
-    new = np.concatenate([[True], token[1:] != token[:-1]])[: len(token)]
-    heart = key[np.flatnonzero(new)][np.cumsum(new) - 1]
-    return heart[~new], key[~new]
-
-
-def match_blocks(blocks: DataFrame, buckets: int, group: int = GROUP) -> DataFrame:
-    """Pairs (order, a, b, token null), stars over equal first tokens (the same with STAR for
-    the order) and members of large groups (order, a, b null, token, place)."""
-
-    def match(frame: pd.DataFrame) -> pd.DataFrame:
-        order, bucket = divmod(int(frame["grp"].iloc[0]), buckets)
-        counts = np.concatenate([np.frombuffer(c, np.int32) for c in frame["counts"]])
-        key = np.repeat(np.concatenate([np.frombuffer(c, np.int64) for c in frame["keys"]]), counts)
-        size = np.repeat(np.concatenate([np.frombuffer(c, np.int32) for c in frame["sizes"]]), counts).astype(np.int64)
-        token = np.concatenate([np.frombuffer(c, np.uint32) for c in frame["tokens"]])
-        place = np.concatenate([np.frombuffer(c, np.uint16) for c in frame["places"]]).astype(np.int64)
-        at = np.lexsort((place, key, size, token))
-        token, key, size, place = token[at], key[at], size[at], place[at]
-        new = np.concatenate([[True], (token[1:] != token[:-1]) | (key[1:] != key[:-1])])
-        token, key, size, place = token[new], key[new], size[new], place[new]
-        a, b, big = pairs_in_groups(token, key, size, place, group)
-        pairs = pd.DataFrame({"ord": order, "a": a, "b": pd.array(b, "Int64"), "token": pd.array([None] * len(a), "Int64"), "place": 0})
-        a, b = first_stars(token, key, place)
-        stars = pd.DataFrame({"ord": STAR, "a": a, "b": pd.array(b, "Int64"), "token": pd.array([None] * len(a), "Int64"), "place": 0})
-        members = pd.DataFrame({"ord": order, "a": key[big], "b": pd.array([None] * int(big.sum()), "Int64"), "token": pd.array(token[big].astype(np.int64) * buckets + bucket, "Int64"), "place": place[big]})
-        return pd.concat([pairs, stars, members], ignore_index=True)
-
-    return blocks.groupBy("grp").applyInPandas(match, "ord int, a long, b long, token long, place long")
-
-
-def _within_bounds(pairs: DataFrame) -> DataFrame:
-    """Pairs whose sizes and parity maps allow a link. pairs: da, na, pa, db, nb, pb."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
-            ok = 5 * np.minimum(na, nb) >= 4 * np.maximum(na, nb)
-            most = na + nb - 2 * -(-4 * (na + nb) // 9)  # largest symmetric difference of linked sets
-            pa_, pb_ = batch.column("pa"), batch.column("pb")
-            for k in np.flatnonzero(ok):
-                x, y = (np.frombuffer(c[int(k)].as_buffer(), np.uint8) for c in (pa_, pb_))
-                ok[k] = parity_distance(x, y) <= most[k]
-            yield batch.select(["da", "db"]).filter(pa.array(ok))
+                    held, shared, postings = [], [], 0
+        yield packed()
 
-    return pairs.select("da", "na", "pa", "db", "nb", "pb").mapInArrow(rows, "da binary, db binary")
+    return _texts(docs.where("doc_id is not null")).mapInArrow(rows, "grp int, tokens binary, keys binary, sizes binary")
 
 
-def shingle_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """digest, shingles of the classes in wanted (digest, rep)."""
+def sharing_sets(blocks: DataFrame, buckets: int) -> DataFrame:
+    """key: of sets (among others, should keys clash) that share a token with a set of fitting
+    size. Posting a set twice doesn't make it share."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (b.slice(k, VERIFY_ROWS) for b in batches for k in range(0, b.num_rows, VERIFY_ROWS)):
-            sets = list(shingle_sets(*utf8(part.column("text"))))
-            yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["digest", "shingles"])
+    def match(frame: pd.DataFrame) -> pd.DataFrame:
+        key = np.concatenate([np.frombuffer(x, np.int64) for x in frame["keys"]])
+        if int(frame["grp"].iloc[0]) < buckets:
+            token = np.concatenate([np.frombuffer(x, np.uint32) for x in frame["tokens"]])
+            size = np.concatenate([np.frombuffer(x, np.uint8) for x in frame["sizes"]]).astype(np.int16)
+            at = np.lexsort((key, size, token))
+            token, key, size = token[at], key[at], size[at]
+            new = np.concatenate([[True], (token[1:] != token[:-1]) | (key[1:] != key[:-1])])
+            token, key, size = token[new], key[new], size[new]
+            meets = (token[1:] == token[:-1]) & (size[1:] - size[:-1] <= 2)
+            key = key[np.concatenate([meets, [False]]) | np.concatenate([[False], meets])]
+        return pd.DataFrame({"key": np.unique(key)})
 
-    reps = wanted.select(F.col("rep").alias("doc_id")).distinct()
-    made = _texts(docs).join(reps, "doc_id", "left_semi").mapInArrow(rows, "digest binary, shingles binary")
-    return made.where("digest is not null")
+    return blocks.groupBy("grp").applyInPandas(match, "key long").distinct()
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The linked ones among pairs (da, db), as a, b."""
+def shingle_table(docs: DataFrame, reps: DataFrame, levels: np.ndarray) -> DataFrame:
+    """node, digest, n, shingles and prefixes p0, p1, p2 (one for each order) of the sets of the
+    rows in reps (doc_id, mark)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = np.concatenate([x, y])
-                both.sort()
-                keep.append(int((both[1:] == both[:-1]).sum()) >= needed_overlap(len(x), len(y)))
-            yield pa.RecordBatch.from_arrays([batch.column("da"), batch.column("db")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    a, b = sets.select(F.col("digest").alias("da"), F.col("shingles").alias("sa")), sets.select(F.col("digest").alias("db"), F.col("shingles").alias("sb"))
-    return pairs.join(a, "da").join(b, "db").select("da", "db", "sa", "sb").mapInArrow(rows, "a binary, b binary").distinct()
-
-
-def _sided(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Keys a, b of pairs as classes: da, na, pa, db, nb, pb. Keys that two digests share give
-    both, so no candidate is lost to a collision."""
-    side = lambda s: classes.select(F.col("key").alias(s), F.col("digest").alias("d" + s), F.col("n_shingles").alias("n" + s), F.col("parity").alias("p" + s))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where("da <> db")
-
-
-def star_pairs(matches: DataFrame) -> DataFrame:
-    """a, b of the stars over equal first tokens and over the first order's large groups."""
-    members = matches.where("token is not null and ord = 0").select("token", "a")
-    heart = members.groupBy("token").agg(F.min("a").alias("heart"))
-    wide = members.join(heart, "token").where("a <> heart").select(F.col("heart").alias("a"), F.col("a").alias("b"))
-    return matches.where(F.col("ord") == STAR).select("a", "b").unionAll(wide).distinct()
-
-
-def candidate_pairs(matches: DataFrame) -> DataFrame:
-    """a, b of the pairs that share a posted token under every order."""
-    wild = matches.where("token is not null").groupBy("a").agg(F.bit_or(F.expr("shiftleft(1, ord)")).alias("wild"))
-    pairs = matches.where((F.col("ord") < ORDERS) & F.col("token").isNull()).groupBy("a", "b").agg(F.bit_or(F.expr("shiftleft(1, ord)")).alias("under"))
-    pairs = pairs.where(F.col("under").bitwiseAND(1) == 1)
-    pairs = pairs.join(wild.select("a", F.col("wild").alias("wa")), "a", "left").join(wild.select(F.col("a").alias("b"), F.col("wild").alias("wb")), "b", "left")
-    free = F.coalesce(F.col("wa").bitwiseAND(F.col("wb")), F.lit(0))
-    return pairs.where(F.col("under").bitwiseOR(free) == (1 << ORDERS) - 1).select("a", "b")
-
+        def listed(parts: list[np.ndarray]) -> pa.Array:
+            flat = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
+            return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)), pa.array(flat))
 
-def large_groups(matches: DataFrame, classes: DataFrame) -> DataFrame:
-    """token, place and class of the members of the first order's large groups."""
-    members = matches.where("token is not null and ord = 0").select("token", "place", F.col("a").alias("key"))
-    return members.join(classes.select("key", "digest", "n_shingles", "parity", "rep"), "key").drop("key")
-
-
-def _with_components(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The members with their components so far, and of those the ones outside their token's
-    commonest component, with that as common."""
-    members = members.join(labels.select(F.col("node").alias("digest"), "label"), "digest", "left")
-    members = durable(members.select("token", "place", "digest", "n_shingles", "parity", F.coalesce("label", "rep").alias("comp")), "members")
-    common = members.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max(F.struct("n", "comp"))["comp"].alias("common"))
-    return members, members.join(common, "token").where("comp <> common")
-
-
-def _side(members: DataFrame, s: str) -> DataFrame:
-    return members.select("token", *[F.col(c).alias(n + s) for c, n in (("digest", "d"), ("n_shingles", "n"), ("parity", "p"), ("comp", "c"), ("place", "at"))])
-
-
-# as in pairs_in_groups: sizes that allow a link, and enough after the shared token
+        for batch in batches:
+            sets = [s for s in shingle_sets(*utf8(batch.column("text"))) if len(s)]
+            columns = [listed([prefix(s, levels, k)[0] for s in sets]) for k in range(ORDERS)]
+            yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), listed(sets), *columns], names)
+
+    names = ["digest", "n", "shingles", *(f"p{k}" for k in range(ORDERS))]
+    texts = _texts(docs)
+    near = marked_possible(texts, reps, ["doc_id", "mark"], "near").where("near").dropDuplicates(["doc_id", "mark"])
+    made = near.join(reps, ["doc_id", "mark"], "left_semi").select("text").mapInArrow(rows, "digest binary, n long, shingles array<long>, " + ", ".join(f"p{k} array<long>" for k in range(ORDERS)))
+    return made.select(F.monotonically_increasing_id().alias("node"), *names)
+
+
+def first_stars(sets: DataFrame) -> DataFrame:
+    """a, b: sets whose first tokens under some order are equal, each with the one of least node."""
+    firsts = F.array(*[F.struct(F.lit(k).alias("ord"), F.col(f"p{k}")[0].alias("token")) for k in range(ORDERS)])
+    rows = sets.select("node", F.inline(firsts))
+    hearts = rows.groupBy("ord", "token").agg(F.min("node").alias("heart"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    return rows.join(hearts, ["ord", "token"]).where("node <> heart").select(F.col("heart").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def _sided(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
+    for s in ("b", "a"):
+        pairs = pairs.join(sets.select(F.col("node").alias(s), *[F.col(c).alias(c + s) for c in columns]), s)
+    return pairs
+
+
+def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The linked ones among the pairs (a, b): the orders' filters are intersected, then the
+    sets of what is left."""
+    others = [f"p{k}" for k in range(1, ORDERS)]
+    fits = reduce(lambda x, y: x & y, [F.arrays_overlap(p + "a", p + "b") for p in others], F.expr("5 * least(na, nb) >= 4 * greatest(na, nb)"))
+    candidates = durable(_sided(pairs, sets, ["n", *others]).where(fits).select("a", "b"), "candidates")
+    both = F.size(F.array_intersect("shinglesa", "shinglesb"))
+    found = durable(_sided(candidates, sets, ["n", "shingles"]).where(9 * both >= 4 * (F.col("na") + F.col("nb"))).select("a", "b"), "links")
+    discard(candidates)
+    return found
+
+
+def joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """node, label of every linked node: the components of labels, joined by the links."""
+    if labels is None:
+        nodes = links.select(F.col("a").alias("node")).unionAll(links.select("b")).distinct()
+        return connected_components(nodes.withColumn("label", F.col("node")), links)
+    ends = links
+    for s in ("a", "b"):
+        ends = ends.join(labels.select(F.col("node").alias(s), F.col("label").alias("l" + s)), s, "left")
+    ends = ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b").distinct()
+    ends = durable(ends, "ends")
+    nodes = ends.select(F.col("a").alias("node")).unionAll(ends.select("b")).distinct()
+    over = connected_components(nodes.withColumn("label", F.col("node")), ends)
+    alone = over.select("node", F.col("node").alias("label")).join(labels, "node", "left_anti")
+    moved = over.select(F.col("node").alias("label"), F.col("label").alias("top"))
+    new = durable(labels.unionByName(alone).join(moved, "label", "left").select("node", F.coalesce("top", "label").alias("label")), "labels")
+    for x in (ends, over, labels):
+        discard(x)
+    return new
+
+
+def open_members(sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """token, place, node, n, comp: prefixes under the first order, at tokens that sets of
+    several components share."""
+    known = sets.select("node", "n", "p0").join(labels, "node", "left").select("node", "n", F.coalesce("label", "node").alias("comp"), "p0")
+    rows = known.select("node", "n", "comp", F.posexplode("p0").alias("place", "token"))
+    several = rows.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("token")
+    return durable(rows.join(several, "token"), "open")
+
+
+def token_hearts(members: DataFrame, turn: int) -> DataFrame:
+    """token, sets, most, common, heart: number of sets, those in the token's commonest
+    component, and a set of that component, another one each turn."""
+    first = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("rank"), F.col("node").alias("node")))
+    per_component = members.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"), first.alias("first"))
+    best = F.max(F.struct("n", "comp", F.col("first.node").alias("node"))).alias("best")
+    return per_component.groupBy("token").agg(F.sum("n").alias("sets"), best).select("token", "sets", F.col("best.n").alias("most"), F.col("best.comp").alias("common"), F.col("best.node").alias("heart"))
+
+
+# sizes that allow a link, and enough of both sets after the shared token
 _FITS = "ca <> cb and 5 * least(na, nb) >= 4 * greatest(na, nb) and least(na - ata, nb - atb) >= (4 * (na + nb) + 8) div 9"
 
 
-def more_stars(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """da, na, pa, db, nb, pb: within large groups, sets outside the group's commonest component
-    against one set of it, another one each turn."""
-    members, others = _with_components(members, labels)
-    wanted = others.select("token", F.col("common").alias("comp")).distinct()
-    rank = F.xxhash64("digest", F.lit(turn))
-    heart = members.join(wanted, ["token", "comp"]).groupBy("token", "comp").agg(F.min_by(F.struct("place", "digest", "n_shingles", "parity"), rank).alias("h")).select("token", "comp", "h.*")
-    return _side(others, "a").join(_side(heart, "b"), "token").where(_FITS)
-
-
-def left_over_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """da, na, pa, db, nb, pb: within large groups, sets outside the group's commonest component
-    against all sets of other components."""
-    members, others = _with_components(members, labels)
-    return _side(others, "a").join(_side(members, "b"), "token").where(_FITS)
-
-
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs (da, db) whose sets are in different components so far."""
-    side = lambda d, c: labels.select(F.col("node").alias(d), F.col("label").alias(c))
-    both = pairs.join(side("da", "ca"), "da", "left").join(side("db", "cb"), "db", "left")
-    return both.where("ca is null or cb is null or ca <> cb").select("da", "db")
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("da", "db").alias("da"), F.greatest("da", "db").alias("db")).distinct()
-
-
-def known_roots(links: DataFrame) -> DataFrame:
-    """node, root of linked sets: the partner two steps down of one with the least digest. Sets
-    with one root are in one component (not the other way round)."""
-    up = durable(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up")), "partners")
-    for _ in range(2):
-        above = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        up = up.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("up"))
-    return durable(up.withColumnRenamed("up", "root"), "roots")
-
-
-def settle(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) that join what the pairs can join. Each set is first compared with one
-    partner; pairs that this puts into one component need no comparison. After PICKS such
-    rounds all pairs that are left are compared."""
-    rest, links = pairs, None
-    for k in range(PICKS + 1):
-        picked = rest.groupBy("db").agg(F.min("da").alias("da")).select("da", "db") if k < PICKS else rest
-        with small_batches(pairs.sparkSession, VERIFY_ROWS):
-            new = durable(verified(picked, sets), "links")
-        links = new if links is None else links.unionAll(new)
-        if k == PICKS:
-            break
-        roots = known_roots(links)
-        side = lambda c, r: roots.select(F.col("node").alias(c), F.col("root").alias(r))  # noqa: B023, E731
-        apart = rest.join(picked, ["da", "db"], "left_anti").join(side("da", "ra"), "da", "left").join(side("db", "rb"), "db", "left")
-        rest = durable(apart.where(F.coalesce("ra", "da") != F.coalesce("rb", "db")).select("da", "db"), "pairs")
-        if rest.isEmpty():
-            break
-    return durable(links, "links")
-
-
-def near_duplicates(docs: DataFrame, group: int = GROUP) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs."""
+def left_over_pairs(members: DataFrame, hearts: DataFrame) -> DataFrame:
+    """a, b: at each token, the sets outside its commonest component with all sets of other
+    components, block by block."""
+    dealt = hearts.select("token", "common", F.ceil(F.col("sets") / F.lit(BLOCK_SETS)).cast("int").alias("blocks"))
+    sided = lambda s: [F.col(c).alias(n + s) for c, n in (("node", ""), ("n", "n"), ("comp", "c"), ("place", "at"))]
+    rows = members.join(dealt, "token")
+    left = rows.where("comp <> common").select("token", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), *sided("a"))
+    right = rows.select("token", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), *sided("b"))
+    pairs = left.join(right, ["token", "block"]).where(_FITS)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def components(sets: DataFrame, left: float = LEFT) -> DataFrame | None:
+    """node, label of every linked set; nothing if there is no link."""
+    links = linked(durable(first_stars(sets), "stars"), sets)
+    labels = None if links.isEmpty() else joined(None, links)
+    none = sets.sparkSession.createDataFrame([], "node long, label long")
+    turn = 0
+    while True:
+        members = open_members(sets, none if labels is None else labels)
+        hearts = durable(token_hearts(members, turn), "hearts")
+        size = hearts.agg(F.sum("sets").alias("n"), F.sum(F.expr("double(sets - most) * sets")).alias("pairs")).first()
+        if not size["n"]:
+            return labels
+        last = size["pairs"] <= left * size["n"] or (turn and links.isEmpty())
+        if last:
+            pairs = left_over_pairs(members, hearts)
+        else:
+            others = members.join(hearts.select("token", "common", "heart"), "token").where("comp <> common")
+            pairs = others.select(F.least("node", "heart").alias("a"), F.greatest("node", "heart").alias("b")).distinct()
+        pairs = durable(pairs, "pairs")
+        links = linked(pairs, sets)
+        for x in (members, hearts, pairs):
+            discard(x)
+        if not links.isEmpty():
+            labels = joined(labels, links)
+        if last:
+            return labels
+        turn += 1
+
+
+def near_rows(docs: DataFrame, left: float = LEFT) -> DataFrame:
+    """doc_id, mark (hash of the text), n_shingles, component_id of every row of docs."""
     with small_batches(docs.sparkSession, TEXT_ROWS):
         profiles = durable(set_profiles(docs), "profiles")
-    rows = profiles.where("slice is null").select("doc_id", "n_shingles", "digest", "parity")
-    count = rows.count()
-    buckets = max(1, -(-count * DOC_POSTINGS // BUCKET_POSTINGS))
-    levels = frequency_levels(profiles)
-    with small_batches(docs.sparkSession, TEXT_ROWS):
-        matches = durable(match_blocks(posting_blocks(docs, levels, buckets), buckets, group), "matches")
-    classes = rows.where("digest is not null and doc_id is not null").groupBy("digest", "n_shingles", "parity").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    classes = durable(classes.withColumn("key", _key_column(F.col("digest"))), "classes")
-    stars = durable(_within_bounds(_sided(star_pairs(matches), classes)), "stars")
-    pairs = durable(_within_bounds(_sided(candidate_pairs(matches), classes)), "pairs")
-    members = durable(large_groups(matches, classes), "large-groups")
-    ends = [df.select(F.col(c).alias("digest")) for df in (stars, pairs) for c in ("da", "db")]
-    used = reduce(DataFrame.unionAll, [*ends, members.select("digest")]).distinct()
-    with small_batches(docs.sparkSession, 4 * VERIFY_ROWS):
-        sets = durable(shingle_table(docs, classes.join(used, "digest", "left_semi")).dropDuplicates(["digest"]), "sets")
-    with small_batches(docs.sparkSession, VERIFY_ROWS):
-        links = durable(verified(stars, sets), "links")
-    labels = _labels(classes, links)
-    for turn in range(STAR_ROUNDS):
-        stars = durable(_ordered(_within_bounds(more_stars(members, labels, turn))), "stars")
-        if stars.isEmpty():
-            break
-        with small_batches(docs.sparkSession, VERIFY_ROWS):
-            links = links.unionAll(durable(verified(stars, sets), "links"))
-        labels = _labels(classes, links)
-    rest = durable(_ordered(_apart(pairs, labels).unionAll(_within_bounds(left_over_pairs(members, labels)))), "pairs")
-    if not rest.isEmpty():
-        labels = _labels(classes, links.unionAll(settle(rest, sets)))
-    found = classes.join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("digest", F.coalesce("label", "rep").alias("component_id"), "copies")
-    # Only classes of several rows, or linked ones, change a row's component; copies are spread over SALTS tasks.
-    shared = found.join(classes.select("digest", "rep"), "digest").where("copies > 1 or component_id <> rep").select("digest", "component_id")
-    shared = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    keyed = rows.select("doc_id", "n_shingles", "digest", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    # rows without a set find no class; they are kept apart from the join
-    full = keyed.where("digest is not null").join(shared, ["digest", "salt"], "left")
+        rows = profiles.where("slice is null")
+        count = rows.count()
+        buckets = max(1, -(-count * DOC_POSTINGS // BUCKET_POSTINGS))
+        levels = frequency_levels(profiles)
+        keys = durable(sharing_sets(posting_blocks(docs, levels, buckets), buckets), "sharing")
+    named = rows.where("digest is not null and doc_id is not null")
+    classes = named.groupBy("digest", "key").agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.count(F.lit(1)).alias("copies"))
+    classes = durable(classes.select("digest", "key", "copies", F.col("first.doc_id").alias("rep"), "first.mark"), "classes")
+    reps = durable(classes.join(keys, "key", "left_semi").select(F.col("rep").alias("doc_id"), "mark"), "reps")
+    with small_batches(docs.sparkSession, SET_ROWS):
+        sets = durable(shingle_table(docs, reps, levels), "sets")
+    labels = components(sets, left)
+    shared = classes.where("copies > 1").select("digest", "copies", F.col("rep").alias("component_id"))
+    if labels is not None:
+        member = durable(sets.select("node", "digest").join(labels, "node").join(classes.select("digest", "rep", "copies"), "digest").select("digest", "copies", "label", "rep"), "members")
+        names = durable(member.groupBy("label").agg(F.min("rep").alias("component_id")), "names")
+        found = durable(member.join(names, "label").select("digest", "copies", "component_id"), "found")
+        shared = shared.join(found, "digest", "left_anti").unionByName(found)
+    shared = durable(shared, "shared")
+    for x in (keys, reps, sets):
+        discard(x)
+    # HEAVY classes at most hold that share of the rows each; no key of the other join does
+    heavy = F.col("copies") * HEAVY >= count
+    wide, slim = (shared.where(c).select("digest", "component_id") for c in (heavy, ~heavy))
+    wanted = rows.select("doc_id", "mark", "n_shingles", "digest")
+    full = wanted.where("digest is not null").join(F.broadcast(wide), "digest", "left")
+    rest = full.where("component_id is null").drop("component_id").join(slim, "digest", "left").select(full.columns)
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return full.select("doc_id", "n_shingles", own.alias("component_id")).unionAll(keyed.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    every = full.where("component_id is not null").unionAll(rest).select("doc_id", "mark", "n_shingles", own.alias("component_id"))
+    return every.unionAll(wanted.where("digest is null").select("doc_id", "mark", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-def first_of_groups(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group of near duplicates, the one with the smallest doc_id.
-    Rows without shingles or doc_id stay."""
-    found = near_duplicates(docs)
-    gone = durable(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_id"], "left_anti")
-
-
-def _key_column(digest):
-    """The first eight bytes as a little-endian signed integer, as _key has it."""
-    swapped = reduce(F.concat, [F.substring(F.hex(digest), 2 * k + 1, 2) for k in range(7, -1, -1)])
-    high, low = (F.conv(F.substring(swapped, s, 8), 16, 10).cast("long") for s in (1, 9))
-    return F.shiftleft(high, 32).bitwiseOR(low)
+def near_duplicates(docs: DataFrame, left: float = LEFT) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs."""
+    return near_rows(docs, left).drop("mark")
 
 
-def _labels(classes: DataFrame, links: DataFrame) -> DataFrame:
-    links = durable(links, "links")
-    linked = links.select(F.col("a").alias("digest")).unionAll(links.select(F.col("b").alias("digest"))).distinct()
-    nodes = classes.join(linked, "digest", "left_semi").select(F.col("digest").alias("node"), F.col("rep").alias("label"))
-    return connected_components(nodes, links)
+def first_of_groups(docs: DataFrame) -> DataFrame:
+    """docs with one document of each group of near duplicates, the one with the smallest
+    doc_id. Rows without shingles or doc_id stay; so do rows that share a doc_id with a near
+    copy but have another text. Rows that repeat both doc_id and text stay or go together."""
+    gone = durable(near_rows(docs).where("component_id <> doc_id").select("doc_id", "mark").distinct(), "gone")
+    return without(docs, gone)
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows that gone (doc_id, mark) names. Only rows that may be meant are
+    shuffled."""
+    *names, flag = fresh(docs, "doc_id", "mark", "flag")
+    keyed = docs.select("*", F.col("doc_id").cast("long").alias(names[0]), F.xxhash64(F.col("text").cast("string")).alias(names[1]))
+    gone = gone.toDF(*names)
+    keyed = marked_possible(keyed, gone, names, flag)
+    kept = keyed.where(flag).join(gone, names, "left_anti").select(docs.columns)
+    return kept.unionAll(keyed.where(~F.col(flag)).select(docs.columns))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

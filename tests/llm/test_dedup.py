@@ -82,10 +82,10 @@ def near_texts():
     return texts
 
 
-@pytest.mark.parametrize("group", [3, 64])
-def test_near_duplicates_match_brute_force(spark, group):
+@pytest.mark.parametrize("left", [0.0, 1e9])
+def test_near_duplicates_match_brute_force(spark, left):
     texts = near_texts()
-    got = {r["doc_id"]: r for r in jaccard_join.near_duplicates(table(spark, texts), group).collect()}
+    got = {r["doc_id"]: r for r in jaccard_join.near_duplicates(table(spark, texts), left).collect()}
     sizes, components = near_brute(texts)
     assert [got[k]["n_shingles"] for k in range(len(texts))] == sizes
     assert [got[k]["component_id"] for k in range(len(texts))] == components
@@ -97,13 +97,20 @@ def test_near_duplicates_of_nothing(spark):
     assert sorted((r["doc_id"] is None, r["component_id"]) for r in rows if r["doc_id"]) == [(False, 4)]
 
 
-def test_parity_bound_never_exceeds_the_difference():
-    rng = np.random.default_rng(1)
-    for n in (10, 900, 5000):
-        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
-        b = np.unique(np.concatenate([a[: int(n * 0.9)], rng.integers(0, 1 << 63, n // 5, dtype=np.uint64)]))
-        apart = jaccard_join.parity_distance(*(np.frombuffer(jaccard_join._parity(x), np.uint8) for x in (a, b)))
-        assert apart <= len(np.setxor1d(a, b))
+def test_first_of_groups_keeps_other_texts_of_a_doc_id(spark):
+    x, y = long_text(1, 50), long_text(2, 50)
+    docs = table(spark, [x, x, y, None, None], [1, 2, 2, 3, None]).withColumnRenamed("spans", "_doc_id").withColumnRenamed("recipe", "mark")
+    kept = jaccard_join.first_of_groups(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == sorted([(1, x), (2, y), (3, ""), (0, "")])
+
+
+def test_frequency_levels_add_up_in_steps(spark, monkeypatch):
+    docs = table(spark, near_texts()).repartition(5)
+    profiles = jaccard_join.set_profiles(docs).cache()
+    once = jaccard_join.frequency_levels(profiles)
+    monkeypatch.setattr(jaccard_join, "FAN", 2)
+    assert (jaccard_join.frequency_levels(profiles) == once).all()
 
 
 def removed(texts):
