@@ -64,5 +64,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         if new.where("label <> was").isEmpty():
             discard(both)
             discard(owners)
-            return new
+            found = new.select("node", "label")
+            found.durable_path = new.durable_path
+            return found
         now = new
