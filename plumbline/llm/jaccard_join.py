@@ -17,11 +17,12 @@ link when their sets' Jaccard similarity is 0.8 or more, compared in whole numbe
    order, what follows the shared token must be enough for a link in both sets, as it is
    after the first token that linked sets share.
 5. Pairs are made between components only. Stars come first: the sets whose first tokens
-   under some order are equal meet one of them; then, token by token, the sets outside the
-   token's commonest component meet one set of it, another one each turn. A turn has a pair
-   for each posting at most. When what is left is no more than LEFT pairs a posting, or a
-   turn joined nothing, all pairs between components that still share a token are compared.
-   A token's sets are dealt into blocks for that, so a hot token is many tasks.
+   under some order are equal meet one of them. Then a token with more than LEFT sets outside
+   its commonest component lets them meet one set of it, another one each turn. A token with
+   fewer is settled: those sets meet all sets of other components there. When what is left
+   would make no more than LEFT pairs for each posting there was, or a turn joined nothing,
+   all tokens are settled. A token's sets are dealt into blocks for that, so a hot token is
+   many tasks.
 6. Each turn's links join the components found so far; a component is named by its
    smallest doc_id in the end.
 
@@ -63,8 +64,9 @@ DOC_POSTINGS = 96  # typical, to set the number of buckets
 HELD_POSTINGS = 1 << 18
 SEEN_KEPT = 1 << 17
 LEVEL_STEP = 1.25
-LEFT = 1.0
+LEFT = 16
 BLOCK_SETS = 256
+FEW = 64
 TEXT_ROWS = 2048
 SET_ROWS = 512
 HEAVY = 1000
@@ -147,41 +149,37 @@ def prefix(shingles: np.ndarray, levels: np.ndarray, order: int) -> tuple[np.nda
 
 
 def posting_blocks(docs: DataFrame, levels: np.ndarray, buckets: int) -> DataFrame:
-    """Packed postings of the first order: by token bucket (grp) tokens' low halves, keys of
-    their sets and sizes on a scale of steps of 1.25. A set with a frequent token in its
+    """Packed postings of the first order: by token bucket (grp) tokens' low halves, their
+    places in the order, keys and sizes of their sets. A set with a frequent token in its
     prefix is posted by its key alone (grp of the key, above the buckets). A task posts a set
     once, however many copies it reads (it remembers SEEN_KEPT sets)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        held: list[tuple[int, int, np.ndarray]] = []
+        held: list[tuple[int, int, np.ndarray, np.ndarray]] = []
         shared: list[int] = []
         postings = 0
 
         def packed() -> pa.RecordBatch:
-            grp, tokens, keys, sizes = [], [], [], []
+            out: list[list] = [[], [], [], [], []]
             if held:
-                token = np.concatenate([t for _, _, t in held])
-                lengths = [len(t) for _, _, t in held]
-                key = np.repeat(np.array([k for k, _, _ in held], np.int64), lengths)
-                size = np.repeat(np.array([s for _, s, _ in held], np.uint8), lengths)
+                token, place = (np.concatenate([h[k] for h in held]) for k in (2, 3))
+                lengths = [len(h[2]) for h in held]
+                key = np.repeat(np.array([h[0] for h in held], np.int64), lengths)
+                size = np.repeat(np.array([h[1] for h in held], np.int32), lengths)
                 bucket = ((token >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
                 at = np.lexsort((token, bucket))
                 ends = np.searchsorted(bucket[at], np.arange(buckets + 1))
                 for b in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
                     k = at[ends[b] : ends[b + 1]]
-                    grp.append(b)
-                    tokens.append(token[k].astype(np.uint32).tobytes())
-                    keys.append(key[k].tobytes())
-                    sizes.append(size[k].tobytes())
+                    for c, v in zip(out, (b, token[k].astype(np.uint32).tobytes(), place[k].tobytes(), key[k].tobytes(), size[k].tobytes()), strict=True):
+                        c.append(v)
             if shared:
                 key = np.array(shared, np.int64)
                 for b in np.unique(key % buckets).tolist():
-                    grp.append(buckets + b)
-                    tokens.append(b"")
-                    keys.append(key[key % buckets == b].tobytes())
-                    sizes.append(b"")
-            return pa.RecordBatch.from_arrays([pa.array(grp, pa.int32()), *(pa.array(c, pa.binary()) for c in (tokens, keys, sizes))], ["grp", "tokens", "keys", "sizes"])
+                    for c, v in zip(out, (buckets + b, b"", b"", key[key % buckets == b].tobytes(), b""), strict=True):
+                        c.append(v)
+            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], ["grp", "tokens", "places", "keys", "sizes"])
 
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
@@ -195,31 +193,52 @@ def posting_blocks(docs: DataFrame, levels: np.ndarray, buckets: int) -> DataFra
                 if frequent.any():
                     shared.append(key)
                 if not frequent.all():
-                    held.append((key, int(np.log(len(s)) / np.log(1.25)), tokens[~frequent]))
+                    # a place beyond the type's range counts as an earlier one, which keeps more sets
+                    place = np.minimum(np.flatnonzero(~frequent), 65_535).astype(np.uint16)
+                    held.append((key, len(s), tokens[~frequent], place))
                     postings += len(tokens)
                 if postings + len(shared) > HELD_POSTINGS:
                     yield packed()
                     held, shared, postings = [], [], 0
         yield packed()
 
-    return _texts(docs.where("doc_id is not null")).mapInArrow(rows, "grp int, tokens binary, keys binary, sizes binary")
+    return _texts(docs.where("doc_id is not null")).mapInArrow(rows, "grp int, tokens binary, places binary, keys binary, sizes binary")
+
+
+def needed_overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least intersection of linked sets of sizes a and b."""
+    return -(-4 * (a + b) // 9)
+
+
+def sharing(token: np.ndarray, place: np.ndarray, size: np.ndarray, most: int = FEW) -> np.ndarray:
+    """Postings, sorted by token and size, of sets that can link with another one that holds
+    the token: by their sizes, and by what follows the token. At tokens of more than `most`
+    postings all count."""
+    edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]])) if len(token) else np.zeros(1, np.int64)
+    count = np.diff(edge)
+    out, last = np.repeat(count > most, count), np.repeat(edge[1:], count)
+    at = np.flatnonzero(~out)
+    for lag in range(1, most):
+        at = at[at + lag < last[at]]
+        to = at + lag
+        fits = (5 * size[at] >= 4 * size[to]) & (np.minimum(size[at] - place[at], size[to] - place[to]) >= needed_overlap(size[at], size[to]))
+        out[at[fits]] = out[to[fits]] = True
+    return out
 
 
 def sharing_sets(blocks: DataFrame, buckets: int) -> DataFrame:
-    """key: of sets (among others, should keys clash) that share a token with a set of fitting
-    size. Posting a set twice doesn't make it share."""
+    """key: of sets (among others, should keys clash) that share a token with a set that they
+    can link with. Posting a set twice doesn't make it share."""
 
     def match(frame: pd.DataFrame) -> pd.DataFrame:
         key = np.concatenate([np.frombuffer(x, np.int64) for x in frame["keys"]])
         if int(frame["grp"].iloc[0]) < buckets:
-            token = np.concatenate([np.frombuffer(x, np.uint32) for x in frame["tokens"]])
-            size = np.concatenate([np.frombuffer(x, np.uint8) for x in frame["sizes"]]).astype(np.int16)
-            at = np.lexsort((key, size, token))
-            token, key, size = token[at], key[at], size[at]
+            token, place, size = (np.concatenate([np.frombuffer(x, kind) for x in frame[c]]) for c, kind in (("tokens", np.uint32), ("places", np.uint16), ("sizes", np.int32)))
+            at = np.lexsort((place, key, size, token))
+            token, key = token[at], key[at]
             new = np.concatenate([[True], (token[1:] != token[:-1]) | (key[1:] != key[:-1])])
-            token, key, size = token[new], key[new], size[new]
-            meets = (token[1:] == token[:-1]) & (size[1:] - size[:-1] <= 2)
-            key = key[np.concatenate([meets, [False]]) | np.concatenate([[False], meets])]
+            at = at[new]
+            key = key[new][sharing(token[new], place[at].astype(np.int64), size[at].astype(np.int64))]
         return pd.DataFrame({"key": np.unique(key)})
 
     return blocks.groupBy("grp").applyInPandas(match, "key long").distinct()
@@ -230,25 +249,26 @@ def shingle_table(docs: DataFrame, reps: DataFrame, levels: np.ndarray) -> DataF
     rows in reps (doc_id, mark)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def listed(parts: list[np.ndarray]) -> pa.Array:
-            flat = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
+        def listed(parts: list[np.ndarray], kind: type = np.int64) -> pa.Array:
+            flat = (np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)).astype(kind)
             return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)), pa.array(flat))
 
         for batch in batches:
             sets = [s for s in shingle_sets(*utf8(batch.column("text"))) if len(s)]
-            columns = [listed([prefix(s, levels, k)[0] for s in sets]) for k in range(ORDERS)]
+            # the other orders only filter, for which half a token does
+            columns = [listed([prefix(s, levels, k)[0] for s in sets], np.int32 if k else np.int64) for k in range(ORDERS)]
             yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), listed(sets), *columns], names)
 
     names = ["digest", "n", "shingles", *(f"p{k}" for k in range(ORDERS))]
     texts = _texts(docs)
     near = marked_possible(texts, reps, ["doc_id", "mark"], "near").where("near").dropDuplicates(["doc_id", "mark"])
-    made = near.join(reps, ["doc_id", "mark"], "left_semi").select("text").mapInArrow(rows, "digest binary, n long, shingles array<long>, " + ", ".join(f"p{k} array<long>" for k in range(ORDERS)))
+    made = near.join(reps, ["doc_id", "mark"], "left_semi").select("text").mapInArrow(rows, "digest binary, n long, shingles array<long>, " + ", ".join(f"p{k} array<{'int' if k else 'long'}>" for k in range(ORDERS)))
     return made.select(F.monotonically_increasing_id().alias("node"), *names)
 
 
 def first_stars(sets: DataFrame) -> DataFrame:
     """a, b: sets whose first tokens under some order are equal, each with the one of least node."""
-    firsts = F.array(*[F.struct(F.lit(k).alias("ord"), F.col(f"p{k}")[0].alias("token")) for k in range(ORDERS)])
+    firsts = F.array(*[F.struct(F.lit(k).alias("ord"), F.col(f"p{k}")[0].cast("long").alias("token")) for k in range(ORDERS)])
     rows = sets.select("node", F.inline(firsts))
     hearts = rows.groupBy("ord", "token").agg(F.min("node").alias("heart"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
     return rows.join(hearts, ["ord", "token"]).where("node <> heart").select(F.col("heart").alias("a"), F.col("node").alias("b")).distinct()
@@ -301,6 +321,12 @@ def open_members(sets: DataFrame, labels: DataFrame) -> DataFrame:
     return durable(rows.join(several, "token"), "open")
 
 
+def still_open(members: DataFrame, tokens: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of the tokens, in the components of now."""
+    rows = members.join(tokens.select("token"), "token", "left_semi").join(labels, "node", "left")
+    return durable(rows.select("token", "place", "node", "n", F.coalesce("label", "comp").alias("comp")), "open")
+
+
 def token_hearts(members: DataFrame, turn: int) -> DataFrame:
     """token, sets, most, common, heart: number of sets, those in the token's commonest
     component, and a set of that component, another one each turn."""
@@ -314,48 +340,64 @@ def token_hearts(members: DataFrame, turn: int) -> DataFrame:
 _FITS = "ca <> cb and 5 * least(na, nb) >= 4 * greatest(na, nb) and least(na - ata, nb - atb) >= (4 * (na + nb) + 8) div 9"
 
 
+def _member(s: str) -> list:
+    return [F.col(c).alias(n + s) for c, n in (("node", ""), ("n", "n"), ("comp", "c"), ("place", "at"))]
+
+
+def _fitting(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    pairs = left.join(right, on).where(_FITS)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def star_pairs(members: DataFrame, hearts: DataFrame) -> DataFrame:
+    """a, b: at each token, the sets outside its commonest component with one set of it."""
+    at_heart = members.join(hearts.select("token", F.col("heart").alias("node")), ["token", "node"])
+    others = members.join(hearts.select("token", "common"), "token").where("comp <> common")
+    return _fitting(others.select("token", *_member("a")), at_heart.select("token", *_member("b")), ["token"])
+
+
 def left_over_pairs(members: DataFrame, hearts: DataFrame) -> DataFrame:
     """a, b: at each token, the sets outside its commonest component with all sets of other
     components, block by block."""
     dealt = hearts.select("token", "common", F.ceil(F.col("sets") / F.lit(BLOCK_SETS)).cast("int").alias("blocks"))
-    sided = lambda s: [F.col(c).alias(n + s) for c, n in (("node", ""), ("n", "n"), ("comp", "c"), ("place", "at"))]
     rows = members.join(dealt, "token")
-    left = rows.where("comp <> common").select("token", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), *sided("a"))
-    right = rows.select("token", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), *sided("b"))
-    pairs = left.join(right, ["token", "block"]).where(_FITS)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left = rows.where("comp <> common").select("token", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), *_member("a"))
+    right = rows.select("token", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), *_member("b"))
+    return _fitting(left, right, ["token", "block"])
 
 
-def components(sets: DataFrame, left: float = LEFT) -> DataFrame | None:
+def components(sets: DataFrame, left: int = LEFT) -> DataFrame | None:
     """node, label of every linked set; nothing if there is no link."""
     links = linked(durable(first_stars(sets), "stars"), sets)
-    labels = None if links.isEmpty() else joined(None, links)
     none = sets.sparkSession.createDataFrame([], "node long, label long")
-    turn = 0
+    labels = None if links.isEmpty() else joined(None, links)
+    members, turn, postings = open_members(sets, none if labels is None else labels), 0, 0
     while True:
-        members = open_members(sets, none if labels is None else labels)
-        hearts = durable(token_hearts(members, turn), "hearts")
-        size = hearts.agg(F.sum("sets").alias("n"), F.sum(F.expr("double(sets - most) * sets")).alias("pairs")).first()
-        if not size["n"]:
+        hearts = durable(token_hearts(members, turn).where("sets > most"), "hearts")
+        outside = F.col("sets") - F.col("most")
+        size = hearts.agg(F.count(F.lit(1)).alias("all"), F.sum("sets").alias("sets"), F.sum(F.when(outside > left, outside.cast("double") * F.col("sets"))).alias("pairs")).first()
+        if not size["all"]:
             return labels
-        last = size["pairs"] <= left * size["n"] or (turn and links.isEmpty())
-        if last:
-            pairs = left_over_pairs(members, hearts)
-        else:
-            others = members.join(hearts.select("token", "common", "heart"), "token").where("comp <> common")
-            pairs = others.select(F.least("node", "heart").alias("a"), F.greatest("node", "heart").alias("b")).distinct()
-        pairs = durable(pairs, "pairs")
+        postings = postings or size["sets"]
+        # stars end with a turn that joined nothing, or when all pairs are few enough
+        stars = (not turn or not links.isEmpty()) and (size["pairs"] or 0) > left * postings
+        wide = outside > left if stars else F.lit(False)
+        pairs = [left_over_pairs(members, hearts.where(~wide))]
+        if stars:
+            pairs.append(star_pairs(members, hearts.where(wide)))
+        pairs = durable(reduce(DataFrame.unionAll, pairs).distinct(), "pairs")
         links = linked(pairs, sets)
-        for x in (members, hearts, pairs):
-            discard(x)
         if not links.isEmpty():
             labels = joined(labels, links)
-        if last:
+        if not stars:
             return labels
+        before, members = members, still_open(members, hearts.where(wide), none if labels is None else labels)
+        for x in (before, hearts, pairs):
+            discard(x)
         turn += 1
 
 
-def near_rows(docs: DataFrame, left: float = LEFT) -> DataFrame:
+def near_rows(docs: DataFrame, left: int = LEFT) -> DataFrame:
     """doc_id, mark (hash of the text), n_shingles, component_id of every row of docs."""
     with small_batches(docs.sparkSession, TEXT_ROWS):
         profiles = durable(set_profiles(docs), "profiles")
@@ -391,7 +433,7 @@ def near_rows(docs: DataFrame, left: float = LEFT) -> DataFrame:
     return every.unionAll(wanted.where("digest is null").select("doc_id", "mark", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-def near_duplicates(docs: DataFrame, left: float = LEFT) -> DataFrame:
+def near_duplicates(docs: DataFrame, left: int = LEFT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs."""
     return near_rows(docs, left).drop("mark")
 

@@ -79,10 +79,15 @@ def near_texts():
     passage = " ".join(long_text(5, 30).split())
     texts += [long_text(50 + k, 60) + " " + passage for k in range(12)]
     texts += [" ".join(base)] * 5
+    w = long_text(11, 200).split()
+    for k in range(12):  # a chain: each links with the next ones only
+        for at in range(16 * k, 16 * k + 12, 6):
+            w[at] = f"step{k}{at}"
+        texts.append(" ".join(w))
     return texts
 
 
-@pytest.mark.parametrize("left", [0.0, 1e9])
+@pytest.mark.parametrize("left", [0.001, 16])
 def test_near_duplicates_match_brute_force(spark, left):
     texts = near_texts()
     got = {r["doc_id"]: r for r in jaccard_join.near_duplicates(table(spark, texts), left).collect()}
