@@ -8,21 +8,21 @@ link when their sets' Jaccard similarity is 0.8 or more, compared in whole numbe
    frequency. ORDERS global token orders sort by level, rare ones first, and within a level
    by a hash of their own, so each order is another permutation.
 3. Under every order, the prefix of a set of n shingles is its first n - ceil(0.8 n) + 1.
-   Linked sets share a prefix token under each order. Sets that share none with a set of
-   fitting size under the first order are done; only the others' texts are read again.
-   For this, packed postings travel by token; tokens that the sketch calls frequent are
-   shared anyway and aren't posted, so no task gathers the postings of a hot token.
+   Linked sets share a prefix token under each order, and their first COMMON common tokens
+   if the prefixes are longer by so many. Sets that don't meet sets of fitting size in so
+   many tokens under the first order are done; only the others' texts are read again. For
+   this, packed postings travel by token; tokens that the sketch calls frequent are shared
+   anyway and aren't posted, so no task gathers the postings of a hot token.
 4. A candidate shares prefix tokens under every order: pairs from the first order are
    intersected with the other orders' filters before the sets are compared. Under the first
    order, what follows the shared token must be enough for a link in both sets, as it is
    after the first token that linked sets share.
 5. Pairs are made between components only. Stars come first: the sets whose first tokens
-   under some order are equal meet one of them. Then a token with more than LEFT sets outside
-   its commonest component lets them meet one set of it, another one each turn. A token with
-   fewer is settled: those sets meet all sets of other components there. When what is left
-   would make no more than LEFT pairs for each posting there was, or a turn joined nothing,
-   all tokens are settled. A token's sets are dealt into blocks for that, so a hot token is
-   many tasks.
+   under some order are equal meet one of them. Then the sets outside a token's commonest
+   component meet HEARTS sets of it, others each turn, where meeting all would make many
+   pairs (SETTLED * LEFT); else they meet all sets of other components there. When all the
+   rest makes no more than LEFT pairs a set, or a turn joined nothing, all tokens are settled
+   so. A token's sets are dealt into blocks for that, so a hot token is many tasks.
 6. Each turn's links join the components found so far; a component is named by its
    smallest doc_id in the end.
 
@@ -65,6 +65,9 @@ HELD_POSTINGS = 1 << 18
 SEEN_KEPT = 1 << 17
 LEVEL_STEP = 1.25
 LEFT = 16
+SETTLED = 16
+HEARTS = 4
+COMMON = 8
 BLOCK_SETS = 256
 FEW = 64
 TEXT_ROWS = 2048
@@ -137,10 +140,11 @@ def frequency_levels(profiles: DataFrame) -> np.ndarray:
     return levels + np.where(counts >= HOT_TIMES * mean + HOT_LEAST, HOT_LEVEL, 0).astype(np.uint8)
 
 
-def prefix(shingles: np.ndarray, levels: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The prefix of a set under an order, first tokens first, and which of them are frequent."""
+def prefix(shingles: np.ndarray, levels: np.ndarray, order: int, common: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """The prefix of a set under an order, first tokens first, and which of them are frequent.
+    Linked sets have their first `common` common tokens (if they have so many) in prefixes."""
     n = len(shingles)
-    take = n - -(-4 * n // 5) + 1
+    take = min(n, n - -(-4 * n // 5) + common)
     level = levels[(shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
     rank = ((level & np.uint8(63)).astype(np.uint64) << np.uint64(58)) | (mix64(shingles + np.uint64(0x632BE59BD9B4E019 * (order + 1) % (1 << 64))) >> np.uint64(6))
     first = np.argpartition(rank, take - 1)[:take] if take < n else np.arange(n)
@@ -150,14 +154,14 @@ def prefix(shingles: np.ndarray, levels: np.ndarray, order: int) -> tuple[np.nda
 
 def posting_blocks(docs: DataFrame, levels: np.ndarray, buckets: int) -> DataFrame:
     """Packed postings of the first order: by token bucket (grp) tokens' low halves, their
-    places in the order, keys and sizes of their sets. A set with a frequent token in its
-    prefix is posted by its key alone (grp of the key, above the buckets). A task posts a set
+    places in the order, keys and sizes of their sets. Frequent tokens are only counted (keys
+    and numbers, grp of the key, above the buckets). A task posts a set
     once, however many copies it reads (it remembers SEEN_KEPT sets)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         held: list[tuple[int, int, np.ndarray, np.ndarray]] = []
-        shared: list[int] = []
+        shared: list[tuple[int, int]] = []
         postings = 0
 
         def packed() -> pa.RecordBatch:
@@ -175,9 +179,10 @@ def posting_blocks(docs: DataFrame, levels: np.ndarray, buckets: int) -> DataFra
                     for c, v in zip(out, (b, token[k].astype(np.uint32).tobytes(), place[k].tobytes(), key[k].tobytes(), size[k].tobytes()), strict=True):
                         c.append(v)
             if shared:
-                key = np.array(shared, np.int64)
+                key, many = np.array([k for k, _ in shared], np.int64), np.array([n for _, n in shared], np.int32)
                 for b in np.unique(key % buckets).tolist():
-                    for c, v in zip(out, (buckets + b, b"", b"", key[key % buckets == b].tobytes(), b""), strict=True):
+                    own = key % buckets == b
+                    for c, v in zip(out, (buckets + b, b"", b"", key[own].tobytes(), many[own].tobytes()), strict=True):
                         c.append(v)
             return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], ["grp", "tokens", "places", "keys", "sizes"])
 
@@ -189,9 +194,9 @@ def posting_blocks(docs: DataFrame, levels: np.ndarray, buckets: int) -> DataFra
                 if len(seen) >= SEEN_KEPT:
                     seen.clear()
                 seen.add(key)
-                tokens, frequent = prefix(s, levels, 0)
+                tokens, frequent = prefix(s, levels, 0, COMMON)
                 if frequent.any():
-                    shared.append(key)
+                    shared.append((key, int(frequent.sum())))
                 if not frequent.all():
                     # a place beyond the type's range counts as an earlier one, which keeps more sets
                     place = np.minimum(np.flatnonzero(~frequent), 65_535).astype(np.uint16)
@@ -212,8 +217,8 @@ def needed_overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def sharing(token: np.ndarray, place: np.ndarray, size: np.ndarray, most: int = FEW) -> np.ndarray:
     """Postings, sorted by token and size, of sets that can link with another one that holds
-    the token: by their sizes, and by what follows the token. At tokens of more than `most`
-    postings all count."""
+    the token: by their sizes, and by what follows the token, the COMMON-th common one at the
+    latest. At tokens of more than `most` postings all count."""
     edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]])) if len(token) else np.zeros(1, np.int64)
     count = np.diff(edge)
     out, last = np.repeat(count > most, count), np.repeat(edge[1:], count)
@@ -221,27 +226,29 @@ def sharing(token: np.ndarray, place: np.ndarray, size: np.ndarray, most: int =
     for lag in range(1, most):
         at = at[at + lag < last[at]]
         to = at + lag
-        fits = (5 * size[at] >= 4 * size[to]) & (np.minimum(size[at] - place[at], size[to] - place[to]) >= needed_overlap(size[at], size[to]))
+        fits = (5 * size[at] >= 4 * size[to]) & (np.minimum(size[at] - place[at], size[to] - place[to]) > needed_overlap(size[at], size[to]) - COMMON)
         out[at[fits]] = out[to[fits]] = True
     return out
 
 
 def sharing_sets(blocks: DataFrame, buckets: int) -> DataFrame:
-    """key: of sets (among others, should keys clash) that share a token with a set that they
-    can link with. Posting a set twice doesn't make it share."""
+    """key, shared: in how many prefix tokens a set meets sets that it can link with. Posting a
+    set twice doesn't make it meet."""
 
     def match(frame: pd.DataFrame) -> pd.DataFrame:
         key = np.concatenate([np.frombuffer(x, np.int64) for x in frame["keys"]])
-        if int(frame["grp"].iloc[0]) < buckets:
-            token, place, size = (np.concatenate([np.frombuffer(x, kind) for x in frame[c]]) for c, kind in (("tokens", np.uint32), ("places", np.uint16), ("sizes", np.int32)))
-            at = np.lexsort((place, key, size, token))
-            token, key = token[at], key[at]
-            new = np.concatenate([[True], (token[1:] != token[:-1]) | (key[1:] != key[:-1])])
-            at = at[new]
-            key = key[new][sharing(token[new], place[at].astype(np.int64), size[at].astype(np.int64))]
-        return pd.DataFrame({"key": np.unique(key)})
+        size = np.concatenate([np.frombuffer(x, np.int32) for x in frame["sizes"]]).astype(np.int64)
+        if int(frame["grp"].iloc[0]) >= buckets:  # numbers of frequent tokens
+            return pd.DataFrame({"key": key, "shared": size}).drop_duplicates("key")
+        token, place = (np.concatenate([np.frombuffer(x, kind) for x in frame[c]]) for c, kind in (("tokens", np.uint32), ("places", np.uint16)))
+        at = np.lexsort((place, key, size, token))
+        token, key = token[at], key[at]
+        new = np.concatenate([[True], (token[1:] != token[:-1]) | (key[1:] != key[:-1])])
+        at = at[new]
+        key, shared = np.unique(key[new][sharing(token[new], place[at].astype(np.int64), size[at])], return_counts=True)
+        return pd.DataFrame({"key": key, "shared": shared})
 
-    return blocks.groupBy("grp").applyInPandas(match, "key long").distinct()
+    return blocks.groupBy("grp").applyInPandas(match, "key long, shared long").groupBy("key").agg(F.sum("shared").alias("shared"))
 
 
 def shingle_table(docs: DataFrame, reps: DataFrame, levels: np.ndarray) -> DataFrame:
@@ -287,7 +294,9 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     fits = reduce(lambda x, y: x & y, [F.arrays_overlap(p + "a", p + "b") for p in others], F.expr("5 * least(na, nb) >= 4 * greatest(na, nb)"))
     candidates = durable(_sided(pairs, sets, ["n", *others]).where(fits).select("a", "b"), "candidates")
     both = F.size(F.array_intersect("shinglesa", "shinglesb"))
-    found = durable(_sided(candidates, sets, ["n", "shingles"]).where(9 * both >= 4 * (F.col("na") + F.col("nb"))).select("a", "b"), "links")
+    ends = candidates.select(F.col("a").alias("node")).unionAll(candidates.select("b"))
+    named = marked_possible(sets.select("node", "n", "shingles"), ends, ["node"], "named").where("named")
+    found = durable(_sided(candidates, named, ["n", "shingles"]).where(9 * both >= 4 * (F.col("na") + F.col("nb"))).select("a", "b"), "links")
     discard(candidates)
     return found
 
@@ -328,12 +337,12 @@ def still_open(members: DataFrame, tokens: DataFrame, labels: DataFrame) -> Data
 
 
 def token_hearts(members: DataFrame, turn: int) -> DataFrame:
-    """token, sets, most, common, heart: number of sets, those in the token's commonest
-    component, and a set of that component, another one each turn."""
-    first = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("rank"), F.col("node").alias("node")))
-    per_component = members.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"), first.alias("first"))
-    best = F.max(F.struct("n", "comp", F.col("first.node").alias("node"))).alias("best")
-    return per_component.groupBy("token").agg(F.sum("n").alias("sets"), best).select("token", "sets", F.col("best.n").alias("most"), F.col("best.comp").alias("common"), F.col("best.node").alias("heart"))
+    """token, sets, most, common, hearts: number of sets, those in the token's commonest
+    component, and HEARTS sets of that component, others each turn."""
+    first = [F.min(F.struct(F.xxhash64("node", F.lit(turn * HEARTS + k)).alias("rank"), F.col("node").alias("node"))).alias(f"h{k}") for k in range(HEARTS)]
+    per_component = members.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"), *first)
+    best = F.max(F.struct("n", "comp", F.array_distinct(F.array(*[F.col(f"h{k}.node") for k in range(HEARTS)])).alias("nodes"))).alias("best")
+    return per_component.groupBy("token").agg(F.sum("n").alias("sets"), best).select("token", "sets", F.col("best.n").alias("most"), F.col("best.comp").alias("common"), F.col("best.nodes").alias("hearts"))
 
 
 # sizes that allow a link, and enough of both sets after the shared token
@@ -350,8 +359,8 @@ def _fitting(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
 
 
 def star_pairs(members: DataFrame, hearts: DataFrame) -> DataFrame:
-    """a, b: at each token, the sets outside its commonest component with one set of it."""
-    at_heart = members.join(hearts.select("token", F.col("heart").alias("node")), ["token", "node"])
+    """a, b: at each token, the sets outside its commonest component with the hearts of it."""
+    at_heart = members.join(hearts.select("token", F.explode("hearts").alias("node")), ["token", "node"])
     others = members.join(hearts.select("token", "common"), "token").where("comp <> common")
     return _fitting(others.select("token", *_member("a")), at_heart.select("token", *_member("b")), ["token"])
 
@@ -371,17 +380,17 @@ def components(sets: DataFrame, left: int = LEFT) -> DataFrame | None:
     links = linked(durable(first_stars(sets), "stars"), sets)
     none = sets.sparkSession.createDataFrame([], "node long, label long")
     labels = None if links.isEmpty() else joined(None, links)
-    members, turn, postings = open_members(sets, none if labels is None else labels), 0, 0
+    members, turn = open_members(sets, none if labels is None else labels), 0
+    enough = left * sets.count()
     while True:
         hearts = durable(token_hearts(members, turn).where("sets > most"), "hearts")
-        outside = F.col("sets") - F.col("most")
-        size = hearts.agg(F.count(F.lit(1)).alias("all"), F.sum("sets").alias("sets"), F.sum(F.when(outside > left, outside.cast("double") * F.col("sets"))).alias("pairs")).first()
+        made = (F.col("sets") - F.col("most")).cast("double") * F.col("sets")
+        size = hearts.agg(F.count(F.lit(1)).alias("all"), F.sum(F.when(made > SETTLED * left, made)).alias("pairs")).first()
         if not size["all"]:
             return labels
-        postings = postings or size["sets"]
         # stars end with a turn that joined nothing, or when all pairs are few enough
-        stars = (not turn or not links.isEmpty()) and (size["pairs"] or 0) > left * postings
-        wide = outside > left if stars else F.lit(False)
+        stars = (not turn or not links.isEmpty()) and (size["pairs"] or 0) > enough
+        wide = made > SETTLED * left if stars else F.lit(False)
         pairs = [left_over_pairs(members, hearts.where(~wide))]
         if stars:
             pairs.append(star_pairs(members, hearts.where(wide)))
@@ -407,9 +416,11 @@ def near_rows(docs: DataFrame, left: int = LEFT) -> DataFrame:
         levels = frequency_levels(profiles)
         keys = durable(sharing_sets(posting_blocks(docs, levels, buckets), buckets), "sharing")
     named = rows.where("digest is not null and doc_id is not null")
-    classes = named.groupBy("digest", "key").agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.count(F.lit(1)).alias("copies"))
-    classes = durable(classes.select("digest", "key", "copies", F.col("first.doc_id").alias("rep"), "first.mark"), "classes")
-    reps = durable(classes.join(keys, "key", "left_semi").select(F.col("rep").alias("doc_id"), "mark"), "reps")
+    classes = named.groupBy("digest", "key", "n_shingles").agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.count(F.lit(1)).alias("copies"))
+    classes = durable(classes.select("digest", "key", "n_shingles", "copies", F.col("first.doc_id").alias("rep"), "first.mark"), "classes")
+    # a partner has 0.8 n shingles at least, 0.8 of which are common at least
+    met = classes.join(keys, "key").where(F.col("shared") >= F.least(F.lit(COMMON), F.ceil(0.64 * F.col("n_shingles"))))
+    reps = durable(met.select(F.col("rep").alias("doc_id"), "mark"), "reps")
     with small_batches(docs.sparkSession, SET_ROWS):
         sets = durable(shingle_table(docs, reps, levels), "sets")
     labels = components(sets, left)
