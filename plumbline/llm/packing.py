@@ -4,7 +4,9 @@ Documents become pieces of at most CAPACITY tokens. Pieces are dealt at random i
 groups of a few thousand; each group is packed by best fit in falling order of length,
 then improved: documents move, or change places one for one or two for one, between
 underfull sequences wherever that raises the sum of squared fills, until no exchange
-helps; sequences that empty are gone. What is left in underfull sequences of all groups
+helps (or for SWEEPS sweeps; a sequence tries the RECEIVERS fullest others, and pairs of its
+documents if it has PAIRED at most: bounds on a search that gets by without them on text);
+sequences that empty are gone. What is left in underfull sequences of all groups
 is dealt into fewer groups and packed again, as long as that at least halves the rest.
 No group's size depends on the number of documents, so none outgrows a task.
 
@@ -25,45 +27,120 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.buffers import documents, durable, utf8
+from plumbline.llm.buffers import byte_table, documents, durable, mix64, utf8
+from plumbline.llm.ngrams import slabs
+from plumbline.llm.shingles import power_tables
 
 CAPACITY = 2048
 GROUP = 4096
 END_ID = 0
+END = END_ID.to_bytes(4, "little")
 RECEIVERS = 32
 SWEEPS = 8
+PAIRED = 24
 WORDS_KEPT = 400_000
 VOCABULARY = "word_bpe_49k.json"
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class WordIds(dict):
-    """Token ids of white-space separated words, as little-endian 32-bit integers. The
-    vocabulary's tokens never cross white space, so a text's ids are its words' ids; nor do
-    they cross from a letter to a full stop or comma, so a word's stop is looked up apart.
-    Words are kept in two generations, the older of which goes when the younger is full."""
+class WordIds:
+    """Token ids of texts by way of their words. The vocabulary's tokens never cross white
+    space, so a text's ids are its words' ids; nor do they cross from a letter to a mark (but
+    for the apostrophe), where a word is cut in two, so that there are fewer words. Each slab's distinct words are
+    looked up once, by 64-bit hash, in sorted columns that start anew at WORDS_KEPT words."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.normalizers import Sequence
 
-        super().__init__()
-        self.older: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.older.get(word)
-        if ids is None:
-            if len(word) > 1 and word[-1] in b".,;:!?" and word[-2:-1].isalpha():
-                ids = self[word[:-1]] + self[word[-1:]]
-            else:
-                ids = np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= 64:
-            if len(self) >= WORDS_KEPT:
-                self.older = dict(self)
-                self.clear()
-            self[word] = ids
-        return ids
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = Sequence([])
+        special = {k: t.content for k, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
+        if special:
+            self.mark = min(special.values())
+            self.marks, self.ends = np.zeros((2, 1 + max(self.tokenizer.get_vocab().values())), bool)
+            self.marks[[k for k, t in special.items() if t == self.mark]] = True
+            self.ends[[k for t, k in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self._clear()
+
+    def _clear(self) -> None:
+        self.hash, self.first, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _apart(self, tokenizer, text: str, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a text and the places after those that end a word."""
+        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+        return ids, np.flatnonzero(last[ids]) + 1
+
+    def _learn(self, at: np.ndarray, hashes: np.ndarray, raw: list[bytes]) -> None:
+        """Insert new words (hashes ascending) at their places in the columns. They are encoded
+        in two texts. In that of plain words, of small Latin letters alone, each is one run
+        that ends with a token marked so; in the other a special token stands after each."""
+        words = [w.decode("utf-8", "replace") for w in raw]
+        plain = np.array([w.isalpha() and max(w) < "\u0250" and w == w.lower() for w in words], bool)
+        count, first = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        for own, tokenizer, mark, last, tail in ((plain, self.plain, " ", self.ends, 0), (~plain, self.tokenizer, self.mark, self.marks, 1)):
+            text = "".join([words[k] + mark for k in np.flatnonzero(own).tolist()])
+            ids, ends = self._apart(tokenizer, text, last)
+            if len(ends) != own.sum():
+                raise ValueError("this vocabulary doesn't keep words apart")
+            count[own] = np.diff(np.concatenate([[0], ends])) - tail
+            first[own] = len(self.ids) + ends - tail - count[own]
+            self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
+        self.hash = np.insert(self.hash, at, hashes)
+        self.first = np.insert(self.first, at, first)
+        self.count = np.insert(self.count, at, count)
+
+    def slab(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, end to end, and where each text's begin."""
+        start, end, text = words_of(data, offsets)
+        h = span_hashes(data, start, end)
+        distinct, example, which = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.hash) > WORDS_KEPT:
+            self._clear()
+        at = np.searchsorted(self.hash, distinct)
+        new = np.append(self.hash, np.uint64(0))[at] != distinct if len(self.hash) else np.ones(len(distinct), bool)
+        new |= at == len(self.hash)
+        if new.any():
+            raw = data.tobytes()
+            self._learn(at[new], distinct[new], [raw[start[k] : end[k]] for k in example[new].tolist()])
+            at = np.searchsorted(self.hash, distinct)
+        count = self.count[at][which]
+        ends = np.cumsum(count)
+        ids = self.ids[np.repeat(self.first[at][which] - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)]
+        begin = np.concatenate([[0], ends])[np.searchsorted(text, np.arange(len(offsets)))]
+        return ids, begin
+
+
+_STOPS = np.isin(np.arange(256), np.frombuffer(b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~', np.uint8))
+_LETTERS = np.isin(np.arange(256), np.concatenate([np.arange(65, 91), np.arange(97, 123)]))
+_BLANKS = np.isin(np.arange(256), np.array([9, 10, 11, 12, 13, 32]))
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text of each word in texts that lie end to end."""
+    cut = np.zeros(len(data) + 1, bool)  # a word begins or ends before this byte
+    cut[offsets] = True
+    blank = _BLANKS[data]
+    cut[1:-1] |= blank[1:] != blank[:-1]
+    cut[1:-1] |= _STOPS[data[1:]] & _LETTERS[data[:-1]]
+    edge = np.flatnonzero(cut)
+    start, end = edge[:-1], edge[1:]
+    word = ~blank[start] if len(start) else np.zeros(0, bool)
+    start, end = start[word], end[word]
+    return start, end, np.searchsorted(offsets, start, "right") - 1
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    up, down = power_tables(len(data))
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(byte_table(67)[data] * up[: len(data)], out=total[1:])
+    return mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
 
 @lru_cache(maxsize=2)
@@ -73,10 +150,20 @@ def word_ids(vocabulary: str) -> WordIds:
     return WordIds(vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary))
 
 
-def token_bytes(text: bytes, words: WordIds) -> bytes:
-    # The vocabulary folds case; folding ASCII here makes fewer words. Special tokens tell case apart.
-    folded = text if b"<|" in text else text.lower()
-    return b"".join([words[w] for w in folded.split()]) + END_ID.to_bytes(4, "little")
+def text_ids(data: np.ndarray, offsets: np.ndarray, words: WordIds, by_words: bool) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, each text's ids with the end id, as little-endian 32-bit integers) of runs
+    of texts."""
+    for at, part, ends in slabs(data, offsets, block=1 << 20):
+        raw = part.tobytes()
+        if by_words and b"<|" not in raw:  # special tokens cross white space and tell case apart
+            # the vocabulary folds case; folding ASCII here makes fewer words
+            ids, begin = words.slab(np.frombuffer(raw.lower(), np.uint8), ends)
+        else:
+            lists = [words.encode(raw[a:b].decode("utf-8", "replace")) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            begin = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+            ids = np.array([x for one in lists for x in one], np.uint32)
+        stored = ids.astype("<u4").tobytes()
+        yield at, [stored[4 * a : 4 * b] + END for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
 
 
 def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
@@ -84,16 +171,19 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACI
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(vocabulary)
+        # known to hold for this vocabulary; texts are encoded whole with others
+        by_words = vocabulary.rsplit("/", 1)[-1] == VOCABULARY
         step = 4 * capacity
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             cols: list[list] = [[], [], [], [], [], []]
-            for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                ids = token_bytes(data[a:b].tobytes(), words)
-                for k, at in enumerate(range(0, len(ids), step)):
-                    part = ids[at : at + step]
-                    for c, v in zip(cols, (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), part), strict=True):
-                        c.append(v)
+            doc_ids = batch.column("doc_id").to_pylist()
+            for row, texts in text_ids(data, offsets, words, by_words):
+                for doc_id, ids in zip(doc_ids[row:], texts, strict=False):
+                    for k, at in enumerate(range(0, len(ids), step)):
+                        part = ids[at : at + step]
+                        for c, v in zip(cols, (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), part), strict=True):
+                            c.append(v)
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: 5 + keep_ids]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=False)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + keep_ids])
 
@@ -128,7 +218,7 @@ def _exchange(a: list[int], b: list[int], lengths: list[int], gap: int, least: i
     `gap`) from bin a to bin b: what leaves a, what leaves b, tokens carried."""
     best: tuple[list[int], list[int], int] | None = None
     offers = [([i], lengths[i]) for i in a]
-    if len(a) <= 24:
+    if len(a) <= PAIRED:
         offers += [([i, j], lengths[i] + lengths[j]) for k, i in enumerate(a) for j in a[k + 1 :]]
     returns = [([], 0)] + [([i], lengths[i]) for i in b]
     for out, n in offers:
@@ -190,7 +280,8 @@ def _pack_groups(rows: DataFrame, groups: int, level: int, capacity: int) -> Dat
 
     kinds = dict(rows.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in names) + ", sequence_id long, offset long, fill long"
-    keyed = rows.select(*names, F.pmod(F.xxhash64("doc_id", "piece", F.lit(level)), F.lit(groups)).alias("pack_group"))
+    # dealt by a number of the row: rows may repeat a doc_id, or have none
+    keyed = rows.select(*names, F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(level)), F.lit(groups)).alias("pack_group"))
     return keyed.groupBy("pack_group").applyInPandas(pack, schema)
 
 

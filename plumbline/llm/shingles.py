@@ -24,7 +24,7 @@ def _powers(n: int, base: np.uint64) -> np.ndarray:
 _cache: dict[str, np.ndarray] = {}
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_cache.get("up", ())) <= n:
         _cache["up"], _cache["down"] = _powers(n, _BASE), _powers(n, _INVERSE)
     return _cache["up"], _cache["down"]
@@ -38,7 +38,7 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     blank = (data == 32) | ((data >= 9) & (data <= 13))
     edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).view(np.int8)))
     start, end = edge[::2], edge[1::2]
-    up, down = _power_tables(len(data))
+    up, down = power_tables(len(data))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(table[data] * up[: len(data)], out=total[1:])
     return start, mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _ODD)
