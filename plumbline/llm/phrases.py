@@ -50,7 +50,7 @@ class Parser:
     """Parses a run of texts (together at most a few megabytes, or one long text)."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        self.offsets = offsets
+        self.data, self.offsets = data, offsets
         n = len(data)
         up, self.down = _powers(n)
         self.sums = np.zeros(n + 1, np.uint64)

@@ -4,20 +4,23 @@ Every byte that a DEPTH-byte string covers which also starts earlier in the corp
 doc_id, then place) is removed; strings never cross documents and are judged on the input.
 
 Texts are parsed at rolling-hash triggers (see phrases), so equal passages give equal
-phrases. The dictionary holds the distinct phrases, the parse their order in the texts:
-
-1. Phrases travel in packed blocks, dealt by trigger. All but the first occurrence of a
-   phrase are repeats as a whole; long repeats end here.
-2. Where a trigger leads into different phrases, their suffixes decide: the phrases' own
-   DEPTH-byte strings are put in order next to each other, and all but the first of equal
-   ones are repeats. Only these phrases' texts are read again.
+phrases. The dictionary holds the distinct phrases, the parse their places in the texts:
+
+1. The parse travels in packed blocks, dealt by trigger, with the phrases' fingerprints. All
+   but the first occurrence of a phrase are repeats as a whole; long repeats end here.
+2. Where a trigger leads into different phrases, these are the dictionary: their texts are
+   read again and dealt by trigger, each phrase once. A task builds the suffix array of its
+   range of the dictionary by prefix doubling, to DEPTH bytes, and combines it with the
+   parse: strings in alphabetical order, equal ones in the order of their phrases' places.
+   That is the corpus order of these strings, as a phrase holds all DEPTH bytes that follow
+   each of its strings. In a run of equal strings all but the first are repeats.
 3. Triggers with very many phrases (a common line between ever different neighbours) would
    land in one task. A sample of the documents finds them; their strings are dealt one by
    one, by fingerprint, and each task sends the first of equal ones only. Which triggers
    are treated so changes the work, never the result.
 
-Only equality to depth DEPTH matters, so suffixes are ordered by fingerprint (of 80 bits or
-more) and not by alphabet, and no array over the whole corpus is built.
+Suffixes of phrases that are alone with their trigger can't equal others, so they are never
+sorted, and no array over the whole corpus is built. Fingerprints have 80 bits or more.
 
 Edge cases: null counts as empty; texts shorter than DEPTH lose nothing. Rows with a null
 doc_id have no place in the order: they lose nothing and are no source. Rows that repeat a
@@ -41,8 +44,8 @@ from plumbline.llm.ngrams import slabs
 from plumbline.llm.phrases import DEPTH, Parser
 
 BLOCK_PHRASES = 1 << 19
-BUCKET_PHRASES = 1 << 21
-BUCKET_STRINGS = 1 << 22
+BUCKET_PHRASES = 1 << 20
+BUCKET_BYTES = 1 << 21
 DOC_PHRASES = 110  # typical, to set the number of buckets
 SAMPLE_STEP = 64
 HOT_IN_SAMPLE = 64
@@ -51,7 +54,7 @@ SPREAD = 16
 
 BLOCKS = "grp int, docs binary, runs binary, head binary, mark binary, start binary, strings binary"
 NAMES = ["grp", "docs", "runs", "head", "mark", "start", "strings"]
-SPANS = "doc_id long, kind int, spans binary"
+SPANS = "doc_id long, kind int, one int, two int"
 COVER, REQUEST = 0, 1
 
 
@@ -99,11 +102,13 @@ def _by_bucket(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarr
 
 
 def _spans(doc: np.ndarray, kind: int, one: np.ndarray, two: np.ndarray) -> pd.DataFrame:
-    """A row for each document with its pairs, packed."""
-    at = np.lexsort((one, doc))
-    doc, pairs = doc[at], np.column_stack([one[at], two[at]]).astype(np.uint32)
-    edge = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]])) if len(doc) else np.zeros(1, np.int64)
-    return pd.DataFrame({"doc_id": doc[edge[:-1]], "kind": np.int32(kind), "spans": [pairs[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]})
+    return pd.DataFrame({"doc_id": doc.astype(np.int64), "kind": np.int32(kind), "one": one.astype(np.int32), "two": two.astype(np.int32)})
+
+
+def _listed(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of pairs, and the pairs, of a column of lists of pairs; null has none."""
+    values = column.flatten()
+    return column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), *(values.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
 
 
 def united(one: np.ndarray, two: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -161,7 +166,7 @@ def hot_triggers(docs: DataFrame) -> np.ndarray:
 
 def phrase_blocks(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
     """Blocks of phrases (grp below buckets), of hot triggers' strings (the SPREAD groups per
-    bucket above) and of places already known as repeats (the SPREAD last groups)."""
+    bucket above) and of places already known as repeats (as many groups above those)."""
 
     def flush(parts: list[tuple], hots: list[tuple], salt: int) -> pa.RecordBatch:
         rows, known = [], []
@@ -191,7 +196,7 @@ def phrase_blocks(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
                 rows.append((buckets + b, *_runs(doc[k]), None, mark[k].tobytes(), start[k].astype(np.uint32).tobytes(), None))
         one, two, doc = united(*(np.concatenate(c) for c in zip(*((s, e, d) for d, s, e in known), strict=True))) if known else (np.zeros(0),) * 3
         if len(doc):
-            rows.append((buckets + SPREAD * buckets + salt % SPREAD, *_runs(doc), None, None, one.astype(np.uint32).tobytes(), two.astype(np.uint32).tobytes()))
+            rows.append(((1 + SPREAD + salt % SPREAD) * buckets + salt // SPREAD % buckets, *_runs(doc), None, None, one.astype(np.uint32).tobytes(), two.astype(np.uint32).tobytes()))
         return _batch(rows)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,50 +254,60 @@ def repeats(blocks: DataFrame, buckets: int) -> DataFrame:
     return blocks.groupBy("grp").applyInPandas(solve, SPANS)
 
 
-def string_blocks(texts: DataFrame, buckets: int) -> DataFrame:
-    """Blocks of the strings of requested phrases. texts: doc_id, text, asked (list of packed
-    pairs)."""
+def dictionary_blocks(texts: DataFrame, buckets: int) -> DataFrame:
+    """Blocks of the dictionary: the requested phrases' bytes (mark), first places (start) and
+    numbers of strings, by trigger. texts: doc_id, text, asked (list of pairs)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            asked = batch.column("asked")
+            asked, one, two = _listed(batch.column("asked"))
+            upto = np.concatenate([[0], np.cumsum(asked)])
             base = 0
             for ids, parser, ends in _parsed(batch):
                 n = len(ids)
-                pairs = [np.frombuffer(b"".join(x.as_buffer().to_pybytes() for x in asked[base + k].values), np.uint32).reshape(-1, 2).astype(np.int64) for k in range(n)]
+                row = np.repeat(np.arange(n), asked[base : base + n])
+                start, count = (x[upto[base] : upto[base + n]] for x in (one, two))
                 base += n
-                row = np.repeat(np.arange(n), [len(p) for p in pairs])
-                pair = np.concatenate(pairs)
-                start, count = pair[:, 0], pair[:, 1]
                 # rows that repeat a doc_id with another text may be asked for places they don't have
                 fits = start + ends[row] + count - 1 + DEPTH <= ends[row + 1]
                 row, start, count = row[fits], start[fits], count[fits]
-                place, gram, mark = parser.strings(start + ends[row], count)
-                if not len(place):
+                if not len(row):
                     continue
-                begin = np.concatenate([[0], np.cumsum(count)[:-1]])
-                trigger = gram[begin]
+                begin, length = start + ends[row], count - 1 + DEPTH
+                trigger = parser.gram[parser.anchor[begin]]
                 out = []
                 for b, k in _by_bucket(((trigger >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), buckets):
-                    inside = np.repeat(begin[k] - np.concatenate([[0], np.cumsum(count[k])[:-1]]), count[k]) + np.arange(count[k].sum())
-                    out.append((b, *_runs(ids[row[k]]), trigger[k].astype(np.uint32).tobytes(), _six(mark[inside]), start[k].astype(np.uint32).tobytes(), count[k].astype(np.uint8).tobytes()))
+                    inside = np.repeat(begin[k] - np.concatenate([[0], np.cumsum(length[k])[:-1]]), length[k]) + np.arange(length[k].sum())
+                    out.append((b, *_runs(ids[row[k]]), None, parser.data[inside].tobytes(), start[k].astype(np.uint32).tobytes(), count[k].astype(np.uint8).tobytes()))
                 yield _batch(out)
 
     return texts.mapInArrow(rows, BLOCKS)
 
 
-def string_repeats(blocks: DataFrame) -> DataFrame:
+def suffix_ranks(data: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """Of each place of data the rank of the `depth` bytes there in alphabetical order, equal
+    for equal ones, by prefix doubling. Bytes beyond the end count as zeros."""
+    padded = np.concatenate([data, np.zeros(depth + 8, np.uint8)])
+    rank, known = padded.astype(np.int64), 1
+    while known < depth:
+        step = min(known, depth - known)
+        pair = (rank[:-step] << 32) | rank[step:]
+        rank, known = np.unique(pair, return_inverse=True)[1].astype(np.int64), known + step
+    return rank[: len(data)]
+
+
+def suffix_repeats(blocks: DataFrame) -> DataFrame:
     """Places of strings that start earlier too, among the strings of requested phrases."""
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
         count = _column(frame, "strings", np.uint8).astype(np.int64)
         doc = np.repeat(_docs(frame), count)
-        head = np.repeat(_column(frame, "head", np.uint32), count).astype(np.uint64)
-        begin = _column(frame, "start", np.uint32).astype(np.int64)
-        start = np.repeat(begin - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        key = np.concatenate([_unsix(x) for x in frame["mark"]]) | (head << np.uint64(48))
-        at = np.lexsort((start, doc, key))
-        again = at[_later(_new(key[at]), doc[at], start[at])]
+        before = lambda n: np.cumsum(n) - n
+        inside = np.arange(count.sum()) - np.repeat(before(count), count)
+        start = np.repeat(_column(frame, "start", np.uint32).astype(np.int64), count) + inside
+        rank = suffix_ranks(_column(frame, "mark", np.uint8))[np.repeat(before(count - 1 + DEPTH), count) + inside]
+        at = np.lexsort((start, doc, rank))
+        again = at[_later(_new(rank[at]), doc[at], start[at])]
         one, two, doc = united(start[again], start[again] + DEPTH, doc[again])
         return _spans(doc, COVER, one, two)
 
@@ -306,13 +321,14 @@ def cut_out(texts: DataFrame, keep_bytes: bool = False) -> DataFrame:
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_bytes
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            covers = batch.column("covers")
+            many, first, last = _listed(batch.column("covers"))
+            upto = np.concatenate([[0], np.cumsum(many)])
             out: list[list] = [[] for _ in names[1:]]
             for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
                 text, removed, spans = data[a:b], 0, 0
-                if covers[k].is_valid and len(covers[k].values):
-                    pair = np.frombuffer(b"".join(x.as_buffer().to_pybytes() for x in covers[k].values), np.uint32).reshape(-1, 2)
-                    one, two, _ = united(np.minimum(pair[:, 0], b - a), np.minimum(pair[:, 1], b - a), np.zeros(len(pair), np.int8))
+                if many[k]:
+                    own = slice(upto[k], upto[k + 1])
+                    one, two, _ = united(np.minimum(first[own], b - a), np.minimum(last[own], b - a), np.zeros(many[k], np.int8))
                     stay = np.ones(b - a, bool)
                     for i, j in zip(one.tolist(), two.tolist(), strict=True):
                         stay[i:j] = False
@@ -334,15 +350,16 @@ def passage_dedup(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
     buckets = max(1, -(-texts.count() * DOC_PHRASES // BUCKET_PHRASES))
     found = durable(repeats(phrase_blocks(placed, hot_triggers(placed), buckets), buckets), "repeats")
     asked = found.where(F.col("kind") == REQUEST)
-    strings = 64 * (asked.agg(F.sum(F.length("spans"))).first()[0] or 0) // 8
-    covers = found.where(F.col("kind") == COVER).select("doc_id", "spans")
-    if strings:
-        wanted = asked.groupBy("doc_id").agg(F.collect_list("spans").alias("asked"))
-        blocks = string_blocks(placed.join(wanted, "doc_id").select("doc_id", "text", "asked"), -(-strings // BUCKET_STRINGS))
-        covers = covers.unionAll(string_repeats(blocks).select("doc_id", "spans"))
-    per_doc = covers.groupBy("doc_id").agg(F.collect_list("spans").alias("covers"))
+    size = asked.agg(F.sum(F.col("two") - 1 + DEPTH)).first()[0]
+    covers = found.where(F.col("kind") == COVER).select("doc_id", "one", "two")
+    pairs = F.collect_list(F.struct("one", "two"))
+    if size:
+        wanted = asked.groupBy("doc_id").agg(pairs.alias("asked"))
+        blocks = dictionary_blocks(placed.join(wanted, "doc_id").select("doc_id", "text", "asked"), -(-size // BUCKET_BYTES))
+        covers = covers.unionAll(suffix_repeats(blocks).select("doc_id", "one", "two"))
+    per_doc = covers.groupBy("doc_id").agg(pairs.alias("covers"))
     out = cut_out(placed.join(per_doc, "doc_id", "left").select("doc_id", "text", "covers"), keep_bytes)
-    rest = texts.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("covers"))
+    rest = texts.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<struct<one: int, two: int>>").alias("covers"))
     return out.unionAll(cut_out(rest, keep_bytes))
 
 

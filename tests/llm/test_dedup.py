@@ -150,6 +150,15 @@ def test_passages_match_brute_force(spark, monkeypatch, hot):
     assert hashlib.sha256(got[6]["kept"]).hexdigest() == want[6][3]
 
 
+def test_suffix_ranks_are_alphabetical():
+    data = np.frombuffer(b"banana bandana band ban" * 9, np.uint8)
+    for depth in (1, 3, 8, 100):
+        strings = [bytes(data[k : k + depth]).ljust(depth, b"\0") for k in range(len(data))]
+        order = {t: k for k, t in enumerate(sorted(set(strings)))}
+        rank = suffix_dedup.suffix_ranks(data, depth)
+        assert [order[t] for t in strings] == np.unique(rank, return_inverse=True)[1].tolist()
+
+
 def test_passages_of_nothing(spark):
     assert suffix_dedup.passage_dedup(table(spark, ["a"]).limit(0)).count() == 0
     text = long_text(1, 60)
