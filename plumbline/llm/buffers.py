@@ -9,12 +9,12 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators.components import discard, durable, shared_dir
 
-__all__ = ["BLOCK", "byte_table", "discard", "documents", "durable", "fresh", "gear_hash", "marked_possible", "mix64", "shared_dir", "small_batches", "utf8"]
+__all__ = ["BLOCK", "byte_table", "discard", "documents", "durable", "fresh", "gear_hash", "marked_possible", "mix64", "shared_dir", "small_batches", "utf8", "without"]
 
 BLOCK = 1 << 21
 SIEVE_BITS = 1 << 23
@@ -63,6 +63,18 @@ def marked_possible(df: DataFrame, keys: DataFrame, columns: list[str], flag: st
     return rows.join(F.broadcast(bitmap), bucket, "left").withColumn(flag, F.coalesce(found, F.lit(False))).select(*df.columns, flag)
 
 
+def without(docs: DataFrame, gone: DataFrame, mark: Column) -> DataFrame:
+    """docs without the rows that gone (doc_id, mark) names; mark: what it has of a text. Only
+    rows that may be meant are shuffled."""
+    own_id, own_mark, gone_id, gone_mark, flag = fresh(docs, "doc_id", "mark", "gone_id", "gone_mark", "flag")
+    keyed = docs.select("*", F.col("doc_id").cast("long").alias(own_id), mark.alias(own_mark))
+    keyed = marked_possible(keyed, gone.toDF(own_id, own_mark), [own_id, own_mark], flag)
+    gone = gone.toDF(gone_id, gone_mark)
+    meant = F.col(own_id).eqNullSafe(F.col(gone_id)) & (F.col(own_mark) == F.col(gone_mark))
+    kept = keyed.where(flag).join(gone, meant, "left_anti").select(docs.columns)
+    return kept.unionAll(keyed.where(~F.col(flag)).select(docs.columns))
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null counts as empty. Row i is
     bytes[offsets[i]:offsets[i + 1]]."""

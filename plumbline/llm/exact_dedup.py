@@ -23,14 +23,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.buffers import BLOCK, byte_table, documents, durable, gear_hash, utf8
+from plumbline.llm.buffers import BLOCK, byte_table, documents, durable, gear_hash, utf8, without
 
 WINDOW_DOUBLINGS = 4
 MIN_CHUNK, MEAN_BITS, MAX_CHUNK = 256, 10, 8192
-SALTS = 16
+HEAVY = 1000
 SEEDS = 8
 
 RECIPE_SCHEMA = "doc_id long, n_bytes long, text_sha256 string, recipe binary"
@@ -133,10 +133,13 @@ def exact_groups(docs: DataFrame, width: int = 16, seeds: int = SEEDS) -> DataFr
     """doc_id, keep_id, group_size, kept, text_sha256, one row per row of docs."""
     recipes = durable(chunk_recipes(docs, verified_seed(docs, width, seeds), width), "recipes")
     groups = recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
-    # Copies are dealt over SALTS tasks: the third of all rows that one recipe may hold is not one task's.
-    salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    keyed = recipes.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    joined = keyed.join(salted, ["recipe", "salt"], "left")
+    # HEAVY groups at most hold that share of the rows each: they are broadcast, and no key of
+    # the other join holds more.
+    groups, count = durable(groups, "groups"), recipes.count()
+    heavy = F.col("group_size") * HEAVY >= count
+    first = recipes.join(F.broadcast(groups.where(heavy)), "recipe", "left")
+    rest = first.where("group_size is null").drop("keep_id", "group_size").join(groups.where(~heavy), "recipe", "left")
+    joined = first.where("group_size is not null").unionByName(rest)
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return joined.select(
         "doc_id",
@@ -147,20 +150,23 @@ def exact_groups(docs: DataFrame, width: int = 16, seeds: int = SEEDS) -> DataFr
     )
 
 
+def _sha256(text: Column) -> Column:
+    return F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
+
+
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of equal texts: the one with the largest doc_id, and of
     rows that repeat both doc_id and text one."""
-    marks = durable(exact_groups(docs).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_text"), "kept", "group_size"), "verdicts")
-    gone = durable(marks.where("not kept").select("_id", "_text"), "gone")
-    again = marks.where("kept and group_size > 1").groupBy("_id", "_text").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_id", "_text")
-    again = durable(again, "repeated")
-    text = F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256)
-    same = lambda t: docs["doc_id"].cast("long").eqNullSafe(t["_id"]) & (text == t["_text"])
-    kept = docs.join(gone, same(gone), "left_anti")
-    if again.isEmpty():
+    marks = durable(exact_groups(docs).select("doc_id", F.col("text_sha256").alias("mark"), "kept", "group_size"), "verdicts")
+    repeated = marks.where("kept and group_size > 1").groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "mark")
+    repeated = durable(repeated, "repeated")
+    gone = durable(marks.where("not kept").select("doc_id", "mark").unionAll(repeated), "gone")
+    kept = without(docs, gone, _sha256(F.col("text")))
+    if repeated.isEmpty():
         return kept
-    once = docs.join(again, same(again), "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(again, same(again), "left_anti").unionAll(once)
+    same = docs["doc_id"].cast("long").eqNullSafe(repeated["doc_id"]) & (_sha256(docs["text"]) == repeated["mark"])
+    once = docs.join(repeated, same, "left_semi")
+    return kept.unionAll(once.dropDuplicates(["doc_id", "text"]))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

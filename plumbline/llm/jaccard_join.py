@@ -49,7 +49,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.buffers import discard, documents, durable, fresh, marked_possible, mix64, small_batches, utf8
+from plumbline.llm.buffers import discard, documents, durable, marked_possible, mix64, small_batches, utf8, without
 from plumbline.llm.shingles import shingle_sets
 from plumbline.operators.components import connected_components
 
@@ -454,18 +454,7 @@ def first_of_groups(docs: DataFrame) -> DataFrame:
     doc_id. Rows without shingles or doc_id stay; so do rows that share a doc_id with a near
     copy but have another text. Rows that repeat both doc_id and text stay or go together."""
     gone = durable(near_rows(docs).where("component_id <> doc_id").select("doc_id", "mark").distinct(), "gone")
-    return without(docs, gone)
-
-
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the rows that gone (doc_id, mark) names. Only rows that may be meant are
-    shuffled."""
-    *names, flag = fresh(docs, "doc_id", "mark", "flag")
-    keyed = docs.select("*", F.col("doc_id").cast("long").alias(names[0]), F.xxhash64(F.col("text").cast("string")).alias(names[1]))
-    gone = gone.toDF(*names)
-    keyed = marked_possible(keyed, gone, names, flag)
-    kept = keyed.where(flag).join(gone, names, "left_anti").select(docs.columns)
-    return kept.unionAll(keyed.where(~F.col(flag)).select(docs.columns))
+    return without(docs, gone, F.xxhash64(F.col("text").cast("string")))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
