@@ -21,8 +21,8 @@ link when their sets' Jaccard similarity is 0.8 or more, compared in whole numbe
    under some order are equal meet one of them. Then the sets outside a token's commonest
    component meet HEARTS sets of it, others each turn, where meeting all would make many
    pairs (SETTLED * LEFT); else they meet all sets of other components there. When all the
-   rest makes no more than LEFT pairs a set, or a turn joined nothing, all tokens are settled
-   so. A token's sets are dealt into blocks for that, so a hot token is many tasks.
+   rest makes no more than LEFT pairs a set, or less than a quarter of a turn's pairs were
+   links, all tokens are settled so. A token's sets are dealt into blocks for that, so a hot token is many tasks.
 6. Each turn's links join the components found so far; a component is named by its
    smallest doc_id in the end.
 
@@ -287,15 +287,20 @@ def _sided(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
     return pairs
 
 
+def _named(sets: DataFrame, pairs: DataFrame, columns: list[str]) -> DataFrame:
+    """The sets that may be in a pair."""
+    ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b"))
+    return marked_possible(sets.select("node", *columns), ends, ["node"], "named").where("named").drop("named")
+
+
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The linked ones among the pairs (a, b): the orders' filters are intersected, then the
     sets of what is left."""
     others = [f"p{k}" for k in range(1, ORDERS)]
     fits = reduce(lambda x, y: x & y, [F.arrays_overlap(p + "a", p + "b") for p in others], F.expr("5 * least(na, nb) >= 4 * greatest(na, nb)"))
-    candidates = durable(_sided(pairs, sets, ["n", *others]).where(fits).select("a", "b"), "candidates")
+    candidates = durable(_sided(pairs, _named(sets, pairs, ["n", *others]), ["n", *others]).where(fits).select("a", "b"), "candidates")
     both = F.size(F.array_intersect("shinglesa", "shinglesb"))
-    ends = candidates.select(F.col("a").alias("node")).unionAll(candidates.select("b"))
-    named = marked_possible(sets.select("node", "n", "shingles"), ends, ["node"], "named").where("named")
+    named = _named(sets, candidates, ["n", "shingles"])
     found = durable(_sided(candidates, named, ["n", "shingles"]).where(9 * both >= 4 * (F.col("na") + F.col("nb"))).select("a", "b"), "links")
     discard(candidates)
     return found
@@ -381,22 +386,24 @@ def components(sets: DataFrame, left: int = LEFT) -> DataFrame | None:
     none = sets.sparkSession.createDataFrame([], "node long, label long")
     labels = None if links.isEmpty() else joined(None, links)
     members, turn = open_members(sets, none if labels is None else labels), 0
-    enough = left * sets.count()
+    enough, success = left * sets.count(), 1.0
     while True:
         hearts = durable(token_hearts(members, turn).where("sets > most"), "hearts")
         made = (F.col("sets") - F.col("most")).cast("double") * F.col("sets")
         size = hearts.agg(F.count(F.lit(1)).alias("all"), F.sum(F.when(made > SETTLED * left, made)).alias("pairs")).first()
         if not size["all"]:
             return labels
-        # stars end with a turn that joined nothing, or when all pairs are few enough
-        stars = (not turn or not links.isEmpty()) and (size["pairs"] or 0) > enough
+        # stars end when a turn joined few of the pairs it made, or when all pairs are few enough
+        stars = success * 4 >= 1 and (size["pairs"] or 0) > enough
         wide = made > SETTLED * left if stars else F.lit(False)
         pairs = [left_over_pairs(members, hearts.where(~wide))]
         if stars:
             pairs.append(star_pairs(members, hearts.where(wide)))
         pairs = durable(reduce(DataFrame.unionAll, pairs).distinct(), "pairs")
         links = linked(pairs, sets)
-        if not links.isEmpty():
+        found = links.count()
+        success = found / max(pairs.count(), 1)
+        if found:
             labels = joined(labels, links)
         if not stars:
             return labels
