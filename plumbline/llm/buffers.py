@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.components import discard, durable, shared_dir
 
-__all__ = ["BLOCK", "byte_table", "discard", "documents", "durable", "fresh", "gear_hash", "marked_possible", "mix64", "shared_dir", "small_batches", "utf8", "without"]
+__all__ = ["BLOCK", "byte_table", "discard", "documents", "durable", "fresh", "gear_hash", "marked_possible", "mix64", "in_parts", "shared_dir", "small_batches", "utf8", "without"]
 
 BLOCK = 1 << 21
 SIEVE_BITS = 1 << 23
@@ -75,6 +75,15 @@ def without(docs: DataFrame, gone: DataFrame, mark: Column) -> DataFrame:
     return kept.unionAll(keyed.where(~F.col(flag)).select(docs.columns))
 
 
+def in_parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most `rows` rows, so that what is made of a part stays small;
+    at the end Arrow's unused memory goes back to the machine."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null counts as empty. Row i is
     bytes[offsets[i]:offsets[i + 1]]."""

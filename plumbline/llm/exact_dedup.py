@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.buffers import BLOCK, byte_table, documents, durable, gear_hash, utf8, without
+from plumbline.llm.buffers import BLOCK, byte_table, documents, durable, gear_hash, in_parts, utf8, without
 
 WINDOW_DOUBLINGS = 4
 MIN_CHUNK, MEAN_BITS, MAX_CHUNK = 256, 10, 8192
@@ -86,7 +86,7 @@ def chunk_recipes(docs: DataFrame, seed: int = 0, width: int = 16) -> DataFrame:
     """One row per row of docs: its recipe and the digest of its text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             texts = list(_chunked(batch))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -105,7 +105,7 @@ def chunk_store(docs: DataFrame, seed: int = 0, width: int = 16) -> DataFrame:
     """The distinct chunks with their identifiers and use counts."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             ids, chunks, held = [], [], 0
             for t, spans in _chunked(batch):
                 for a, b in spans:

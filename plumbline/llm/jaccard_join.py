@@ -49,7 +49,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.buffers import discard, documents, durable, marked_possible, mix64, small_batches, utf8, without
+from plumbline.llm.buffers import discard, documents, durable, marked_possible, mix64, in_parts, small_batches, utf8, without
 from plumbline.llm.shingles import shingle_sets
 from plumbline.operators.components import connected_components
 
@@ -94,7 +94,7 @@ def set_profiles(docs: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
-        for batch in batches:
+        for batch in in_parts(batches):
             data, offsets = utf8(batch.column("text"))
             n, digests = [], []
             for s in shingle_sets(data, offsets):
@@ -186,7 +186,7 @@ def posting_blocks(docs: DataFrame, levels: np.ndarray, buckets: int) -> DataFra
                         c.append(v)
             return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], ["grp", "tokens", "places", "keys", "sizes"])
 
-        for batch in batches:
+        for batch in in_parts(batches):
             data, offsets = utf8(batch.column("text"))
             for s in shingle_sets(data, offsets):
                 if not len(s) or (key := _key(_digest(s))) in seen:
@@ -260,7 +260,7 @@ def shingle_table(docs: DataFrame, reps: DataFrame, levels: np.ndarray) -> DataF
             flat = (np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)).astype(kind)
             return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)), pa.array(flat))
 
-        for batch in batches:
+        for batch in in_parts(batches):
             sets = [s for s in shingle_sets(*utf8(batch.column("text"))) if len(s)]
             # the other orders only filter, for which half a token does
             columns = [listed([prefix(s, levels, k)[0] for s in sets], np.int32 if k else np.int64) for k in range(ORDERS)]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.buffers import byte_table, documents, durable, mix64, utf8
+from plumbline.llm.buffers import byte_table, documents, durable, mix64, in_parts, utf8
 from plumbline.llm.ngrams import slabs
 from plumbline.llm.shingles import power_tables
 
@@ -55,8 +55,7 @@ class WordIds:
         from tokenizers.normalizers import Sequence
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.plain = Tokenizer.from_file(path)
-        self.plain.normalizer = Sequence([])
+        self.fold, self.keep = self.tokenizer.normalizer, Sequence([])
         special = {k: t.content for k, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
         if special:
             self.mark = min(special.values())
@@ -72,9 +71,11 @@ class WordIds:
     def encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _apart(self, tokenizer, text: str, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _apart(self, text: str, last: np.ndarray, fold) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a text and the places after those that end a word."""
-        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+        self.tokenizer.normalizer = fold
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+        self.tokenizer.normalizer = self.fold
         return ids, np.flatnonzero(last[ids]) + 1
 
     def _learn(self, at: np.ndarray, hashes: np.ndarray, raw: list[bytes]) -> None:
@@ -84,9 +85,9 @@ class WordIds:
         words = [w.decode("utf-8", "replace") for w in raw]
         plain = np.array([w.isalpha() and max(w) < "\u0250" and w == w.lower() for w in words], bool)
         count, first = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        for own, tokenizer, mark, last, tail in ((plain, self.plain, " ", self.ends, 0), (~plain, self.tokenizer, self.mark, self.marks, 1)):
+        for own, fold, mark, last, tail in ((plain, self.keep, " ", self.ends, 0), (~plain, self.fold, self.mark, self.marks, 1)):
             text = "".join([words[k] + mark for k in np.flatnonzero(own).tolist()])
-            ids, ends = self._apart(tokenizer, text, last)
+            ids, ends = self._apart(text, last, fold)
             if len(ends) != own.sum():
                 raise ValueError("this vocabulary doesn't keep words apart")
             count[own] = np.diff(np.concatenate([[0], ends])) - tail
@@ -174,7 +175,7 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACI
         # known to hold for this vocabulary; texts are encoded whole with others
         by_words = vocabulary.rsplit("/", 1)[-1] == VOCABULARY
         step = 4 * capacity
-        for batch in batches:
+        for batch in in_parts(batches):
             data, offsets = utf8(batch.column("text"))
             cols: list[list] = [[], [], [], [], [], []]
             doc_ids = batch.column("doc_id").to_pylist()

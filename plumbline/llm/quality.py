@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.buffers import BLOCK, documents, durable, utf8
+from plumbline.llm.buffers import BLOCK, documents, durable, in_parts, utf8
 from plumbline.llm.ngrams import BITS, fit_logistic, present, sigmoid, slabs
 from plumbline.llm.toxicity import class_counts, held_out, labelled, select_ngrams
 
@@ -114,7 +114,7 @@ def _view_rows(rows: DataFrame, column: np.ndarray, columns: int) -> tuple[np.nd
     """doc_id, label, text view and metadata view of the sampled documents."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             data, offsets = utf8(batch.column("text"))
             bits = [np.packbits(h).tobytes() for _, part, ends in slabs(data, offsets) for h in present(part, ends, column, columns)]
             meta = metadata(data, offsets, batch.column("lang").to_pylist(), batch.column("source").to_pylist())
@@ -190,7 +190,7 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(docs, labels)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, model.scores(batch))], ["doc_id", "text_score", "meta_score", "score"])
 
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in ("text", "lang", "source")])

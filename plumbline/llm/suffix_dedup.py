@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.buffers import documents, durable, utf8
+from plumbline.llm.buffers import documents, durable, in_parts, utf8
 from plumbline.llm.ngrams import slabs
 from plumbline.llm.phrases import DEPTH, Parser
 
@@ -153,7 +153,7 @@ def hot_triggers(docs: DataFrame) -> np.ndarray:
     """Triggers that lead into many different phrases in a sample of the documents."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             for _, parser, _ in _parsed(batch):
                 p = parser.phrases()
                 yield pa.RecordBatch.from_arrays([pa.array(p.trigger.view(np.int64)), pa.array(p.mark.view(np.int64))], ["trigger", "mark"])
@@ -201,7 +201,7 @@ def phrase_blocks(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, hots, held, salt = [], [], 0, 0
-        for batch in batches:
+        for batch in in_parts(batches):
             for ids, parser, ends in _parsed(batch):
                 p = parser.phrases()
                 doc = ids[p.row]
@@ -259,7 +259,7 @@ def dictionary_blocks(texts: DataFrame, buckets: int) -> DataFrame:
     numbers of strings, by trigger. texts: doc_id, text, asked (list of pairs)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             asked, one, two = _listed(batch.column("asked"))
             upto = np.concatenate([[0], np.cumsum(asked)])
             base = 0
@@ -319,7 +319,7 @@ def cut_out(texts: DataFrame, keep_bytes: bool = False) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_bytes
-        for batch in batches:
+        for batch in in_parts(batches):
             data, offsets = utf8(batch.column("text"))
             many, first, last = _listed(batch.column("covers"))
             upto = np.concatenate([[0], np.cumsum(many)])

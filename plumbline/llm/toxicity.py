@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.buffers import documents, durable, utf8
+from plumbline.llm.buffers import documents, durable, in_parts, utf8
 from plumbline.llm.ngrams import BITS, fit_logistic, hashed_ngrams, present, sigmoid, slabs
 
 SAMPLE = 12_000
@@ -83,7 +83,7 @@ def class_counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, docs = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
-        for batch in batches:
+        for batch in in_parts(batches):
             label = batch.column("label").to_numpy(zero_copy_only=False)
             data, offsets = utf8(batch.column("text"))
             for k in range(len(label)):
@@ -123,7 +123,7 @@ def feature_rows(texts: DataFrame, column: np.ndarray, columns: int) -> tuple[np
     """Presence matrix and labels of the sampled documents, in the order of doc_id."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             data, offsets = utf8(batch.column("text"))
             bits = [np.packbits(h).tobytes() for _, part, ends in slabs(data, offsets) for h in present(part, ends, column, columns)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(bits, pa.binary())], ["doc_id", "label", "bits"])
@@ -157,7 +157,7 @@ def score_documents(docs: DataFrame, model: NgramModel) -> DataFrame:
     """doc_id, score of every row of docs."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(batch.column("text")))], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(rows, "doc_id long, score double")
@@ -175,7 +175,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index("text")
-        for batch in batches:
+        for batch in in_parts(batches):
             yield batch.filter(pa.array(model.score(batch.column(at)) < 0.5))
 
     names = docs.columns
