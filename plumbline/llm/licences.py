@@ -5,9 +5,9 @@ to single spaces, equivalent spellings to one) and its SHA-256 digest is joined
 digests of known licence texts. The entire text is looked up, and so is each of its lines
 by itself, against known one-line notices.
 
-Native: DataFrame functions only. A text longer than twice the longest known one, or a
-line longer than twice the longest notice, after folding can't equal a known one (spelling
-changes a word's length by far less) and is not spelled out; its licence is null.
+Native: DataFrame functions only. A line longer than twice the longest notice, after folding
+(when its blanks are single ones), can't equal a known one, as spelling changes a word's
+length by far less, and is not spelled out.
 
 Edge cases: null and empty texts, and those of copyright lines alone, match nothing. Equal
 canonical forms of two licences would make the lookup ambiguous: the first identifier in
@@ -54,18 +54,14 @@ def scan_licences(docs: DataFrame, known: DataFrame) -> DataFrame:
     notices = known.where("not whole").limit(NOTICE_ROWS + 1).collect()
     if len(notices) > NOTICE_ROWS:
         raise ValueError(f"at most {NOTICE_ROWS} notices")
-    texts = known.where("whole").select(F.col("digest").alias("_whole"), "license_id", "length")
-    size = texts.agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("longest")).first()
-    longest, longest_line = size["longest"] or 0, max((r["length"] for r in notices), default=0)
+    texts = known.where("whole").select(F.col("digest").alias("_whole"), "license_id")
+    longest_line = max((r["length"] for r in notices), default=0)
     # Digests of a few thousand texts are known to be small; more are joined as any table.
-    texts = F.broadcast(texts.drop("length")) if size["n"] <= BROADCAST_ROWS else texts.drop("length")
+    texts = F.broadcast(texts) if texts.count() <= BROADCAST_ROWS else texts
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), folded(F.col("text").cast("string")).alias("text"))
-    fits = F.when(F.length("text") <= 2 * longest, F.sha2(spelled(F.col("text")), 256))
     lines = F.filter(F.split("text", "\n"), lambda x: (F.length(x) <= 2 * longest_line) & (F.length(x) > 1))
-    units = text.select("doc_id", fits.alias("digest"), F.transform(lines, lambda x: F.sha2(spelled(x), 256)).alias("lines"))
-    # Texts too long for a match get keys of their own, so that no task gathers them.
-    key = F.coalesce("digest", F.concat(F.lit("-"), F.xxhash64("doc_id").cast("string")))
-    matched = units.withColumn("digest", key).join(texts, F.col("digest") == F.col("_whole"), "left")
+    units = text.select("doc_id", F.sha2(spelled(F.col("text")), 256).alias("digest"), F.transform(lines, lambda x: F.sha2(spelled(x), 256)).alias("lines"))
+    matched = units.join(texts, F.col("digest") == F.col("_whole"), "left")
     # The notices' digests are few: looked up in a literal map, lines need not be joined and gathered again.
     pairs = [F.lit(x) for r in sorted(notices, key=lambda r: r["digest"]) for x in (r["digest"], r["license_id"])]
     names = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")

@@ -175,3 +175,9 @@ def test_quality(spark):
     assert np.mean(right) > 0.95
     assert set(quality.quality(docs, labels.limit(0)).toPandas().predicted) == {1}
     assert quality.quality(docs.limit(0), labels).count() == 0
+
+
+def test_licences_of_spread_out_texts(spark):
+    texts = [TEXTS["MIT"], TEXTS["MIT"] + "\n" * 3000, TEXTS["MIT"].replace(", ", "," + "\n" * 500), TEXTS["MIT"].replace(", ", ",\r\n")]
+    found = licences.scan_licences(table(spark, [(k, t, "s") for k, t in enumerate(texts)]), licences.known_licences(spark))
+    assert [r["license_id"] for r in found.collect()] == ["MIT"] * 4
