@@ -68,3 +68,25 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             found.durable_path = new.durable_path
             return found
         now = new
+
+
+def linked_components(edges: DataFrame) -> DataFrame:
+    """node, label (durable) of every end of edges (a, b; numbers, either direction): label is
+    the least node of its component. As connected_components, for nodes that are their own
+    labels: the first round looks at edges alone, and a round that changes nothing is the
+    last before labels are followed."""
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = durable(edges.where("a <> b").select(F.inline(ways)).distinct(), "edges")
+    near = durable(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).select("node", F.least("node", "label").alias("label")), "labels")
+    while True:
+        owners = near.select(F.col("node").alias("label"), F.col("label").alias("root"))
+        now = durable(near.select("node", "label").join(owners, "label").select("node", F.col("root").alias("label")), "labels")
+        discard(near)
+        told = both.join(now.select(F.col("node").alias("a"), "label"), "a").select(F.col("b").alias("node"), "label", F.lit(None).cast("long").alias("was"))
+        every = told.unionAll(now.select("node", "label", F.col("label").alias("was")))
+        near = durable(every.groupBy("node").agg(F.min("label").alias("label"), F.max("was").alias("was")), "labels")
+        if near.where("label <> was").isEmpty():
+            discard(both)
+            discard(near)
+            return now
+        discard(now)

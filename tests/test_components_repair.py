@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators.components import connected_components
+from plumbline.operators.components import connected_components, linked_components
 from plumbline.operators.controls import clopper_pearson
 from plumbline.operators.graph import Forest, component_table, feasible, fundamental_cycles, potentials
 from plumbline.operators.repair import canonical, edges_on_bad_cycles, min_edge_cut, min_edge_fix, min_quarantine, quarantine, violated_cycle
@@ -72,6 +72,9 @@ def test_components_of_a_long_chain(spark):
     edges = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).where("a <> 19")
     got = {r["node"]: r["label"] for r in connected_components(nodes, edges).collect()}
     assert got == {k: 0 if k <= 19 else 20 for k in range(n)}
+    turned = edges.select(F.col("b").alias("a"), F.col("a").alias("b")).unionAll(edges.limit(3)).unionAll(edges.selectExpr("a", "a"))
+    assert {r["node"]: r["label"] for r in linked_components(turned).collect()} == got
+    assert linked_components(edges.limit(0)).count() == 0
 
 
 def test_potentials_and_consistency(spark):
