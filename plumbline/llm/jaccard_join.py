@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.buffers import discard, documents, durable, marked_possible, mix64, in_parts, small_batches, utf8, without
 from plumbline.llm.shingles import shingle_sets
-from plumbline.operators.components import connected_components
+from plumbline.operators.components import linked_components
 
 SKETCH_BITS = 20
 SLICES = 16
@@ -309,19 +309,15 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     """node, label of every linked node: the components of labels, joined by the links."""
     if labels is None:
-        nodes = links.select(F.col("a").alias("node")).unionAll(links.select("b")).distinct()
-        return connected_components(nodes.withColumn("label", F.col("node")), links)
+        return linked_components(links)
     ends = links
     for s in ("a", "b"):
         ends = ends.join(labels.select(F.col("node").alias(s), F.col("label").alias("l" + s)), s, "left")
-    ends = ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b").distinct()
-    ends = durable(ends, "ends")
-    nodes = ends.select(F.col("a").alias("node")).unionAll(ends.select("b")).distinct()
-    over = connected_components(nodes.withColumn("label", F.col("node")), ends)
+    over = linked_components(ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
     alone = over.select("node", F.col("node").alias("label")).join(labels, "node", "left_anti")
     moved = over.select(F.col("node").alias("label"), F.col("label").alias("top"))
     new = durable(labels.unionByName(alone).join(moved, "label", "left").select("node", F.coalesce("top", "label").alias("label")), "labels")
-    for x in (ends, over, labels):
+    for x in (over, labels):
         discard(x)
     return new
 
