@@ -14,6 +14,7 @@ from plumbline.sources.helix import AXIS, POINTS_SQL, axis_table, helix_points
 
 CFG = settings.FIXTURE
 MARGIN = 1.0
+SWEEP_DZS = (5.0, 10.0, 20.0)
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,7 +212,7 @@ def noise_null(spark, sf_dir):
 
 
 def sensitivity_sweep(spark, sf_dir):
-    return controls.sensitivity_sweep(audit.with_slopes(nodes(spark, sf_dir), CFG.sense), CFG, dzs=(5.0, 10.0))
+    return controls.sensitivity_sweep(audit.with_slopes(nodes(spark, sf_dir), CFG.sense), CFG, dzs=SWEEP_DZS)
 
 
 def review_queue(spark, sf_dir):
@@ -219,7 +220,7 @@ def review_queue(spark, sf_dir):
     found = durable(matching.links(matching.in_cells(audit.with_slopes(n, CFG.sense), CFG), CFG), "links")
     tags = n.select("nkey", "node").distinct()
     q = repair.quarantine(matching.edges(found, CFG)).where("chosen").join(tags, "nkey").select("node")
-    robust = matching.conflicts(found, CFG).select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("robustness", F.lit(1.0))
+    robust = controls.sensitivity_sweep(audit.with_slopes(n, CFG.sense), CFG, dzs=SWEEP_DZS)
     steps = audit.step_audit(n, CFG).where("violation")
     queue = localize.review_queue(matching.conflicts(found, CFG), steps, durable(q, "quarantine"), robust, n)
     return queue.withColumn("evidence", F.array_join("evidence", "; "))
