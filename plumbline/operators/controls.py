@@ -21,12 +21,12 @@ def scenario_nodes(points: DataFrame, scenario: str = "scenario") -> DataFrame:
     return points.withColumn("nkey", F.concat_ws("#", scenario, "nkey")).withColumn("node", F.concat_ws("#", scenario, "node"))
 
 
-def plant_steps(points: DataFrame) -> DataFrame:
-    """Each relative chain of MIN_CHAIN points or more twice: its labels raised (scenario 1) and
-    lowered (-1) by one after the middle."""
+def plant_steps(points: DataFrame, steps: tuple[int, ...] = (1, -1)) -> DataFrame:
+    """Each relative chain of MIN_CHAIN points or more once a scenario: its labels raised (scenario
+    1) and lowered (-1) by one after the middle; 0 leaves them."""
     chain = Window.partitionBy("nkey").orderBy("pid")
     p = points.where("kind = 'relative'").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("nkey"))).withColumn("_i", F.row_number().over(chain))
-    p = p.where(F.col("_n") >= MIN_CHAIN).withColumn("scenario", F.explode(F.array(F.lit(1), F.lit(-1))))
+    p = p.where(F.col("_n") >= MIN_CHAIN).withColumn("scenario", F.explode(F.array(*map(F.lit, steps))))
     return p.withColumn("label", F.col("label") + F.when(F.col("_i") > F.floor(F.col("_n") / 2), F.col("scenario")).otherwise(0)).drop("_n", "_i")
 
 
@@ -43,6 +43,16 @@ def planted_order_audit(planted: DataFrame, cfg: AuditConfig) -> DataFrame:
     return audit.order_audit(audit.with_slopes(scenario_nodes(planted), cfg.sense), cfg)
 
 
+def planted_summary(audited: DataFrame) -> DataFrame:
+    """scenario, n_trials, n_alarms, alarm_rate, mean_new: chains with more violations in a scenario
+    than in scenario 0, and how many more. audited: the order audit of scenarios with 0."""
+    v = audited.select(F.substring_index("node", "#", 1).cast("int").alias("scenario"), F.substring_index("node", "#", -1).alias("node"), (F.col("n_sign") + F.col("n_split")).alias("n"))
+    more = v.withColumn("_new", F.col("n") - F.max(F.when(F.col("scenario") == 0, F.col("n"))).over(Window.partitionBy("node"))).where("scenario <> 0")
+    alarm = F.col("_new") > 0
+    rate = F.count_if(alarm) / F.count(F.lit(1))
+    return more.groupBy("scenario").agg(F.count(F.lit(1)).alias("n_trials"), F.count_if(alarm).alias("n_alarms"), rate.alias("alarm_rate"), F.avg(F.when(alarm, F.col("_new"))).alias("mean_new"))
+
+
 def jitter(points: DataFrame, rounds: int, sigma: float = 1.0, seed: int = 1) -> DataFrame:
     """points `rounds` times, each copy (scenario 1..rounds) with normal noise on x, y and z.
     The noise is a function of seed, round, point and axis, so reruns agree however the
@@ -87,6 +97,15 @@ def clopper_pearson(hits: int, n: int, level: float = 0.95) -> tuple[float, floa
     return (0.0 if hits == 0 else solve(hits, tail)), (1.0 if hits == n else solve(hits + 1, 1 - tail))
 
 
+def null_summary(null: DataFrame, base: int) -> DataFrame:
+    """One row: rounds of the null, those with more violations than without noise (base), their
+    share and its exact 95 % interval. null has one row a round."""
+    n = null.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("n_violations") > base).alias("hits")).first()
+    low, high = clopper_pearson(n["hits"], n["n"]) if n["n"] else (0.0, 1.0)
+    share = n["hits"] / n["n"] if n["n"] else None
+    return null.sparkSession.createDataFrame([(n["n"], n["hits"], share, low, high)], "n_rounds long, n_alarms long, share double, low double, high double")
+
+
 def sensitivity_sweep(sloped: DataFrame, cfg: AuditConfig, factors=R_FACTORS, dthetas=DTHETAS, dzs=DZS) -> DataFrame:
     """node, robustness: the share of settings under which a node is in a conflict. Link radii
     share one search; each pair of cell sizes needs its own."""

@@ -154,19 +154,19 @@ def conflict_endpoints(arcs: DataFrame) -> DataFrame:
     return e.groupBy("u", "v").agg(F.count_distinct("grp").alias("n_groups")).where("n_groups > 1")
 
 
-def _parents_close(now: DataFrame, n: int) -> bool:
-    """Whether following parents (node, parent; null where none) comes round again, by
-    doubling the stride until it exceeds n nodes."""
+def _far_parents(now: DataFrame, n: int) -> DataFrame:
+    """node, up: where n steps or more from node to parent (null where none) lead, by doubling the
+    stride. Among n nodes so many steps end on a cycle."""
     at = now.select("node", F.col("parent").alias("up")).where("up is not null")
     for _ in range(n.bit_length()):
         at = durable(at.join(at.select(F.col("node").alias("up"), F.col("up").alias("up2")), "up").select("node", F.col("up2").alias("up")), "parents")
         if at.isEmpty():
-            return False
-    return True
+            break
+    return at
 
 
 def feasible(arcs: DataFrame, rounds: int | None = None) -> tuple[bool, DataFrame]:
-    """Whether integers meet all bounds, and distances (node, dist) after the last round of
+    """Whether integers meet all bounds, and node, dist, parent after the last round of
     shortest paths from a source before all nodes. A change in round n (the number of
     nodes), a distance below any simple path's sum, or parents (the arc of a node's last
     change) that come round shows a negative cycle; parents are looked at after 4, 8, 16, ...
@@ -186,11 +186,24 @@ def feasible(arcs: DataFrame, rounds: int | None = None) -> tuple[bool, DataFram
         done += 1
         state = new.agg(F.count_if(F.col("dist") != F.col("was")).alias("changed"), F.min("dist").alias("low")).first()
         if not state["changed"]:
-            return True, now.select("node", "dist")
+            return True, now
         if done >= n or state["low"] < lowest:
-            return False, now.select("node", "dist")
+            return False, now
         if done == look:
             look *= 2
-            if _parents_close(now, n):
-                return False, now.select("node", "dist")
+            if not _far_parents(now, n).isEmpty():
+                return False, now
     raise ValueError(f"neither settled nor shown infeasible in {rounds} rounds")
+
+
+def negative_cycles(arcs: DataFrame, dist: DataFrame) -> DataFrame:
+    """cycle (its least node), u, v, bound, grp, total: cycles of arcs whose bounds add up to less
+    than 0, from the distances of an infeasible system; none of a feasible one. Parents that come
+    round are such cycles, and no two of them share a node."""
+    near = durable(dist.select("node", "parent"), "parents")
+    on = _far_parents(near, near.count()).select(F.col("up").alias("node")).distinct()
+    steps = durable(near.join(on, "node").select(F.col("parent").alias("u"), F.col("node").alias("v")), "steps")
+    named = connected_components(steps.select(F.col("v").alias("node")).withColumn("label", F.col("node")), steps.select(F.col("u").alias("a"), F.col("v").alias("b")))
+    best = arcs.groupBy("u", "v").agg(F.min(F.struct("bound", "grp")).alias("m"))
+    found = steps.join(best, ["u", "v"]).join(named.select(F.col("node").alias("v"), F.col("label").alias("cycle")), "v")
+    return found.select("cycle", "u", "v", "m.bound", "m.grp", F.sum("m.bound").over(Window.partitionBy("cycle")).alias("total"))

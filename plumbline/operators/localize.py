@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.ranking import placed
+
 
 def conflict_brackets(links: DataFrame, conflicts: DataFrame, points: DataFrame) -> DataFrame:
     """For each end of a conflict the two least offsets its points imply, with the outermost
@@ -33,5 +35,4 @@ def review_queue(conflicts: DataFrame, steps: DataFrame, quarantined: DataFrame,
     e = e.join(points.groupBy("node").agg(F.count(F.lit(1)).alias("n_points")), "node")
     e = e.join(robustness, "node", "left").join(quarantined.select("node", F.lit(True).alias("in_quarantine")).distinct(), "node", "left")
     e = e.withColumn("robustness", F.round(F.coalesce("robustness", F.lit(0.0)), 4)).withColumn("in_quarantine", F.coalesce("in_quarantine", F.lit(False)))
-    place = F.row_number().over(Window.orderBy(F.col("robustness").desc(), F.col("in_quarantine").desc(), "node"))
-    return e.withColumn("place", place)
+    return placed(e, [F.col("robustness").desc(), F.col("in_quarantine").desc(), F.col("node")], "place")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.geometry import cut_crossing
 from plumbline.operators.components import connected_components, durable
+from plumbline.operators.ranking import placed
 
 
 def hit_gate(points: DataFrame, window: int = 5, least: int = 3) -> DataFrame:
@@ -93,7 +94,7 @@ def disconnected_subgraphs(edges: DataFrame, areas: DataFrame, top: int = 5) ->
     c = c.withColumn("_i", F.row_number().over(by_area))
     g = c.groupBy(F.col("label").alias("component")).agg(F.count(F.lit(1)).alias("n_patches"), F.sum("area").alias("total_area"), F.sort_array(F.collect_list(F.when(F.col("_i") <= top, F.struct("_i", "node")))).alias("t"))
     g = g.withColumn("top_patches", F.array_join(F.transform("t", lambda x: x["node"]), ",")).drop("t")
-    return g.withColumn("place", F.row_number().over(Window.orderBy(F.col("n_patches").desc(), F.col("total_area").desc(), "component")))
+    return placed(g, [F.col("n_patches").desc(), F.col("total_area").desc(), F.col("component")], "place")
 
 
 def named_pairs(names: DataFrame, patches: DataFrame) -> DataFrame:

@@ -115,25 +115,29 @@ def _dot(p: list[Column], q: list[Column]) -> Column:
     return sum((x * y for x, y in zip(p[1:], q[1:], strict=True)), p[0] * q[0])
 
 
-def triangle_distance(point: str, a: str, b: str, c: str) -> Column:
-    """Distance of a point to a triangle (struct columns x, y, z): to its plane where the
-    foot lies inside, else to the nearest side."""
-    vec = lambda p, q: [F.col(f"{q}.{k}") - F.col(f"{p}.{k}") for k in "xyz"]
-
-    def side(p: str, q: str) -> Column:
-        pq, px = vec(p, q), vec(p, point)
-        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), _dot(px, pq) / F.greatest(_dot(pq, pq), F.lit(1e-300))))
-        d = [x - t * y for x, y in zip(px, pq, strict=True)]
-        return _dot(d, d)
-
-    u, v, w = vec(a, b), vec(a, c), vec(a, point)
-    uu, uv, vv, wu, wv = _dot(u, u), _dot(u, v), _dot(v, v), _dot(w, u), _dot(w, v)
-    det = uu * vv - uv * uv
-    s, t = vv * wu - uv * wv, uu * wv - uv * wu
-    foot = [x - s / det * y - t / det * z for x, y, z in zip(w, u, v, strict=True)]
+def _along(product: str, square: str) -> Column:
+    """How far along a side the nearest place is, 0 to 1."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(product) / F.greatest(F.col(square), F.lit(1e-300))))
+
+
+def with_triangle_distance(rows: DataFrame) -> DataFrame:
+    """rows (p, a, b, c: structs x, y, z) with distance, of p to the triangle: to its plane where
+    the foot lies inside, else to the nearest side. Vectors and their products become columns
+    first, each computed once."""
+    made, kept = rows, [c for c in rows.columns if c not in "pabc"]
+    vectors = {"u": ("a", "b"), "v": ("a", "c"), "w": ("a", "p"), "e": ("b", "c"), "f": ("b", "p")}
+    flat = [(F.col(f"{q}.{k}") - F.col(f"{p}.{k}")).alias(f"_{n}{k}") for n, (p, q) in vectors.items() for k in "xyz"]
+    made = made.select(*kept, *flat)
+    of = lambda n: [F.col(f"_{n}{k}") for k in "xyz"]
+    products = ("uu", "uv", "vv", "wu", "wv", "ee", "fe")
+    made = made.select(*kept, *[f"_{n}{k}" for n in "uvwef" for k in "xyz"], *[_dot(of(n), of(m)).alias(f"_{n}{m}") for n, m in products])
+    det, s, t = F.expr("_uu * _vv - _uv * _uv"), F.expr("_vv * _wu - _uv * _wv"), F.expr("_uu * _wv - _uv * _wu")
+    made = made.withColumns({"_det": det, "_s": s, "_t": t, "_ab": _along("_wu", "_uu"), "_ac": _along("_wv", "_vv"), "_bc": _along("_fe", "_ee")})
     # a degenerate triangle has no inside, and its det isn't divided by
-    inside = F.when(det > 0, F.when((s >= 0) & (t >= 0) & (s + t <= det), _dot(foot, foot)))
-    return F.sqrt(F.least(side(a, b), side(b, c), side(a, c), inside))
+    made = made.withColumns({f"_o{k}": F.expr(f"CASE WHEN _det > 0 THEN _w{k} - _s / _det * _u{k} - _t / _det * _v{k} END") for k in "xyz"})
+    made = made.withColumns({f"_{n}{k}": F.expr(f"_{p}{k} - _{n} * _{q}{k}") for n, p, q in (("ab", "w", "u"), ("ac", "w", "v"), ("bc", "f", "e")) for k in "xyz"})
+    inside = F.when(F.expr("_det > 0 and _s >= 0 and _t >= 0 and _s + _t <= _det"), _dot(of("o"), of("o")))
+    return made.select(*kept, F.sqrt(F.least(*[_dot(of(n), of(n)) for n in ("ab", "bc", "ac")], inside)).alias("distance"))
 
 
 def project(points: DataFrame, tri: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
@@ -153,9 +157,10 @@ def project(points: DataFrame, tri: DataFrame, tolerance: float = TOLERANCE) ->
     near = t.join(p, ["_x", "_y", "_z"])
     for k in "xyz":
         near = near.where(F.col(f"p.{k}").between(F.col(f"_{k}0"), F.col(f"_{k}1")))
-    near = near.withColumn("distance", triangle_distance("p", "a", "b", "c")).where(F.col("distance") <= tolerance)
+    near = with_triangle_distance(near.select("pid", "patch_id", "i", "j", "side", "p", "a", "b", "c"))
     best = near.groupBy("pid", "patch_id").agg(F.min(F.struct("distance", "i", "j", "side")).alias("m"))
-    return best.select("pid", "patch_id", "m.distance", "m.i", "m.j")
+    # the tolerance after the groups: a filter before them would compute the distance twice
+    return best.where(F.col("m.distance") <= tolerance).select("pid", "patch_id", "m.distance", "m.i", "m.j")
 
 
 def best_patch(hits: DataFrame, areas: DataFrame) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.plans import audit_queries, patch_queries
+from plumbline.plans import audit_queries, patch_queries, report_queries
 
-_ALL = audit_queries.QUERIES | patch_queries.QUERIES
+_ALL = audit_queries.QUERIES | patch_queries.QUERIES | report_queries.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
