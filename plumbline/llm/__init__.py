@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import audio, exact_dedup, jaccard_join, licences, line_dedup, mixing, packing, quality, suffix_dedup, toxicity
+from plumbline.llm import audio, exact_dedup, jaccard_join, licences, line_dedup, mixing, packing, quality, suffix_dedup, toxicity, vector_codes
 
 _QUERIES = {
     "op1_exact_dedup": (exact_dedup.op1_exact_dedup, exact_dedup.ORACLE_SQL),
@@ -19,6 +19,7 @@ _QUERIES = {
     "op8_licences": (licences.op8_licences, licences.ORACLE_SQL),
     "op9_toxicity": (toxicity.op9_toxicity, None),
     "op10_quality": (quality.op10_quality, None),
+    "op11_vector_codes": (vector_codes.op11_vector_codes, vector_codes.ORACLE_SQL),
 }
 
 
