@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import audio, bit_codes, exact_dedup, jaccard_join, licences, line_dedup, mixing, packing, quality, suffix_dedup, toxicity, vector_codes
+from plumbline.llm import audio, bit_codes, conversations, exact_dedup, jaccard_join, licences, line_dedup, mixing, packing, quality, suffix_dedup, toxicity, vector_codes
 
 _QUERIES = {
     "op1_exact_dedup": (exact_dedup.op1_exact_dedup, exact_dedup.ORACLE_SQL),
@@ -20,6 +20,7 @@ _QUERIES = {
     "op9_toxicity": (toxicity.op9_toxicity, None),
     "op10_quality": (quality.op10_quality, None),
     "op11_vector_codes": (vector_codes.op11_vector_codes, vector_codes.ORACLE_SQL),
+    "op12_prefix_trie": (conversations.op12_prefix_trie, conversations.ORACLE_SQL),
     "op13_bit_codes": (bit_codes.op13_bit_codes, bit_codes.ORACLE_SQL),
 }
 
