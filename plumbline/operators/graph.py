@@ -3,11 +3,11 @@ cycles and inequality constraints."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.components import connected_components, durable
+from plumbline.operators.forest import common_ancestors, lifts, spanning_forest, ways
 
 ROUNDS = 64
 
@@ -54,89 +54,68 @@ def constant_nodes(points: DataFrame) -> DataFrame:
     return points.groupBy("node").agg(F.count_distinct("label").alias("n_labels")).where("n_labels <= 1").select("node")
 
 
-def _per_component(edges: DataFrame, solve, schema: str) -> DataFrame:
+def fundamental_cycles(edges: DataFrame, constant: DataFrame | None = None, forest: DataFrame | None = None) -> DataFrame:
+    """akey, bkey, holonomy, support, path_nodes, effective and lca, depth_a, depth_b, depth_lca of
+    every edge that closes a cycle with the forest's way between its ends. constant: nkey of
+    nodes with one label; a cycle of those with offsets 0 can't fail and isn't effective.
+    forest: spanning_forest(edges, free_nodes(edges, constant)), if it is known."""
+    edges = durable(edges.select("akey", "bkey", "offset", "support"), "equations")
+    forest = spanning_forest(edges, free_nodes(edges, constant)) if forest is None else forest
+    side = lambda s: forest.select(F.col("node").alias(s + "key"), *[F.col(c).alias(f"{c}_{s}") for c in ("parent", "pot", "turns", "weight")])
+    both = edges.join(side("a"), "akey").join(side("b"), "bkey")
+    tree = F.coalesce(F.col("parent_a") == F.col("bkey"), F.lit(False)) | F.coalesce(F.col("parent_b") == F.col("akey"), F.lit(False))
+    closing = both.where(~tree).withColumn("a", F.col("akey")).withColumn("b", F.col("bkey"))
+    found = common_ancestors(closing, forest, lifts(forest))
+    top = forest.select(F.col("node").alias("lca"), F.col("turns").alias("turns_c"), F.col("weight").alias("weight_c"), F.col("parent").alias("above"))
+    above = forest.select(F.col("node").alias("above"), F.col("weight").alias("weight_d"))
+    found = found.join(top, "lca").join(above, "above", "left")
+    # counts along the way: down to either end, less what lies above the top twice over
+    free = F.col("weight_a") + F.col("weight_b") - F.col("weight_c") - F.coalesce("weight_d", F.lit(0))
+    turned = F.col("turns_a") + F.col("turns_b") - 2 * F.col("turns_c")
+    return found.select(
+        "akey", "bkey", (F.col("pot_b") - F.col("pot_a") - F.col("offset")).alias("holonomy"), "support",
+        (F.col("depth_a") + F.col("depth_b") - 2 * F.col("depth_lca") + 1).cast("int").alias("path_nodes"),
+        ((free > 0) | (turned > 0) | (F.col("offset") != 0)).alias("effective"), "lca", "depth_a", "depth_b", "depth_lca",
+    )
+
+
+def free_nodes(edges: DataFrame, constant: DataFrame | None = None) -> DataFrame:
+    """node, weight: 1 for each end of an equation whose label isn't constant (nkey; unless
+    given, of same-sheet nodes)."""
+    ends = edges.select(F.inline(F.array(F.struct(F.col("akey").alias("node")), F.struct(F.col("bkey").alias("node"))))).distinct()
+    free = ends.where(~F.col("node").startswith("same:")) if constant is None else ends.join(constant.select(F.col("nkey").alias("node")), "node", "left_anti")
+    return free.withColumn("weight", F.lit(1).cast("long"))
+
+
+def cycle_ways(cycles: DataFrame, forest: DataFrame) -> DataFrame:
+    """akey, bkey, seq, node: the forest's way from akey (seq 0) to bkey of each cycle."""
+    pairs = cycles.select("akey", "bkey", F.col("akey").alias("a"), F.col("bkey").alias("b"), "depth_a", "depth_b", "lca", "depth_lca")
+    return ways(pairs, lifts(forest)).select("akey", "bkey", "seq", "node")
+
+
+def graph_stats(edges: DataFrame, constant: DataFrame | None = None) -> DataFrame:
+    """One row: n_nodes, n_edges, n_components, largest_component, and of the fundamental cycles
+    how many there are, are effective, don't add up to 0, and are both."""
     edges = durable(edges, "equations")
-    comp = graph_components(edges).withColumnRenamed("node", "akey").withColumnRenamed("label", "component")
-    return edges.join(comp, "akey").groupBy("component").applyInPandas(solve, schema)
-
-
-class Forest:
-    """Depth-first spanning forest of one component: nodes are marked when put on the stack,
-    neighbours and roots come in order."""
-
-    def __init__(self, edges: dict[tuple[str, str], int]):
-        self.edges = edges
-        self.near: dict[str, list[tuple[str, int]]] = {}
-        for (a, b), off in edges.items():
-            self.near.setdefault(a, []).append((b, off))
-            self.near.setdefault(b, []).append((a, -off))
-        self.pot: dict[str, int] = {}
-        self.parent: dict[str, str] = {}
-        for root in sorted(self.near):
-            if root in self.pot:
-                continue
-            self.pot[root] = 0
-            stack = [root]
-            while stack:
-                u = stack.pop()
-                for v, off in sorted(self.near[u]):
-                    if v not in self.pot:
-                        self.pot[v] = self.pot[u] + off
-                        self.parent[v] = u
-                        stack.append(v)
-
-    def is_tree(self, a: str, b: str) -> bool:
-        return self.parent.get(a) == b or self.parent.get(b) == a
-
-    def path(self, u: str, v: str) -> list[str]:
-        """Nodes of the tree's way from u to v."""
-        up = [u]
-        while up[-1] in self.parent:
-            up.append(self.parent[up[-1]])
-        at = {k: i for i, k in enumerate(up)}
-        down = [v]
-        while down[-1] not in at:
-            down.append(self.parent[down[-1]])
-        return up[: at[down[-1]]] + down[::-1]
-
-    def cycles(self) -> list[tuple[str, str, int, list[str]]]:
-        """a, b, holonomy and tree path of each edge outside the tree."""
-        return [(a, b, self.pot[b] - self.pot[a] - off, self.path(a, b)) for (a, b), off in sorted(self.edges.items()) if not self.is_tree(a, b)]
-
-
-def fundamental_cycles(edges: DataFrame, constant: DataFrame | None = None) -> DataFrame:
-    """akey, bkey, holonomy, support, path, effective of every edge that closes a cycle.
-    constant: nkey of nodes with one label; a cycle of those with offsets 0 isn't effective."""
-
-    def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        offs = {(a, b): int(o) for a, b, o in zip(frame.akey, frame.bkey, frame.offset, strict=True)}
-        support = dict(zip(zip(frame.akey, frame.bkey, strict=True), frame.support, strict=True))
-        still = set(frame.akey[frame.const_a]) | set(frame.bkey[frame.const_b])
-        rows = []
-        for a, b, h, path in Forest(offs).cycles():
-            steps = [offs.get((x, y), offs.get((y, x))) for x, y in zip(path, path[1:], strict=False)]
-            rows.append((a, b, h, support[a, b], path, any(k not in still for k in path) or offs[a, b] != 0 or any(steps)))
-        return pd.DataFrame(rows, columns=["akey", "bkey", "holonomy", "support", "path", "effective"])
-
-    marked = edges
-    for s in "ab":
-        if constant is None:
-            marked = marked.withColumn(f"const_{s}", F.col(f"{s}key").startswith("same:"))
-        else:
-            c = constant.select(F.col("nkey").alias(f"{s}key"), F.lit(True).alias(f"const_{s}"))
-            marked = marked.join(c, f"{s}key", "left").withColumn(f"const_{s}", F.coalesce(f"const_{s}", F.lit(False)))
-    return _per_component(marked, solve, "akey string, bkey string, holonomy long, support long, path array<string>, effective boolean")
+    forest = spanning_forest(edges, free_nodes(edges, constant))
+    cycles = fundamental_cycles(edges, constant, forest)
+    sizes = forest.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    zero = F.lit(0).cast("long")
+    of_nodes = sizes.agg(F.coalesce(F.sum("n"), zero).alias("n_nodes"), F.count(F.lit(1)).alias("n_components"), F.coalesce(F.max("n"), zero).alias("largest_component"))
+    of_edges = edges.agg(F.count(F.lit(1)).alias("n_edges"))
+    off = F.col("holonomy") != 0
+    of_cycles = cycles.agg(F.count(F.lit(1)).alias("n_cycles"), F.count_if("effective").alias("n_effective_cycles"), F.count_if(off).alias("n_nonzero_holonomy"), F.count_if(off & F.col("effective")).alias("n_effective_nonzero_holonomy"))
+    return of_nodes.join(of_edges).join(of_cycles)  # one row each
 
 
 def order_arcs(candidates: DataFrame, found: DataFrame, spacing: float, margin: float, min_support: int) -> DataFrame:
     """Inequalities g_v - g_u <= bound: an equation gives two that stand and fall together (one
     grp), a pair over margin * spacing apart tells which lies outside."""
     if not (margin > 0 and margin < float("inf")):
-        raise ValueError("margin must be finite and positive")
+        raise ValueError(f"{margin} is no margin: a number of wraps above 0 is asked for")
     tag = lambda kind, u, v, c: F.concat(F.lit(kind + ":"), u, F.lit("/"), v, F.lit("/"), c.cast("string"))
-    by = Window.partitionBy("akey", "bkey")
     s = found.groupBy("akey", "bkey", "a", "b", "offset").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_support)
-    s = s.withColumn("grp", tag("equality", F.col("a"), F.col("b"), F.col("offset"))).withColumn("_k", F.count(F.lit(1)).over(by)).drop("_k")
+    s = s.withColumn("grp", tag("equality", F.col("a"), F.col("b"), F.col("offset")))
     equal = s.select("a", "b", F.col("offset").alias("bound"), "grp", "n").unionAll(s.select("b", "a", -F.col("offset"), "grp", "n"))
     outside = F.col("gap") > 0
     far = candidates.where(F.abs("gap") > margin * spacing).select(

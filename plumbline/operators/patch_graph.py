@@ -12,11 +12,13 @@ from plumbline.operators.ranking import placed
 
 
 def hit_gate(points: DataFrame, window: int = 5, least: int = 3) -> DataFrame:
-    """points (cid, pid, hit) with gated: whether enough of the points around hit the patch;
-    the window is clipped at a trace's ends."""
+    """points (cid, pid, hit) with gated: whether a point hits the patch, and so do `least` of
+    those around it, itself included. The window is clipped at a trace's ends; of a window with
+    fewer points all have to hit."""
     half = window // 2
     w = Window.partitionBy("cid").orderBy("pid").rowsBetween(-half, half)
-    return points.withColumn("gated", F.count_if("hit").over(w) >= least)
+    enough = F.count_if("hit").over(w) >= F.least(F.lit(least), F.count(F.lit(1)).over(w))
+    return points.withColumn("gated", F.coalesce(F.col("hit"), F.lit(False)) & enough)
 
 
 def relative_edges(attached: DataFrame, sense: int = 1) -> DataFrame:

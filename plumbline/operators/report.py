@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from plumbline.functions.geometry import cut_crossing, gap_width, label_diff
 from plumbline.operators.components import connected_components, durable
 from plumbline.operators.controls import MIN_CHAIN
+from plumbline.operators.forest import spanning_forest
+from plumbline.operators.graph import cycle_ways, free_nodes
 
 LABELLED = ("relative", "absolute")
 TIGHT, LOOSE = 0.25, 0.35
@@ -149,16 +151,17 @@ def implicated_nodes(conflicts: DataFrame, quarantined: DataFrame) -> DataFrame:
     return named.groupBy("nkey").agg(F.max("c").alias("in_conflict"), F.max("q").alias("in_quarantine"))
 
 
-def cycle_certificates(cycles: DataFrame, edges: DataFrame) -> DataFrame:
+def cycle_certificates(cycles: DataFrame, edges: DataFrame, forest: DataFrame | None = None) -> DataFrame:
     """akey, bkey, seq, from_key, to_key, contribution: the way round each cycle that doesn't
-    close, first its closing edge from a to b (seq 0), then back along the tree. The
+    close, first its closing edge from a to b (seq 0), then back along the forest. The
     contributions of a cycle add up to what is left over, not to 0."""
-    bad = cycles.where("holonomy <> 0")
-    steps = F.sequence(F.lit(1), F.size("path") - 1)
-    back = bad.where("size(path) > 1").select("akey", "bkey", "path", F.explode(steps).alias("seq"))
-    # the path runs from a to b; the way back runs from b to a
-    at = lambda k: F.element_at("path", -k)
-    back = back.select("akey", "bkey", "seq", at(F.col("seq")).alias("from_key"), at(F.col("seq") + 1).alias("to_key"))
+    bad = durable(cycles.where("holonomy <> 0"), "bad-cycles")
+    forest = spanning_forest(edges, free_nodes(edges)) if forest is None else forest
+    # the way runs from a to b; the way back runs from b to a
+    ways = cycle_ways(bad, forest).join(bad.select("akey", "bkey", "path_nodes"), ["akey", "bkey"])
+    ways = durable(ways.select("akey", "bkey", (F.col("path_nodes") - F.col("seq")).cast("int").alias("seq"), "node"), "ways")
+    after = ways.select("akey", "bkey", (F.col("seq") - 1).alias("seq"), F.col("node").alias("to_key"))
+    back = ways.withColumnRenamed("node", "from_key").join(after, ["akey", "bkey", "seq"]).select("akey", "bkey", "seq", "from_key", "to_key")
     every = bad.select("akey", "bkey", F.lit(0).alias("seq"), F.col("akey").alias("from_key"), F.col("bkey").alias("to_key")).unionAll(back)
     ways = F.array(F.struct(F.col("akey").alias("from_key"), F.col("bkey").alias("to_key"), F.col("offset").alias("contribution")), F.struct(F.col("bkey").alias("from_key"), F.col("akey").alias("to_key"), (-F.col("offset")).alias("contribution")))
     return every.join(edges.select(F.inline(ways)), ["from_key", "to_key"]).select("akey", "bkey", "seq", "from_key", "to_key", "contribution")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.geometry import cut_crossing, frame_twist, gap_width, label_diff, sector_cell, wrap_angle
 from plumbline.operators import audit, controls, frame, graph, localize, matching, repair, settings
 from plumbline.operators.components import durable
+from plumbline.operators.forest import spanning_forest
 from plumbline.operators.frame import NODES_SQL
 from plumbline.sources.helix import AXIS, POINTS_SQL, axis_table, helix_points
 
@@ -161,7 +162,11 @@ def component_cycles(spark, sf_dir):
 
 def cycles(spark, sf_dir):
     f = graph.fundamental_cycles(found_edges(spark, sf_dir))
-    return f.select("akey", "bkey", "holonomy", "support", F.size("path").alias("path_nodes"), "effective")
+    return f.select("akey", "bkey", "holonomy", "support", "path_nodes", "effective")
+
+
+def graph_stats(spark, sf_dir):
+    return graph.graph_stats(found_edges(spark, sf_dir), graph.constant_nodes(nodes(spark, sf_dir).withColumn("node", F.col("nkey"))).withColumnRenamed("node", "nkey"))
 
 
 def constant_label_nodes(spark, sf_dir):
@@ -186,7 +191,9 @@ def min_edge_fix(spark, sf_dir):
 
 
 def bad_cycle_edges(spark, sf_dir):
-    return repair.edges_on_bad_cycles(graph.fundamental_cycles(found_edges(spark, sf_dir)))
+    e = durable(found_edges(spark, sf_dir), "edges")
+    forest = spanning_forest(e, graph.free_nodes(e))
+    return repair.edges_on_bad_cycles(graph.fundamental_cycles(e, forest=forest), e, forest)
 
 
 def certified_links(spark, sf_dir):
@@ -295,6 +302,21 @@ LABELS = f"""{LINKS.replace("WITH", "WITH RECURSIVE", 1)},
 bo AS (SELECT akey AS x, bkey AS y FROM ed UNION SELECT bkey, akey FROM ed),
 rc(x, y) AS (SELECT x, x FROM bo UNION SELECT rc.x, bo.y FROM rc JOIN bo ON rc.y = bo.x),
 lab AS (SELECT x AS nkey, min(y) AS component FROM rc GROUP BY x)"""
+FOREST = f"""{LABELS},
+eo AS (SELECT akey AS x, bkey AS y, CAST("offset" AS BIGINT) AS o FROM ed UNION ALL SELECT bkey, akey, -CAST("offset" AS BIGINT) FROM ed),
+lv(x, d) AS (SELECT DISTINCT component, 0 FROM lab UNION SELECT eo.y, d + 1 FROM lv JOIN eo ON eo.x = lv.x WHERE d < (SELECT count(*) FROM lab)),
+ds AS (SELECT x, min(d) AS d FROM lv GROUP BY x),
+tr AS (SELECT c.x, min(eo.x) AS up FROM ds c JOIN eo ON eo.y = c.x JOIN ds p ON p.x = eo.x AND p.d = c.d - 1 GROUP BY c.x),
+an(x, y, k) AS (SELECT x, x, 0 FROM ds UNION ALL SELECT an.x, tr.up, k + 1 FROM an JOIN tr ON tr.x = an.y),
+po AS (SELECT an.x, CAST(coalesce(sum(o), 0) AS BIGINT) AS pot FROM an LEFT JOIN tr ON tr.x = an.y LEFT JOIN eo ON eo.x = tr.up AND eo.y = tr.x GROUP BY an.x),
+ec AS (SELECT ed.* FROM ed LEFT JOIN tr s ON s.x = akey LEFT JOIN tr t ON t.x = bkey WHERE coalesce(s.up <> bkey, true) AND coalesce(t.up <> akey, true)),
+mt AS (SELECT akey, bkey, arg_min(p.y, p.k) AS top, min(p.k) AS ka, arg_min(q.k, p.k) AS kb FROM ec JOIN an p ON p.x = akey JOIN an q ON q.x = bkey AND q.y = p.y GROUP BY akey, bkey),
+wy AS (SELECT akey, bkey, p.k AS seq, p.y AS n FROM mt JOIN an p ON p.x = akey AND p.k <= ka UNION ALL SELECT akey, bkey, ka + kb - q.k, q.y FROM mt JOIN an q ON q.x = bkey AND q.k < kb),
+st AS (SELECT wy.akey, wy.bkey, wy.seq, wy.n AS f, nx.n AS t, o FROM wy JOIN wy nx ON nx.akey = wy.akey AND nx.bkey = wy.bkey AND nx.seq = wy.seq + 1 JOIN eo ON eo.x = wy.n AND eo.y = nx.n),
+cy AS (SELECT ec.akey, ec.bkey, b.pot - a.pot - CAST("offset" AS BIGINT) AS holonomy, support, CAST(ka + kb + 1 AS INT) AS path_nodes,
+  "offset" <> 0 OR EXISTS (SELECT 1 FROM st WHERE st.akey = ec.akey AND st.bkey = ec.bkey AND o <> 0) AS turned
+  FROM ec JOIN mt USING (akey, bkey) JOIN po a ON a.x = ec.akey JOIN po b ON b.x = ec.bkey)"""
+_EFFECTIVE = "turned OR EXISTS (SELECT 1 FROM wy WHERE wy.akey = cy.akey AND wy.bkey = cy.bkey AND {free})"
 
 PLANTED = f"WITH {POINTS_SQL}, {NODES_SQL.replace('np AS (SELECT kind, cid, pid', 'np0 AS (SELECT kind, cid, pid')}" + """,
 rk AS (SELECT *, count(*) OVER (PARTITION BY nkey) AS n, row_number() OVER (PARTITION BY nkey ORDER BY pid) AS i FROM np0 WHERE {kind}),
@@ -359,8 +381,20 @@ SELECT node, pid_a, pid_b, round(residual, 6) AS residual, abs(residual) > 14 AS
     "order_arcs": (order_arcs, f"{ARCS} SELECT u, v, bound, grp, n_links FROM arcs"),
     "order_conflicts": (order_conflicts, f"{ARCS} SELECT u, v, count(DISTINCT grp) AS n_groups FROM arcs WHERE grp LIKE 'equality:%' AND u < v GROUP BY u, v HAVING count(DISTINCT grp) > 1"),
     "components": (components, f"{LABELS} SELECT * FROM lab"),
-    "component_cycles": (component_cycles, None),
-    "cycles": (cycles, None),
+    "component_cycles": (
+        component_cycles,
+        f"""{FOREST} SELECT component AS root, count(DISTINCT nkey) AS n_nodes, (SELECT count(*) FROM ed JOIN lab l2 ON l2.nkey = akey WHERE l2.component = lab.component) AS n_edges,
+  (SELECT count(*) FROM cy JOIN lab l3 ON l3.nkey = akey WHERE l3.component = lab.component) AS n_cycles,
+  NOT EXISTS (SELECT 1 FROM cy JOIN lab l4 ON l4.nkey = akey WHERE l4.component = lab.component AND holonomy <> 0) AS consistent FROM lab GROUP BY component""",
+    ),
+    "cycles": (cycles, f"{FOREST} SELECT akey, bkey, holonomy, support, path_nodes, {_EFFECTIVE.format(free="n NOT LIKE 'same:%'")} AS effective FROM cy"),
+    "graph_stats": (
+        graph_stats,
+        f"""{FOREST}, co AS (SELECT nkey FROM np GROUP BY nkey HAVING count(DISTINCT label) <= 1), cf AS (SELECT holonomy, {_EFFECTIVE.format(free="n NOT IN (SELECT nkey FROM co)")} AS effective FROM cy)
+SELECT (SELECT count(*) FROM lab) AS n_nodes, (SELECT count(*) FROM ed) AS n_edges, (SELECT count(DISTINCT component) FROM lab) AS n_components,
+  (SELECT coalesce(max(c), 0) FROM (SELECT count(*) AS c FROM lab GROUP BY component)) AS largest_component, count(*) AS n_cycles, count(*) FILTER (effective) AS n_effective_cycles,
+  count(*) FILTER (holonomy <> 0) AS n_nonzero_holonomy, count(*) FILTER (holonomy <> 0 AND effective) AS n_effective_nonzero_holonomy FROM cf""",
+    ),
     "constant_label_nodes": (constant_label_nodes, f"{NP} SELECT node FROM np GROUP BY node HAVING count(DISTINCT label) <= 1"),
     "conflict_brackets": (
         conflict_brackets,
@@ -373,7 +407,11 @@ SELECT node, partner, o AS offset_1, o2 AS offset_2, outer_pid AS pid_1, p2 AS p
     "quarantine": (quarantine, None),
     "edge_cut": (edge_cut, None),
     "min_edge_fix": (min_edge_fix, None),
-    "bad_cycle_edges": (bad_cycle_edges, None),
+    "bad_cycle_edges": (
+        bad_cycle_edges,
+        f"""{FOREST} SELECT least(f, t) AS akey, greatest(f, t) AS bkey FROM st JOIN cy USING (akey, bkey) WHERE holonomy <> 0
+UNION SELECT least(akey, bkey), greatest(akey, bkey) FROM cy WHERE holonomy <> 0""",
+    ),
     "certified_links": (certified_links, None),
     "order_feasible": (order_feasible, None),
     "planted_steps": (planted_steps, PLANTED.format(kind="kind = 'relative'", r="r", label="label + CASE WHEN i > n // 2 THEN d ELSE 0 END") + ORDER_PAIRS),

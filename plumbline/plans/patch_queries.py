@@ -210,7 +210,7 @@ SELECT line_id, count(*) AS n_valid, 0 AS n_dropped, CASE WHEN count(*) >= 2 THE
     "attachment": (attachment, None),
     "hit_gate": (
         hit_gate,
-        f"WITH {ATTACHED_SQL}, g AS (SELECT cid, count(*) FILTER (r < 600) OVER (PARTITION BY cid ORDER BY pid ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) >= 3 AS gated FROM att) SELECT cid, count(*) FILTER (gated) AS n_gated FROM g GROUP BY cid",
+        f"WITH {ATTACHED_SQL}, g AS (SELECT cid, r < 600 AND count(*) FILTER (r < 600) OVER w >= least(3, count(*) OVER w) AS gated FROM att WINDOW w AS (PARTITION BY cid ORDER BY pid ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) SELECT cid, count(*) FILTER (gated) AS n_gated FROM g GROUP BY cid",
     ),
     "relative_edges": (relative_edges, f"WITH {RELATIVE_SQL} SELECT * FROM rel"),
     "patch_reach": (patch_reach, None),
@@ -219,7 +219,7 @@ SELECT line_id, count(*) AS n_valid, 0 AS n_dropped, CASE WHEN count(*) >= 2 THE
     "disconnected_subgraphs": (
         disconnected_subgraphs,
         f"""WITH RECURSIVE {RELATIVE_SQL}, ar AS (SELECT patch_id, CAST(count(*) AS DOUBLE) AS area FROM att WHERE patch_id IS NOT NULL GROUP BY patch_id),
-bo AS (SELECT from_patch AS x, to_patch AS y FROM rel WHERE cid % 40 = 0 UNION SELECT to_patch, from_patch FROM rel WHERE cid % 40 = 0),
+bo AS (SELECT from_patch AS x, to_patch AS y FROM rel UNION SELECT to_patch, from_patch FROM rel),
 rc(x, y) AS (SELECT patch_id, patch_id FROM ar UNION SELECT rc.x, bo.y FROM rc JOIN bo ON rc.y = bo.x),
 lb AS (SELECT x AS patch_id, min(y) AS component FROM rc GROUP BY x),
 rk AS (SELECT *, row_number() OVER (PARTITION BY component ORDER BY area DESC, patch_id) AS i FROM lb JOIN ar USING (patch_id)),

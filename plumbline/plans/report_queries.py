@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from plumbline.functions.geometry import frame_twist
 from plumbline.operators import audit, controls, frame, graph, matching, repair, report
 from plumbline.operators.components import durable
-from plumbline.plans.audit_queries import _AXIS, CFG, LABELS, LINKS, NP, ORDER_PAIRS, PLANTED, _arcs, _cut, _wrap, found_edges, found_links, nodes, points
+from plumbline.operators.forest import spanning_forest
+from plumbline.plans.audit_queries import _AXIS, CFG, FOREST, LABELS, LINKS, NP, ORDER_PAIRS, PLANTED, _arcs, _cut, _wrap, found_edges, found_links, nodes, points
 from plumbline.sources.helix import POINTS_SQL, axis_table
 
 TWIST = (0.2, 0.1, 0.05)
@@ -88,21 +89,22 @@ def frame_invariance(spark, sf_dir):
 def _cycles(spark, sf_dir):
     found = durable(found_links(spark, sf_dir), "links")
     edges = durable(matching.edges(found, CFG), "edges")
-    return found, edges, durable(graph.fundamental_cycles(edges), "cycles")
+    forest = spanning_forest(edges, graph.free_nodes(edges))
+    return found, edges, forest, durable(graph.fundamental_cycles(edges, forest=forest), "cycles")
 
 
 def holonomy_signature(spark, sf_dir):
     """Each cycle that doesn't close, with what is left over."""
-    return _cycles(spark, sf_dir)[2].where("holonomy <> 0").select("akey", "bkey", "holonomy")
+    return _cycles(spark, sf_dir)[3].where("holonomy <> 0").select("akey", "bkey", "holonomy")
 
 
 def cycle_certificates(spark, sf_dir):
-    _, edges, cycles = _cycles(spark, sf_dir)
-    return report.cycle_certificates(cycles, edges)
+    _, edges, forest, cycles = _cycles(spark, sf_dir)
+    return report.cycle_certificates(cycles, edges, forest)
 
 
 def cycle_witnesses(spark, sf_dir):
-    found, _, cycles = _cycles(spark, sf_dir)
+    found, _, _, cycles = _cycles(spark, sf_dir)
     return report.cycle_witnesses(cycles, found).withColumn("gap", F.round("gap", 6))
 
 
@@ -199,9 +201,14 @@ mv AS (SELECT np.nkey, np.pid, th, lt, first_value({_cut("theta", "th")}) OVER (
 dd AS (SELECT lk.a, lk.b, x.lt - y.lt + {_cut("x.th", "y.th")} - off AS d, y.g - x.g AS e FROM lk JOIN mv x ON x.nkey = akey AND x.pid = pid_a JOIN mv y ON y.nkey = bkey AND y.pid = pid_b)
 SELECT a, b, count(*) AS n_links, count(*) FILTER (d <> 0) AS n_changed, count(*) FILTER (d <> e) AS n_off FROM dd GROUP BY a, b""",
     ),
-    "holonomy_signature": (holonomy_signature, None),
-    "cycle_certificates": (cycle_certificates, None),
-    "cycle_witnesses": (cycle_witnesses, None),
+    "holonomy_signature": (holonomy_signature, f"{FOREST} SELECT akey, bkey, holonomy FROM cy WHERE holonomy <> 0"),
+    "cycle_certificates": (
+        cycle_certificates,
+        f"""{FOREST}, bc AS (SELECT * FROM cy WHERE holonomy <> 0)
+SELECT akey, bkey, 0 AS seq, akey AS from_key, bkey AS to_key, CAST("offset" AS BIGINT) AS contribution FROM bc JOIN ed USING (akey, bkey)
+UNION ALL SELECT akey, bkey, CAST(path_nodes - 1 - seq AS INT), t, f, -o FROM bc JOIN st USING (akey, bkey)""",
+    ),
+    "cycle_witnesses": (cycle_witnesses, f'{FOREST} SELECT akey, bkey, pid_a, pid_b, off AS "offset", round(gap, 6) AS gap FROM lk JOIN cy USING (akey, bkey) WHERE holonomy <> 0'),
     "implicated_nodes": (implicated_nodes, None),
     "order_negative_cycles": (order_negative_cycles, None),
     "planted_summary": (

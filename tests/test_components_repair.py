@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.components import connected_components, linked_components
 from plumbline.operators.controls import clopper_pearson
-from plumbline.operators.graph import Forest, component_table, feasible, fundamental_cycles, potentials
+from plumbline.operators.forest import common_ancestors, lifts, spanning_forest
+from plumbline.operators.graph import component_table, cycle_ways, feasible, free_nodes, fundamental_cycles, graph_stats, potentials
 from plumbline.operators.repair import canonical, edges_on_bad_cycles, min_edge_cut, min_edge_fix, min_quarantine, quarantine, violated_cycle
 from plumbline.plans import audit_queries
 
@@ -56,12 +57,6 @@ def test_cut_loses_an_edge_once():
     assert status == "optimal" and {len(s) for s in optima} == {1}
 
 
-def test_forest_and_holonomy():
-    f = Forest({("a", "b"): 1, ("b", "c"): 1, ("a", "c"): 3})
-    (cycle,) = f.cycles()
-    assert abs(cycle[2]) == 1 and set(cycle[3]) == {"a", "b", "c"}
-
-
 def _edges(spark, rows):
     return spark.createDataFrame([(a, b, o, 2) for a, b, o in rows], "akey string, bkey string, offset long, support long")
 
@@ -135,4 +130,74 @@ def test_edge_fix_keeps_all_equations(spark):
     assert (row["akey"], row["bkey"], row["residual"], row["action"]) == ("A", "C", -1, "change")
     stuck = bad.withColumn("editable", F.lit(False))
     assert min_edge_fix(stuck).first()["status"] == "infeasible"
-    assert edges_on_bad_cycles(fundamental_cycles(bad)).count() == 3
+    assert edges_on_bad_cycles(fundamental_cycles(bad), bad).count() == 3
+
+
+def plain_forest(edges):
+    """Parent, depth and potential by breadth-first search, least neighbours first."""
+    near = {}
+    for (a, b), o in edges.items():
+        near.setdefault(a, []).append((b, o))
+        near.setdefault(b, []).append((a, -o))
+    at = {}
+    for root in sorted(near):
+        level = [] if root in at else [root]
+        at.setdefault(root, (root, None, 0, 0))
+        while level:
+            new = {}
+            for u in sorted(level):
+                for v, o in near[u]:
+                    if v not in at and v not in new:
+                        new[v] = (at[u][0], u, at[u][2] + 1, at[u][3] + o)
+            at.update(new)
+            level = list(new)
+    return at
+
+
+def plain_way(at, a, b):
+    up = lambda n: [n, *up(at[n][1])] if at[n][1] is not None else [n]
+    u, v = up(a), up(b)
+    top = next(n for n in u if n in v)
+    return u[: u.index(top) + 1] + v[: v.index(top)][::-1]
+
+
+@pytest.mark.parametrize("n,m,seed", [(12, 16, 1), (40, 44, 2), (60, 59, 3)])
+def test_cycles_match_plain_forest(spark, n, m, seed):
+    rng = random.Random(seed)
+    edges, _ = random_graph(rng, n, m)
+    if seed == 2:  # a long chain beside: deep ancestors
+        edges |= {(f"z{k:02}", f"z{k + 1:02}"): rng.randint(-1, 1) for k in range(21)} | {("z00", "z20"): 1, ("z03", "z17"): 0}
+    frame = _edges(spark, [(a, b, o) for (a, b), o in edges.items()])
+    at = plain_forest(edges)
+    constant = set(rng.sample(sorted(at), len(at) // 2))
+    still = spark.createDataFrame([(c,) for c in constant], "nkey string")
+    forest = spanning_forest(frame, free_nodes(frame, still))
+    assert {r["node"]: (r["root"], r["parent"], r["depth"], r["pot"]) for r in forest.collect()} == at
+    cycles = fundamental_cycles(frame, still, forest)
+    ways = {}
+    for r in cycle_ways(cycles, forest).collect():
+        ways.setdefault((r["akey"], r["bkey"]), {})[r["seq"]] = r["node"]
+    want = {}
+    for (a, b), o in edges.items():
+        if at[a][1] != b and at[b][1] != a:
+            way = plain_way(at, a, b)
+            steps = [edges.get((x, y), edges.get((y, x))) for x, y in zip(way, way[1:], strict=False)]
+            want[a, b] = (at[b][3] - at[a][3] - o, len(way), bool(set(way) - constant or o or any(steps)))
+            assert [ways[a, b][k] for k in range(len(way))] == way and len(ways[a, b]) == len(way)
+    assert {(r["akey"], r["bkey"]): (r["holonomy"], r["path_nodes"], r["effective"]) for r in cycles.collect()} == want
+    stats = graph_stats(frame, still).first()
+    assert (stats["n_nodes"], stats["n_edges"], stats["n_cycles"]) == (len(at), len(edges), len(want))
+    assert stats["n_effective_nonzero_holonomy"] == sum(h != 0 and e for h, _, e in want.values())
+
+
+def test_common_ancestors_of_a_chain(spark):
+    frame = _edges(spark, [(f"c{k:02}", f"c{k + 1:02}", 1) for k in range(37)])
+    forest = spanning_forest(frame)
+    pairs = spark.createDataFrame([("c00", "c37"), ("c21", "c04"), ("c09", "c09")], "a string, b string")
+    assert {(r["a"], r["lca"], r["depth_lca"]) for r in common_ancestors(pairs, forest, lifts(forest)).collect()} == {("c00", "c00", 0), ("c21", "c04", 4), ("c09", "c09", 9)}
+
+
+def test_no_equations_no_cycles(spark):
+    none = _edges(spark, [])
+    assert fundamental_cycles(none).count() == 0 and spanning_forest(none).count() == 0
+    assert graph_stats(none).first()["largest_component"] == 0
