@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Tables that were written and not yet discarded, with their sessions.
+_WRITTEN: dict[str, SparkSession] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or a temporary folder where it is unset (local runs only)."""
@@ -29,14 +34,29 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     written = spark.read.schema(df.schema).parquet(path)
     written.durable_path = path
+    _WRITTEN[path] = spark
     return written
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    _WRITTEN.pop(path, None)
+    files = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files.getFileSystem(spark._jsc.hadoopConfiguration()).delete(files, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a durable frame from which nothing is left to compute."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.durable_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df.durable_path)
+
+
+@atexit.register
+def _discard_all() -> None:
+    """What results may still have been read from goes with the program, if Spark still runs."""
+    for path, spark in list(_WRITTEN.items()):
+        with contextlib.suppress(Exception):
+            if spark.sparkContext._jsc.sc().isStopped():
+                continue
+            _delete(spark, path)
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -83,13 +83,19 @@ def absolute_nodes(points: DataFrame, gap: float = CLUSTER_GAP, guard: float = C
     pts = points.where("kind = 'absolute' and wind_a is not null")
     by = Window.partitionBy("cid").orderBy("theta", "pid")
     every = Window.partitionBy("cid")
-    g = pts.withColumn("_n", F.row_number().over(by)).withColumn("_next", F.coalesce(F.lead("theta").over(by), F.first("theta").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    g = g.withColumn("_gap", F.pmod(F.col("_next") - F.col("theta"), F.lit(TWO_PI)))
-    g = g.withColumn("_open", -F.max(F.struct("_gap", -F.col("_n"))).over(every).getField("col2"))
-    g = g.withColumn("_at", F.pmod(F.col("_n") - F.col("_open") - 1, F.count(F.lit(1)).over(every)))
-    rotated = Window.partitionBy("cid").orderBy("_at")
-    g = g.withColumn("_new", (F.col("_at") > 0) & (F.pmod(F.col("theta") - F.lag("theta").over(rotated), F.lit(TWO_PI)) > F.lit(gap)))
-    g = g.withColumn("_k", F.sum(F.col("_new").cast("int")).over(rotated.rowsBetween(Window.unboundedPreceding, 0)))
+    ahead = lambda a, b: F.pmod(b - a, F.lit(TWO_PI))
+    g = pts.withColumn("_n", F.row_number().over(by)).withColumn("_before", F.lag("theta").over(by)).withColumn("_after", F.lead("theta").over(by))
+    g = g.withColumn("_breaks", F.sum(F.coalesce(ahead(F.col("_before"), F.col("theta")) > F.lit(gap), F.lit(False)).cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = {"_first": F.min("theta").over(every), "_last": F.max("theta").over(every), "_most": F.max("_breaks").over(every)}
+    g = g.withColumns(ends)
+    around = ahead(F.col("_last"), F.col("_first"))
+    to_next = F.when(F.col("_after").isNull(), around).otherwise(ahead(F.col("theta"), F.col("_after")))
+    # what follows the widest gap comes first; breaks are counted on from there, round the circle
+    widest = F.max(F.struct(to_next.alias("gap"), (-F.col("_n")).alias("n"), F.col("_breaks").alias("breaks"), F.col("_after").isNull().alias("end"))).over(every)
+    g = g.withColumn("_open", widest)
+    start = F.when(F.col("_open.end"), F.lit(0)).otherwise(F.col("_open.breaks") + (F.col("_open.gap") > F.lit(gap)).cast("int"))
+    later = F.col("_open.end") | (F.col("_n") > -F.col("_open.n"))
+    g = g.withColumn("_k", F.when(later, F.col("_breaks") - start).otherwise(F.col("_most") - start + (around > F.lit(gap)).cast("int") + F.col("_breaks")))
     near = F.least("theta", F.lit(TWO_PI) - F.col("theta")) < F.lit(guard)
     g = g.withColumn("seam_safe", ~F.max(near).over(Window.partitionBy("cid", "_k")))
     out = g.withColumn("cid", F.concat_ws(".", "cid", "_k")).withColumn("crossings", F.lit(0).cast("long")).withColumn("label", F.bround("wind_a").cast("long"))

@@ -37,21 +37,21 @@ def in_cells(sloped: DataFrame, cfg: AuditConfig) -> DataFrame:
 
 
 def neighbourhoods(cells: DataFrame, cfg: AuditConfig) -> DataFrame:
-    """Each point in every non-empty centre (cz, ct) whose neighbourhood holds its cell."""
+    """Each point in every centre (cz, ct) whose neighbourhood holds its cell, with own: whether
+    the centre is its cell."""
     n = theta_cells(cfg.sector_dtheta_rad)
-    centres = cells.select(F.col("zi").alias("cz"), F.col("ti").alias("ct")).distinct()
-    spread = cells.withColumn("_s", F.explode(_steps(FORWARD))).withColumn("cz", F.col("zi") - F.col("_s.i")).withColumn("ct", F.pmod(F.col("ti") - F.col("_s.j"), F.lit(n))).drop("_s")
-    return spread.join(centres, ["cz", "ct"], "left_semi")
+    spread = cells.withColumn("_s", F.explode(_steps(FORWARD))).withColumn("cz", F.col("zi") - F.col("_s.i")).withColumn("ct", F.pmod(F.col("ti") - F.col("_s.j"), F.lit(n)))
+    return spread.withColumn("own", (F.col("_s.i") == 0) & (F.col("_s.j") == 0)).drop("_s")
 
 
 def crowded_centres(cells: DataFrame, cfg: AuditConfig) -> DataFrame:
-    """cz, ct, vetoed of every centre: vetoed if a node has two successive labels there whose
-    sheets, brought to the neighbourhood's median z, come closer than the crowding floor."""
-    hood = neighbourhoods(cells, cfg)
-    own = (F.col("zi") == F.col("cz")) & (F.col("ti") == F.col("ct"))
-    first = F.min(F.when(own, F.struct("nkey", "pid", "theta", "label"))).alias("ref")
-    frame = hood.groupBy("cz", "ct").agg(F.percentile("z", 0.5).alias("z_ref"), first).select("cz", "ct", "z_ref", F.col("ref.theta").alias("theta_ref"))
-    h = hood.join(frame, ["cz", "ct"])
+    """cz, ct, vetoed of every centre that isn't empty: vetoed if a node has two successive labels
+    there whose sheets, brought to the neighbourhood's median z, come closer than the crowding
+    floor. Points are dealt by centre once, for all that follows."""
+    hood = neighbourhoods(cells.select("nkey", "pid", "theta", "r", "z", "label", "slope", "zi", "ti"), cfg)
+    at = Window.partitionBy("cz", "ct")
+    first = F.min(F.when(F.col("own"), F.struct("nkey", "pid", "theta", "label"))).over(at)
+    h = hood.withColumn("ref", first).withColumn("z_ref", F.percentile("z", 0.5).over(at)).where("ref is not null").withColumn("theta_ref", F.col("ref.theta"))
     h = h.withColumn("_label", F.col("label") + F.lit(cfg.sense) * cut_crossing(F.col("theta"), F.col("theta_ref")))
     h = h.withColumn("_r", F.col("r") + F.coalesce(F.col("slope") * (F.col("z_ref") - F.col("z")), F.lit(0.0)))
     sheets = h.groupBy("cz", "ct", "nkey", "_label").agg(F.min("_r").alias("inner"), F.max("_r").alias("outer"))

@@ -26,12 +26,25 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame.node_points(points(spark, sf_dir), CFG.sense)
 
 
+def kept_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes, written: what follows reads them more than once."""
+    return durable(nodes(spark, sf_dir), "nodes")
+
+
+def kept_sloped(spark: SparkSession, sf_dir: str, n: DataFrame | None = None) -> DataFrame:
+    return durable(audit.with_slopes(kept_nodes(spark, sf_dir) if n is None else n, CFG.sense), "sloped")
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.in_cells(audit.with_slopes(nodes(spark, sf_dir), CFG.sense), CFG)
+    return matching.in_cells(kept_sloped(spark, sf_dir), CFG)
+
+
+def links_in(c: DataFrame) -> DataFrame:
+    return matching.links(c, CFG, durable(matching.crowded_centres(c, CFG), "centres"))
 
 
 def found_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.links(cells(spark, sf_dir), CFG)
+    return links_in(cells(spark, sf_dir))
 
 
 def found_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,11 +107,11 @@ def calibration(spark, sf_dir):
 
 
 def point_slopes(spark, sf_dir):
-    return audit.with_slopes(nodes(spark, sf_dir), CFG.sense).select("node", "pid", F.round("slope", 6).alias("slope"))
+    return audit.with_slopes(kept_nodes(spark, sf_dir), CFG.sense).select("node", "pid", F.round("slope", 6).alias("slope"))
 
 
 def order_audit(spark, sf_dir):
-    return audit.order_audit(audit.with_slopes(nodes(spark, sf_dir), CFG.sense), CFG)
+    return audit.order_audit(kept_sloped(spark, sf_dir), CFG)
 
 
 def step_audit(spark, sf_dir):
@@ -108,7 +121,7 @@ def step_audit(spark, sf_dir):
 
 
 def shuffled_order(spark, sf_dir):
-    return audit.shuffled_order_control(audit.with_slopes(nodes(spark, sf_dir), CFG.sense), CFG, rounds=5)
+    return audit.shuffled_order_control(kept_sloped(spark, sf_dir), CFG, rounds=5)
 
 
 def crowd_veto(spark, sf_dir):
@@ -128,7 +141,7 @@ def conflicts(spark, sf_dir):
 
 
 def match_stats(spark, sf_dir):
-    c = durable(cells(spark, sf_dir), "cells")
+    c = cells(spark, sf_dir)
     centres = durable(matching.crowded_centres(c, CFG), "centres")
     return matching.match_stats(c, centres, durable(matching.links(c, CFG, centres), "links"), CFG)
 
@@ -140,7 +153,7 @@ def order_candidates(spark, sf_dir):
 
 def _arcs(spark, sf_dir):
     c = cells(spark, sf_dir)
-    return graph.order_arcs(matching.candidate_pairs(c, CFG, None), matching.links(c, CFG), CFG.wrap_spacing_median, MARGIN, CFG.min_edge_support)
+    return graph.order_arcs(matching.candidate_pairs(c, CFG, None), links_in(c), CFG.wrap_spacing_median, MARGIN, CFG.min_edge_support)
 
 
 def order_arcs(spark, sf_dir):
@@ -174,8 +187,9 @@ def constant_label_nodes(spark, sf_dir):
 
 
 def conflict_brackets(spark, sf_dir):
-    found = durable(found_links(spark, sf_dir), "links")
-    return localize.conflict_brackets(found, matching.conflicts(found, CFG), nodes(spark, sf_dir))
+    n = kept_nodes(spark, sf_dir)
+    found = durable(links_in(matching.in_cells(kept_sloped(spark, sf_dir, n), CFG)), "links")
+    return localize.conflict_brackets(found, matching.conflicts(found, CFG), n)
 
 
 def quarantine(spark, sf_dir):
@@ -207,27 +221,28 @@ def order_feasible(spark, sf_dir):
 
 
 def planted_steps(spark, sf_dir):
-    return controls.planted_order_audit(controls.plant_steps(nodes(spark, sf_dir)), CFG)
+    return controls.planted_order_audit(controls.plant_steps(kept_nodes(spark, sf_dir)), CFG)
 
 
 def planted_switches(spark, sf_dir):
-    return controls.planted_order_audit(controls.plant_sheet_switch(nodes(spark, sf_dir), CFG.wrap_spacing_median), CFG)
+    return controls.planted_order_audit(controls.plant_sheet_switch(kept_nodes(spark, sf_dir), CFG.wrap_spacing_median), CFG)
 
 
 def noise_null(spark, sf_dir):
-    return controls.noise_null(nodes(spark, sf_dir), CFG, rounds=5)
+    return controls.noise_null(kept_nodes(spark, sf_dir), CFG, rounds=5)
 
 
 def sensitivity_sweep(spark, sf_dir):
-    return controls.sensitivity_sweep(audit.with_slopes(nodes(spark, sf_dir), CFG.sense), CFG, dzs=SWEEP_DZS)
+    return controls.sensitivity_sweep(kept_sloped(spark, sf_dir), CFG, dzs=SWEEP_DZS)
 
 
 def review_queue(spark, sf_dir):
-    n = durable(nodes(spark, sf_dir), "nodes")
-    found = durable(matching.links(matching.in_cells(audit.with_slopes(n, CFG.sense), CFG), CFG), "links")
+    n = kept_nodes(spark, sf_dir)
+    sloped = kept_sloped(spark, sf_dir, n)
+    found = durable(links_in(matching.in_cells(sloped, CFG)), "links")
     tags = n.select("nkey", "node").distinct()
     q = repair.quarantine(matching.edges(found, CFG)).where("chosen").join(tags, "nkey").select("node")
-    robust = controls.sensitivity_sweep(audit.with_slopes(n, CFG.sense), CFG, dzs=SWEEP_DZS)
+    robust = controls.sensitivity_sweep(sloped, CFG, dzs=SWEEP_DZS)
     steps = audit.step_audit(n, CFG).where("violation")
     queue = localize.review_queue(matching.conflicts(found, CFG), steps, durable(q, "quarantine"), robust, n)
     return queue.withColumn("evidence", F.array_join("evidence", "; "))

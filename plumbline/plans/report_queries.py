@@ -11,7 +11,7 @@ from plumbline.functions.geometry import frame_twist
 from plumbline.operators import audit, controls, frame, graph, matching, repair, report
 from plumbline.operators.components import durable
 from plumbline.operators.forest import spanning_forest
-from plumbline.plans.audit_queries import _AXIS, CFG, FOREST, LABELS, LINKS, NP, ORDER_PAIRS, PLANTED, _arcs, _cut, _wrap, found_edges, found_links, nodes, points
+from plumbline.plans.audit_queries import _AXIS, CFG, FOREST, LABELS, LINKS, NP, ORDER_PAIRS, PLANTED, _arcs, _cut, _wrap, found_edges, found_links, kept_nodes, kept_sloped, links_in, points
 from plumbline.sources.helix import POINTS_SQL, axis_table
 
 TWIST = (0.2, 0.1, 0.05)
@@ -23,7 +23,8 @@ def corpus_stats(spark, sf_dir):
 
 
 def coverage(spark, sf_dir):
-    return report.coverage(nodes(spark, sf_dir), found_edges(spark, sf_dir))
+    n = kept_nodes(spark, sf_dir)
+    return report.coverage(n, matching.edges(links_in(matching.in_cells(kept_sloped(spark, sf_dir, n), CFG)), CFG))
 
 
 def axis_extrapolated(spark, sf_dir):
@@ -34,8 +35,8 @@ def axis_extrapolated(spark, sf_dir):
 
 def audit_report(spark, sf_dir):
     """section, name, value: the counts of a whole audit."""
-    n = durable(nodes(spark, sf_dir), "nodes")
-    sloped = durable(audit.with_slopes(n, CFG.sense), "sloped")
+    n = kept_nodes(spark, sf_dir)
+    sloped = kept_sloped(spark, sf_dir, n)
     c = matching.in_cells(sloped, CFG)
     centres = durable(matching.crowded_centres(c, CFG), "centres")
     found = durable(matching.links(c, CFG, centres), "links")
@@ -54,8 +55,8 @@ def audit_report(spark, sf_dir):
 
 
 def boundary_sites(spark, sf_dir):
-    n = durable(nodes(spark, sf_dir), "nodes")
-    found = durable(matching.links(matching.in_cells(audit.with_slopes(n, CFG.sense), CFG), CFG), "links")
+    n = kept_nodes(spark, sf_dir)
+    found = durable(links_in(matching.in_cells(kept_sloped(spark, sf_dir, n), CFG)), "links")
     return report.boundary_sites(n, found, matching.edges(found, CFG), CFG.min_edge_support)
 
 
@@ -81,8 +82,8 @@ def _turned(spark, sf_dir):
 
 
 def frame_invariance(spark, sf_dir):
-    n = durable(nodes(spark, sf_dir), "nodes")
-    found = matching.links(matching.in_cells(audit.with_slopes(n, CFG.sense), CFG), CFG)
+    n = kept_nodes(spark, sf_dir)
+    found = links_in(matching.in_cells(kept_sloped(spark, sf_dir, n), CFG))
     return report.gauge_differences(found, n, _turned(spark, sf_dir), CFG.sense)
 
 
@@ -120,12 +121,12 @@ def order_negative_cycles(spark, sf_dir):
 
 
 def planted_summary(spark, sf_dir):
-    s = controls.planted_summary(controls.planted_order_audit(controls.plant_steps(nodes(spark, sf_dir), (0, 1, -1)), CFG))
+    s = controls.planted_summary(controls.planted_order_audit(controls.plant_steps(kept_nodes(spark, sf_dir), (0, 1, -1)), CFG))
     return s.select("scenario", "n_trials", "n_alarms", F.round("alarm_rate", 6).alias("alarm_rate"), F.round("mean_new", 6).alias("mean_new"))
 
 
 def null_summary(spark, sf_dir):
-    n = durable(nodes(spark, sf_dir), "nodes")
+    n = kept_nodes(spark, sf_dir)
     base = audit.order_audit(audit.with_slopes(n, CFG.sense), CFG).agg(F.coalesce(F.sum(F.col("n_sign") + F.col("n_split")), F.lit(0))).first()[0]
     return controls.null_summary(controls.noise_null(n, CFG, rounds=5), base)
 
