@@ -8,10 +8,10 @@ import math
 from pyspark.sql import functions as F
 
 from plumbline.functions.geometry import frame_twist
-from plumbline.operators import audit, controls, frame, graph, matching, repair, report
+from plumbline.operators import audit, controls, directed, frame, graph, matching, repair, report
 from plumbline.operators.components import durable
 from plumbline.operators.forest import spanning_forest
-from plumbline.plans.audit_queries import _AXIS, CFG, FOREST, LABELS, LINKS, NP, ORDER_PAIRS, PLANTED, _arcs, _cut, _wrap, found_edges, found_links, kept_nodes, kept_sloped, links_in, points
+from plumbline.plans.audit_queries import _AXIS, ARCS, CFG, FOREST, LABELS, LINKS, MARGIN, NP, ORDER_PAIRS, PLANTED, _arcs, _cut, _wrap, found_edges, found_links, kept_nodes, kept_sloped, links_in, points
 from plumbline.sources.helix import POINTS_SQL, axis_table
 
 TWIST = (0.2, 0.1, 0.05)
@@ -120,6 +120,15 @@ def order_negative_cycles(spark, sf_dir):
     return graph.negative_cycles(arcs, graph.feasible(arcs)[1])
 
 
+def order_sites(spark, sf_dir):
+    n = kept_nodes(spark, sf_dir)
+    c = matching.in_cells(kept_sloped(spark, sf_dir, n), CFG)
+    pairs, found = durable(matching.candidate_pairs(c, CFG, None), "candidates"), durable(links_in(c), "links")
+    evidence = directed.order_evidence(pairs, found, CFG.wrap_spacing_median, MARGIN, CFG.min_edge_support)
+    arcs = graph.order_arcs(pairs, found, CFG.wrap_spacing_median, MARGIN, CFG.min_edge_support)
+    return directed.order_sites(n, arcs, evidence, CFG.min_edge_support)
+
+
 def planted_summary(spark, sf_dir):
     s = controls.planted_summary(controls.planted_order_audit(controls.plant_steps(kept_nodes(spark, sf_dir), (0, 1, -1)), CFG))
     return s.select("scenario", "n_trials", "n_alarms", F.round("alarm_rate", 6).alias("alarm_rate"), F.round("mean_new", 6).alias("mean_new"))
@@ -212,6 +221,22 @@ UNION ALL SELECT akey, bkey, CAST(path_nodes - 1 - seq AS INT), t, f, -o FROM bc
     "cycle_witnesses": (cycle_witnesses, f'{FOREST} SELECT akey, bkey, pid_a, pid_b, off AS "offset", round(gap, 6) AS gap FROM lk JOIN cy USING (akey, bkey) WHERE holonomy <> 0'),
     "implicated_nodes": (implicated_nodes, None),
     "order_negative_cycles": (order_negative_cycles, None),
+    "order_sites": (
+        order_sites,
+        f"""{ARCS.replace("WITH", "WITH RECURSIVE", 1)},
+evd AS (SELECT a AS u, b AS v, pid_a AS pu, pid_b AS pv FROM lk JOIN sup USING (akey, bkey, off, a, b) WHERE support >= 2 UNION ALL SELECT b, a, pid_b, pid_a FROM lk JOIN sup USING (akey, bkey, off, a, b) WHERE support >= 2
+  UNION ALL SELECT u, v, pu, pv FROM (SELECT CASE WHEN gap > 0 THEN a ELSE b END AS u, CASE WHEN gap > 0 THEN b ELSE a END AS v, CASE WHEN gap > 0 THEN pid_a ELSE pid_b END AS pu, CASE WHEN gap > 0 THEN pid_b ELSE pid_a END AS pv,
+    count(*) OVER (PARTITION BY CASE WHEN gap > 0 THEN a ELSE b END, CASE WHEN gap > 0 THEN b ELSE a END, CASE WHEN gap > 0 THEN off - 1 ELSE -off - 1 END) AS n FROM cand WHERE abs(gap) > 20) WHERE n >= 2),
+ch AS (SELECT node, pid, row_number() OVER (PARTITION BY node ORDER BY pid) AS i, count(*) OVER (PARTITION BY node) AS n FROM np WHERE kind <> 'absolute'),
+side AS (SELECT u AS node, v AS p, pu AS pid, 1 AS o FROM evd UNION ALL SELECT v, u, pv, 0 FROM evd),
+bd AS (SELECT node, CAST(unnest(generate_series(1, n - 1)) AS INT) AS b FROM (SELECT DISTINCT node, n FROM ch WHERE n >= 4)),
+sd AS MATERIALIZED (SELECT bd.node, b, p, o, count(*) FILTER (i <= b) AS l, count(*) FILTER (i > b) AS r FROM bd JOIN ch ON ch.node = bd.node JOIN side ON side.node = ch.node AND side.pid = ch.pid GROUP BY ALL),
+ar AS MATERIALIZED (SELECT DISTINCT u, v FROM arcs),
+rk(k, x, y) AS (SELECT DISTINCT node, p, p FROM sd WHERE o = 1 AND (l >= 2 OR r >= 2) UNION SELECT k, x, v FROM rk JOIN ar ON u = y AND v <> k),
+ok AS (SELECT DISTINCT s.node, s.b FROM sd s JOIN rk ON rk.k = s.node AND rk.x = s.p JOIN sd t ON t.node = s.node AND t.b = s.b AND t.p = rk.y AND t.o = 0
+  WHERE s.o = 1 AND (s.l >= 2 AND t.r >= 2 OR s.r >= 2 AND t.l >= 2))
+SELECT bd.node, bd.b AS boundary, ok.b IS NOT NULL AS covered FROM bd LEFT JOIN ok USING (node, b)""",
+    ),
     "planted_summary": (
         planted_summary,
         "SELECT scenario, count(*) AS n_trials, count(*) FILTER (m > 0) AS n_alarms, round(avg(CAST(m > 0 AS INT)), 6) AS alarm_rate, round(avg(m) FILTER (m > 0), 6) AS mean_new FROM"
