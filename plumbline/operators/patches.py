@@ -1,26 +1,31 @@
 """Gridded surface patches in long form: cells (patch_id, i, j, x, y, z), valid ones only.
 
 Neighbourhoods are made by sending each cell to the quads (or crosses) it belongs to and
-grouping once, not by joining a patch with itself. Only routes within one patch, whose
-grid bounds them, are found by Python, a patch a group.
+grouping once, not by joining a patch with itself. Only the search of routes within one patch,
+whose grid bounds it, is Python, a patch a group.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.geometry import cut_crossing
+from plumbline.operators.components import connected_components, durable
 from plumbline.operators.frame import to_cylindrical
 
 CORNERS = ((0, 0), (0, 1), (1, 0), (1, 1))
 MEDIAL = 4.0
 TOLERANCE = 2.5
+STRIP = 64
+STRETCH = 64
+STEPS = [(a, b, math.hypot(a, b)) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
 
 
 def valid_cells(grid: DataFrame) -> DataFrame:
@@ -79,8 +84,6 @@ def lift(places: DataFrame, quad_table: DataFrame) -> DataFrame:
 def densify(lines: DataFrame, step: float = 1.0) -> DataFrame:
     """line_id, k, fi, fj along polylines (line_id, seq, fi, fj) at steps of at most `step`; each
     junction once."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("line_id").orderBy("seq")
     s = lines.withColumn("_ni", F.lead("fi").over(w)).withColumn("_nj", F.lead("fj").over(w)).withColumn("_last", F.lead("seq").over(w).isNull())
     n = F.greatest(F.lit(1), F.ceil(F.hypot(F.col("_ni") - F.col("fi"), F.col("_nj") - F.col("fj")) / F.lit(step)))
@@ -94,8 +97,6 @@ def densify(lines: DataFrame, step: float = 1.0) -> DataFrame:
 def path_transport(samples: DataFrame, axis: DataFrame) -> DataFrame:
     """line_id, delta, n_valid, n_dropped: signed cut crossings along samples (line_id, k, x, y, z,
     valid); null where fewer than two are valid."""
-    from pyspark.sql import Window
-
     counts = samples.groupBy("line_id").agg(F.count_if("valid").alias("n_valid"), F.count_if(~F.col("valid")).alias("n_dropped"))
     t = to_cylindrical(samples.where("valid"), axis)
     w = Window.partitionBy("line_id").orderBy("k")
@@ -171,125 +172,208 @@ def best_patch(hits: DataFrame, areas: DataFrame) -> DataFrame:
 
 def quad_edges(quad_table: DataFrame) -> DataFrame:
     """Neighbouring quads, eight directions: patch_id, i, j, ni, nj, length."""
-    steps = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]
-    s = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(math.hypot(a, b)).alias("l")) for a, b in steps]))
+    s = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(length).alias("l")) for a, b, length in STEPS]))
     q = quad_table.select("patch_id", "i", "j")
     e = q.withColumn("_s", s).select("patch_id", "i", "j", (F.col("i") + F.col("_s.a")).alias("ni"), (F.col("j") + F.col("_s.b")).alias("nj"), F.col("_s.l").alias("length"))
     return e.join(q.select("patch_id", F.col("i").alias("ni"), F.col("j").alias("nj")), ["patch_id", "ni", "nj"], "left_semi")
 
 
-def distance_to_edge(mask: np.ndarray) -> np.ndarray:
-    """Euclidean distance of each set cell to the nearest unset one, beyond the border too."""
-    m = np.pad(mask, 1)
-    h, w = m.shape
-    far = float(h + w)
-    down = np.where(m, far, 0.0)
-    for i in range(1, h):
-        down[i] = np.minimum(down[i], down[i - 1] + 1)
-    for i in range(h - 2, -1, -1):
-        down[i] = np.minimum(down[i], down[i + 1] + 1)
-    square, j = down**2, np.arange(w)
-    out = np.min(square[:, None, :] + (j[:, None] - j[None, :]) ** 2, axis=2)
-    return np.sqrt(out)[1:-1, 1:-1]
+def edge_distance(quad_table: DataFrame) -> DataFrame:
+    """patch_id, i, j, distance: how far each quad is from the nearest place without one, beyond
+    the grid too, exactly. Along a row that is where its run of quads ends, by a window; down
+    columns, STRIP of them at a time, the least of (rows between)^2 + (that distance)^2."""
+    row = Window.partitionBy("patch_id", "i").orderBy("j")
+    r = quad_table.select("patch_id", "i", "j").withColumn("_run", F.col("j") - F.row_number().over(row))
+    run = Window.partitionBy("patch_id", "i", "_run")
+    side = F.least(F.col("j") - F.min("j").over(run), F.max("j").over(run) - F.col("j")) + 1
+    r = r.select("patch_id", "i", "j", side.cast("long").alias("side"), F.floor(F.col("j") / STRIP).alias("strip"))
+
+    def down(frame: pd.DataFrame) -> pd.DataFrame:
+        top, left = frame.i.min() - 1, frame.j.min()
+        i, j = (frame.i - top).to_numpy(), (frame.j - left).to_numpy()
+        own = np.zeros((i.max() + 2, j.max() + 1), np.int64)
+        own[i, j] = frame.side.to_numpy() ** 2
+        best, d = own.copy(), 1
+        while d * d < best.max():
+            np.minimum(best[d:], own[:-d] + d * d, out=best[d:])
+            np.minimum(best[:-d], own[d:] + d * d, out=best[:-d])
+            d += 1
+        return frame[["patch_id", "i", "j"]].assign(distance=np.sqrt(best[i, j]))
+
+    return r.groupBy("patch_id", "strip").applyInPandas(down, "patch_id string, i long, j long, distance double")
 
 
 class Grid:
-    """One patch in memory: its quads as a graph."""
-
-    def __init__(self, frame: pd.DataFrame, theta: np.ndarray):
-        self.i0, self.j0 = int(frame.i.min()), int(frame.j.min())
-        shape = int(frame.i.max()) - self.i0 + 1, int(frame.j.max()) - self.j0 + 1
-        i, j = frame.i.to_numpy() - self.i0, frame.j.to_numpy() - self.j0
-        self.valid = np.zeros(shape, bool)
-        self.valid[i, j] = True
-        self.theta = np.full(shape, np.nan)
-        self.theta[i, j] = theta
-        self.margin = np.maximum(distance_to_edge(self.valid), 1)
-
-    def near(self, q: tuple[int, int]):
-        for a in (-1, 0, 1):
-            for b in (-1, 0, 1):
-                n = (q[0] + a, q[1] + b)
-                if (a or b) and 0 <= n[0] < self.valid.shape[0] and 0 <= n[1] < self.valid.shape[1] and self.valid[n]:
-                    yield n, math.hypot(a, b) * (1 + MEDIAL / self.margin[n])
+    """The quads of one patch as a graph; a step costs more near the edge."""
+
+    def __init__(self, frame: pd.DataFrame):
+        self.places = frame[["i", "j"]].to_numpy(np.int64)
+        self.low, self.high = self.places.min(axis=0), self.places.max(axis=0)
+        cost = 1 + MEDIAL / np.maximum(frame.distance.to_numpy(), 1)
+        self.cost = dict(zip(map(tuple, self.places.tolist()), cost.tolist(), strict=True))
 
     def nearest(self, fi: float, fj: float) -> tuple[int, int]:
-        """The valid quad that holds a place, else the nearest one (first in order)."""
-        q = np.clip((math.floor(fi) - self.i0, math.floor(fj) - self.j0), 0, np.array(self.valid.shape) - 1)
-        if self.valid[tuple(q)]:
-            return int(q[0]), int(q[1])
-        v = np.argwhere(self.valid)
-        best = v[np.argmin(((v - q) ** 2).sum(1))]
-        return int(best[0]), int(best[1])
-
-    def route(self, a: tuple[int, int], b: tuple[int, int]) -> list[tuple[int, int]] | None:
-        """Cheapest way; it costs more near the edge."""
-        dist, before, heap = {a: 0.0}, {}, [(0.0, a)]
+        """The quad that holds a place, else the nearest one (first in order)."""
+        q = np.clip((math.floor(fi), math.floor(fj)), self.low, self.high)
+        if tuple(q.tolist()) in self.cost:
+            return tuple(q.tolist())
+        apart = ((self.places - q) ** 2).sum(axis=1)
+        return tuple(min(self.places[apart == apart.min()].tolist()))
+
+    def before(self, start: tuple[int, int]) -> dict[tuple[int, int], tuple[int, int] | None]:
+        """The quad before each that can be reached, on the cheapest way from start."""
+        best, came, heap, done = {start: 0.0}, {start: None}, [(0.0, start)], set()
         while heap:
-            d, q = heapq.heappop(heap)
-            if q == b:
-                way = [b]
-                while way[-1] != a:
-                    way.append(before[way[-1]])
-                return way[::-1]
-            if d > dist[q]:
+            far, q = heapq.heappop(heap)
+            if q in done:
                 continue
-            for n, w in self.near(q):
-                if d + w < dist.get(n, math.inf):
-                    dist[n], before[n] = d + w, q
-                    heapq.heappush(heap, (d + w, n))
-        return None
-
-
-def crossings(theta: np.ndarray) -> int:
-    d = np.diff(theta)
-    return int((d < -math.pi).sum() - (d > math.pi).sum())
-
-
-def _centres(quad_table: DataFrame, axis: DataFrame) -> DataFrame:
-    mean = lambda k: sum((F.col(f"c{a}{b}.{k}") for a, b in CORNERS[1:]), F.col("c00." + k)) / 4
-    return to_cylindrical(quad_table.select("patch_id", "i", "j", *[mean(k).alias(k) for k in "xyz"]), axis).select("patch_id", "i", "j", "theta")
+            done.add(q)
+            for a, b, length in STEPS:
+                n = (q[0] + a, q[1] + b)
+                if n in self.cost and n not in done and far + length * self.cost[n] < best.get(n, math.inf):
+                    best[n], came[n] = far + length * self.cost[n], q
+                    heapq.heappush(heap, (best[n], n))
+        return came
 
 
-def strip_deltas(requests: DataFrame, quad_table: DataFrame, axis: DataFrame) -> DataFrame:
-    """request, delta, n_quads: crossings of the cut along the cheapest way between two places
-    of a patch (request, patch_id, from_i, from_j, to_i, to_j); null where there is none."""
+def routes(requests: DataFrame, quad_table: DataFrame) -> DataFrame:
+    """request, seq, fi, fj, n_quads: the centres along the cheapest way between two places of a
+    patch (request, patch_id, from_i, from_j, to_i, to_j), with the places at its ends; none
+    where there is no way. Requests from one place share its tree of ways."""
 
     def solve(wanted: pd.DataFrame, frame: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        grid = Grid(frame, frame.theta.to_numpy()) if len(frame) else None
-        for r in wanted.itertuples():
-            way = grid.route(grid.nearest(r.from_i, r.from_j), grid.nearest(r.to_i, r.to_j)) if grid else None
-            rows.append((r.request, None if way is None else crossings(np.array([grid.theta[q] for q in way])), None if way is None else len(way)))
-        return pd.DataFrame(rows, columns=["request", "delta", "n_quads"]).astype({"delta": "Int64", "n_quads": "Int64"})
-
-    centres = _centres(quad_table, axis).toDF("patch", "i", "j", "theta")
-    return requests.groupBy("patch_id").cogroup(centres.groupBy("patch")).applyInPandas(solve, "request long, delta long, n_quads long")
+        grid = Grid(frame) if len(frame) else None
+        for (fi, fj), same in wanted.groupby(["from_i", "from_j"]) if grid else ():
+            came = grid.before(grid.nearest(fi, fj))
+            for r in same.itertuples():
+                at, way = grid.nearest(r.to_i, r.to_j), []
+                while at is not None and (way or at in came):
+                    way.append((at[0] + 0.5, at[1] + 0.5))
+                    at = came[at]
+                whole = [(fi, fj), *way[::-1], (r.to_i, r.to_j)] if way else []
+                rows += [(r.request, k, x, y, len(way)) for k, (x, y) in enumerate(whole)]
+        return pd.DataFrame(rows, columns=["request", "seq", "fi", "fj", "n_quads"])
+
+    margins = edge_distance(quad_table).select(F.col("patch_id").alias("patch"), "i", "j", "distance")
+    return requests.groupBy("patch_id").cogroup(margins.groupBy("patch")).applyInPandas(solve, "request long, seq long, fi double, fj double, n_quads long")
+
+
+def strip_deltas(requests: DataFrame, quad_table: DataFrame, axis: DataFrame, step: float = 1.0) -> DataFrame:
+    """request, delta, n_quads, n_valid, n_dropped: crossings of the cut along the cheapest way
+    between two places, sampled at most `step` apart from place to place; samples off the patch
+    are dropped and counted. Null where there is no way, or not two samples on the patch."""
+    lines = durable(routes(requests, quad_table), "routes")
+    samples = densify(lines.select(F.col("request").alias("line_id"), "seq", "fi", "fj"), step)
+    named = samples.join(requests.select(F.col("request").alias("line_id"), "patch_id"), "line_id")
+    moved = path_transport(lift(named, quad_table), axis).withColumnRenamed("line_id", "request")
+    sizes = lines.groupBy("request").agg(F.max("n_quads").alias("n_quads"))
+    found = requests.select("request").join(sizes, "request", "left").join(moved, "request", "left")
+    return found.select("request", "delta", "n_quads", "n_valid", "n_dropped")
+
+
+def _blocks(cells: DataFrame, label: Column) -> DataFrame:
+    """patch_id, i, j and a, b, c, d: what label says of the four cells of each 2 x 2 block."""
+    at = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p, q in CORNERS]))
+    own = cells.select("patch_id", "i", "j", label.alias("own")).withColumn("_o", at)
+    g = own.groupBy("patch_id", (F.col("i") - F.col("_o.p")).alias("i"), (F.col("j") - F.col("_o.q")).alias("j"))
+    return g.agg(*[F.max(F.when((F.col("_o.p") == p) & (F.col("_o.q") == q), F.col("own"))).alias(n) for n, (p, q) in zip("abcd", CORNERS, strict=True)])
+
+
+def runs(places: DataFrame) -> DataFrame:
+    """patch_id, i, lo, hi: places (patch_id, i, j) as runs along rows."""
+    numbered = places.withColumn("_r", F.col("j") - F.row_number().over(Window.partitionBy("patch_id", "i").orderBy("j")))
+    return numbered.groupBy("patch_id", "i", "_r").agg(F.min("j").alias("lo"), F.max("j").alias("hi")).drop("_r")
+
+
+def run_components(found: DataFrame, reach: int) -> DataFrame:
+    """runs with label: runs of neighbouring rows are joined where they overlap, with reach 1 also
+    where they touch at corners."""
+    name = F.concat_ws("/", "patch_id", F.col("i").cast("string"), F.col("lo").cast("string"))
+    named = durable(found.withColumn("node", name), "runs")
+    # runs meet through stretches of columns, so a row's runs aren't all compared with the next row's
+    spread = lambda lo, hi: F.explode(F.sequence(F.floor(lo / STRETCH), F.floor(hi / STRETCH)))
+    upper = named.select("patch_id", (F.col("i") + 1).alias("i"), F.col("lo").alias("l"), F.col("hi").alias("h"), F.col("node").alias("a"), spread(F.col("lo") - reach, F.col("hi") + reach).alias("s"))
+    lower = named.withColumn("s", spread(F.col("lo"), F.col("hi")))
+    meet = upper.join(lower, ["patch_id", "i", "s"]).where((F.col("l") <= F.col("hi") + reach) & (F.col("h") >= F.col("lo") - reach)).select("a", F.col("node").alias("b")).distinct()
+    comp = connected_components(named.select("node", F.col("node").alias("label")), meet)
+    return named.join(comp, "node").drop("node")
+
+
+def holes(places: DataFrame) -> DataFrame:
+    """patch_id, i, j, hole: the cells that places (patch_id, i, j) enclose, cells that share a
+    side being in one hole."""
+    box = places.groupBy("patch_id").agg(*[f(c).alias(f"{c}{n}") for c in "ij" for f, n in ((F.min, 0), (F.max, 1))])
+    own = runs(places)
+    row = Window.partitionBy("patch_id", "i").orderBy("lo")
+    gaps = own.withColumn("_next", F.lead("lo").over(row)).join(box, "patch_id")
+    # between runs, before the first and after the last, up to one cell beyond the box; empty rows whole
+    first = F.lag("hi").over(row).isNull()
+    side = lambda lo, hi: F.struct(lo.cast("long").alias("lo"), hi.cast("long").alias("hi"))
+    gaps = gaps.withColumn("_first", first).select(
+        "patch_id", "i", F.inline(F.array(
+            side(F.col("hi") + 1, F.coalesce(F.col("_next") - 1, F.col("j1") + 1)),
+            F.when(F.col("_first"), side(F.col("j0") - 1, F.col("lo") - 1)).otherwise(side(F.lit(1), F.lit(0))),
+        )),
+    ).where("lo <= hi")
+    rows = box.select("patch_id", F.explode(F.sequence(F.col("i0") - 1, F.col("i1") + 1)).alias("i"), (F.col("j0") - 1).alias("lo"), (F.col("j1") + 1).alias("hi"))
+    empty = rows.join(own, ["patch_id", "i"], "left_anti").select("patch_id", "i", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
+    whole = durable(run_components(gaps.unionAll(empty), 0), "gaps")
+    outside = whole.join(box, "patch_id").where("i = i0 - 1").select("patch_id", "label").distinct()
+    inner = whole.join(outside, ["patch_id", "label"], "left_anti")
+    return inner.select("patch_id", "i", F.explode(F.sequence("lo", "hi")).alias("j"), F.col("label").alias("hole"))
 
 
 def integrability(quad_table: DataFrame, axis: DataFrame) -> DataFrame:
-    """patch_id, n_quads, n_components, n_edges, n_inconsistent: whether crossings between
-    neighbouring quads' centres add up to none on every closed way of a patch."""
-
-    def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        g = Grid(frame, frame.theta.to_numpy())
-        pot: dict[tuple[int, int], int] = {}
-        parts, edges, bad = 0, 0, 0
-        for root in map(tuple, np.argwhere(g.valid).tolist()):
-            if root in pot:
-                continue
-            parts += 1
-            pot[root], queue = 0, [root]
-            for q in queue:
-                for n, _ in g.near(q):
-                    if n not in pot:
-                        pot[n] = pot[q] + crossings(np.array([g.theta[q], g.theta[n]]))
-                        queue.append(n)
-        for q in pot:
-            for n, _ in g.near(q):
-                if q < n:
-                    edges += 1
-                    bad += pot[n] - pot[q] != crossings(np.array([g.theta[q], g.theta[n]]))
-        return pd.DataFrame([(frame.patch_id.iloc[0], len(pot), parts, edges, bad)], columns=["patch_id", "n_quads", "n_components", "n_edges", "n_inconsistent"])
-
-    return _centres(quad_table, axis).groupBy("patch_id").applyInPandas(solve, "patch_id string, n_quads long, n_components long, n_edges long, n_inconsistent long")
+    """patch_id, n_quads, n_components, n_edges, n_blocks, n_holes, n_inconsistent, max_residual,
+    invalid_midpoints: whether the cut's crossings between neighbouring quads (eight directions,
+    diagonals through the corner that they share, if that can be measured) add up to none on
+    every closed way of a patch.
+
+    Ways are sums of elementary ones: triangles within blocks of 2 x 2 quads (three at least), and
+    one way around each hole. n_inconsistent counts the blocks and holes with one that doesn't
+    add up to 0, max_residual is the greatest sum. Each is measured where it is; no way is
+    followed through a patch."""
+    mean = lambda k: sum((F.col(f"c{a}{b}.{k}") for a, b in CORNERS[1:]), F.col("c00." + k)) / 4
+    q = durable(quad_table.select("patch_id", "i", "j", *[mean(k).alias(k) for k in "xyz"], *[F.col(f"c00.{k}").alias(f"k{k}") for k in "xyz"]), "centres")
+    angle = to_cylindrical(q.select("patch_id", "i", "j", "x", "y", "z"), axis).select("patch_id", "i", "j", F.col("theta").alias("t"))
+    corner = to_cylindrical(q.select("patch_id", "i", "j", F.col("kx").alias("x"), F.col("ky").alias("y"), F.col("kz").alias("z")), axis).select("patch_id", "i", "j", F.col("theta").alias("k"))
+    cells = durable(angle.join(corner, ["patch_id", "i", "j"]), "angles")
+    block = durable(_blocks(cells, F.struct("t", "k")), "blocks")
+    t = lambda n: F.col(f"{n}.t")
+    has = {n: F.col(n).isNotNull() for n in "abcd"}
+    mid = F.col("d.k")
+    straight = lambda p, r: F.when(has[p] & has[r], cut_crossing(t(p), t(r)))
+    bent = lambda p, r: F.when(has[p] & has[r], cut_crossing(t(p), mid) + cut_crossing(mid, t(r)))
+    across = lambda p, r: F.when(mid.isNotNull(), bent(p, r)).otherwise(straight(p, r))
+    known = block.select("patch_id", "i", "j", *[straight(p, r).alias(p + r) for p, r in ("ab", "ac", "bd", "cd")], across("a", "d").alias("ad"), across("b", "c").alias("bc"), *[v.alias("has_" + n) for n, v in has.items()])
+    known = durable(known, "steps")
+    faces = F.array(F.expr("ab + bd - ad"), F.expr("ac + cd - ad"), F.expr("ab + bc - ac"), F.expr("bc + cd - bd"))
+    worst = F.array_max(F.transform(F.filter(faces, lambda x: x.isNotNull()), lambda x: F.abs(x)))
+    per_face = known.select("patch_id", worst.alias("sum")).where("sum is not null")
+    # a block has its own diagonals, its upper side and its left one; those below and right are others' own
+    sides = F.array(*[F.when(F.col(c).isNotNull(), F.lit(1)).otherwise(0) for c in ("ab", "ac", "ad", "bc")])
+    of_blocks = known.groupBy("patch_id").agg(F.sum(F.aggregate(sides, F.lit(0), lambda x, y: x + y)).alias("n_edges"), F.count_if(F.col("bc").isNotNull() & ~F.col("has_d")).alias("invalid_midpoints"))
+    # around a hole, the block's cells in it on the left hand
+    inside = holes(cells.select("patch_id", "i", "j"))
+    corners = _blocks(inside, F.col("hole")).select("patch_id", "i", "j", *[F.col(n).alias("h" + n) for n in "abcd"])
+    near = corners.join(known, ["patch_id", "i", "j"], "left")
+    ring, turn = "abdc", {("a", "b"): F.col("ab"), ("b", "d"): F.col("bd"), ("d", "c"): -F.col("cd"), ("c", "a"): -F.col("ac"), ("a", "d"): F.col("ad"), ("b", "c"): F.col("bc")}
+    turn |= {(r, p): -v for (p, r), v in list(turn.items())}
+    ways = []
+    for n in range(4):
+        p, r, s, u = (ring[(n + k) % 4] for k in range(4))
+        hp, hr, hs, hu = (F.col("h" + x) for x in (p, r, s, u))
+        none = lambda *c: reduce(lambda x, y: x & y, [x.isNull() for x in c])
+        ways.append(F.when(hp.isNotNull() & none(hr, hu), F.struct(hp.alias("hole"), turn[u, r].alias("step"))))  # one cell in the hole: from side to side past it
+        ways.append(F.when(hp.isNotNull() & hr.isNotNull() & none(hs, hu), F.struct(hp.alias("hole"), turn[u, s].alias("step"))))  # two that share a side
+    steps = near.select("patch_id", F.inline(F.filter(F.array(*ways), lambda x: x.isNotNull())))
+    per_hole = steps.groupBy("patch_id", "hole").agg(F.sum("step").alias("sum"))
+    sums = per_face.withColumn("hole", F.lit(False)).unionAll(per_hole.select("patch_id", "sum", F.lit(True)))
+    of_sums = sums.groupBy("patch_id").agg(
+        F.count_if(~F.col("hole")).alias("n_blocks"), F.count_if("hole").alias("n_holes"), F.count_if(F.col("sum") != 0).alias("n_inconsistent"), F.max(F.abs("sum")).alias("max_residual"),
+    )
+    parts = run_components(runs(cells.select("patch_id", "i", "j")), 1).groupBy("patch_id").agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("n_quads"), F.count_distinct("label").alias("n_components"))
+    found = parts.join(of_blocks, "patch_id", "left").join(of_sums, "patch_id", "left")
+    counts = ("n_edges", "n_blocks", "n_holes", "n_inconsistent", "max_residual", "invalid_midpoints")
+    return found.select("patch_id", "n_quads", "n_components", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in counts])

@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import patch_graph, patches
 from plumbline.operators.components import durable
-from plumbline.plans.audit_queries import CFG, points
+from plumbline.plans.audit_queries import CFG, _cut, points
 from plumbline.sources.collections import flatten, to_documents
 from plumbline.sources.helix import POINTS_SQL, axis_table
 
 AXIS = [(-1000.0, 0.0, 0.0), (20000.0, 0.0, 0.0)]
+#: z, x, y: beside the patches, at half their extent in y; and through them.
+SIDE_AXIS = [(-1000.0, 0.0, 15.0), (20000.0, 0.0, 15.0)]
+INNER_AXIS = [(-1000.0, 30.03, 15.07), (20000.0, 30.03, 15.07)]
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,14 +68,22 @@ def path_transport(spark, sf_dir):
     return patches.path_transport(s, axis_table(spark, AXIS))
 
 
+def edge_distance(spark, sf_dir):
+    return patches.edge_distance(patches.quads(cells(spark, sf_dir))).withColumn("distance", F.round("distance", 9))
+
+
 def integrability(spark, sf_dir):
-    return patches.integrability(patches.quads(cells(spark, sf_dir)), axis_table(spark, AXIS))
+    """Around an axis that passes through the patches, one elementary way of each fails."""
+    found = patches.integrability(patches.quads(cells(spark, sf_dir)), axis_table(spark, INNER_AXIS))
+    return found.drop("n_blocks")
 
 
 def strip_deltas(spark, sf_dir):
+    """From one place of each patch to each of its quads, about an axis whose cut they cross."""
     q = durable(patches.quads(cells(spark, sf_dir)), "quads")
-    r = q.select((F.xxhash64("patch_id", "i", "j")).alias("request"), "patch_id", (F.col("i") + 0.5).alias("from_i"), (F.col("j") + 0.5).alias("from_j"), F.lit(12.5).alias("to_i"), F.lit(20.5).alias("to_j"))
-    return patches.strip_deltas(r, q, axis_table(spark, AXIS))
+    request = F.substring("patch_id", 2, 20).cast("long") * 600 + F.col("i") * 30 + F.col("j")
+    r = q.select(request.alias("request"), "patch_id", F.lit(4.5).alias("from_i"), F.lit(12.5).alias("from_j"), (F.col("i") + 0.5).alias("to_i"), (F.col("j") + 0.5).alias("to_j"))
+    return patches.strip_deltas(r, q, axis_table(spark, SIDE_AXIS)).select("request", "delta")
 
 
 def _hits(spark, sf_dir):
@@ -165,6 +176,13 @@ cu AS (SELECT *, sum(cut) OVER (PARTITION BY cid ORDER BY pid) AS cuts FROM ct),
 le AS (SELECT *, lead(patch_id) OVER w AS np, lead(pid) OVER w AS npid, lead(wind_a) OVER w AS nw, lead(cuts) OVER w AS nc FROM cu WHERE patch_id IS NOT NULL WINDOW w AS (PARTITION BY cid ORDER BY pid)),
 rel AS (SELECT patch_id AS from_patch, np AS to_patch, cid, pid AS pid_from, npid AS pid_to, CAST(coalesce(nw - wind_a, 0) AS BIGINT) - CAST(nc - cuts AS BIGINT) AS delta FROM le WHERE np <> patch_id)"""
 
+
+def _theta(name: str, axis: list[tuple[float, float, float]]) -> str:
+    _, x, y = axis[0]
+    angle = f"atan2({name}y - {y!r}::DOUBLE, {name}x - {x!r}::DOUBLE)"
+    return f"CASE WHEN {angle} < 0 THEN {angle} + 2 * pi() ELSE {angle} END"
+
+
 QUERIES = {
     "patch_areas": (
         patch_areas,
@@ -204,8 +222,48 @@ SELECT line_id, count(*) AS n_samples, round(sum(fi), 6) AS sum_i FROM x GROUP B
 d AS (SELECT *, th - lag(th) OVER (PARTITION BY line_id ORDER BY i) AS d FROM t)
 SELECT line_id, count(*) AS n_valid, 0 AS n_dropped, CASE WHEN count(*) >= 2 THEN CAST(sum(CASE WHEN d < -pi() THEN 1 WHEN d > pi() THEN -1 ELSE 0 END) AS BIGINT) END AS delta FROM d GROUP BY line_id""",
     ),
-    "integrability": (integrability, None),
-    "strip_deltas": (strip_deltas, None),
+    "edge_distance": (
+        edge_distance,
+        f"""WITH {CELLS_SQL}, box AS (SELECT patch_id, min(i) - 1 AS i0, max(i) + 1 AS i1, min(j) - 1 AS j0, max(j) + 1 AS j1 FROM quads GROUP BY patch_id),
+lat AS (SELECT patch_id, i, j FROM box, range(-2, 24) AS a(i), range(-2, 34) AS b(j) WHERE i BETWEEN i0 AND i1 AND j BETWEEN j0 AND j1),
+un AS (SELECT * FROM lat ANTI JOIN quads USING (patch_id, i, j))
+SELECT q.patch_id, q.i, q.j, round(sqrt(min((q.i - u.i) * (q.i - u.i) + (q.j - u.j) * (q.j - u.j))), 9) AS distance FROM quads q JOIN un u USING (patch_id) GROUP BY ALL""",
+    ),
+    "integrability": (
+        integrability,
+        f"""WITH RECURSIVE {CELLS_SQL}, c AS (SELECT patch_id, i, j, {_theta("x", INNER_AXIS)} AS t, {_theta("k", INNER_AXIS)} AS k FROM
+  (SELECT patch_id, i, j, (x00 + x01 + x10 + x11) / 4 AS xx, (y00 + y01 + y10 + y11) / 4 AS xy, x00 AS kx, y00 AS ky FROM quads)),
+st(di, dj) AS (VALUES (0, 1), (1, 0), (1, 1), (1, -1)),
+ed AS (SELECT a.patch_id, a.i AS ia, a.j AS ja, b.i AS ib, b.j AS jb, di * dj <> 0 AND m.k IS NULL AS missed,
+  CASE WHEN di * dj = 0 OR m.k IS NULL THEN {_cut("a.t", "b.t")} ELSE {_cut("a.t", "m.k")} + {_cut("m.k", "b.t")} END AS o
+  FROM c a JOIN st ON true JOIN c b ON b.patch_id = a.patch_id AND b.i = a.i + di AND b.j = a.j + dj LEFT JOIN c m ON m.patch_id = a.patch_id AND m.i = a.i + 1 AND m.j = greatest(a.j, b.j)),
+bw AS (SELECT patch_id, ia, ja, ib, jb, o FROM ed UNION ALL SELECT patch_id, ib, jb, ia, ja, -o FROM ed),
+tri AS (SELECT p.patch_id, least(p.ia, q.ia, r.ia) AS i, least(p.ja, q.ja, r.ja) AS j, p.o + q.o + r.o AS s FROM bw p JOIN bw q ON q.patch_id = p.patch_id AND q.ia = p.ib AND q.ja = p.jb AND (q.ib, q.jb) > (p.ib, p.jb) AND (p.ib, p.jb) > (p.ia, p.ja)
+  JOIN bw r ON r.patch_id = p.patch_id AND r.ia = q.ib AND r.ja = q.jb AND r.ib = p.ia AND r.jb = p.ja),
+blk AS (SELECT a.patch_id, a.i, a.j FROM c a JOIN c b ON b.patch_id = a.patch_id AND b.i = a.i AND b.j = a.j + 1 JOIN c d ON d.patch_id = a.patch_id AND d.i = a.i + 1 AND d.j = a.j JOIN c e ON e.patch_id = a.patch_id AND e.i = a.i + 1 AND e.j = a.j + 1),
+box AS (SELECT patch_id, min(i) - 1 AS i0, max(i) + 1 AS i1, min(j) - 1 AS j0, max(j) + 1 AS j1 FROM c GROUP BY patch_id),
+un AS (SELECT patch_id, i, j, i IN (i0, i1) OR j IN (j0, j1) AS rim FROM box, range(-2, 24) AS a(i), range(-2, 34) AS b(j) WHERE i BETWEEN i0 AND i1 AND j BETWEEN j0 AND j1 AND (patch_id, i, j) NOT IN (SELECT patch_id, i, j FROM c)),
+far(patch_id, i, j) AS (SELECT patch_id, i, j FROM un WHERE rim UNION SELECT u.patch_id, u.i, u.j FROM far f JOIN un u ON u.patch_id = f.patch_id AND abs(u.i - f.i) + abs(u.j - f.j) = 1),
+ins AS (SELECT * FROM un ANTI JOIN far USING (patch_id, i, j)),
+hc(patch_id, i, j, x, y) AS (SELECT patch_id, i, j, i, j FROM ins UNION SELECT h.patch_id, h.i, h.j, u.i, u.j FROM hc h JOIN ins u ON u.patch_id = h.patch_id AND abs(u.i - h.x) + abs(u.j - h.y) = 1),
+hl AS (SELECT patch_id, i, j, min(x * 1000 + y) AS hole FROM hc GROUP BY ALL),
+ns(x, y, a, b) AS (VALUES (0, 1, -1, 0), (-1, 0, 0, -1), (0, -1, 1, 0), (1, 0, 0, 1)),
+go AS (SELECT h.patch_id, hole, b.o FROM hl h JOIN ns ON true JOIN bw b ON b.patch_id = h.patch_id AND b.ia = h.i + x AND b.ja = h.j + y AND b.ib = h.i + a AND b.jb = h.j + ns.b
+  UNION ALL SELECT h.patch_id, h.hole, b.o FROM hl h JOIN ns ON true JOIN hl g ON g.patch_id = h.patch_id AND g.i = h.i + a AND g.j = h.j + ns.b
+  JOIN bw b ON b.patch_id = h.patch_id AND b.ia = h.i + x AND b.ja = h.j + y AND b.ib = g.i + x AND b.jb = g.j + y),
+rot AS (SELECT patch_id, hole, sum(o) AS s FROM go GROUP BY ALL),
+n AS (SELECT patch_id, count(*) AS n_quads, (SELECT count(*) FROM ed WHERE ed.patch_id = c.patch_id) AS n_edges, (SELECT count(*) FROM tri WHERE tri.patch_id = c.patch_id) AS n_tri,
+  (SELECT count(*) FROM blk WHERE blk.patch_id = c.patch_id) AS n_blk, (SELECT count(DISTINCT hole) FROM hl WHERE hl.patch_id = c.patch_id) AS n_holes FROM c GROUP BY patch_id)
+SELECT patch_id, n_quads, n_quads - n_edges + n_tri - n_blk + n_holes AS n_components, n_edges, n_holes,
+  (SELECT count(*) FROM rot WHERE rot.patch_id = n.patch_id AND s <> 0) + (SELECT count(DISTINCT (i, j)) FROM tri WHERE tri.patch_id = n.patch_id AND s <> 0) AS n_inconsistent,
+  greatest((SELECT coalesce(max(abs(s)), 0) FROM tri WHERE tri.patch_id = n.patch_id), (SELECT coalesce(max(abs(s)), 0) FROM rot WHERE rot.patch_id = n.patch_id))::BIGINT AS max_residual,
+  (SELECT count(*) FILTER (missed) FROM ed WHERE ed.patch_id = n.patch_id) AS invalid_midpoints FROM n""",
+    ),
+    "strip_deltas": (
+        strip_deltas,
+        f"""WITH {CELLS_SQL}, c AS (SELECT patch_id, i, j, (y00 + y01 + y10 + y11) / 4 >= 15 AS up FROM quads)
+SELECT CAST(substr(c.patch_id, 2) AS BIGINT) * 600 + c.i * 30 + c.j AS request, CAST(c.up AS BIGINT) - CAST(s.up AS BIGINT) AS delta FROM c JOIN c s ON s.patch_id = c.patch_id AND s.i = 4 AND s.j = 12""",
+    ),
     "projection": (projection, None),
     "attachment": (attachment, None),
     "hit_gate": (

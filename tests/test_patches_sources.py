@@ -34,13 +34,79 @@ def test_strip_across_the_cut_and_disconnected(spark):
     assert {r["delta"] for r in patches.strip_deltas(ask, gap, axis_table(spark, AXIS)).collect()} == {None}
 
 
-def test_distance_to_edge_matches_brute_force():
+def quad_places(spark, places):
+    c = "struct<x:double,y:double,z:double>"
+    return spark.createDataFrame([("p", i, j, *[(float(i), float(j), 0.0)] * 4) for i, j in places], f"patch_id string, i long, j long, c00 {c}, c01 {c}, c10 {c}, c11 {c}")
+
+
+@pytest.mark.parametrize("h,w,full", [(9, 11, 0.8), (40, 150, 0.97), (3, 90, 1.0)])
+def test_edge_distance_matches_brute_force(spark, h, w, full):
     rng = np.random.default_rng(2)
-    mask = rng.random((9, 11)) > 0.2
-    padded = np.pad(mask, 1)
-    empty = np.argwhere(~padded)
-    want = np.array([[np.sqrt(((empty - (i + 1, j + 1)) ** 2).sum(1).min()) for j in range(11)] for i in range(9)])
-    assert np.allclose(patches.distance_to_edge(mask), want)
+    mask = rng.random((h, w)) <= full
+    empty = np.argwhere(~np.pad(mask, 1)) - 1
+    want = {(i, j): np.sqrt(((empty - (i, j)) ** 2).sum(1).min()) for i, j in np.argwhere(mask).tolist()}
+    got = {(r["i"] + 5, r["j"] - 70): r["distance"] for r in patches.edge_distance(quad_places(spark, [(i - 5, j + 70) for i, j in np.argwhere(mask).tolist()])).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def gate(spark, h, w, at, skip=()):
+    return patches.integrability(patches.quads(grid(spark, h, w, at, skip)), axis_table(spark, AXIS)).first()
+
+
+def test_hole_around_the_axis_fails_by_one(spark):
+    row = gate(spark, 11, 11, lambda i, j: (j - 5, i - 5, 1), {(i, j) for i in range(4, 7) for j in range(4, 7)})
+    assert (row["n_holes"], row["n_inconsistent"], row["max_residual"], row["n_components"]) == (1, 1, 1, 1)
+    beside = gate(spark, 11, 11, lambda i, j: (j + 20, i - 5, 1), {(i, j) for i in range(4, 7) for j in range(4, 7)})
+    assert (beside["n_holes"], beside["n_inconsistent"], beside["max_residual"]) == (1, 0, 0)
+    # the hole's lower left corner: the diagonal there has no quad at its middle
+    assert row["invalid_midpoints"] == beside["invalid_midpoints"] > 0
+    assert gate(spark, 7, 9, lambda i, j: (j + 20, i - 3, 1))["n_inconsistent"] == 0
+
+
+def test_gate_on_ragged_patches_matches_potentials(spark):
+    rng = np.random.default_rng(11)
+    for k in range(3):
+        skip = {(i, j) for i in range(9) for j in range(10) if rng.random() < 0.12}
+        turn = rng.uniform(-4, 4, 2)
+        at = lambda i, j: (j - 5 + turn[0] + 0.013, i - 4 + turn[1] + 0.017, 0)  # noqa: B023, E731
+        valid = {(i, j) for i in range(8) for j in range(9) if not {(i + a, j + b) for a in (0, 1) for b in (0, 1)} & skip}
+        if not valid:
+            continue
+        angle = lambda fi, fj: np.arctan2(at(fi, fj)[1], at(fi, fj)[0]) % (2 * np.pi)  # noqa: E731, B023
+        cut = lambda a, b: int(b - a < -np.pi) - int(b - a > np.pi)
+
+        def delta(p, q):
+            ends = [angle(p[0] + 0.5, p[1] + 0.5), angle(q[0] + 0.5, q[1] + 0.5)]  # noqa: B023
+            m = (max(p[0], q[0]), max(p[1], q[1]))
+            if p[0] != q[0] and p[1] != q[1] and m in valid:  # noqa: B023
+                return cut(ends[0], angle(*m)) + cut(angle(*m), ends[1])  # noqa: B023
+            return cut(*ends)  # noqa: B023
+
+        pot, parts, bad = {}, 0, 0
+        near = lambda p: [q for q in ((p[0] + a, p[1] + b) for a in (-1, 0, 1) for b in (-1, 0, 1)) if q in valid and q != p]  # noqa: E731, B023
+        for root in sorted(valid):
+            if root in pot:
+                continue
+            parts, pot[root], queue = parts + 1, 0, [root]
+            for p in queue:
+                for q in near(p):
+                    if q not in pot:
+                        pot[q] = pot[p] + delta(p, q)
+                        queue.append(q)
+        pairs = [(p, q) for p in valid for q in near(p) if p < q]
+        bad = sum(pot[q] - pot[p] != delta(p, q) for p, q in pairs)
+        row = gate(spark, 9, 10, at, skip)
+        assert (row["n_quads"], row["n_components"], row["n_edges"]) == (len(valid), parts, len(pairs))
+        assert (row["n_inconsistent"] > 0) == (bad > 0), k
+
+
+def test_strips_are_sampled_from_place_to_place(spark):
+    turn = np.linspace(-0.5, 0.5, 20)
+    q = patches.quads(grid(spark, 5, 20, lambda i, j: ((10 + i) * np.cos(turn[j]), (10 + i) * np.sin(turn[j]), 1)))
+    ask = spark.createDataFrame([(1, "p", 1.2, 1.2, 2.2, 17.2), (2, "p", 2.2, 17.2, 1.2, 1.2), (3, "p", 1.2, 1.2, 1.2, 1.4), (4, "p", -3.0, 2.0, 2.0, 2.0), (5, "none", 1.0, 1.0, 2.0, 2.0)], "request long, patch_id string, from_i double, from_j double, to_i double, to_j double")
+    got = {r["request"]: r for r in patches.strip_deltas(ask, q, axis_table(spark, AXIS)).collect()}
+    assert {k: r["delta"] for k, r in got.items()} == {1: 1, 2: -1, 3: 0, 4: 0, 5: None}
+    assert got[3]["n_quads"] == 1 and got[3]["n_valid"] == 3 and got[4]["n_dropped"] > 0 and got[1]["n_dropped"] == 0
 
 
 def test_projection_onto_a_plane(spark):
@@ -96,12 +162,12 @@ def test_subgraphs_of_all_traces(spark, monkeypatch):
     assert got == {("c", 3, 4.0, "d,c,e", 1), ("a", 2, 3.0, "a,b", 2), ("f", 1, 1.0, "f", 3)}
 
 
-def test_strips_of_all_quads(spark, monkeypatch):
-    c = grid(spark, 4, 5, lambda i, j: (10 + i, j - 2.5, 0), {(3, 4)})
+def test_strips_to_all_quads(spark, monkeypatch):
+    c = grid(spark, 6, 16, lambda i, j: (10 + i, j + 2.5, 0), {(5, 14)}).withColumn("patch_id", F.lit("p3"))
     monkeypatch.setattr(patch_queries, "cells", lambda spark, sf_dir: c)
-    asked = {r[0] for r in patches.quads(c).select(F.xxhash64("patch_id", "i", "j")).collect()}
+    asked = {3 * 600 + r["i"] * 30 + r["j"]: int(r["j"] + 3 >= 15) - 1 for r in patches.quads(c).collect()}
     got = {r["request"]: r["delta"] for r in patch_queries.strip_deltas(spark, "").collect()}
-    assert len(asked) == 11 and got.keys() == asked and set(got.values()) == {0, 1}
+    assert len(asked) == 5 * 15 - 2 and got == asked
 
 
 def document(points, version="1", metadata=None):
