@@ -68,14 +68,21 @@ def labelled(labels: DataFrame, label: str) -> DataFrame:
 
 
 def sample(docs: DataFrame, rows: DataFrame, most: int) -> DataFrame:
-    """label, text of at most `most` labelled documents, an equal number of each class where
-    there are enough. The choice follows a hash of the doc_id; it is at most `most` rows
-    of 12 bytes, which bounds the broadcast."""
+    """doc_id, label, text of at most `most` labelled documents, an equal number of each class
+    where there are enough. The choice follows a hash of the doc_id; it is at most `most` rows
+    of 12 bytes, which bounds the broadcast. Of rows that repeat a doc_id one counts."""
     order = F.xxhash64("doc_id", F.lit(17))
     chosen = rows.where("label = 1").orderBy(order, "doc_id").limit(most // 2).unionAll(rows.where("label = 0").orderBy(order, "doc_id").limit(most // 2))
     chosen = chosen.select(F.col("doc_id").alias("_id"), "label")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return durable(texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "label", "text"), "labelled")
+    return durable(one_of_each(texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")), ["doc_id", "label"], ["text"]), "labelled")
+
+
+def one_of_each(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """One row for all with the same keys: that of the least text by its hash. Each task sends
+    one row a key at most, so a key that many rows share isn't gathered."""
+    least = F.min(F.struct(F.xxhash64("text").alias("_mark"), *columns)).alias("_m")
+    return rows.groupBy(*keys).agg(least).select(*keys, *[F.col(f"_m.{c}").alias(c) for c in columns])
 
 
 def class_counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
