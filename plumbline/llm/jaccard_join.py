@@ -38,6 +38,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -60,7 +61,6 @@ ORDERS = 3
 HOT_LEVEL = 1 << 7
 HOT_TIMES, HOT_LEAST = 8, 256
 BUCKET_POSTINGS = 1 << 19
-DOC_POSTINGS = 96  # typical, to set the number of buckets
 HELD_POSTINGS = 1 << 18
 SEEN_KEPT = 1 << 17
 LEVEL_STEP = 1.25
@@ -414,8 +414,9 @@ def near_rows(docs: DataFrame, left: int = LEFT) -> DataFrame:
     with small_batches(docs.sparkSession, TEXT_ROWS):
         profiles = durable(set_profiles(docs), "profiles")
         rows = profiles.where("slice is null")
-        count = rows.count()
-        buckets = max(1, -(-count * DOC_POSTINGS // BUCKET_POSTINGS))
+        # a prefix has a fifth of its set's shingles and COMMON more, whatever the texts' lengths
+        count, postings = rows.agg(F.count(F.lit(1)), F.sum(F.when(F.col("n_shingles") > 0, F.col("n_shingles") / 5 + COMMON))).first()
+        buckets = max(1, math.ceil((postings or 0) / BUCKET_POSTINGS))
         levels = frequency_levels(profiles)
         keys = durable(sharing_sets(posting_blocks(docs, levels, buckets), buckets), "sharing")
     named = rows.where("digest is not null and doc_id is not null")

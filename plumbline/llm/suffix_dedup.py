@@ -46,7 +46,7 @@ from plumbline.llm.phrases import DEPTH, Parser
 BLOCK_PHRASES = 1 << 19
 BUCKET_PHRASES = 1 << 20
 BUCKET_BYTES = 1 << 21
-DOC_PHRASES = 110  # typical, to set the number of buckets
+PHRASE_BYTES = 32  # typical, to set the number of buckets
 SAMPLE_STEP = 64
 HOT_IN_SAMPLE = 64
 HOT_MOST = 1 << 16
@@ -347,7 +347,8 @@ def passage_dedup(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes) of every row."""
     texts = _texts(docs)
     placed = texts.where("doc_id is not null")
-    buckets = max(1, -(-texts.count() * DOC_PHRASES // BUCKET_PHRASES))
+    size = placed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, -(-size // (PHRASE_BYTES * BUCKET_PHRASES)))
     found = durable(repeats(phrase_blocks(placed, hot_triggers(placed), buckets), buckets), "repeats")
     asked = found.where(F.col("kind") == REQUEST)
     size = asked.agg(F.sum(F.col("two") - 1 + DEPTH)).first()[0]

@@ -39,7 +39,7 @@ def test_near_stage(spark):
 def test_mixing_stage(spark):
     docs = table(spark, TEXTS)
     taken = collections.defaultdict(int)
-    for r in mixing._taken(docs, mixing.WEIGHTS, mixing.EPOCHS, mixing.SLOTS).collect():
+    for r in mixing._taken(docs, mixing.WEIGHTS, mixing.EPOCHS).collect():
         if r["taken"]:
             key = r["doc_id"], r["source"], r["mark"]
             taken[key] = max(taken[key], int(r["taken"] / r["size"] + 0.5))

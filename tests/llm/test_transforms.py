@@ -115,6 +115,27 @@ def test_mixing_serves_sources_far_below_a_slot(spark):
     assert mixing.mixed_documents(docs).select("source").distinct().count() == 20
 
 
+def test_schedule_is_the_listed_one(spark):
+    """Counts of slots are those of the slots one by one, whose sources alternate evenly."""
+    sizes = spark.createDataFrame([("a", 900), ("b", 300), (None, 37), ("c", 60)], "source string, size long")
+    targets = mixing.source_targets(sizes)
+    plan = {r["source"]: (r["n_slots"], r["slots"]) for r in mixing.schedule(targets).collect()}
+    slots = sorted((r["slot"], r["source"], r["rank"]) for r in mixing.slot_sources(targets).collect())
+    n = 1597  # the least Fibonacci number of 1297 words or more
+    t = {r["source"]: r for r in targets.collect()}
+    points = [k * 987 % n / n for k in range(n)]
+    listed, ranks = [], dict.fromkeys(plan, 0)
+    for k, u in enumerate(points):
+        s = max((s for s in plan if t[s]["start_at"] / 1297 <= u + 1e-12), key=lambda s: t[s]["start_at"])
+        listed.append((k, s, ranks[s]))
+        ranks[s] += 1
+    assert slots == listed and {s: (n, ranks[s]) for s in plan} == plan
+    for s in plan:  # any run holds the sources in their proportions
+        share = ranks[s] / n
+        assert all(abs(sum(x == s for _, x, _ in slots[a : a + 200]) - 200 * share) <= 4 for a in range(0, n - 200, 50))
+    assert mixing.slot_sources(targets.limit(0)).count() == 0
+
+
 def test_line_dedup(spark):
     page = lambda k: f"<html><nav>Menu</nav><p>  text {k} </p><p>same</p><p>same</p><script>x='</p>'</script></html>"
     rows = [(k, "http://User@Host.example:80/a?b", page(k)) for k in range(4)] + [(9, "http://other.example/", page(1)), (10, None, None), (10, "no url", "")]
