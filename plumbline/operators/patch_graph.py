@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.geometry import cut_crossing
 from plumbline.operators.components import connected_components, durable
+from plumbline.operators.forest import common_ancestors, lifts, ways
 from plumbline.operators.ranking import placed
 
 
@@ -79,6 +80,44 @@ def loop_holonomies(reached: DataFrame, edges: DataFrame) -> DataFrame:
     return j.where(~(tree & (h == 0))).select("from_patch", "to_patch", h.alias("holonomy"))
 
 
+def witnessed(edges: DataFrame) -> DataFrame:
+    """from_patch, to_patch, delta, cid, pid_from, pid_to: edges both ways, with the first trace and
+    points that say so."""
+    back = edges.select(F.col("to_patch").alias("from_patch"), F.col("from_patch").alias("to_patch"), (-F.col("delta")).alias("delta"), "cid", F.col("pid_to").alias("pid_from"), F.col("pid_from").alias("pid_to"))
+    every = edges.select(*back.columns).unionAll(back)
+    return every.groupBy("from_patch", "to_patch", "delta").agg(F.min(F.struct("cid", "pid_from", "pid_to")).alias("m")).select("from_patch", "to_patch", "delta", "m.*")
+
+
+def loop_cycles(reached: DataFrame, edges: DataFrame) -> DataFrame:
+    """Each loop that doesn't close, step by step: from_patch, to_patch, loop_delta (the edge that
+    closes it), residual, lca, seq, patch_id, next_patch, delta, kind, cid, pid_from, pid_to,
+    pid_in.
+
+    The steps go from from_patch up to the patches' last common ancestor and down to to_patch,
+    then back by the closing edge; their deltas add up to the residual. Each names the trace
+    and points that it rests on; pid_in is where the step before comes into the patch, so
+    pid_in and pid_from are the ends of the strip across it."""
+    e = durable(witnessed(edges), "witnessed")
+    bad = durable(loop_holonomies(reached, edges).where("holonomy <> 0"), "loops")
+    forest = durable(reached.select(F.col("patch_id").alias("node"), F.col("via").alias("parent"), F.col("hops").cast("long").alias("depth"), "winding"), "tree")
+    side = lambda s: forest.select(F.col("node").alias(s), F.col("winding").alias("w_" + s))
+    loops = bad.join(side("from_patch"), "from_patch").join(side("to_patch"), "to_patch")
+    loops = loops.select("from_patch", "to_patch", (F.col("w_to_patch") - F.col("w_from_patch") - F.col("holonomy")).alias("loop_delta"), F.col("holonomy").alias("residual"))
+    up = lifts(forest)
+    key = ["from_patch", "to_patch", "loop_delta", "residual"]
+    met = durable(common_ancestors(loops.withColumn("a", F.col("from_patch")).withColumn("b", F.col("to_patch")), forest, up), "met")
+    way = durable(ways(met, up).join(forest.select("node", "winding"), "node").select(*key, "lca", "seq", F.col("node").alias("patch_id"), "winding"), "ways")
+    after = way.select(*key, (F.col("seq") - 1).alias("seq"), F.col("patch_id").alias("next_patch"), F.col("winding").alias("w_next"))
+    tree = way.join(after, [*key, "seq"]).select(*key, "lca", "seq", "patch_id", "next_patch", (F.col("w_next") - F.col("winding")).alias("delta"), F.lit("tree").alias("kind"))
+    last = (F.col("depth_a") + F.col("depth_b") - 2 * F.col("depth_lca")).alias("seq")
+    closing = met.select(*key, "lca", last, F.col("to_patch").alias("patch_id"), F.col("from_patch").alias("next_patch"), (-F.col("loop_delta")).alias("delta"), F.lit("closing").alias("kind"))
+    steps = tree.unionAll(closing).join(e.toDF("patch_id", "next_patch", "delta", "cid", "pid_from", "pid_to"), ["patch_id", "next_patch", "delta"])
+    steps = durable(steps, "steps")
+    before = steps.select(*key, F.when(F.col("kind") == "closing", F.lit(0)).otherwise(F.col("seq") + 1).cast("long").alias("seq"), F.col("pid_to").alias("pid_in"))
+    found = steps.join(before, [*key, "seq"])
+    return found.select(*key, "lca", "seq", "patch_id", "next_patch", "delta", "kind", "cid", "pid_from", "pid_to", "pid_in")
+
+
 def anchor_votes(reached: DataFrame, anchors: DataFrame) -> DataFrame:
     """root, vote, n, agreed: what absolute anchors (patch_id, wind_a) say about their root's
     winding, and whether all say the same."""

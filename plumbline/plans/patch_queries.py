@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators import patch_graph, patches
+from plumbline.operators import linking, patch_graph, patches
 from plumbline.operators.components import durable
 from plumbline.plans.audit_queries import CFG, _cut, points
 from plumbline.sources.collections import flatten, to_documents
@@ -134,6 +134,11 @@ def patch_loops(spark, sf_dir):
     return patch_graph.loop_holonomies(reached, e).groupBy("holonomy").agg(F.count(F.lit(1)).alias("n_loops"))
 
 
+def loop_cycles(spark, sf_dir):
+    e, reached = _reached(spark, sf_dir)
+    return patch_graph.loop_cycles(reached, e)
+
+
 def anchor_votes(spark, sf_dir):
     _, reached = _reached(spark, sf_dir)
     return patch_graph.anchor_votes(reached, attached(spark, sf_dir).where("kind = 'absolute' and patch_id is not null"))
@@ -157,6 +162,43 @@ def incremental_links(spark, sf_dir):
     return patch_graph.link_new(p, later).groupBy("cid").agg(F.count("patch_id").alias("n_attached"))
 
 
+def _offers(spark, sf_dir):
+    """Helix points as unlinked traces, some of them named after two patches, and hits of each on
+    up to three patches: one by height and angle, one by radius, and one by height alone."""
+    p = points(spark, sf_dir)
+    sector = F.concat_ws("_", F.floor(F.col("z") / 20).cast("string"), F.floor(F.col("theta") * 3 / F.lit(3.141592653589793)).cast("string"))
+    ring, slab = (F.concat(F.lit(mark), F.floor(F.col(c) / wide).cast("string")) for mark, c, wide in (("r", "r", 150.0), ("z", "z", 40.0)))
+    hit = lambda patch, distance, on: F.when(on, F.struct(patch.alias("patch_id"), distance.alias("distance")))
+    part = F.col("r") / 50 - F.floor(F.col("r") / 50)
+    offers = F.array(hit(sector, part, F.col("pid") % 5 != 0), hit(ring, 1 - part, F.col("pid") % 3 != 0), hit(slab, F.lit(0.5), part > 0.25))
+    hits = p.select("pid", F.inline(F.filter(offers, lambda x: x.isNotNull())))
+    first = F.concat(F.lit("r"), F.expr("cid % 7").cast("string"))
+    name = F.when(F.col("cid") % 11 == 0, F.concat(F.lit("between_patches__"), first, F.lit("__z1"))).otherwise(F.lit("trace"))
+    traces = p.select("cid", "pid", "wind_a", (F.col("kind") == "absolute").alias("absolute"), name.alias("name"), F.lit(None).cast("string").alias("patch_id"))
+    areas = hits.groupBy("patch_id").agg(F.count(F.lit(1)).cast("double").alias("area"))
+    pairs = patch_graph.named_pairs(traces.select("name").distinct(), areas)
+    return traces, hits, areas, pairs
+
+
+def nearest_links(spark, sf_dir):
+    traces, hits, areas, pairs = _offers(spark, sf_dir)
+    return linking.chosen_links(traces, hits, areas, pairs, "nearest", 5, 3).withColumn("distance", F.round("distance", 9))
+
+
+def largest_links(spark, sf_dir):
+    traces, hits, areas, pairs = _offers(spark, sf_dir)
+    return linking.chosen_links(traces, hits, areas, pairs, "largest_area", 5, 3).withColumn("distance", F.round("distance", 9))
+
+
+def new_patch_gains(spark, sf_dir):
+    """Links to patches by radius first, then what those by height and angle add, per trace."""
+    traces, hits, areas, pairs = _offers(spark, sf_dir)
+    old = hits.where(F.col("patch_id").startswith("r"))
+    linked = durable(linking.linked_points(traces, linking.chosen_links(traces, old, areas, pairs, "nearest", 5, 3)), "linked")
+    new = hits.where(~F.col("patch_id").startswith("r"))
+    return linking.gains(linked, linking.link_new_patches(linked, new, areas, pairs, "nearest", 5, 3))
+
+
 def collection_round_trip(spark, sf_dir):
     """The helix written as point-collection documents, one a kind, and read again."""
     p = points(spark, sf_dir)
@@ -176,6 +218,29 @@ cu AS (SELECT *, sum(cut) OVER (PARTITION BY cid ORDER BY pid) AS cuts FROM ct),
 le AS (SELECT *, lead(patch_id) OVER w AS np, lead(pid) OVER w AS npid, lead(wind_a) OVER w AS nw, lead(cuts) OVER w AS nc FROM cu WHERE patch_id IS NOT NULL WINDOW w AS (PARTITION BY cid ORDER BY pid)),
 rel AS (SELECT patch_id AS from_patch, np AS to_patch, cid, pid AS pid_from, npid AS pid_to, CAST(coalesce(nw - wind_a, 0) AS BIGINT) - CAST(nc - cuts AS BIGINT) AS delta FROM le WHERE np <> patch_id)"""
 
+REACH_SQL = f"""{RELATIVE_SQL},
+ee AS (SELECT from_patch AS x, to_patch AS y, delta AS o, cid, pid_from AS pf, pid_to AS pt FROM rel UNION ALL SELECT to_patch, from_patch, -delta, cid, pid_to, pid_from FROM rel),
+wi AS (SELECT x, y, o, min(row(cid, pf, pt)) AS w FROM ee GROUP BY ALL),
+pa AS (SELECT DISTINCT patch_id AS x FROM att WHERE patch_id IS NOT NULL),
+rc(x, y) AS (SELECT x, x FROM pa UNION SELECT rc.x, wi.y FROM rc JOIN wi ON rc.y = wi.x),
+cm AS (SELECT x, min(y) AS root FROM rc GROUP BY x),
+lv(x, d) AS (SELECT DISTINCT root, 0 FROM cm UNION SELECT wi.y, d + 1 FROM lv JOIN wi ON wi.x = lv.x WHERE d < (SELECT count(*) FROM pa)),
+ds AS (SELECT x, min(d) AS d FROM lv GROUP BY x),
+tr AS (SELECT c.x, min(row(wi.x, wi.o)) AS up FROM ds c JOIN wi ON wi.y = c.x JOIN ds p ON p.x = wi.x AND p.d = c.d - 1 GROUP BY c.x),
+an(x, y, k, pot) AS (SELECT x, x, 0, 0::BIGINT FROM ds UNION ALL SELECT an.x, tr.up[1], k + 1, pot + tr.up[2] FROM an JOIN tr ON tr.x = an.y),
+rd AS (SELECT cm.x AS patch_id, root, CAST(ds.d AS INT) AS hops, an.pot AS winding, tr.up[1] AS via FROM cm JOIN ds USING (x) JOIN an ON an.x = cm.x AND an.k = ds.d LEFT JOIN tr ON tr.x = cm.x),
+lp AS (SELECT wi.x, wi.y, wi.o, b.winding - a.winding - wi.o AS h FROM wi JOIN rd a ON a.patch_id = wi.x JOIN rd b ON b.patch_id = wi.y WHERE wi.x < wi.y
+  AND NOT (coalesce(b.via = wi.x, false) OR coalesce(a.via = wi.y, false)) OR wi.x < wi.y AND b.winding - a.winding <> wi.o)"""
+
+OFFERS_SQL = f"""{POINTS_SQL}, pt AS (SELECT *, r / 50 - floor(r / 50) AS part, row_number() OVER (PARTITION BY cid ORDER BY pid) AS i, count(*) OVER (PARTITION BY cid) AS n,
+  CASE WHEN cid % 11 = 0 THEN 'r' || (cid % 7) END AS first FROM points),
+ht AS (SELECT pid, CAST(floor(z / 2e1) AS BIGINT) || '_' || CAST(floor(theta * 3 / 3.141592653589793e0) AS BIGINT) AS patch_id, part AS distance FROM pt WHERE pid % 5 <> 0
+  UNION ALL SELECT pid, 'r' || CAST(floor(r / 1.5e2) AS BIGINT), 1 - part FROM pt WHERE pid % 3 <> 0 UNION ALL SELECT pid, 'z' || CAST(floor(z / 4e1) AS BIGINT), 5e-1 FROM pt WHERE part > 0.25),
+ara AS (SELECT patch_id, count(*) AS area FROM ht GROUP BY patch_id),
+nm AS (SELECT *, first IS NOT NULL AND first IN (SELECT patch_id FROM ara) AND 'z1' IN (SELECT patch_id FROM ara) AS paired FROM pt),
+al AS (SELECT ht.*, cid, i, n, paired, kind, wind_a FROM ht JOIN nm USING (pid) WHERE NOT paired OR patch_id IN (first, 'z1')),
+gt AS (SELECT a.*, (SELECT count(*) FROM al b WHERE b.cid = a.cid AND b.patch_id = a.patch_id AND abs(b.i - a.i) <= 2) >= least(3, least(a.i + 2, a.n) - greatest(a.i - 2, 1) + 1) AS fair FROM al a)"""
+
 
 def _theta(name: str, axis: list[tuple[float, float, float]]) -> str:
     _, x, y = axis[0]
@@ -271,9 +336,23 @@ SELECT CAST(substr(c.patch_id, 2) AS BIGINT) * 600 + c.i * 30 + c.j AS request,
         f"WITH {ATTACHED_SQL}, g AS (SELECT cid, r < 600 AND count(*) FILTER (r < 600) OVER w >= least(3, count(*) OVER w) AS gated FROM att WINDOW w AS (PARTITION BY cid ORDER BY pid ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) SELECT cid, count(*) FILTER (gated) AS n_gated FROM g GROUP BY cid",
     ),
     "relative_edges": (relative_edges, f"WITH {RELATIVE_SQL} SELECT * FROM rel"),
-    "patch_reach": (patch_reach, None),
-    "patch_loops": (patch_loops, None),
-    "anchor_votes": (anchor_votes, None),
+    "patch_reach": (patch_reach, f"WITH RECURSIVE {REACH_SQL} SELECT * FROM rd"),
+    "patch_loops": (patch_loops, f"WITH RECURSIVE {REACH_SQL} SELECT h AS holonomy, count(*) AS n_loops FROM lp GROUP BY h"),
+    "loop_cycles": (
+        loop_cycles,
+        f"""WITH RECURSIVE {REACH_SQL}, mt AS (SELECT lp.x, lp.y, lp.o, h, min(row(p.k, p.y, q.k)) AS m FROM lp JOIN an p ON p.x = lp.x JOIN an q ON q.x = lp.y AND q.y = p.y WHERE h <> 0 GROUP BY ALL),
+wy AS (SELECT mt.x, mt.y, mt.o, h, m, p.k AS seq, p.y AS n FROM mt JOIN an p ON p.x = mt.x AND p.k <= m[1] UNION ALL SELECT mt.x, mt.y, mt.o, h, m, m[1] + m[3] - q.k, q.y FROM mt JOIN an q ON q.x = mt.y AND q.k < m[3]),
+sp AS (SELECT a.x, a.y, a.o, a.h, a.m, a.seq, a.n AS f, b.n AS t, rt.winding - rf.winding AS delta, 'tree' AS kind FROM wy a JOIN wy b ON b.x = a.x AND b.y = a.y AND b.o = a.o AND b.seq = a.seq + 1 JOIN rd rf ON rf.patch_id = a.n JOIN rd rt ON rt.patch_id = b.n
+  UNION ALL SELECT x, y, o, h, m, m[1] + m[3], y, x, -o, 'closing' FROM mt),
+st AS (SELECT sp.*, w FROM sp JOIN wi ON wi.x = sp.f AND wi.y = sp.t AND wi.o = sp.delta)
+SELECT st.x AS from_patch, st.y AS to_patch, st.o AS loop_delta, st.h AS residual, m[2] AS lca, st.seq, f AS patch_id, t AS next_patch, delta, kind, w[1] AS cid, w[2] AS pid_from, w[3] AS pid_to,
+  coalesce(lag(w[3]) OVER c, last_value(w[3]) OVER (c ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS pid_in FROM st WINDOW c AS (PARTITION BY st.x, st.y, st.o ORDER BY seq)""",
+    ),
+    "anchor_votes": (
+        anchor_votes,
+        f"""WITH RECURSIVE {REACH_SQL}, v AS (SELECT root, CAST(wind_a AS BIGINT) - winding AS vote, count(*) AS n FROM att JOIN rd USING (patch_id) WHERE kind = 'absolute' GROUP BY ALL)
+SELECT *, count(*) OVER (PARTITION BY root) = 1 AS agreed FROM v""",
+    ),
     "disconnected_subgraphs": (
         disconnected_subgraphs,
         f"""WITH RECURSIVE {RELATIVE_SQL}, ar AS (SELECT patch_id, CAST(count(*) AS DOUBLE) AS area FROM att WHERE patch_id IS NOT NULL GROUP BY patch_id),
@@ -283,6 +362,20 @@ lb AS (SELECT x AS patch_id, min(y) AS component FROM rc GROUP BY x),
 rk AS (SELECT *, row_number() OVER (PARTITION BY component ORDER BY area DESC, patch_id) AS i FROM lb JOIN ar USING (patch_id)),
 g AS (SELECT component, count(*) AS n_patches, sum(area) AS total_area, string_agg(patch_id, ',' ORDER BY i) FILTER (i <= 5) AS top_patches FROM rk GROUP BY component)
 SELECT *, row_number() OVER (ORDER BY n_patches DESC, total_area DESC, component) AS place FROM g""",
+    ),
+    "nearest_links": (nearest_links, f"WITH {OFFERS_SQL} SELECT pid, arg_min(patch_id, (distance, patch_id)) AS patch_id, round(min(distance), 9) AS distance FROM gt WHERE fair GROUP BY pid"),
+    "largest_links": (
+        largest_links,
+        f"""WITH {OFFERS_SQL}, b AS (SELECT pid, min(row(CASE WHEN paired THEN 0 ELSE -area END, distance, patch_id)) AS m FROM gt JOIN ara USING (patch_id) WHERE fair GROUP BY pid)
+SELECT pid, m[3] AS patch_id, round(m[2], 9) AS distance FROM b""",
+    ),
+    "new_patch_gains": (
+        new_patch_gains,
+        f"""WITH {OFFERS_SQL}, old AS (SELECT DISTINCT pid FROM gt WHERE fair AND patch_id LIKE 'r%'),
+up AS (SELECT cid, pid, kind, row_number() OVER (PARTITION BY cid ORDER BY pid) AS i, count(*) OVER (PARTITION BY cid) AS n FROM points WHERE kind <> 'absolute' OR wind_a > 0 OR pid IN (SELECT pid FROM old)),
+nw AS (SELECT al.pid, al.patch_id, up.cid, up.i, up.n FROM al JOIN up USING (pid) WHERE patch_id NOT LIKE 'r%'),
+ok AS (SELECT DISTINCT cid, pid FROM nw a WHERE (SELECT count(*) FROM nw b WHERE b.cid = a.cid AND b.patch_id = a.patch_id AND abs(b.i - a.i) <= 2) >= least(3, least(a.i + 2, a.n) - greatest(a.i - 2, 1) + 1))
+SELECT cid, count(*) AS gained FROM ok WHERE pid NOT IN (SELECT pid FROM old) GROUP BY cid""",
     ),
     "named_pairs": (named_pairs, f"WITH {RELATIVE_SQL} SELECT DISTINCT 'between_patches__' || from_patch || '__' || to_patch AS name, from_patch AS \"first\", to_patch AS \"second\" FROM rel"),
     "incremental_links": (incremental_links, f"WITH {ATTACHED_SQL} SELECT cid, count(*) FILTER (patch_id IS NOT NULL OR r < 500) AS n_attached FROM att GROUP BY cid"),

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import patch_graph, patches
+from plumbline.operators import linking, patch_graph, patches
 from plumbline.plans import patch_queries
 from plumbline.sources import collections as docs
 from plumbline.sources.helix import axis_table
@@ -202,3 +202,95 @@ def test_relative_edges_count_crossings_between(spark):
     e = patch_graph.relative_edges(spark.createDataFrame(rows, "cid long, pid long, theta double, wind_a double, patch_id string"))
     assert [(r["from_patch"], r["to_patch"], r["delta"]) for r in e.collect()] == [("a", "b", 1)]
     assert e.select(F.max("pid_to")).first()[0] == 3
+
+
+def test_loops_step_by_step(spark):
+    rows = [("a", "b", 1, 1, 10, 11), ("b", "c", 1, 1, 12, 13), ("a", "d", 0, 2, 20, 21), ("d", "e", 2, 2, 22, 23), ("c", "e", 5, 3, 30, 31), ("b", "d", -1, 4, 40, 41), ("a", "b", 1, 9, 90, 91)]
+    e = spark.createDataFrame(rows, "from_patch string, to_patch string, delta long, cid long, pid_from long, pid_to long")
+    reached = patch_graph.reach(e, spark.createDataFrame([("a",)], "patch_id string"))
+    loops = {}
+    for r in patch_graph.loop_cycles(reached, e).collect():
+        loops.setdefault((r["from_patch"], r["to_patch"], r["loop_delta"], r["residual"]), []).append(r)
+    # b - d closes, c - e doesn't: e is reached at 2 by d, by c it would be 7
+    assert loops.keys() == {("c", "e", 5, -5)}
+    steps = sorted(loops["c", "e", 5, -5], key=lambda r: r["seq"])
+    assert [(r["patch_id"], r["next_patch"], r["delta"], r["kind"]) for r in steps] == [("c", "b", -1, "tree"), ("b", "a", -1, "tree"), ("a", "d", 0, "tree"), ("d", "e", 2, "tree"), ("e", "c", -5, "closing")]
+    assert [(r["cid"], r["pid_from"], r["pid_to"]) for r in steps] == [(1, 13, 12), (1, 11, 10), (2, 20, 21), (2, 22, 23), (3, 31, 30)]
+    assert [r["pid_in"] for r in steps] == [30, 12, 10, 21, 23] and {r["lca"] for r in steps} == {"a"}
+    assert sum(r["delta"] for r in steps) == -5
+
+
+def test_gate_of_short_traces(spark):
+    p = spark.createDataFrame([(1, 1, True), (1, 2, True), (2, 3, True), (2, 4, False), (2, 5, True), (2, 6, True), (3, 7, False), (4, 8, None), (4, 9, True)], "cid long, pid long, hit boolean")
+    got = {r["pid"] for r in patch_graph.hit_gate(p).where("gated").collect()}
+    # of two points both have to hit, of three all; a point that doesn't hit never passes
+    assert got == {1, 2, 5}
+
+
+def plain_links(points, hits, areas, pairs, policy, window, least):
+    """points: pid -> (cid, name, patch)."""
+    chains, out = {}, {}
+    for pid in sorted(points):
+        chains.setdefault(points[pid][0], []).append(pid)
+    fair = {}
+    for pid, patch, d in hits:
+        pair = pairs.get(points[pid][1])
+        if pair is None or patch in pair:
+            fair.setdefault(patch, {})[pid] = d
+    for patch, own in fair.items():
+        for pid, d in own.items():
+            chain = chains[points[pid][0]]
+            k = chain.index(pid)
+            near = chain[max(0, k - window // 2) : k + window // 2 + 1]
+            if sum(q in own for q in near) >= min(least, len(near)) and points[pid][2] is None:
+                area = 0 if pairs.get(points[pid][1]) or policy == "nearest" else -areas.get(patch, 0)
+                out[pid] = min(out.get(pid, (1e9, 1e9, "~")), (area, d, patch))
+    return {pid: (patch, d) for pid, (_, d, patch) in out.items()}
+
+
+@pytest.mark.parametrize("policy", ["nearest", "largest_area"])
+def test_links_of_policies_windows_and_pairs(spark, policy):
+    rng = np.random.default_rng(3)
+    points = {pid: (pid // 7, ["t", "t", "between_patches__a__b"][pid // 7 % 3], [None, None, "a"][int(rng.integers(3)) if pid % 4 == 0 else 0]) for pid in range(60)}
+    hits = [(pid, p, float(rng.integers(1, 4))) for pid in points for p in "abcde" if rng.random() < 0.6]
+    areas, pairs = {"a": 5.0, "b": 5.0, "c": 9.0, "d": 1.0}, {"between_patches__a__b": ("a", "b")}
+    pf = spark.createDataFrame([(c, pid, n, p) for pid, (c, n, p) in points.items()], "cid long, pid long, name string, patch_id string")
+    hf = spark.createDataFrame(hits, "pid long, patch_id string, distance double")
+    af, nf = spark.createDataFrame(list(areas.items()), "patch_id string, area double"), spark.createDataFrame([(k, *v) for k, v in pairs.items()], "name string, first string, second string")
+    got = {r["pid"]: (r["patch_id"], r["distance"]) for r in linking.chosen_links(pf, hf, af, nf, policy, 5, 3).collect()}
+    assert got == plain_links(points, hits, areas, pairs, policy, 5, 3) and got
+    with pytest.raises(ValueError):
+        linking.chosen_links(pf, hf, af, policy="largest")
+
+
+def test_new_patches_link_as_if_all_were_linked_again(spark):
+    rng = np.random.default_rng(12)
+    points = [(pid // 9, pid, False, 1.0, "t", None) for pid in range(72)]
+    pf = spark.createDataFrame(points, "cid long, pid long, absolute boolean, wind_a double, name string, patch_id string")
+    hits = spark.createDataFrame([(pid, p, float(rng.random())) for pid in range(72) for p in "abcd" if rng.random() < 0.45], "pid long, patch_id string, distance double")
+    areas = hits.select("patch_id").distinct().withColumn("area", F.lit(1.0))
+    first = linking.linked_points(pf, linking.chosen_links(pf, hits.where("patch_id in ('a', 'b')"), areas, None, "nearest", 5, 3))
+    links = linking.link_new_patches(first, hits.where("patch_id in ('c', 'd')"), areas, None, "nearest", 5, 3)
+    after = {r["pid"]: r["patch_id"] for r in linking.linked_points(first, links).collect()}
+    before = {r["pid"]: r["patch_id"] for r in first.collect()}
+    again = {r["pid"]: r["patch_id"] for r in linking.chosen_links(pf, hits, areas, None, "nearest", 5, 3).collect()}
+    assert {k for k, v in after.items() if v} == set(again)
+    assert all(after[k] == v for k, v in before.items() if v) and all(after[k] == again[k] for k in again if before[k] is None)
+    won = {r["cid"]: r["gained"] for r in linking.gains(first, links).collect()}
+    assert sum(won.values()) == sum(before[k] is None and after[k] is not None for k in before) > 0
+
+
+def test_absolute_points_need_a_winding(spark):
+    pf = spark.createDataFrame([(1, 1, True, 0.0, None), (1, 2, True, 2.0, None), (1, 3, True, None, None), (2, 4, False, None, None)], "cid long, pid long, absolute boolean, wind_a double, patch_id string")
+    hits = spark.createDataFrame([(k, "n", 1.0) for k in (1, 2, 3, 4)], "pid long, patch_id string, distance double")
+    areas = spark.createDataFrame([("n", 1.0)], "patch_id string, area double")
+    assert {r["pid"] for r in linking.link_new_patches(pf, hits, areas).collect()} == {2, 4}
+
+
+def test_sides(spark):
+    rows = [(1, 1.0, 0.0, 0.0, 1.0, 0.0, 0.0), (2, -1.0, 0.0, 0.0, 1.0, 0.0, 0.0), (3, -1.0, 0.0, 0.0, 0.0, 0.0, 0.0), (4, None, 0.0, 0.0, 1.0, 0.0, 0.0), (5, 0.1, 9.0, 0.0, 1.0, 0.0, 0.0)]
+    hits = spark.createDataFrame(rows, "pid long, ax double, ay double, az double, ix double, iy double, iz double")
+    kept = lambda rule: {r["pid"] for r in linking.on_side(hits, rule, 0.5).collect()}
+    assert kept("front") == {1, 3, 4, 5} and kept("behind") == {2, 3, 4, 5}
+    with pytest.raises(ValueError):
+        linking.on_side(hits, "above", 0.5)
