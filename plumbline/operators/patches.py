@@ -143,19 +143,25 @@ def with_triangle_distance(rows: DataFrame) -> DataFrame:
 
 def project(points: DataFrame, tri: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """Nearest triangle of each patch within tolerance of each point (pid, x, y, z): pid,
-    patch_id, distance, i, j. Boxes around triangles, grown by the tolerance, meet points
-    through a grid of cells as wide as the widest box."""
+    patch_id, distance, i, j. A triangle's box, grown by the tolerance, lies in cells at least as
+    wide as itself and less than twice as wide (a power of two, its level), so in eight at
+    most; a point probes one cell of each level that occurs. A few large triangles don't
+    widen the cells of the others."""
     box = {k: (F.least(f"a.{k}", f"b.{k}", f"c.{k}") - tolerance, F.greatest(f"a.{k}", f"b.{k}", f"c.{k}") + tolerance) for k in "xyz"}
     t = tri
     for k, (lo, hi) in box.items():
         t = t.withColumn(f"_{k}0", lo).withColumn(f"_{k}1", hi)
-    width = t.agg(F.max(F.greatest(*[F.col(f"_{k}1") - F.col(f"_{k}0") for k in "xyz"]))).first()[0]
-    if width is None:
+    wide = F.greatest(F.lit(1e-300), *[F.col(f"_{k}1") - F.col(f"_{k}0") for k in "xyz"])
+    t = t.withColumn("_level", F.ceil(F.log2(wide)).cast("int"))
+    levels = [r[0] for r in t.select("_level").distinct().collect()]  # a number for each power of two
+    if not levels:
         return points.sparkSession.createDataFrame([], "pid long, patch_id string, distance double, i long, j long")
+    width = F.pow(F.lit(2.0), F.col("_level"))
     for k in "xyz":
-        t = t.withColumn(f"_{k}", F.explode(F.sequence(F.floor(F.col(f"_{k}0") / F.lit(width)), F.floor(F.col(f"_{k}1") / F.lit(width)))))
-    p = points.select("pid", F.struct("x", "y", "z").alias("p"), *[F.floor(F.col(k) / F.lit(width)).alias(f"_{k}") for k in "xyz"])
-    near = t.join(p, ["_x", "_y", "_z"])
+        t = t.withColumn(f"_{k}", F.explode(F.sequence(F.floor(F.col(f"_{k}0") / width), F.floor(F.col(f"_{k}1") / width))))
+    p = points.withColumn("_level", F.explode(F.array(*[F.lit(level) for level in sorted(levels)])))
+    p = p.select("pid", F.struct("x", "y", "z").alias("p"), "_level", *[F.floor(F.col(k) / width).alias(f"_{k}") for k in "xyz"])
+    near = t.join(p, ["_level", "_x", "_y", "_z"])
     for k in "xyz":
         near = near.where(F.col(f"p.{k}").between(F.col(f"_{k}0"), F.col(f"_{k}1")))
     near = with_triangle_distance(near.select("pid", "patch_id", "i", "j", "side", "p", "a", "b", "c"))

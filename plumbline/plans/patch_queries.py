@@ -242,6 +242,34 @@ al AS (SELECT ht.*, cid, i, n, paired, kind, wind_a FROM ht JOIN nm USING (pid)
 gt AS (SELECT a.*, (SELECT count(*) FROM al b WHERE b.cid = a.cid AND b.patch_id = a.patch_id AND abs(b.i - a.i) <= 2) >= least(3, least(a.i + 2, a.n) - greatest(a.i - 2, 1) + 1) AS fair FROM al a)"""
 
 
+
+def _vector(name: str, start: str, end: str) -> str:
+    return ", ".join(f"{end}{k} - {start}{k} AS {name}{k}" for k in "xyz")
+
+
+def _product(p: str, q: str) -> str:
+    return " + ".join(f"{p}{k} * {q}{k}" for k in "xyz")
+
+
+def _square(of: str) -> str:
+    """Of the vector whose component k is `of` with K in k's place."""
+    return " + ".join(f"({of.replace('K', k)}) * ({of.replace('K', k)})" for k in "xyz")
+
+
+PROJECTION_SQL = f"""{CELLS_SQL},
+tg AS (SELECT patch_id, i, j, 0 AS side, {", ".join(f"{k}10 AS l{k}, {k}00 AS m{k}, {k}01 AS n{k}" for k in "xyz")} FROM quads
+  UNION ALL SELECT patch_id, i, j, 1, {", ".join(f"{k}10, {k}01, {k}11" for k in "xyz")} FROM quads),
+pp AS (SELECT CAST(substr(patch_id, 2) AS BIGINT) * 600 + i * 30 + j AS pid, x + 0.3 AS px, y + 0.2 AS py, z + 0.4 AS pz FROM cells),
+nr AS (SELECT pid, tg.*, px, py, pz FROM tg JOIN pp ON {" AND ".join(f"p{k} >= least(l{k}, m{k}, n{k}) - 2.5 AND p{k} <= greatest(l{k}, m{k}, n{k}) + 2.5" for k in "xyz")}),
+vc AS (SELECT pid, patch_id, {_vector("u", "l", "m")}, {_vector("v", "l", "n")}, {_vector("w", "l", "p")}, {_vector("e", "m", "n")}, {_vector("f", "m", "p")} FROM nr),
+pr AS (SELECT *, {", ".join(f"{_product(p, q)} AS {p}{q}" for p, q in ("uu", "uv", "vv", "wu", "wv", "ee", "fe"))} FROM vc),
+sd AS (SELECT *, uu * vv - uv * uv AS det, vv * wu - uv * wv AS s, uu * wv - uv * wu AS t, greatest(0, least(1, wu / greatest(uu, 1e-300))) AS ab, greatest(0, least(1, wv / greatest(vv, 1e-300))) AS ac,
+  greatest(0, least(1, fe / greatest(ee, 1e-300))) AS bc FROM pr),
+dd AS (SELECT pid, patch_id, sqrt(least({_square("wK - ab * uK")}, {_square("wK - ac * vK")}, {_square("fK - bc * eK")},
+  CASE WHEN det > 0 AND s >= 0 AND t >= 0 AND s + t <= det THEN {_square("wK - s / det * uK - t / det * vK")} END)) AS d FROM sd),
+hits AS (SELECT pid, patch_id, min(d) AS distance FROM dd GROUP BY ALL HAVING min(d) <= 2.5)"""
+
+
 def _theta(name: str, axis: list[tuple[float, float, float]]) -> str:
     _, x, y = axis[0]
     angle = f"atan2({name}y - {y!r}::DOUBLE, {name}x - {x!r}::DOUBLE)"
@@ -329,8 +357,12 @@ SELECT patch_id, n_quads, n_quads - n_edges + n_tri - n_blk + n_holes AS n_compo
         f"""WITH {CELLS_SQL}, c AS (SELECT patch_id, i, j, (y00 + y01 + y10 + y11) / 4 >= 15 AS up FROM quads)
 SELECT CAST(substr(c.patch_id, 2) AS BIGINT) * 600 + c.i * 30 + c.j AS request, CAST(c.up AS BIGINT) - CAST(s.up AS BIGINT) AS delta FROM c JOIN c s ON s.patch_id = c.patch_id AND s.i = 4 AND s.j = 12""",
     ),
-    "projection": (projection, None),
-    "attachment": (attachment, None),
+    "projection": (projection, f"WITH {PROJECTION_SQL} SELECT pid, patch_id, round(distance, 6) AS distance FROM hits"),
+    "attachment": (
+        attachment,
+        f"""WITH {PROJECTION_SQL}, ar AS (SELECT patch_id, count(*) AS area FROM quads GROUP BY patch_id), m AS (SELECT pid, min(row(-area, distance, patch_id)) AS m FROM hits JOIN ar USING (patch_id) GROUP BY pid)
+SELECT pid, m[3] AS patch_id, round(m[2], 6) AS distance FROM m""",
+    ),
     "hit_gate": (
         hit_gate,
         f"WITH {ATTACHED_SQL}, g AS (SELECT cid, r < 600 AND count(*) FILTER (r < 600) OVER w >= least(3, count(*) OVER w) AS gated FROM att WINDOW w AS (PARTITION BY cid ORDER BY pid ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) SELECT cid, count(*) FILTER (gated) AS n_gated FROM g GROUP BY cid",

@@ -119,6 +119,27 @@ def test_projection_onto_a_plane(spark):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
+def test_projection_onto_triangles_of_many_sizes(spark):
+    rng = np.random.default_rng(21)
+    rows = []
+    for k, size in enumerate([0.01, 0.4, 3.0, 50.0, 900.0] * 4):
+        a = rng.uniform(-20, 20, 3)
+        rows.append((f"p{k % 3}", k, 0, 0, *[tuple(map(float, c)) for c in (a, a + rng.normal(size=3) * size, a + rng.normal(size=3) * size)]))
+    c = "struct<x:double,y:double,z:double>"
+    tri = spark.createDataFrame(rows, f"patch_id string, i long, j long, side int, a {c}, b {c}, c {c}")
+    places = [(k, *map(float, rng.uniform(-22, 22, 3))) for k in range(150)]
+    pts = spark.createDataFrame(places, "pid long, x double, y double, z double")
+    each = spark.createDataFrame([(p[0], *r[:4], p[1:], *r[4:]) for p in places for r in rows], f"pid long, patch_id string, i long, j long, side int, p {c}, a {c}, b {c}, c {c}")
+    want = {}
+    for r in patches.with_triangle_distance(each).collect():
+        if r["distance"] <= 2.5:
+            key = r["pid"], r["patch_id"]
+            want[key] = min(want.get(key, (9e9, 0)), (r["distance"], r["i"]))
+    got = {(r["pid"], r["patch_id"]): (r["distance"], r["i"]) for r in patches.project(pts, tri).collect()}
+    assert got.keys() == want.keys() and len(want) > 20
+    assert all(got[k][0] == pytest.approx(want[k][0]) and got[k][1] == want[k][1] for k in want)
+
+
 def test_lift_and_erosion(spark):
     c = grid(spark, 5, 5, lambda i, j: (2 * i, 3 * j, i + j), {(4, 4)})
     at = spark.createDataFrame([("p", 1.5, 2.25), ("p", 3.5, 3.5)], "patch_id string, fi double, fj double")
