@@ -127,6 +127,43 @@ def order_arcs(candidates: DataFrame, found: DataFrame, spacing: float, margin:
     return equal.toDF("u", "v", "bound", "grp", "n_links").unionAll(o.select("u", "v", "bound", tag("order", F.col("u"), F.col("v"), F.col("bound")), "n"))
 
 
+def margin_grid(candidates: DataFrame, found: DataFrame, spacing: float, margins: list[float], min_support: int) -> DataFrame:
+    """margin, n_nodes, n_arcs, n_groups, n_point_pairs, n_conflicts: what order_arcs has at each
+    margin, and its pairs of nodes with contradicting equations (which no margin changes).
+
+    A pair of points is an arc's at every margin below its own gap, so it's counted once, at the
+    greatest of them; an arc's pairs at a margin are those counted there or above."""
+    grid = sorted(set(margins))
+    if not grid or grid[0] <= 0:
+        raise ValueError(f"{margins} are no margins: numbers of wraps above 0 are asked for")
+    outside = F.col("gap") > 0
+    level = F.size(F.filter(F.array(*[F.lit(m * spacing) for m in grid]), lambda m: m < F.abs("gap")))
+    far = candidates.withColumn("level", level).where("level > 0").select(
+        F.when(outside, F.col("a.node")).otherwise(F.col("b.node")).alias("u"),
+        F.when(outside, F.col("b.node")).otherwise(F.col("a.node")).alias("v"),
+        F.when(outside, F.col("offset") - 1).otherwise(-F.col("offset") - 1).alias("bound"),
+        "level",
+    )
+    counted = far.groupBy("u", "v", "bound", "level").agg(F.count(F.lit(1)).alias("n"))
+    per = counted.withColumn("at", F.explode(F.sequence(F.lit(1), F.col("level")))).groupBy("at", "u", "v", "bound").agg(F.sum("n").alias("n")).where(F.col("n") >= min_support)
+    per = durable(per, "margins")
+    strong = found.groupBy("akey", "bkey", "a", "b", "offset").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_support)
+    strong = durable(strong, "equations")
+    at = found.sparkSession.range(1, len(grid) + 1).select(F.col("id").cast("int").alias("at"), F.element_at(F.array(*[F.lit(float(m)) for m in grid]), F.col("id").cast("int")).alias("margin"))
+    ends = lambda u, v: F.inline(F.array(F.struct(F.col(u).alias("node")), F.struct(F.col(v).alias("node"))))
+    fixed = strong.select(ends("a", "b")).distinct()
+    more = per.select("at", ends("u", "v")).distinct().join(fixed, "node", "left_anti").groupBy("at").agg(F.count(F.lit(1)).alias("more"))
+    sums = per.groupBy("at").agg(F.count(F.lit(1)).alias("arcs"), F.sum("n").alias("pairs"))
+    whole = strong.agg(F.count(F.lit(1)).alias("equations"), F.coalesce(F.sum("n"), F.lit(0)).alias("links"))
+    nodes = fixed.agg(F.count(F.lit(1)).alias("held"))
+    conflicts = strong.groupBy("akey", "bkey").agg(F.count(F.lit(1)).alias("n")).where("n > 1").agg(F.count(F.lit(1)).alias("n_conflicts"))
+    rows = at.join(more, "at", "left").join(sums, "at", "left").na.fill(0, ["more", "arcs", "pairs"]).join(whole).join(nodes).join(conflicts)  # one row each
+    return rows.select(
+        "margin", (F.col("held") + F.col("more")).alias("n_nodes"), (2 * F.col("equations") + F.col("arcs")).alias("n_arcs"),
+        (F.col("equations") + F.col("arcs")).alias("n_groups"), (F.col("links") + F.col("pairs")).alias("n_point_pairs"), "n_conflicts",
+    )
+
+
 def conflict_endpoints(arcs: DataFrame) -> DataFrame:
     """Pairs of nodes with more than one equality group."""
     e = arcs.where(F.col("grp").startswith("equality:") & (F.col("u") < F.col("v")))

@@ -15,6 +15,7 @@ from plumbline.sources.helix import AXIS, POINTS_SQL, axis_table, helix_points
 
 CFG = settings.FIXTURE
 MARGIN = 1.0
+MARGINS = [0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 3.0]
 SWEEP_DZS = (5.0, 10.0, 20.0)
 
 
@@ -164,6 +165,12 @@ def order_conflicts(spark, sf_dir):
     return graph.conflict_endpoints(_arcs(spark, sf_dir))
 
 
+def margin_grid(spark, sf_dir):
+    c = cells(spark, sf_dir)
+    found = durable(links_in(c), "links")
+    return graph.margin_grid(matching.candidate_pairs(c, CFG, None), found, CFG.wrap_spacing_median, MARGINS, CFG.min_edge_support)
+
+
 def components(spark, sf_dir):
     c = graph.graph_components(found_edges(spark, sf_dir))
     return c.select(F.col("node").alias("nkey"), F.col("label").alias("component"))
@@ -395,6 +402,16 @@ SELECT node, pid_a, pid_b, round(residual, 6) AS residual, abs(residual) > 14 AS
     "order_candidates": (order_candidates, f"{CANDIDATES} SELECT a, b, count(*) AS n_pairs, count(*) FILTER (abs(gap) > 20) AS n_far FROM cand GROUP BY a, b"),
     "order_arcs": (order_arcs, f"{ARCS} SELECT u, v, bound, grp, n_links FROM arcs"),
     "order_conflicts": (order_conflicts, f"{ARCS} SELECT u, v, count(DISTINCT grp) AS n_groups FROM arcs WHERE grp LIKE 'equality:%' AND u < v GROUP BY u, v HAVING count(DISTINCT grp) > 1"),
+    "margin_grid": (
+        margin_grid,
+        f"""{CANDIDATES}, mg(m) AS (VALUES {", ".join(f"({m!r}::DOUBLE)" for m in MARGINS)}),
+fr AS (SELECT m, CASE WHEN gap > 0 THEN a ELSE b END AS u, CASE WHEN gap > 0 THEN b ELSE a END AS v, CASE WHEN gap > 0 THEN off - 1 ELSE -off - 1 END AS bound FROM cand JOIN mg ON abs(gap) > m * 20),
+fg AS (SELECT m, u, v, bound, count(*) AS n FROM fr GROUP BY ALL HAVING count(*) >= 2), eg AS (SELECT * FROM sup WHERE support >= 2)
+SELECT m AS margin, (SELECT count(*) FROM (SELECT u FROM fg WHERE fg.m = mg.m UNION SELECT v FROM fg WHERE fg.m = mg.m UNION SELECT a FROM eg UNION SELECT b FROM eg)) AS n_nodes,
+  2 * (SELECT count(*) FROM eg) + (SELECT count(*) FROM fg WHERE fg.m = mg.m) AS n_arcs, (SELECT count(*) FROM eg) + (SELECT count(*) FROM fg WHERE fg.m = mg.m) AS n_groups,
+  CAST((SELECT coalesce(sum(support), 0) FROM eg) + (SELECT coalesce(sum(n), 0) FROM fg WHERE fg.m = mg.m) AS BIGINT) AS n_point_pairs,
+  (SELECT count(*) FROM (SELECT akey, bkey FROM eg GROUP BY ALL HAVING count(*) > 1)) AS n_conflicts FROM mg""",
+    ),
     "components": (components, f"{LABELS} SELECT * FROM lab"),
     "component_cycles": (
         component_cycles,

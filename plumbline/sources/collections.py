@@ -18,6 +18,13 @@ def _finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
 
 
+def _once(column: str, what: Column, where: Column) -> Column:
+    """True if no two keys of a map are equal as numbers; an error otherwise."""
+    numbers = F.transform(F.map_keys(column), lambda k: F.coalesce(k.try_cast("bigint").cast("string"), k))
+    fine = F.coalesce(F.size(F.array_distinct(numbers)) == F.size(numbers), F.lit(True))
+    return F.when(fine, True).otherwise(F.raise_error(F.concat(what, where)).cast("boolean"))
+
+
 def flatten(documents: DataFrame, strict: bool = True) -> DataFrame:
     """source, cid, pid, x, y, z, wind_a, name, is_absolute from documents (source, value).
 
@@ -30,7 +37,11 @@ def flatten(documents: DataFrame, strict: bool = True) -> DataFrame:
         d = d.where(F.when(version.eqNullSafe(VERSION), True).otherwise(F.raise_error(F.concat(F.lit("unsupported version in "), "source")).cast("boolean")))
     else:
         d = d.where(version == VERSION)
+    if strict:
+        d = d.where(_once("d.collections", F.lit("duplicate collection id in "), F.col("source")))
     c = d.select("source", F.explode("d.collections").alias("cid", "c"))
+    if strict:
+        c = c.where(_once("c.points", F.lit("duplicate point id in "), F.concat_ws(" ", "source", "cid")))
     p = c.select("source", F.expr("try_cast(cid as bigint)").alias("cid"), "c.name", F.coalesce("c.metadata.winding_is_absolute", F.lit(False)).alias("is_absolute"), F.explode("c.points").alias("pid", "q"))
     xyz = (F.size("q.p") == 3) & _finite(F.get("q.p", 0)) & _finite(F.get("q.p", 1)) & _finite(F.get("q.p", 2))
     wind = F.col("q.wind_a")

@@ -214,8 +214,16 @@ def test_bad_documents(spark, bad):
 
 
 def test_ids_equal_as_numbers(spark):
-    frame = spark.createDataFrame([("s", document({"1": {"p": [1, 2, 3]}, "01": {"p": [1, 2, 4]}}))], "source string, value string")
-    assert docs.duplicate_ids(docs.flatten(frame)).count() == 1
+    twice = document({"1": {"p": [1, 2, 3]}, "01": {"p": [1, 2, 4]}})
+    frame = spark.createDataFrame([("s", twice)], "source string, value string")
+    assert docs.duplicate_ids(docs.flatten(frame, strict=False)).count() == 1
+    with pytest.raises(Exception, match="duplicate point id"):
+        docs.flatten(frame).collect()
+    both = json.dumps({"vc_pointcollections_json_version": "1", "collections": {"1": {"points": {}}, "01": {"points": {}}}})
+    with pytest.raises(Exception, match="duplicate collection id"):
+        docs.flatten(spark.createDataFrame([("s", both)], "source string, value string")).collect()
+    fine = document({"1": {"p": [1, 2, 3]}, "10": {"p": [1, 2, 4]}, "100": {"p": [1, 2, 5]}})
+    assert docs.flatten(spark.createDataFrame([("s", fine)], "source string, value string")).count() == 3
 
 
 def test_relative_edges_count_crossings_between(spark):
