@@ -261,8 +261,18 @@ def routes(requests: DataFrame, quad_table: DataFrame) -> DataFrame:
                 rows += [(r.request, k, x, y, len(way)) for k, (x, y) in enumerate(whole)]
         return pd.DataFrame(rows, columns=["request", "seq", "fi", "fj", "n_quads"])
 
+    kind = requests.schema["request"].dataType.simpleString()
     margins = edge_distance(quad_table).select(F.col("patch_id").alias("patch"), "i", "j", "distance")
-    return requests.groupBy("patch_id").cogroup(margins.groupBy("patch")).applyInPandas(solve, "request long, seq long, fi double, fj double, n_quads long")
+    return requests.groupBy("patch_id").cogroup(margins.groupBy("patch")).applyInPandas(solve, f"request {kind}, seq long, fi double, fj double, n_quads long")
+
+
+def strip_samples(requests: DataFrame, quad_table: DataFrame, step: float = 1.0, lines: DataFrame | None = None) -> DataFrame:
+    """line_id (the request), k, x, y, z, valid along the cheapest way between two places, at most
+    `step` apart."""
+    lines = routes(requests, quad_table) if lines is None else lines
+    samples = densify(lines.select(F.col("request").alias("line_id"), "seq", "fi", "fj"), step)
+    named = samples.join(requests.select(F.col("request").alias("line_id"), "patch_id"), "line_id")
+    return lift(named, quad_table).select("line_id", "k", "x", "y", "z", "valid")
 
 
 def strip_deltas(requests: DataFrame, quad_table: DataFrame, axis: DataFrame, step: float = 1.0) -> DataFrame:
@@ -270,9 +280,7 @@ def strip_deltas(requests: DataFrame, quad_table: DataFrame, axis: DataFrame, st
     between two places, sampled at most `step` apart from place to place; samples off the patch
     are dropped and counted. Null where there is no way, or not two samples on the patch."""
     lines = durable(routes(requests, quad_table), "routes")
-    samples = densify(lines.select(F.col("request").alias("line_id"), "seq", "fi", "fj"), step)
-    named = samples.join(requests.select(F.col("request").alias("line_id"), "patch_id"), "line_id")
-    moved = path_transport(lift(named, quad_table), axis).withColumnRenamed("line_id", "request")
+    moved = path_transport(strip_samples(requests, quad_table, step, lines), axis).withColumnRenamed("line_id", "request")
     sizes = lines.groupBy("request").agg(F.max("n_quads").alias("n_quads"))
     found = requests.select("request").join(sizes, "request", "left").join(moved, "request", "left")
     return found.select("request", "delta", "n_quads", "n_valid", "n_dropped")

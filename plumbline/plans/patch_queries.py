@@ -6,8 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators import linking, patch_graph, patches
+from plumbline.operators import linking, measured, patch_graph, patches
 from plumbline.operators.components import durable
+from plumbline.operators.frame import to_cylindrical
 from plumbline.plans.audit_queries import CFG, _cut, points
 from plumbline.sources.collections import flatten, to_documents
 from plumbline.sources.helix import POINTS_SQL, axis_table
@@ -162,6 +163,40 @@ def incremental_links(spark, sf_dir):
     return patch_graph.link_new(p, later).groupBy("cid").agg(F.count("patch_id").alias("n_attached"))
 
 
+def _surface_edges(spark, sf_dir):
+    """Forty traces that visit all patches, point by point a little beside the surface, and the
+    edges that they make; entries, quads and axis."""
+    q = durable(patches.quads(cells(spark, sf_dir)), "quads")
+    axis = axis_table(spark, SIDE_AXIS)
+    middle = patches.lift(q.select("patch_id", "i", "j", (F.col("i") + 0.5).alias("fi"), (F.col("j") + 0.5).alias("fj")), q)
+    pid = F.substring("patch_id", 2, 20).cast("long") * 600 + F.col("i") * 30 + F.col("j")
+    p = middle.select("patch_id", "fi", "fj", pid.alias("pid"), (pid % 40).alias("cid"), (F.col("x") + 0.3).alias("x"), (F.col("y") + 0.2).alias("y"), (F.col("z") + 0.4).alias("z"), (pid % 9).cast("double").alias("wind_a"))
+    p = durable(to_cylindrical(p, axis), "traces")
+    e = patch_graph.relative_edges(p.select("cid", "pid", "theta", "wind_a", "patch_id"), CFG.sense)
+    side = lambda n, s: p.select(F.col("pid").alias(f"pid_{n}"), F.col("fi").alias(f"{n}_i"), F.col("fj").alias(f"{n}_j"), *[F.col(k).alias(f"{s}{k}") for k in "xyz"])
+    edges = e.join(side("from", "f"), "pid_from").join(side("to", "t"), "pid_to")
+    entries = p.select("patch_id").distinct().withColumn("i", F.lit(4.5)).withColumn("j", F.lit(12.5))
+    return edges, entries, q, axis
+
+
+def measured_edges(spark, sf_dir):
+    found = measured.measured_edges(*_surface_edges(spark, sf_dir))
+    return found.select("from_patch", "to_patch", "cid", "pid_from", "pid_to", "delta", "gap_from", "gap_to", "measured")
+
+
+def corrected_reach(spark, sf_dir):
+    """Windings of patches by the traces' own deltas, then with the gaps of the edges that reach
+    them."""
+    found = durable(measured.measured_edges(*_surface_edges(spark, sf_dir)), "measured")
+    reached = durable(patch_graph.reach(found, found.select(F.min("from_patch").alias("patch_id"))), "reached")
+    base = reached.select(F.col("patch_id").alias("via"), F.col("winding").alias("_w"))
+    own = reached.join(base, "via").select("patch_id", "via", (F.col("winding") - F.col("_w")).alias("delta"))
+    ways = F.array(*[F.struct(F.col(a).alias("via"), F.col(b).alias("patch_id"), (s * F.col("delta")).alias("delta"), (s * (F.col("gap_from") + F.col("gap_to"))).alias("change"), F.struct("cid", "pid_from", "pid_to").alias("w")) for a, b, s in (("from_patch", "to_patch", 1), ("to_patch", "from_patch", -1))])
+    told = found.select(F.inline(ways)).join(own, ["patch_id", "via", "delta"]).groupBy("patch_id").agg(F.min_by("change", "w").alias("change"))
+    after = measured.shifted_windings(reached, told)
+    return after.join(reached.select("patch_id", F.col("winding").alias("uncorrected")), "patch_id").select("patch_id", "hops", "uncorrected", F.col("winding").alias("corrected"))
+
+
 def _offers(spark, sf_dir):
     """Helix points as unlinked traces, some of them named after two patches, and hits of each on
     up to three patches: one by height and angle, one by radius, and one by height alone."""
@@ -242,6 +277,15 @@ al AS (SELECT ht.*, cid, i, n, paired, kind, wind_a FROM ht JOIN nm USING (pid)
 gt AS (SELECT a.*, (SELECT count(*) FROM al b WHERE b.cid = a.cid AND b.patch_id = a.patch_id AND abs(b.i - a.i) <= 2) >= least(3, least(a.i + 2, a.n) - greatest(a.i - 2, 1) + 1) AS fair FROM al a)"""
 
 
+MEASURED_SQL = f"""{CELLS_SQL},
+md AS (SELECT patch_id, CAST(substr(patch_id, 2) AS BIGINT) * 600 + i * 30 + j AS pid, (y00 + y01 + y10 + y11) / 4 >= 15 AS own, (y00 + y01 + y10 + y11) / 4 + 0.2 >= 15 AS up FROM quads),
+tl AS (SELECT pid % 40 AS cid, *, CAST(up AS INT) - CAST(lag(up) OVER w AS INT) AS cut, pid % 9 AS wind_a FROM md WINDOW w AS (PARTITION BY pid % 40 ORDER BY pid)),
+tc AS (SELECT *, sum(cut) OVER (PARTITION BY cid ORDER BY pid) AS cuts FROM tl),
+tn AS (SELECT *, lead(patch_id) OVER w AS np, lead(pid) OVER w AS npid, lead(wind_a) OVER w AS nw, lead(coalesce(cuts, 0)) OVER w AS nc, lead(own) OVER w AS nown, lead(up) OVER w AS nup FROM tc WINDOW w AS (PARTITION BY cid ORDER BY pid)),
+ent AS (SELECT patch_id, (y00 + y01 + y10 + y11) / 4 >= 15 AS own FROM quads WHERE i = 4 AND j = 12),
+me AS (SELECT tn.patch_id AS from_patch, np AS to_patch, cid, pid AS pid_from, npid AS pid_to, CAST(nw - wind_a - (nc - coalesce(cuts, 0)) AS BIGINT) AS delta, CAST(up AS INT) - CAST(tn.own AS INT) AS gap_from, CAST(nown AS INT) - CAST(nup AS INT) AS gap_to,
+  CAST(tn.own AS INT) - CAST(p.own AS INT) AS sf, CAST(nown AS INT) - CAST(r.own AS INT) AS st FROM tn JOIN ent p ON p.patch_id = tn.patch_id JOIN ent r ON r.patch_id = np WHERE np <> tn.patch_id)"""
+
 
 def _vector(name: str, start: str, end: str) -> str:
     return ", ".join(f"{end}{k} - {start}{k} AS {name}{k}" for k in "xyz")
@@ -356,6 +400,18 @@ SELECT patch_id, n_quads, n_quads - n_edges + n_tri - n_blk + n_holes AS n_compo
         strip_deltas,
         f"""WITH {CELLS_SQL}, c AS (SELECT patch_id, i, j, (y00 + y01 + y10 + y11) / 4 >= 15 AS up FROM quads)
 SELECT CAST(substr(c.patch_id, 2) AS BIGINT) * 600 + c.i * 30 + c.j AS request, CAST(c.up AS BIGINT) - CAST(s.up AS BIGINT) AS delta FROM c JOIN c s ON s.patch_id = c.patch_id AND s.i = 4 AND s.j = 12""",
+    ),
+    "measured_edges": (measured_edges, f"WITH {MEASURED_SQL} SELECT from_patch, to_patch, cid, pid_from, pid_to, delta, gap_from, gap_to, CAST(delta + gap_from + gap_to + sf - st AS BIGINT) AS measured FROM me"),
+    "corrected_reach": (
+        corrected_reach,
+        f"""WITH RECURSIVE {MEASURED_SQL},
+bw AS (SELECT from_patch AS x, to_patch AS y, delta AS o, gap_from + gap_to AS c, row(cid, pid_from, pid_to) AS w FROM me UNION ALL SELECT to_patch, from_patch, -delta, -gap_from - gap_to, row(cid, pid_from, pid_to) FROM me),
+lv(x, d) AS (SELECT min(from_patch), 0 FROM me UNION SELECT bw.y, d + 1 FROM lv JOIN bw ON bw.x = lv.x WHERE d < 60),
+ds AS (SELECT x, min(d) AS d FROM lv GROUP BY x),
+tr AS (SELECT c.x, min(row(bw.x, bw.o)) AS up FROM ds c JOIN bw ON bw.y = c.x JOIN ds p ON p.x = bw.x AND p.d = c.d - 1 GROUP BY c.x),
+tg AS (SELECT tr.x, up[1] AS via, up[2] AS o, arg_min(bw.c, bw.w) AS c FROM tr JOIN bw ON bw.x = up[1] AND bw.y = tr.x AND bw.o = up[2] GROUP BY ALL),
+an(x, y, o, c) AS (SELECT x, x, 0::BIGINT, 0::BIGINT FROM ds UNION ALL SELECT an.x, via, an.o + tg.o, an.c + tg.c FROM an JOIN tg ON tg.x = an.y)
+SELECT ds.x AS patch_id, CAST(d AS INT) AS hops, an.o AS uncorrected, an.o + an.c AS corrected FROM ds JOIN an ON an.x = ds.x WHERE an.y NOT IN (SELECT x FROM tg)""",
     ),
     "projection": (projection, f"WITH {PROJECTION_SQL} SELECT pid, patch_id, round(distance, 6) AS distance FROM hits"),
     "attachment": (
