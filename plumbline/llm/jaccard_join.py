@@ -378,9 +378,12 @@ def left_over_pairs(members: DataFrame, hearts: DataFrame) -> DataFrame:
 
 def components(sets: DataFrame, left: int = LEFT) -> DataFrame | None:
     """node, label of every linked set; nothing if there is no link."""
-    links = linked(durable(first_stars(sets), "stars"), sets)
+    stars = durable(first_stars(sets), "stars")
+    links = linked(stars, sets)
     none = sets.sparkSession.createDataFrame([], "node long, label long")
     labels = None if links.isEmpty() else joined(None, links)
+    for x in (stars, links):
+        discard(x)
     members, turn = open_members(sets, none if labels is None else labels), 0
     enough, success = left * sets.count(), 1.0
     while True:
@@ -388,6 +391,8 @@ def components(sets: DataFrame, left: int = LEFT) -> DataFrame | None:
         made = (F.col("sets") - F.col("most")).cast("double") * F.col("sets")
         size = hearts.agg(F.count(F.lit(1)).alias("all"), F.sum(F.when(made > SETTLED * left, made)).alias("pairs")).first()
         if not size["all"]:
+            for x in (members, hearts):
+                discard(x)
             return labels
         # stars end when a turn joined few of the pairs it made, or when all pairs are few enough
         stars = success * 4 >= 1 and (size["pairs"] or 0) > enough
@@ -401,10 +406,14 @@ def components(sets: DataFrame, left: int = LEFT) -> DataFrame | None:
         success = found / max(pairs.count(), 1)
         if found:
             labels = joined(labels, links)
+        for x in (links, pairs):
+            discard(x)
         if not stars:
+            for x in (members, hearts):
+                discard(x)
             return labels
         before, members = members, still_open(members, hearts.where(wide), none if labels is None else labels)
-        for x in (before, hearts, pairs):
+        for x in (before, hearts):
             discard(x)
         turn += 1
 
