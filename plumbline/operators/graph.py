@@ -6,11 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators.components import connected_components, durable
+from plumbline.operators.components import connected_components, discard, durable
 from plumbline.operators.forest import common_ancestors, lifts, spanning_forest, ways
 
-ROUNDS = 64
-
 
 def graph_components(edges: DataFrame) -> DataFrame:
     """akey-style node and label (its component's least node)."""
@@ -19,23 +17,27 @@ def graph_components(edges: DataFrame) -> DataFrame:
     return connected_components(nodes, edges.select(F.col("akey").alias("a"), F.col("bkey").alias("b")))
 
 
-def potentials(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def potentials(edges: DataFrame) -> DataFrame:
     """node, root, pot: integers along edges from each component's least node. Where a component
-    contradicts itself they follow some of its edges; whether it does is the same for all."""
+    contradicts itself they follow some of its edges; whether it does is the same for all. Roots
+    only fall and are followed once more each round, so rounds end, after about the logarithm
+    of a component's length."""
     e = edges.select(F.col("akey").alias("a"), F.col("bkey").alias("b"), "offset")
     both = durable(e.unionAll(e.select("b", "a", -F.col("offset"))), "equations")
     now = durable(both.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("pot")), "potentials")
-    for _ in range(rounds):
+    while True:
         via = both.join(now.withColumnRenamed("node", "a"), "a").groupBy("b").agg(F.min(F.struct("root", (F.col("pot") + F.col("offset")).alias("pot"))).alias("near"))
         hooked = now.join(via, now["node"] == via["b"], "left").select("node", F.col("root").alias("was"), F.when(F.col("near.root") < F.col("root"), F.col("near")).otherwise(F.struct("root", "pot")).alias("at"))
         hooked = durable(hooked.select("node", "was", "at.root", "at.pot"), "potentials")
         up = hooked.select(F.col("node").alias("root"), F.col("root").alias("root2"), F.col("pot").alias("pot2")).where("root2 < root")
         jumped = hooked.join(up, "root", "left").select("node", "was", F.coalesce("root2", "root").alias("root"), (F.col("pot") + F.coalesce("pot2", F.lit(0))).alias("pot"))
-        new = durable(jumped, "potentials")
-        now = new.select("node", "root", "pot")
+        before, new = now, durable(jumped, "potentials")
+        for written in (before, hooked):
+            discard(written)
         if new.where("root <> was").isEmpty():
-            return now
-    raise ValueError(f"potentials did not settle in {rounds} rounds")
+            discard(both)
+            return new.select("node", "root", "pot")
+        now = new
 
 
 def component_table(edges: DataFrame) -> DataFrame:

@@ -161,7 +161,7 @@ def plain_way(at, a, b):
     return u[: u.index(top) + 1] + v[: v.index(top)][::-1]
 
 
-@pytest.mark.parametrize("n,m,seed", [(12, 16, 1), (40, 44, 2), (60, 59, 3)])
+@pytest.mark.parametrize("n,m,seed", [(12, 16, 1), (40, 44, 2)])
 def test_cycles_match_plain_forest(spark, n, m, seed):
     rng = random.Random(seed)
     edges, _ = random_graph(rng, n, m)
