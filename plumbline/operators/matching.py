@@ -44,43 +44,62 @@ def neighbourhoods(cells: DataFrame, cfg: AuditConfig) -> DataFrame:
     return spread.withColumn("own", (F.col("_s.i") == 0) & (F.col("_s.j") == 0)).drop("_s")
 
 
-def crowded_centres(cells: DataFrame, cfg: AuditConfig) -> DataFrame:
-    """cz, ct, vetoed of every centre that isn't empty: vetoed if a node has two successive labels
-    there whose sheets, brought to the neighbourhood's median z, come closer than the crowding
-    floor. Points are dealt by centre once, for all that follows."""
+def referred(cells: DataFrame, cfg: AuditConfig) -> DataFrame:
+    """Each point in every centre around it that isn't empty, with z_ref and theta_ref: the
+    neighbourhood's median z and the angle of the centre's first point."""
     hood = neighbourhoods(cells.select("nkey", "pid", "theta", "r", "z", "label", "slope", "zi", "ti"), cfg)
     at = Window.partitionBy("cz", "ct")
     first = F.min(F.when(F.col("own"), F.struct("nkey", "pid", "theta", "label"))).over(at)
-    h = hood.withColumn("ref", first).withColumn("z_ref", F.percentile("z", 0.5).over(at)).where("ref is not null").withColumn("theta_ref", F.col("ref.theta"))
-    h = h.withColumn("_label", F.col("label") + F.lit(cfg.sense) * cut_crossing(F.col("theta"), F.col("theta_ref")))
+    return hood.withColumn("ref", first).withColumn("z_ref", F.percentile("z", 0.5).over(at)).where("ref is not null").withColumn("theta_ref", F.col("ref.theta"))
+
+
+def crowding(hood: DataFrame, cfg: AuditConfig, by: tuple[str, ...] = ()) -> DataFrame:
+    """cz, ct, nkey (and by), crowded of each sheet: whether the node's next label lies closer
+    than the crowding floor there."""
+    h = hood.withColumn("_label", F.col("label") + F.lit(cfg.sense) * cut_crossing(F.col("theta"), F.col("theta_ref")))
     h = h.withColumn("_r", F.col("r") + F.coalesce(F.col("slope") * (F.col("z_ref") - F.col("z")), F.lit(0.0)))
-    sheets = h.groupBy("cz", "ct", "nkey", "_label").agg(F.min("_r").alias("inner"), F.max("_r").alias("outer"))
-    by = Window.partitionBy("cz", "ct", "nkey").orderBy("_label")
-    nxt = F.lead(F.struct("_label", "inner")).over(by)
-    s = sheets.withColumn("_n", nxt)
+    keys = [*by, "cz", "ct", "nkey"]
+    sheets = h.groupBy(*keys, "_label").agg(F.min("_r").alias("inner"), F.max("_r").alias("outer"))
+    s = sheets.withColumn("_n", F.lead(F.struct("_label", "inner")).over(Window.partitionBy(*keys).orderBy("_label")))
     crowded = (F.col("_n._label") - F.col("_label") == 1) & (F.abs(F.col("_n.inner") - F.col("outer")) < cfg.crowd_min_spacing)
-    return s.groupBy("cz", "ct").agg(F.coalesce(F.max(crowded), F.lit(False)).alias("vetoed"))
+    return s.select(*keys, F.coalesce(crowded, F.lit(False)).alias("crowded"))
 
 
-def _meetings(cells: DataFrame, cfg: AuditConfig, centres: DataFrame | None) -> DataFrame:
-    """Pairs of occupied cells za, ta and step di, dj to the second. With centres (cz, ct,
-    vetoed) only those that an open centre holds together."""
-    n = theta_cells(cfg.sector_dtheta_rad)
+def crowded_centres(cells: DataFrame, cfg: AuditConfig) -> DataFrame:
+    """cz, ct, vetoed of every centre that isn't empty: vetoed if a node has two successive labels
+    there whose sheets, brought to the neighbourhood's median z, come closer than the crowding
+    floor. Points are dealt by centre once, for all that follows."""
+    return crowding(referred(cells, cfg), cfg).groupBy("cz", "ct").agg(F.max("crowded").alias("vetoed"))
+
+
+def cell_pairs(cells: DataFrame) -> DataFrame:
+    """Occupied cells za, ta with the steps di, dj to themselves and their forward neighbours."""
     occupied = cells.select("zi", "ti").distinct()
-    pairs = occupied.withColumn("_s", F.explode(_steps(FORWARD))).select(F.col("zi").alias("za"), F.col("ti").alias("ta"), F.col("_s.i").alias("di"), F.col("_s.j").alias("dj"))
-    if centres is None:
-        return pairs
-    # centres that hold both cells, as steps from the first: those where both steps are forward ones
+    return occupied.withColumn("_s", F.explode(_steps(FORWARD))).select(F.col("zi").alias("za"), F.col("ti").alias("ta"), F.col("_s.i").alias("di"), F.col("_s.j").alias("dj"))
+
+
+def holding_centres(pairs: DataFrame, cfg: AuditConfig) -> DataFrame:
+    """Each pair of cells with every centre cz, ct whose neighbourhood holds both."""
+    n = theta_cells(cfg.sector_dtheta_rad)
+    # as steps from the first cell: those where both steps are forward ones
     shared = {d: [(-i, -j) for i, j in FORWARD if (i + d[0], j + d[1]) in FORWARD] for d in FORWARD}
     options = F.array(*[F.struct(F.lit(d[0]).alias("di"), F.lit(d[1]).alias("dj"), F.lit(i).alias("i"), F.lit(j).alias("j")) for d, at in shared.items() for i, j in at])
     tries = pairs.withColumn("_o", F.explode(options)).where("_o.di = di and _o.dj = dj")
-    tries = tries.withColumn("cz", F.col("za") + F.col("_o.i")).withColumn("ct", F.pmod(F.col("ta") + F.col("_o.j"), F.lit(n)))
-    return tries.join(centres.where("not vetoed"), ["cz", "ct"], "left_semi").select("za", "ta", "di", "dj").distinct()
+    return tries.withColumn("cz", F.col("za") + F.col("_o.i")).withColumn("ct", F.pmod(F.col("ta") + F.col("_o.j"), F.lit(n))).drop("_o")
 
 
-def candidate_pairs(cells: DataFrame, cfg: AuditConfig, centres: DataFrame | None) -> DataFrame:
-    """Comparable pairs of points of different nodes within the sector band; the first of a pair
-    has the smaller node. Columns a_*, b_*, gap, offset."""
+def _meetings(cells: DataFrame, cfg: AuditConfig, centres: DataFrame | None) -> DataFrame:
+    """Pairs of cells. With centres (cz, ct, vetoed) only those that an open centre holds
+    together."""
+    pairs = cell_pairs(cells)
+    if centres is None:
+        return pairs
+    return holding_centres(pairs, cfg).join(centres.where("not vetoed"), ["cz", "ct"], "left_semi").select("za", "ta", "di", "dj").distinct()
+
+
+def band_pairs(cells: DataFrame, cfg: AuditConfig, centres: DataFrame | None) -> DataFrame:
+    """Pairs a, b of points of different nodes within the sector band, with their pair of cells za,
+    ta, di, dj; the first of a pair has the smaller node."""
     n = theta_cells(cfg.sector_dtheta_rad)
     cols = ("nkey", "node", "pid", "theta", "r", "z", "label", "slope")
     side = lambda s: cells.select(F.col("zi").alias("z" + s), F.col("ti").alias("t" + s), F.struct(*cols).alias(s))
@@ -90,21 +109,35 @@ def candidate_pairs(cells: DataFrame, cfg: AuditConfig, centres: DataFrame | Non
     near = (F.abs(F.col("a.z") - F.col("b.z")) <= cfg.sector_dz) & (F.abs(wrap_angle(F.col("a.theta") - F.col("b.theta"))) <= F.lit(cfg.sector_dtheta_rad))
     met = met.where(once & near)
     swap = F.col("a.nkey") > F.col("b.nkey")
-    met = met.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"))
+    return met.select("za", "ta", "di", "dj", F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"))
+
+
+def compared(pairs: DataFrame, cfg: AuditConfig) -> DataFrame:
+    """pairs with gap and offset; those whose radii can't be compared go."""
     of = lambda s: {c: F.col(f"{s}.{c}") for c in ("r", "z", "slope")}
-    met = met.withColumn("gap", projected_gap(of("a"), of("b"), STRICT_DZ)).where("gap is not null")
+    met = pairs.withColumn("gap", projected_gap(of("a"), of("b"), STRICT_DZ)).where("gap is not null")
     offset = label_diff(F.col("a.label"), F.col("a.theta"), F.col("b.label"), F.col("b.theta"), cfg.sense)
     return met.withColumn("offset", offset)
 
 
+def candidate_pairs(cells: DataFrame, cfg: AuditConfig, centres: DataFrame | None) -> DataFrame:
+    """Comparable pairs of points of different nodes within the sector band; the first of a pair
+    has the smaller node. Columns a_*, b_*, gap, offset."""
+    return compared(band_pairs(cells, cfg, centres).select("a", "b"), cfg)
+
+
+def as_links(pairs: DataFrame, *more: str) -> DataFrame:
+    """Compared pairs as equations g_b - g_a = offset between two points."""
+    return pairs.select(
+        *more, F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("a.nkey").alias("akey"), F.col("b.nkey").alias("bkey"),
+        F.col("a.pid").alias("pid_a"), F.col("b.pid").alias("pid_b"), "offset", "gap", (F.abs(F.col("a.theta") - F.col("b.theta")) > math.pi).alias("over_cut"),
+    )
+
+
 def links(cells: DataFrame, cfg: AuditConfig, centres: DataFrame | None = None) -> DataFrame:
     """Same-sheet equations g_b - g_a = offset between two points."""
     centres = crowded_centres(cells, cfg) if centres is None else centres
-    p = candidate_pairs(cells, cfg, centres).where(F.abs("gap") <= cfg.r_same)
-    return p.select(
-        F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("a.nkey").alias("akey"), F.col("b.nkey").alias("bkey"),
-        F.col("a.pid").alias("pid_a"), F.col("b.pid").alias("pid_b"), "offset", "gap", (F.abs(F.col("a.theta") - F.col("b.theta")) > math.pi).alias("over_cut"),
-    )
+    return as_links(candidate_pairs(cells, cfg, centres).where(F.abs("gap") <= cfg.r_same))
 
 
 def offset_support(found: DataFrame, cfg: AuditConfig) -> DataFrame:

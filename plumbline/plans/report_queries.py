@@ -8,7 +8,7 @@ import math
 from pyspark.sql import functions as F
 
 from plumbline.functions.geometry import frame_twist
-from plumbline.operators import audit, controls, directed, frame, graph, matching, repair, report
+from plumbline.operators import audit, controls, directed, frame, graph, matching, repair, report, trials
 from plumbline.operators.components import durable
 from plumbline.operators.forest import spanning_forest
 from plumbline.plans.audit_queries import _AXIS, ARCS, CFG, FOREST, LABELS, LINKS, MARGIN, NP, ORDER_PAIRS, PLANTED, _arcs, _cut, _wrap, found_edges, found_links, kept_nodes, kept_sloped, links_in, points
@@ -140,6 +140,35 @@ def null_summary(spark, sf_dir):
     return controls.null_summary(controls.noise_null(n, CFG, rounds=5), base)
 
 
+def _trials(spark, sf_dir):
+    """Sites of the whole corpus and the results of all trials at them."""
+    n = kept_nodes(spark, sf_dir)
+    sloped = kept_sloped(spark, sf_dir, n)
+    found = durable(links_in(matching.in_cells(sloped, CFG)), "links")
+    sites = durable(report.boundary_sites(n, found, matching.edges(found, CFG), CFG.min_edge_support), "sites")
+    return sites, trials.planted_trials(n, sloped, trials.trials_of(sites), CFG)
+
+
+def planted_trials(spark, sf_dir):
+    return _trials(spark, sf_dir)[1]
+
+
+def planted_trial_summary(spark, sf_dir):
+    sites, results = _trials(spark, sf_dir)
+    s = trials.trial_summary(durable(results, "results"), sites)
+    return s.select(*[F.round(c, 6).alias(c) if t == "double" else c for c, t in s.dtypes])
+
+
+def noise_alarms(spark, sf_dir):
+    """Nodes that noise newly implicates, over five rounds."""
+    return trials.noise_alarms(points(spark, sf_dir), CFG, rounds=5)
+
+
+def noise_alarm_summary(spark, sf_dir):
+    s = trials.alarm_summary(noise_alarms(spark, sf_dir), 5)
+    return s.select("n_rounds", "n_alarms", *[F.round(c, 6).alias(c) for c in ("share", "low", "high", "mean_new")])
+
+
 _TURNED = "theta + 2e-1 * sin(z / 7e2 + 3e-1) + 1e-1 * cos(r / 1.5e2) + 5e-2 * sin(theta)"
 
 QUERIES = {
@@ -246,4 +275,8 @@ SELECT bd.node, bd.b AS boundary, ok.b IS NOT NULL AS covered FROM bd LEFT JOIN
         + ")) WHERE scenario <> 0 GROUP BY scenario",
     ),
     "null_summary": (null_summary, None),
+    "planted_trials": (planted_trials, None),
+    "planted_trial_summary": (planted_trial_summary, None),
+    "noise_alarms": (noise_alarms, None),
+    "noise_alarm_summary": (noise_alarm_summary, None),
 }
