@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators import linking, measured, patch_graph, patches
-from plumbline.operators.components import durable
+from plumbline.operators.components import durable, scratch
 from plumbline.operators.frame import to_cylindrical
 from plumbline.plans.audit_queries import CFG, _cut, points
 from plumbline.sources.collections import flatten, to_documents
 from plumbline.sources.helix import POINTS_SQL, axis_table
+from plumbline.sources.shards import read_sharded, write_sharded
 
 AXIS = [(-1000.0, 0.0, 0.0), (20000.0, 0.0, 0.0)]
 #: z, x, y: beside the patches, at half their extent in y; and through them.
@@ -234,11 +235,22 @@ def new_patch_gains(spark, sf_dir):
     return linking.gains(linked, linking.link_new_patches(linked, new, areas, pairs, "nearest", 5, 3))
 
 
+def _collections(spark, sf_dir):
+    p = points(spark, sf_dir)
+    return p.select(F.col("kind").alias("source"), "cid", "pid", F.col("r").alias("x"), F.col("theta").alias("y"), "z", "wind_a", F.concat(F.lit("c"), F.col("cid").cast("string")).alias("name"), (F.col("kind") == "absolute").alias("is_absolute"))
+
+
 def collection_round_trip(spark, sf_dir):
     """The helix written as point-collection documents, one a kind, and read again."""
-    p = points(spark, sf_dir)
-    p = p.select(F.col("kind").alias("source"), "cid", "pid", F.col("r").alias("x"), F.col("theta").alias("y"), "z", "wind_a", F.concat(F.lit("c"), F.col("cid").cast("string")).alias("name"), (F.col("kind") == "absolute").alias("is_absolute"))
-    return flatten(to_documents(p)).select("source", "cid", "pid", F.round("x", 6).alias("x"), "z", "wind_a", "name", "is_absolute")
+    back = flatten(to_documents(_collections(spark, sf_dir)))
+    return back.select("source", "cid", "pid", F.round("x", 6).alias("x"), "z", "wind_a", "name", "is_absolute")
+
+
+def sharded_round_trip(spark, sf_dir):
+    """The helix written to documents of some 500 points and read again, a document a partition."""
+    path = scratch(spark, "collections")
+    write_sharded(_collections(spark, sf_dir), path, points_per_document=500)
+    return read_sharded(spark, path).select("source", "cid", "pid", F.round("x", 6).alias("x"), "z", "wind_a", "name", "is_absolute")
 
 
 CELLS_SQL = """
@@ -320,6 +332,8 @@ def _theta(name: str, axis: list[tuple[float, float, float]]) -> str:
     return f"CASE WHEN {angle} < 0 THEN {angle} + 2 * pi() ELSE {angle} END"
 
 
+ROUND_TRIP_SQL = f"WITH {POINTS_SQL} SELECT kind AS source, cid, pid, round(r, 6) AS x, z, wind_a, 'c' || cid AS name, kind = 'absolute' AS is_absolute FROM points"
+
 QUERIES = {
     "patch_areas": (
         patch_areas,
@@ -469,6 +483,7 @@ SELECT cid, count(*) AS gained FROM ok WHERE pid NOT IN (SELECT pid FROM old) GR
     "incremental_links": (incremental_links, f"WITH {ATTACHED_SQL} SELECT cid, count(*) FILTER (patch_id IS NOT NULL OR r < 500) AS n_attached FROM att GROUP BY cid"),
     "collection_round_trip": (
         collection_round_trip,
-        f"WITH {POINTS_SQL} SELECT kind AS source, cid, pid, round(r, 6) AS x, z, wind_a, 'c' || cid AS name, kind = 'absolute' AS is_absolute FROM points",
+        ROUND_TRIP_SQL,
     ),
+    "sharded_round_trip": (sharded_round_trip, ROUND_TRIP_SQL),
 }
