@@ -445,7 +445,15 @@ SELECT node, partner, o AS offset_1, o2 AS offset_2, outer_pid AS pid_1, p2 AS p
 UNION SELECT least(akey, bkey), greatest(akey, bkey) FROM cy WHERE holonomy <> 0""",
     ),
     "certified_links": (certified_links, None),
-    "order_feasible": (order_feasible, None),
+    "order_feasible": (
+        order_feasible,
+        f"""{ARCS.replace("WITH", "WITH RECURSIVE", 1)},
+bd AS (SELECT u, v, min(bound) AS bound FROM arcs GROUP BY u, v), nd AS (SELECT u AS x FROM bd UNION SELECT v FROM bd),
+wy AS (SELECT u, v, bound FROM bd UNION ALL SELECT x, x, 0 FROM nd),
+bf(k, x, d) AS (SELECT 0, x, CAST(0 AS BIGINT) FROM nd UNION ALL SELECT k + 1, wy.v, min(d + wy.bound) FROM bf JOIN wy ON wy.u = bf.x WHERE k < (SELECT count(*) FROM nd) GROUP BY k, wy.v),
+en AS (SELECT x, min(d) AS d FROM bf WHERE k = (SELECT count(*) FROM nd) GROUP BY x), bf1 AS (SELECT x, d FROM bf WHERE k = (SELECT count(*) FROM nd) - 1)
+SELECT (SELECT count(*) FROM nd) AS n_nodes, NOT EXISTS (SELECT 1 FROM en JOIN bf1 USING (x) WHERE en.d < bf1.d) AS feasible""",
+    ),
     "planted_steps": (planted_steps, PLANTED.format(kind="kind = 'relative'", r="r", label="label + CASE WHEN i > n // 2 THEN d ELSE 0 END") + ORDER_PAIRS),
     "planted_switches": (planted_switches, PLANTED.format(kind="kind <> 'absolute'", r="r + CASE WHEN i > n // 2 THEN d * 2e1 ELSE 0 END", label="label") + ORDER_PAIRS),
     "noise_null": (noise_null, None),
