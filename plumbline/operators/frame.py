@@ -49,6 +49,14 @@ def to_cylindrical(points: DataFrame, axis: DataFrame, clamp: bool = True) -> Da
     return placed.withColumn("r", r).withColumn("theta", theta)
 
 
+def axis_angles(points: DataFrame, axis: DataFrame, clamp: bool = True) -> DataFrame:
+    """points with axis_x, axis_y and theta in single precision. A point on the axis or without a
+    finite place has no angle and fails the job."""
+    t = to_cylindrical(points, axis, clamp)
+    undefined = F.raise_error(F.concat(F.lit("no angle on the axis at z = "), F.coalesce(F.col("z").cast("string"), F.lit("null")))).cast("double")
+    return t.withColumn("theta", F.when((F.col("r") > 0) & (F.col("r") < float("inf")), F.col("theta")).otherwise(undefined).cast("float")).drop("r")
+
+
 def normalise_annotations(points: DataFrame) -> DataFrame:
     """Collections without any annotation get wind_a 0; from others the points without one
     go. has_annotations tells what a collection had before."""

@@ -72,6 +72,12 @@ def axis_frame(spark, sf_dir):
     return c.select("pid", F.round("axis_x", 6).alias("axis_x"), F.round("axis_y", 6).alias("axis_y"), F.round("r", 6).alias("r"), F.round("theta", 6).alias("theta"))
 
 
+def axis_angles(spark, sf_dir):
+    p = points(spark, sf_dir)
+    xyz = p.select("pid", "z", (F.lit(3.0) + F.col("r") * F.cos("theta")).alias("x"), (F.lit(2.0) + F.col("r") * F.sin("theta")).alias("y"))
+    return frame.axis_angles(xyz, axis_table(spark)).select("pid", F.round(F.col("theta").cast("double"), 4).alias("theta"))
+
+
 def angle_steps(spark, sf_dir):
     from pyspark.sql import Window
 
@@ -357,6 +363,14 @@ seg AS (SELECT *, lead(z0) OVER w AS z1, lead(x0) OVER w AS x1, lead(y0) OVER w
 pl AS (SELECT p.*, x0 + (greatest(z0, least(z1, p.z)) - z0) / (z1 - z0) * (x1 - x0) AS axis_x, y0 + (greatest(z0, least(z1, p.z)) - z0) / (z1 - z0) * (y1 - y0) AS axis_y
   FROM points p JOIN seg ON z1 IS NOT NULL AND (p.z >= z0 OR f) AND (p.z < z1 OR l))
 SELECT pid, round(axis_x, 6) AS axis_x, round(axis_y, 6) AS axis_y, round(r, 6) AS r, round(theta, 6) AS theta FROM pl""",
+    ),
+    "axis_angles": (
+        axis_angles,
+        f"""WITH {POINTS_SQL}, ax(z0, x0, y0) AS (VALUES {_AXIS}),
+seg AS (SELECT *, lead(z0) OVER w AS z1, lead(x0) OVER w AS x1, lead(y0) OVER w AS y1, lag(z0) OVER w IS NULL AS f, row_number() OVER (ORDER BY z0 DESC) = 2 AS l FROM ax WINDOW w AS (ORDER BY z0)),
+pl AS (SELECT p.pid, 3 + p.r * cos(theta) - (x0 + (greatest(z0, least(z1, p.z)) - z0) / (z1 - z0) * (x1 - x0)) AS dx, 2 + p.r * sin(theta) - (y0 + (greatest(z0, least(z1, p.z)) - z0) / (z1 - z0) * (y1 - y0)) AS dy
+  FROM points p JOIN seg ON z1 IS NOT NULL AND (p.z >= z0 OR f) AND (p.z < z1 OR l))
+SELECT pid, round(CAST(CAST(CASE WHEN atan2(dy, dx) < 0 THEN atan2(dy, dx) + 2 * pi() ELSE atan2(dy, dx) END AS FLOAT) AS DOUBLE), 4) AS theta FROM pl""",
     ),
     "angle_steps": (
         angle_steps,

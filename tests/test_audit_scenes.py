@@ -117,3 +117,14 @@ def test_calibration_needs_pairs(spark):
     assert cfg.wrap_spacing_median == pytest.approx(20.0) and cfg.r_same == pytest.approx(7.0) and len(cfg.fingerprint) == 64
     with pytest.raises(ValueError):
         settings.calibrate(p.limit(2))
+
+
+def test_no_angle_on_the_axis(spark):
+    axis = spark.createDataFrame([(0.0, 5.0, -3.0), (100.0, 5.0, -3.0)], "z double, x double, y double")
+    beside = spark.createDataFrame([(1, 5.0, -2.0, 50.0)], "pid long, x double, y double, z double")
+    found = frame.axis_angles(beside, axis)
+    assert dict(found.dtypes)["theta"] == "float" and abs(found.first()["theta"] - math.pi / 2) < 1e-6
+    for y in (-3.0, float("nan"), None):
+        nowhere = beside.withColumn("y", F.lit(y).cast("double"))
+        with pytest.raises(Exception, match="no angle on the axis"):
+            frame.axis_angles(beside.unionAll(nowhere), axis).collect()
