@@ -1,22 +1,22 @@
 """Mixing sources to target weights by a low-discrepancy source schedule.
 
-The mix is cut into F slots, F the least Fibonacci number with no more than a word a slot, at
-every size of input. Slot i has the point i * G / F modulo 1, G the Fibonacci number before F:
-their quotient is the golden ratio as near as F slots can tell. The point falls into one
-source's share of the unit interval, so any run of slots holds the sources in their
-proportions. A source's slots are ranked, and the slot of rank r takes the r-th block (a slot's
-words) of that source's documents, laid end to end in shuffled order (by the MD5 digest of the
-doc_id) and read up to three times over.
-
-The F points are 0/F, 1/F, ..., (F - 1)/F in another order. So a source's slots are counted by
-the ends of its share, its ranks are 0, 1, ... up to that number, and a document's blocks, a
-range of ranks, are joined with the slots by comparing the two: no slot has to be listed to
-know who reads what (slot_sources lists them, in order), and each source is within about a word
-of its target.
+The mix is cut into F slots, F the least Fibonacci number with no more than SLOT_WORDS words a
+slot, at every size of input. Slot i has the point i * G / F modulo 1, G the Fibonacci number
+before F: their quotient is the golden ratio as near as F slots can tell. The point falls into
+one source's share of the unit interval, so any run of slots holds the sources in their
+proportions. The slots are listed (slot_sources) and ranked within their source, and the slot
+of rank r takes the r-th block (a slot's words) of that source's documents, laid end to end in
+shuffled order (by the MD5 digest of the doc_id) and read up to three times over: documents are
+cut at the blocks' ends, blocks meet their slots in a join, and what a document gives is summed
+over its blocks.
+
+A source's slots may be one short of its target, as shares seldom end at a slot's. It makes
+that up in closing slots after the F-th (closing_slots), and its last block ends with its
+target, so each source is within a word of it.
 
 Native: DataFrame functions only. Running sums never order a whole source in one task:
 rows are dealt into buckets by the head of their digest, summed per bucket, and the
-buckets' sums are accumulated.
+buckets' sums are accumulated; the same holds for the slots' ranks.
 
 Edge cases: a null text has size 0; a null source is a source of its own, last in order.
 Rows that repeat a doc_id are taken as rows of their own. Sources without words have
@@ -32,6 +32,7 @@ from plumbline.llm.buffers import documents, durable, fresh
 
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
+SLOT_WORDS = 16
 DIGEST_HEAD = 3  # hex digits: 4096 buckets a source
 FIBONACCI = [1, 2]
 while FIBONACCI[-1] < 1 << 52:
@@ -43,12 +44,13 @@ def word_count(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
-    """source, source_size, target, start_at: shares of the total by weight, where what a
+    """sid (the source's place, from 0), source, source_size, target, start_at, total: shares of the total by weight, where what a
     source cannot give in `epochs` readings goes to the others by weight. Sources in
     ascending order of what a unit of weight costs them fill up first."""
     per_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     in_order = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(in_order) - 1, F.lit(len(weights))) + 1).cast("int"))
+    per_source = per_source.withColumn("sid", F.row_number().over(in_order) - 1)
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("sid"), F.lit(len(weights))) + 1).cast("int"))
     s = per_source.withColumn("weight", weight).withColumn("cap", F.col("source_size") * epochs)
     fill = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
     before = fill.rowsBetween(Window.unboundedPreceding, -1)
@@ -59,40 +61,51 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs:
     s = s.withColumn("open_level", F.min(F.when(~F.col("full"), F.struct(F.col("cap") / F.col("weight"), F.col("level")))).over(everyone)["level"])
     s = s.withColumn("target", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(F.col("open_level") * F.col("weight")))
     upto = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    return s.select("source", "source_size", "target", F.coalesce(F.sum("target").over(upto), F.lit(0.0)).alias("start_at"), F.sum("source_size").over(everyone).alias("total"))
+    return s.select("sid", "source", "source_size", "target", F.coalesce(F.sum("target").over(upto), F.lit(0.0)).alias("start_at"), F.sum("source_size").over(everyone).alias("total"))
 
 
-def schedule(targets: DataFrame) -> DataFrame:
-    """source, n_slots, slots: how many of the mix's slots each source with a target takes; none
-    if targets sum to no words."""
+def _places(words: Column) -> Column:
+    return F.ceil(words * F.col("n_slots") / F.col("total"))
+
+
+def _block_start(rank: Column) -> Column:
+    """Where a source's block begins; the one before ends there."""
+    return F.floor(rank.cast("double") * F.col("total") / F.col("n_slots")).cast("long")
+
+
+def schedule(targets: DataFrame, words: int = 1) -> DataFrame:
+    """sid, source, n_slots, slots: how many of the mix's slots, of `words` words at most, each source
+    with a target takes; none if targets sum to no words."""
     everyone = Window.partitionBy()
     s = targets.where("total > 0 and target > 0").withColumn("last", F.col("start_at") == F.max("start_at").over(everyone))
-    s = s.withColumn("n_slots", F.array_min(F.filter(F.array(*[F.lit(n) for n in FIBONACCI]), lambda n: n >= F.col("total"))))
-    upto = lambda words: F.ceil(words * F.col("n_slots") / F.col("total"))
+    s = s.withColumn("n_slots", F.array_min(F.filter(F.array(*[F.lit(n) for n in FIBONACCI]), lambda n: n * F.lit(float(words)) >= F.col("total"))))
     # the last share ends at 1 but for rounding; it takes what lies above
-    end = F.when(F.col("last"), F.col("n_slots")).otherwise(upto(F.col("start_at") + F.col("target")))
-    return s.select("source", "n_slots", (end - upto(F.col("start_at"))).alias("slots"))
+    end = F.when(F.col("last"), F.col("n_slots")).otherwise(_places(F.col("start_at") + F.col("target")))
+    return s.select("sid", "source", "n_slots", (end - _places(F.col("start_at"))).alias("slots"))
 
 
-def slot_sources(targets: DataFrame) -> DataFrame:
-    """slot, source, rank: the schedule in full, a row a slot (about a word each, so for mixes of
-    some billion words at most)."""
+def slot_sources(targets: DataFrame, words: int = 1) -> DataFrame:
+    """slot, sid, source, rank: the schedule in full, a row a slot of `words` words at most."""
     spark = targets.sparkSession
-    upto = lambda words: F.ceil(words * F.col("n_slots") / F.col("total"))
-    plan = schedule(targets).select(F.col("source").alias("_s"), "n_slots", "slots")
-    share = targets.join(plan, targets["source"].eqNullSafe(F.col("_s"))).select("source", "n_slots", upto(F.col("start_at")).alias("lo"), "slots")
+    share = targets.join(schedule(targets, words).select("sid", "n_slots", "slots"), "sid").select("sid", "source", "n_slots", _places(F.col("start_at")).alias("lo"), "slots")
     n = share.agg(F.max("n_slots")).first()[0] or 0
     before = next((a for a, b in zip(FIBONACCI, FIBONACCI[1:], strict=False) if b == n), 1)
     points = spark.range(n).select(F.col("id").alias("slot"), (F.col("id").cast("decimal(20,0)") * before % max(n, 1)).cast("long").alias("point"))
     width = max(1, n // 1024)
-    cells = share.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("lo") + F.col("slots")) / width))))
+    cells = durable(share.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("lo") + F.col("slots")) / width)))), "cells")
     placed = points.withColumn("cell", F.floor(F.col("point") / width)).join(cells, "cell").where("point >= lo and point < lo + slots").withColumn("part", F.floor(F.col("slot") / 4096))
-    own = F.row_number().over(Window.partitionBy("source", "part").orderBy("slot")) - 1
-    counts = placed.groupBy("source", "part").agg(F.count(F.lit(1)).alias("n"))
-    earlier = F.sum("n").over(Window.partitionBy("source").orderBy("part")) - F.col("n")
-    bases = counts.select(F.col("source").alias("_s"), F.col("part").alias("_p"), earlier.alias("base"))
-    ranked = placed.withColumn("own", own).join(bases, F.col("source").eqNullSafe(F.col("_s")) & (F.col("part") == F.col("_p")))
-    return ranked.select("slot", "source", (F.col("base") + F.col("own")).alias("rank"))
+    own = F.row_number().over(Window.partitionBy("sid", "part").orderBy("slot")) - 1
+    counts = placed.groupBy("sid", "part").agg(F.count(F.lit(1)).alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy("sid").orderBy("part")) - F.col("n")
+    bases = counts.select("sid", "part", earlier.alias("base"))
+    return placed.withColumn("own", own).join(bases, ["sid", "part"]).select("slot", "sid", "source", (F.col("base") + F.col("own")).alias("rank"))
+
+
+def closing_slots(shares: DataFrame) -> DataFrame:
+    """sid, rank of the slots after the schedule's end that make up what a source's slots leave of its
+    words. shares: sid, words, total, n_slots, slots."""
+    short = shares.where(_block_start(F.col("slots")) < F.col("words"))
+    return short.select("sid", F.explode(F.sequence("slots", F.greatest("slots", _places(F.col("words"))))).alias("rank"))
 
 
 def shuffled_spans(sizes: DataFrame, head: int = DIGEST_HEAD) -> DataFrame:
@@ -120,17 +133,30 @@ def _taken(docs: DataFrame, weights: tuple[int, ...], epochs: int) -> DataFrame:
     """mix with the rows' keys: doc_id, source and mark (a hash of the text)."""
     sizes = durable(docs.select(*_row_key(docs), word_count(F.col("text")).alias("size")), "sizes")
     targets = durable(source_targets(sizes, weights, epochs), "targets")
-    plan = schedule(targets).withColumnRenamed("source", "_f")
-    words = F.coalesce(F.col("slots") * F.col("total") / F.col("n_slots"), F.lit(0.0))
-    t = targets.join(plan, targets["source"].eqNullSafe(plan["_f"]), "left").select(F.col("source").alias("_s"), "source_size", "target", words.alias("words"))
-    t = durable(t, "shares")
+    words = F.least(F.floor(F.col("target") + 0.5).cast("long"), F.col("source_size") * F.lit(epochs))
+    plan = schedule(targets, SLOT_WORDS).select("sid", "n_slots", "slots")
+    t = durable(targets.join(plan, "sid", "left").select("sid", F.col("source").alias("_s"), "source_size", "target", words.alias("words"), "total", "n_slots", "slots"), "shares")
     spans = shuffled_spans(sizes)
-    end = F.least(F.floor(F.col("words") + 0.5).cast("long"), F.col("source_size") * F.lit(epochs))
-    # Reading e covers [e * source_size, (e + 1) * source_size); the mix ends within one of them.
-    readings = [F.greatest(F.lit(0), F.least(end - F.col("begin") - F.lit(e) * F.col("source_size"), F.col("size"))) for e in range(epochs)]
-    taken = sum(readings[1:], readings[0])
-    joined = spans.join(t, spans["source"].eqNullSafe(t["_s"]))
-    return joined.select("doc_id", "source", "mark", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    spans = durable(spans.join(t, spans["source"].eqNullSafe(t["_s"])).drop("_s"), "spans")
+    slots = slot_sources(targets, SLOT_WORDS).select("sid", "rank").unionAll(closing_slots(t))
+    read = _blocks(spans, epochs).join(slots.hint("merge"), ["sid", "rank"]).groupBy("sid", "begin").agg(F.sum("words_read").alias("taken"))
+    # documents without words begin where others do
+    read = read.withColumn("some", F.lit(True))
+    joined = spans.withColumn("some", F.col("size") > 0).join(read, ["sid", "begin", "some"], "left")
+    return joined.select("doc_id", "source", "mark", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def _blocks(spans: DataFrame, epochs: int) -> DataFrame:
+    """sid, begin, rank, words_read: each document (sid, begin) in the blocks of its source that it
+    reaches into, with its words there. Reading e covers [e * source_size, (e + 1) * source_size);
+    the last block ends with the source's words."""
+    r = spans.where("size > 0 and n_slots is not null").withColumn("e", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    r = r.withColumn("at", F.col("begin") + F.col("e") * F.col("source_size")).where("at < words").withColumn("end", F.least(F.col("at") + F.col("size"), "words"))
+    near = lambda place: F.floor(place.cast("double") * F.col("n_slots") / F.col("total"))
+    # one block more on either side, for rounding; those that it doesn't reach into go
+    r = r.withColumn("rank", F.explode(F.sequence(F.greatest(F.lit(0), near(F.col("at")) - 1), near(F.col("end")) + 1)))
+    inside = F.least("end", _block_start(F.col("rank") + 1)) - F.greatest("at", _block_start(F.col("rank")))
+    return r.select("sid", "begin", "rank", inside.alias("words_read")).where("words_read > 0")
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
@@ -160,11 +186,21 @@ filling AS (SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER (OR
 leveled AS (SELECT *, (SELECT arg_min(level, cap / weight) FROM filling WHERE cap > level * weight) AS open_level FROM filling),
 targets AS (SELECT source, source_size, total, CASE WHEN cap <= level * weight THEN CAST(cap AS DOUBLE) ELSE open_level * weight END AS target FROM leveled),
 starts AS (SELECT *, coalesce(sum(target) OVER (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS start_at FROM targets),
-fibonacci AS (WITH RECURSIVE f(a, b) AS (SELECT 1::BIGINT, 2::BIGINT UNION ALL SELECT b, a + b FROM f WHERE b < 4503599627370496) SELECT a AS n FROM f),
-slotted AS (SELECT *, (SELECT min(n) FROM fibonacci WHERE n >= total) AS n_slots, start_at = max(start_at) OVER () AS last FROM starts WHERE target > 0 AND total > 0),
-counted AS (SELECT source, n_slots, CASE WHEN last THEN n_slots ELSE ceil((start_at + target) * n_slots / total) END - ceil(start_at * n_slots / total) AS slots FROM slotted),
-words AS (SELECT t.*, least(CAST(floor(coalesce(slots * total / n_slots, 0e0) + 0.5e0) AS BIGINT), 3 * source_size) AS upto FROM targets t LEFT JOIN counted b ON t.source IS NOT DISTINCT FROM b.source),
-spans AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM sizes)
-SELECT doc_id, size, source_size, target, CAST(greatest(0, least(upto - start, size)) + greatest(0, least(upto - start - source_size, size)) + greatest(0, least(upto - start - 2 * source_size, size)) AS BIGINT) AS taken
-FROM spans s JOIN words w ON s.source IS NOT DISTINCT FROM w.source
+fibonacci AS (WITH RECURSIVE f(a, b) AS (SELECT 1::BIGINT, 2::BIGINT UNION ALL SELECT b, a + b FROM f WHERE b < 4503599627370496) SELECT a AS n, greatest(1, b - a) AS before FROM f),
+sized AS (SELECT min(n) AS n_slots, arg_min(before, n) AS before FROM fibonacci, (SELECT max(total) AS t FROM targets) WHERE n * 16e0 >= t),
+places AS (SELECT *, start_at = max(start_at) OVER () AS last, ceil(start_at * n_slots / total) AS lo FROM starts, sized WHERE target > 0 AND total > 0),
+bounds AS (SELECT *, CASE WHEN last THEN n_slots ELSE ceil((start_at + target) * n_slots / total) END AS hi FROM places),
+points AS (SELECT i AS slot, CAST(CAST(i AS HUGEINT) * before % n_slots AS BIGINT) AS point FROM (SELECT unnest(range(n_slots)) AS i, before, n_slots FROM sized)),
+ranked AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank FROM points JOIN bounds ON point >= lo AND point < hi),
+words AS (SELECT t.*, least(CAST(floor(target + 0.5e0) AS BIGINT), 3 * source_size) AS upto, n_slots FROM targets t, sized),
+closing AS (SELECT w.source, unnest(range(slots, greatest(slots, CAST(ceil(upto * CAST(w.n_slots AS DOUBLE) / w.total) AS BIGINT)) + 1)) AS rank
+  FROM words w JOIN (SELECT source, CAST(hi - lo AS BIGINT) AS slots FROM bounds) b ON w.source IS NOT DISTINCT FROM b.source WHERE floor(CAST(slots AS DOUBLE) * w.total / w.n_slots) < upto),
+slots AS (SELECT * FROM ranked UNION ALL SELECT * FROM closing),
+blocks AS (SELECT s.source, rank, CAST(floor(CAST(rank AS DOUBLE) * total / n_slots) AS BIGINT) AS first, least(upto, CAST(floor(CAST(rank + 1 AS DOUBLE) * total / n_slots) AS BIGINT)) AS past FROM slots s JOIN words w ON s.source IS NOT DISTINCT FROM w.source),
+spans AS (SELECT *, row_number() OVER () AS rid, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM sizes),
+readings AS (SELECT s.source, rid, start + e * source_size AS since, start + e * source_size + size AS past FROM spans s JOIN words w ON s.source IS NOT DISTINCT FROM w.source, range(3) r(e) WHERE size > 0),
+reached AS (SELECT r.*, unnest(range(greatest(0, CAST(floor(since * CAST(n_slots AS DOUBLE) / total) AS BIGINT) - 1), CAST(floor(r.past * CAST(n_slots AS DOUBLE) / total) AS BIGINT) + 2)) AS rank FROM readings r JOIN words w ON r.source IS NOT DISTINCT FROM w.source),
+given AS (SELECT rid, sum(greatest(0, least(r.past, b.past) - greatest(since, first))) AS taken FROM reached r JOIN blocks b ON r.source IS NOT DISTINCT FROM b.source AND r.rank = b.rank GROUP BY rid)
+SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken
+FROM spans s JOIN words w ON s.source IS NOT DISTINCT FROM w.source LEFT JOIN given g ON s.rid = g.rid
 """

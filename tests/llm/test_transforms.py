@@ -1,4 +1,5 @@
 import hashlib
+import math
 import zlib
 
 import numpy as np
@@ -136,6 +137,44 @@ def test_schedule_is_the_listed_one(spark):
     assert mixing.slot_sources(targets.limit(0)).count() == 0
 
 
+def test_documents_give_the_blocks_of_listed_slots(spark, monkeypatch):
+    """Slot by slot in plain Python; a slot that isn't there takes nothing."""
+    rng = np.random.default_rng(8)
+    rows = [(k, "w " * int(rng.integers(0, 90)), s) for k, s in enumerate(rng.choice(["a", "b", None], 150, p=[0.8, 0.15, 0.05]).tolist())]
+    docs = table(spark, rows)
+    got = mixing.mix(docs).toPandas().set_index("doc_id")
+    size = got["size"].to_dict()
+    total, n = sum(size.values()), next(f for f in mixing.FIBONACCI if f * mixing.SLOT_WORDS >= sum(size.values()))
+    before = mixing.FIBONACCI[mixing.FIBONACCI.index(n) - 1]
+    start, shares = 0.0, []
+    for s in ["a", "b", None]:
+        target = next(got.loc[i, "target"] for i, _, x in rows if x == s)
+        shares.append((s, math.ceil(start * n / total), n if s is None else math.ceil((start + target) * n / total), int(target + 0.5)))
+        start += target
+    stream = {s: [i for _, i in sorted((hashlib.md5(str(i).encode()).hexdigest(), i) for i, _, x in rows if x == s) for _ in range(size[i])] * 3 for s, *_ in shares}
+    ranks, taken = dict.fromkeys(stream, 0), dict.fromkeys(size, 0)
+
+    def take(s, words):
+        block = stream[s][: words][ranks[s] * total // n : (ranks[s] + 1) * total // n]
+        ranks[s] += 1
+        for i in block:
+            taken[i] += 1
+
+    for slot in range(n):
+        s, *_, words = next(x for x in shares if x[1] <= slot * before % n < x[2])
+        take(s, words)
+    for s, *_, words in shares:
+        while ranks[s] * total // n < words:
+            take(s, words)
+    assert got["taken"].to_dict() == taken
+    whole = mixing.slot_sources
+    monkeypatch.setattr(mixing, "slot_sources", lambda *args: whole(*args).where("not (source <=> 'a' and rank = 0)"))
+    first = total // n  # the words of a's first block
+    fewer = mixing.mix(docs).toPandas().set_index("doc_id")["taken"].to_dict()
+    lost = {i: taken[i] - fewer[i] for i in taken if taken[i] != fewer[i]}
+    assert lost == {i: stream["a"][:first].count(i) for i in stream["a"][:first]}
+
+
 def test_line_dedup(spark):
     page = lambda k: f"<html><nav>Menu</nav><p>  text {k} </p><p>same</p><p>same</p><script>x='</p>'</script></html>"
     rows = [(k, "http://User@Host.example:80/a?b", page(k)) for k in range(4)] + [(9, "http://other.example/", page(1)), (10, None, None), (10, "no url", "")]
