@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from plumbline.operators import audit
+import numpy as np
+import pytest
+
+from plumbline.operators import audit, settings
 from plumbline.operators.components import durable
 
 
@@ -17,3 +20,20 @@ def test_pairs_within_nodes_are_not_broadcast(spark):
     sloped = audit.with_slopes(p)
     assert "BroadcastHashJoin [nkey" not in plan(audit._within_node(p, 10.0, ["r", "z"]))
     assert sloped.where("slope is not null").count() == 40
+
+
+def test_calibration_meets_places_not_copies(spark):
+    """Copies of points weigh in; they don't make pairs of their own."""
+    rng = np.random.default_rng(2)
+    places = [(float(t), float(100 + 20 * w + d), float(z), float(w)) for t, d, z, w in zip(rng.uniform(0, 0.5, 60), rng.uniform(-3, 3, 60), rng.uniform(0, 40, 60), rng.integers(0, 5, 60), strict=True)]
+    rows = [(100 * c + k, "absolute", *p) for k, p in enumerate(places) for c in range(1 + k % 4)]
+    p = spark.createDataFrame(rows, "pid long, kind string, theta double, r double, z double, wind_a double")
+    near = [(a, b) for i, a in enumerate(rows) for b in rows[:i] if abs(a[4] - b[4]) <= 20 and abs(a[2] - b[2]) <= settings.CALIB_DTHETA and a[5] != b[5]]
+    spacing = [abs(a[3] - b[3]) / abs(a[5] - b[5]) for a, b in near]
+    got = settings.calibration(p, dz=20.0).first()
+    assert got["n_calibration_pairs"] == len(near)
+    assert [got[f"wrap_spacing_{c}"] for c in ("median", "p10", "p90")] == pytest.approx(np.percentile(spacing, [50, 10, 90]).tolist())
+    assert got["anchor_order_agreement"] == pytest.approx(np.mean([(a[3] - b[3]) * (a[5] - b[5]) > 0 for a, b in near]))
+    assert settings.anchor_pairs(p, dz=20.0).count() <= 60 * 59 / 2 < len(near)
+    none = settings.calibration(p.limit(0)).first()
+    assert (none["n_calibration_pairs"], none["wrap_spacing_median"], none["anchor_order_agreement"]) == (0, None, None)
