@@ -5,7 +5,9 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from plumbline.operators import audit, settings
+from pyspark.sql import functions as F
+
+from plumbline.operators import audit, matching, settings
 from plumbline.operators.components import durable
 
 
@@ -37,3 +39,11 @@ def test_calibration_meets_places_not_copies(spark):
     assert settings.anchor_pairs(p, dz=20.0).count() <= 60 * 59 / 2 < len(near)
     none = settings.calibration(p.limit(0)).first()
     assert (none["n_calibration_pairs"], none["wrap_spacing_median"], none["anchor_order_agreement"]) == (0, None, None)
+
+
+def test_pairs_carry_only_what_is_asked_of_them(spark):
+    rows = [(f"same:{k % 3}", f"same:{k % 3}", k, 0.01 * k, 100.0, 1.0, 7, None, 0, 0) for k in range(6)]
+    cells = durable(spark.createDataFrame(rows, "nkey string, node string, pid long, theta double, r double, z double, label long, slope double, zi long, ti long"), "cells")
+    pairs = matching.band_pairs(cells, settings.FIXTURE, None)
+    assert "label" not in plan(pairs.select("a.pid", F.col("b.pid").alias("other")))
+    assert all(r["a"]["nkey"] < r["b"]["nkey"] for r in pairs.collect()) and pairs.count() == 12
