@@ -7,10 +7,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.geometry import cut_crossing
-from plumbline.operators.components import connected_components, durable
+from plumbline.operators.components import connected_components, discard, durable
 from plumbline.operators.forest import common_ancestors, lifts, ways
 from plumbline.operators.ranking import placed
 
+#: Rounds of reach that go level by level, and neighbours of a patch that hops_from takes out.
+WALKED = 32
+FEW = 4
+
 
 def hit_gate(points: DataFrame, window: int = 5, least: int = 3) -> DataFrame:
     """points (cid, pid, hit) with gated: whether a point hits the patch, and so do `least` of
@@ -50,14 +54,78 @@ def component_roots(edges: DataFrame, patches: DataFrame) -> DataFrame:
     return found.select(F.col("label").alias("patch_id")).distinct()
 
 
+def hops_from(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """patch_id, hops (durable): the fewest edges (from_patch, to_patch; both ways) from a root to
+    each patch that one reaches.
+
+    Rounds take out patches with few neighbours, no two of them neighbours, and join what lay
+    around each by longer edges, so a path of n patches is gone after about log n rounds.
+    What is left (patches of many neighbours) is walked edge by edge; then the patches come
+    back in reverse, each from those that lay around it."""
+    now = durable(edges.where("from_patch <> to_patch").select(F.col("from_patch").alias("u"), F.col("to_patch").alias("v")).distinct().withColumn("w", F.lit(1).cast("long")), "around")
+    seeds = durable(roots.select(F.col("patch_id").alias("u"), F.lit(0).cast("long").alias("hops")).distinct(), "seeds")
+    out: list[tuple[DataFrame, DataFrame]] = []
+    while True:
+        few = now.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= FEW).select("u", F.struct(F.xxhash64("u", F.lit(len(out))).alias("h"), "u").alias("at"))
+        few = durable(few, "few")
+        beside = now.join(few.select(F.col("u").alias("v"), F.col("at").alias("other")), "v").groupBy("u").agg(F.min("other").alias("other"))
+        chosen = durable(few.join(beside, "u", "left").where("other IS NULL OR at < other").select("u"), "chosen")
+        discard(few)
+        if chosen.isEmpty():
+            discard(chosen)
+            break
+        taken = durable(now.join(chosen, "u", "left_semi"), "taken")
+        one, two = taken.select("u", F.col("v").alias("a"), F.col("w").alias("wa")), taken.select("u", F.col("v").alias("b"), F.col("w").alias("wb"))
+        longer = one.join(two, "u").where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"), (F.col("wa") + F.col("wb")).alias("w"))
+        left = now.join(chosen, "u", "left_anti").join(chosen.withColumnRenamed("u", "v"), "v", "left_anti").select("u", "v", "w")
+        told = taken.join(seeds, "u").select(F.col("v").alias("u"), (F.col("hops") + F.col("w")).alias("hops"))
+        out.append((taken, seeds))
+        before, now = now, durable(left.unionAll(longer).groupBy("u", "v").agg(F.min("w").alias("w")), "around")
+        seeds = durable(seeds.unionAll(told).groupBy("u").agg(F.min("hops").alias("hops")), "seeds")
+        for written in (before, chosen):
+            discard(written)
+    found = durable(seeds.withColumn("fresh", F.lit(True)), "hops")
+    while not found.where("fresh").isEmpty():
+        told = found.where("fresh").join(now, "u").select(F.col("v").alias("u"), (F.col("hops") + F.col("w")).alias("hops"), F.lit(None).cast("long").alias("was"))
+        every = told.unionAll(found.select("u", "hops", F.col("hops").alias("was"))).groupBy("u").agg(F.min("hops").alias("hops"), F.min("was").alias("was"))
+        before, found = found, durable(every.select("u", "hops", F.coalesce(F.col("hops") < F.col("was"), F.lit(True)).alias("fresh")), "hops")
+        discard(before)
+    discard(now)
+    found = found.select("u", "hops")
+    for k, (taken, own) in enumerate(reversed(out)):
+        # hops of those around a patch are known by now; its own may come from a root of its own
+        back = taken.join(found.select(F.col("u").alias("v"), "hops"), "v").select("u", (F.col("hops") + F.col("w")).alias("hops"))
+        found = found.unionAll(back.unionAll(own.join(taken.select("u").distinct(), "u", "left_semi")).groupBy("u").agg(F.min("hops").alias("hops")))
+        found = durable(found.groupBy("u").agg(F.min("hops").alias("hops")), "hops")
+    for pair in out:
+        for written in pair:
+            discard(written)
+    return found.select(F.col("u").alias("patch_id"), F.col("hops").cast("int").alias("hops"))
+
+
+def rooted(parents: DataFrame) -> DataFrame:
+    """patch_id, root, winding of patches with via (null at roots) and delta from it, added up by
+    doubling strides towards the roots."""
+    now = durable(parents.select("patch_id", F.col("via").alias("up"), F.coalesce("via", "patch_id").alias("root"), F.coalesce("delta", F.lit(0)).cast("long").alias("winding")), "strides")
+    while not now.where("up IS NOT NULL").isEmpty():
+        above = now.select(F.col("patch_id").alias("up"), F.col("up").alias("up2"), F.col("root").alias("top"), F.col("winding").alias("more"))
+        new = now.join(above, "up", "left").select("patch_id", F.col("up2").alias("up"), F.coalesce("top", "root").alias("root"), (F.col("winding") + F.coalesce("more", F.lit(0))).alias("winding"))
+        before, now = now, durable(new, "strides")
+        discard(before)
+    return now.drop("up")
+
+
 def reach(edges: DataFrame, roots: DataFrame, max_hops: int | None = None) -> DataFrame:
     """patch_id, root, hops, winding, via: breadth-first from the roots (patch_id), to every
     patch they reach unless max_hops says less. Of several first arrivals the one from the
-    least patch with the least winding counts."""
+    least patch with the least winding counts. After WALKED rounds hops are looked up by
+    hops_from, for rounds would be as many as the graph is deep."""
     e = durable(both_ways(edges), "patch-edges")
     done = durable(roots.select("patch_id", F.col("patch_id").alias("root"), F.lit(0).alias("hops"), F.lit(0).cast("long").alias("winding"), F.lit(None).cast("string").alias("via")), "reached")
     frontier, hop = done, 0
     while max_hops is None or hop < max_hops:
+        if hop == WALKED:
+            return _deep_reach(e, roots, max_hops)
         hop += 1
         step = frontier.join(e, frontier["patch_id"] == e["from_patch"]).groupBy("to_patch").agg(F.min(F.struct(F.col("from_patch").alias("via"), (F.col("winding") + F.col("delta")).alias("winding"), "root")).alias("m"))
         new = step.select(F.col("to_patch").alias("patch_id"), "m.root", F.lit(hop).alias("hops"), "m.winding", "m.via").join(done.select("patch_id"), "patch_id", "left_anti")
@@ -65,11 +133,19 @@ def reach(edges: DataFrame, roots: DataFrame, max_hops: int | None = None) -> Da
         if frontier.isEmpty():
             break
         done = done.unionByName(frontier)
-        if hop % 16 == 0:  # keep the plan short
-            done = durable(done, "reached")
     return done
 
 
+def _deep_reach(e: DataFrame, roots: DataFrame, max_hops: int | None) -> DataFrame:
+    hops = hops_from(e, roots)
+    near = durable(hops if max_hops is None else hops.where(F.col("hops") <= max_hops), "hops")
+    side = lambda s: near.select(F.col("patch_id").alias(s), F.col("hops").alias("hops_" + s))
+    first = e.join(side("from_patch"), "from_patch").join(side("to_patch"), "to_patch").where("hops_to_patch = hops_from_patch + 1")
+    first = first.groupBy(F.col("to_patch").alias("patch_id")).agg(F.min(F.struct(F.col("from_patch").alias("via"), "delta")).alias("m"))
+    parents = durable(near.join(first, "patch_id", "left").select("patch_id", "hops", "m.via", "m.delta"), "parents")
+    return parents.join(rooted(parents), "patch_id").select("patch_id", "root", "hops", "winding", "via")
+
+
 def loop_holonomies(reached: DataFrame, edges: DataFrame) -> DataFrame:
     """from_patch, to_patch, holonomy of the edges that close a loop (each once)."""
     e = both_ways(edges).where("from_patch < to_patch")
