@@ -247,7 +247,7 @@ def collection_round_trip(spark, sf_dir):
 
 
 def sharded_round_trip(spark, sf_dir):
-    """The helix written to documents of some 500 points and read again, a document a partition."""
+    """The helix written to documents of some 500 points and read again."""
     path = scratch(spark, "collections")
     write_sharded(_collections(spark, sf_dir), path, points_per_document=500)
     return read_sharded(spark, path).select("source", "cid", "pid", F.round("x", 6).alias("x"), "z", "wind_a", "name", "is_absolute")

@@ -1,6 +1,6 @@
 """Point-collection documents as a partitioned source and sink: `spark.read.format("collections")`.
 
-A document is a partition when read. When written, tasks stream points into documents of a
+Documents are read some to a partition, by their sizes. When written, tasks stream points into documents of a
 bounded number of points and nothing shows before the job commits, so lost or repeated tasks
 leave neither holes nor copies. A collection is never split: one that is larger than the bound
 has a document of its own, written point by point, and is read in one task.
@@ -27,6 +27,9 @@ _ARROW = pa.schema([("source", pa.string()), ("cid", pa.int64()), ("pid", pa.int
 _BATCH = 8192
 #: Points of a document, unless option pointsPerDocument says otherwise.
 POINTS_PER_DOCUMENT = 1_000_000
+#: Bytes of a partition's documents, each counted as OPEN_COST more; a larger document is alone.
+PARTITION_BYTES = 32 << 20
+OPEN_COST = 64 << 10
 
 
 def _files(path: str) -> tuple[fs.FileSystem, str]:
@@ -84,9 +87,10 @@ def points_of(text: str, source: str, strict: bool = True) -> Iterator[tuple]:
 
 
 @dataclass
-class _Document(InputPartition):
-    path: str
-    source: str
+class _Documents(InputPartition):
+    """Paths with their sources."""
+
+    held: list[tuple[str, str]]
 
 
 class CollectionReader(DataSourceReader):
@@ -99,25 +103,32 @@ class CollectionReader(DataSourceReader):
         a folder source=... on the way names, else the file's path."""
         files, root = _files(self.path)
         found = files.get_file_info(fs.FileSelector(root, recursive=True))
-        out = []
+        out: list[InputPartition] = []
+        held, size = [], 0
         for f in sorted(found, key=lambda f: f.path):
             parts = f.path[len(root) :].strip("/").split("/")
             if f.is_file and f.path.endswith(".json") and not any(p.startswith(("_", ".")) for p in parts):
                 named = [unquote(p[len("source=") :]) for p in parts if p.startswith("source=")]
-                out.append(_Document(f.path, named[0] if named else f.path))
-        return out
-
-    def read(self, partition: _Document | None) -> Iterator[pa.RecordBatch]:
+                if held and size + f.size + OPEN_COST > PARTITION_BYTES:
+                    out.append(_Documents(held))
+                    held, size = [], 0
+                held.append((f.path, named[0] if named else f.path))
+                size += f.size + OPEN_COST
+        return [*out, _Documents(held)] if held else out
+
+    def read(self, partition: _Documents | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # what Spark asks for where there are no documents
             return
-        with _files(self.path)[0].open_input_stream(partition.path) as f:
-            text = f.read().decode("utf-8")
+        files = _files(self.path)[0]
         batch: list[tuple] = []
-        for row in points_of(text, partition.source, self.strict):
-            batch.append(row)
-            if len(batch) == _BATCH:
-                yield _arrow(batch)
-                batch = []
+        for path, source in partition.held:
+            with files.open_input_stream(path) as f:
+                text = f.read().decode("utf-8")
+            for row in points_of(text, source, self.strict):
+                batch.append(row)
+                if len(batch) == _BATCH:
+                    yield _arrow(batch)
+                    batch = []
         if batch:
             yield _arrow(batch)
 

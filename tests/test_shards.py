@@ -86,3 +86,20 @@ def test_empty(spark, tmp_path):
     assert shards.read_sharded(spark, path).count() == 0
     (tmp_path / "out" / "e.json").write_text(document({}))
     assert shards.read_sharded(spark, path).count() == 0
+
+
+def test_documents_share_partitions(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "out")
+    points = spark.createDataFrame(ROWS, shards.SCHEMA)
+    shards.write_sharded(points, path, points_per_document=1)
+    sizes = {str(f): f.stat().st_size for f in pathlib.Path(path).rglob("*.json")}
+    reader = shards.CollectionReader({"path": path})
+    assert len(sizes) == 9 and len(reader.partitions()) == 1
+    assert sorted(map(repr, shards.read_sharded(spark, path).collect())) == sorted(map(repr, points.collect()))
+    monkeypatch.setattr(shards, "OPEN_COST", 0)
+    monkeypatch.setattr(shards, "PARTITION_BYTES", 2 * max(sizes.values()))
+    held = [p.held for p in reader.partitions()]
+    assert sorted(f for h in held for f, _ in h) == sorted(sizes) and 2 <= len(held) < 9
+    assert all(sum(sizes[f] for f, _ in h) <= 2 * max(sizes.values()) for h in held)
+    monkeypatch.setattr(shards, "PARTITION_BYTES", 1)
+    assert len(reader.partitions()) == 9
