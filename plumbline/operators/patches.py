@@ -214,15 +214,15 @@ class Grid:
 
     def __init__(self, frame: pd.DataFrame):
         self.places = frame[["i", "j"]].to_numpy(np.int64)
-        self.low, self.high = self.places.min(axis=0), self.places.max(axis=0)
+        self.low, self.high = self.places.min(axis=0).tolist(), self.places.max(axis=0).tolist()
         cost = 1 + MEDIAL / np.maximum(frame.distance.to_numpy(), 1)
         self.cost = dict(zip(map(tuple, self.places.tolist()), cost.tolist(), strict=True))
 
     def nearest(self, fi: float, fj: float) -> tuple[int, int]:
         """The quad that holds a place, else the nearest one (first in order)."""
-        q = np.clip((math.floor(fi), math.floor(fj)), self.low, self.high)
-        if tuple(q.tolist()) in self.cost:
-            return tuple(q.tolist())
+        q = tuple(min(max(math.floor(f), lo), hi) for f, lo, hi in zip((fi, fj), self.low, self.high, strict=True))
+        if q in self.cost:
+            return q
         apart = ((self.places - q) ** 2).sum(axis=1)
         return tuple(min(self.places[apart == apart.min()].tolist()))
 
@@ -275,15 +275,81 @@ def strip_samples(requests: DataFrame, quad_table: DataFrame, step: float = 1.0,
     return lift(named, quad_table).select("line_id", "k", "x", "y", "z", "valid")
 
 
+def way_steps(requests: DataFrame, quad_table: DataFrame) -> DataFrame:
+    """The steps of the cheapest ways from each place, once however many ways lead along them:
+    patch_id, from_i, from_j, number, up (the number of the step before; -1: none), fi, fj, ti, tj
+    (its ends: places or quads' centres), n_quads up to its end, request (one that leads along
+    it), and asked: whether it is the step from the last centre to the request's place. Steps
+    come after the one before them."""
+
+    def solve(wanted: pd.DataFrame, frame: pd.DataFrame) -> pd.DataFrame:
+        rows: list[tuple] = []
+        grid = Grid(frame) if len(frame) else None
+        for (fi, fj), same in wanted.groupby(["from_i", "from_j"]) if grid else ():
+            came = grid.before(grid.nearest(fi, fj))
+            into: dict[tuple[int, int], tuple[int, int]] = {}  # number of the step into a quad, quads up to it
+            start, n = (same.patch_id.iloc[0], fi, fj), 0
+            for r in same.itertuples():
+                last = at = grid.nearest(r.to_i, r.to_j)
+                if at not in came:
+                    continue
+                new = []
+                while at is not None and at not in into:
+                    new.append(at)
+                    at = came[at]
+                for q in reversed(new):
+                    up = came[q]
+                    before, size = (-1, 0) if up is None else into[up]
+                    here = (fi, fj) if up is None else (up[0] + 0.5, up[1] + 0.5)
+                    rows.append((*start, n, before, *here, q[0] + 0.5, q[1] + 0.5, size + 1, r.request, False))
+                    into[q], n = (n, size + 1), n + 1
+                rows.append((*start, n, into[last][0], last[0] + 0.5, last[1] + 0.5, r.to_i, r.to_j, into[last][1], r.request, True))
+                n += 1
+        return pd.DataFrame(rows, columns=["patch_id", "from_i", "from_j", "number", "up", "fi", "fj", "ti", "tj", "n_quads", "request", "asked"])
+
+    kind = requests.schema["request"].dataType.simpleString()
+    margins = edge_distance(quad_table).select(F.col("patch_id").alias("patch"), "i", "j", "distance")
+    schema = f"patch_id string, from_i double, from_j double, number long, up long, fi double, fj double, ti double, tj double, n_quads long, request {kind}, asked boolean"
+    return requests.groupBy("patch_id").cogroup(margins.groupBy("patch")).applyInPandas(solve, schema)
+
+
 def strip_deltas(requests: DataFrame, quad_table: DataFrame, axis: DataFrame, step: float = 1.0) -> DataFrame:
     """request, delta, n_quads, n_valid, n_dropped: crossings of the cut along the cheapest way
     between two places, sampled at most `step` apart from place to place; samples off the patch
-    are dropped and counted. Null where there is no way, or not two samples on the patch."""
-    lines = durable(routes(requests, quad_table), "routes")
-    moved = path_transport(strip_samples(requests, quad_table, step, lines), axis).withColumnRenamed("line_id", "request")
-    sizes = lines.groupBy("request").agg(F.max("n_quads").alias("n_quads"))
-    found = requests.select("request").join(sizes, "request", "left").join(moved, "request", "left")
-    return found.select("request", "delta", "n_quads", "n_valid", "n_dropped")
+    are dropped and counted. Null where there is no way, or not two samples on the patch.
+
+    Centres of quads are on the patch, so a way's crossings are the sum of its steps'. Ways from
+    one place are a tree: each of its steps is sampled once and sums run along it, so rows are
+    as many as quads and requests, whatever the ways' lengths."""
+    kind = requests.schema["request"].dataType.simpleString()
+    steps = durable(way_steps(requests, quad_table).withColumn("line_id", F.monotonically_increasing_id()), "way-steps")
+    n = F.ceil(F.hypot(F.col("ti") - F.col("fi"), F.col("tj") - F.col("fj")) / F.lit(step)).cast("int")
+    # a step of no length stands on a centre twice
+    long = steps.select("line_id", "patch_id", "fi", "fj", "ti", "tj", n.alias("n")).where("n > 0").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n"))))
+    at = lambda c, d: F.when(F.col("k") == F.col("n"), F.col(d)).otherwise(F.col(c) + (F.col(d) - F.col(c)) * (F.col("k") / F.col("n"))).alias(c)
+    samples = lift(long.select("line_id", "patch_id", "k", at("fi", "ti"), at("fj", "tj")), quad_table)
+    moved = path_transport(samples.select("line_id", "k", "x", "y", "z", "valid"), axis)
+    own = steps.join(moved, "line_id", "left").select(
+        "patch_id", "from_i", "from_j", "number", "up", "n_quads", "request", "asked", F.coalesce("delta", F.lit(0)).cast("long").alias("delta"),
+        # the end of a step is the next one's start
+        (F.coalesce("n_valid", F.lit(2)) - (~F.col("asked")).cast("int")).alias("n_valid"), F.coalesce("n_dropped", F.lit(0)).alias("n_dropped"),
+    )
+
+    def along(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for _, same in frame.groupby(["from_i", "from_j"]):
+            same = same.sort_values("number")
+            sums = np.zeros((len(same), 3), np.int64)
+            asked = same.asked.to_numpy()
+            parts = zip(same.up.tolist(), same[["delta", "n_valid", "n_dropped"]].to_numpy(np.int64), strict=True)
+            for k, (up, more) in enumerate(parts):
+                sums[k] = more if up < 0 else sums[up] + more
+            for request, size, found in zip(same.request[asked].tolist(), same.n_quads[asked].tolist(), sums[asked].tolist(), strict=True):
+                rows.append((request, found[0] if found[1] >= 2 else None, size, *found[1:]))
+        return pd.DataFrame(rows, columns=["request", "delta", "n_quads", "n_valid", "n_dropped"], dtype=object)
+
+    found = own.groupBy("patch_id").applyInPandas(along, f"request {kind}, delta long, n_quads long, n_valid long, n_dropped long")
+    return requests.select("request").join(found, "request", "left")
 
 
 def _blocks(cells: DataFrame, label: Column) -> DataFrame:
