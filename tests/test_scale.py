@@ -47,3 +47,15 @@ def test_pairs_carry_only_what_is_asked_of_them(spark):
     pairs = matching.band_pairs(cells, settings.FIXTURE, None)
     assert "label" not in plan(pairs.select("a.pid", F.col("b.pid").alias("other")))
     assert all(r["a"]["nkey"] < r["b"]["nkey"] for r in pairs.collect()) and pairs.count() == 12
+
+
+def test_only_nodes_with_several_points_are_dealt_by_centre(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [(f"same:{k // 6}" if k < 120 else f"same:x{k}", k, float(t), float(100 + 7 * d), float(z), int(w), None if k % 3 else 0.1, int(z // 10), int(t / 6.283185307179586 * 90)) for k, (t, d, z, w) in enumerate(zip(rng.uniform(0, 1, 400), rng.uniform(0, 9, 400), rng.uniform(0, 40, 400), rng.integers(0, 3, 400), strict=True))]
+    cells = spark.createDataFrame(rows, "nkey string, pid long, theta double, r double, z double, label long, slope double, zi long, ti long")
+    want = matching.crowding(matching.referred(cells, settings.FIXTURE), settings.FIXTURE).groupBy("cz", "ct").agg(F.max("crowded").alias("vetoed"))
+    dealt, crowding = [], matching.crowding
+    monkeypatch.setattr(matching, "crowding", lambda hood, cfg, *more: dealt.append(hood) or crowding(hood, cfg, *more))
+    got = matching.crowded_centres(cells, settings.FIXTURE)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and {r["vetoed"] for r in want.collect()} == {True, False}
+    assert not dealt[0].where("nkey like 'same:x%'").count() and dealt[0].count() <= 5 * 120
