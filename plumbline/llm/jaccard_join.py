@@ -22,7 +22,10 @@ link when their sets' Jaccard similarity is 0.8 or more, compared in whole numbe
    component meet HEARTS sets of it, others each turn, where meeting all would make many
    pairs (SETTLED * LEFT); else they meet all sets of other components there. When all the
    rest makes no more than LEFT pairs a set, or less than a quarter of a turn's pairs were
-   links, all tokens are settled so. A token's sets are dealt into blocks for that, so a hot token is many tasks.
+   links, or less than one a GAIN sets, all tokens are settled so. A token's sets are dealt into blocks for that, so a hot token is many tasks.
+   A set's marks tell for each of 64 * MARKS cells whether an odd number of its shingles
+   falls into it. Marks of two sets differ in no more cells than their sets do in shingles, so
+   most sets that merely share a passage make no pair where they meet.
 6. Each turn's links join the components found so far; a component is named by its
    smallest doc_id in the end.
 
@@ -65,6 +68,8 @@ HELD_POSTINGS = 1 << 18
 SEEN_KEPT = 1 << 17
 LEVEL_STEP = 1.25
 LEFT = 16
+MARKS = 8
+GAIN = 64
 SETTLED = 16
 HEARTS = 4
 COMMON = 8
@@ -73,6 +78,7 @@ FEW = 64
 TEXT_ROWS = 2048
 SET_ROWS = 512
 HEAVY = 1000
+_MARKS = [f"m{k}" for k in range(MARKS)]
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -152,6 +158,13 @@ def prefix(shingles: np.ndarray, levels: np.ndarray, order: int, common: int = 1
     return shingles[first], level[first] >= HOT_LEVEL
 
 
+def marks(shingles: np.ndarray) -> np.ndarray:
+    """MARKS words, a bit for each cell: whether an odd number of the shingles falls into it."""
+    cells = 64 * MARKS
+    cell = (mix64(shingles + np.uint64(0xD1B54A32D192ED03)) % np.uint64(cells)).astype(np.int64)
+    return np.packbits((np.bincount(cell, minlength=cells) & 1).astype(np.uint8)).view(np.int64)
+
+
 def posting_blocks(docs: DataFrame, levels: np.ndarray, buckets: int) -> DataFrame:
     """Packed postings of the first order: by token bucket (grp) tokens' low halves, their
     places in the order, keys and sizes of their sets. Frequent tokens are only counted (keys
@@ -252,8 +265,8 @@ def sharing_sets(blocks: DataFrame, buckets: int) -> DataFrame:
 
 
 def shingle_table(docs: DataFrame, reps: DataFrame, levels: np.ndarray) -> DataFrame:
-    """node, digest, n, shingles and prefixes p0, p1, p2 (one for each order) of the sets of the
-    rows in reps (doc_id, mark)."""
+    """node, digest, n, shingles, prefixes p0, p1, p2 (one for each order) and marks m0, m1, ... of the
+    sets of the rows in reps (doc_id, mark)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def listed(parts: list[np.ndarray], kind: type = np.int64) -> pa.Array:
@@ -264,12 +277,14 @@ def shingle_table(docs: DataFrame, reps: DataFrame, levels: np.ndarray) -> DataF
             sets = [s for s in shingle_sets(*utf8(batch.column("text"))) if len(s)]
             # the other orders only filter, for which half a token does
             columns = [listed([prefix(s, levels, k)[0] for s in sets], np.int32 if k else np.int64) for k in range(ORDERS)]
+            told = np.array([marks(s) for s in sets], np.int64).reshape(len(sets), MARKS)
+            columns += [pa.array(told[:, k].copy()) for k in range(MARKS)]
             yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), listed(sets), *columns], names)
 
-    names = ["digest", "n", "shingles", *(f"p{k}" for k in range(ORDERS))]
+    names = ["digest", "n", "shingles", *(f"p{k}" for k in range(ORDERS)), *_MARKS]
     texts = _texts(docs)
     near = marked_possible(texts, reps, ["doc_id", "mark"], "near").where("near").dropDuplicates(["doc_id", "mark"])
-    made = near.join(reps, ["doc_id", "mark"], "left_semi").select("text").mapInArrow(rows, "digest binary, n long, shingles array<long>, " + ", ".join(f"p{k} array<{'int' if k else 'long'}>" for k in range(ORDERS)))
+    made = near.join(reps, ["doc_id", "mark"], "left_semi").select("text").mapInArrow(rows, "digest binary, n long, shingles array<long>, " + ", ".join([f"p{k} array<{'int' if k else 'long'}>" for k in range(ORDERS)] + [f"{m} long" for m in _MARKS]))
     return made.select(F.monotonically_increasing_id().alias("node"), *names)
 
 
@@ -323,10 +338,10 @@ def joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
 
 
 def open_members(sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """token, place, node, n, comp: prefixes under the first order, at tokens that sets of
+    """token, place, node, n, comp, marks: prefixes under the first order, at tokens that sets of
     several components share."""
-    known = sets.select("node", "n", "p0").join(labels, "node", "left").select("node", "n", F.coalesce("label", "node").alias("comp"), "p0")
-    rows = known.select("node", "n", "comp", F.posexplode("p0").alias("place", "token"))
+    known = sets.select("node", "n", "p0", *_MARKS).join(labels, "node", "left").select("node", "n", F.coalesce("label", "node").alias("comp"), "p0", *_MARKS)
+    rows = known.select("node", "n", "comp", F.posexplode("p0").alias("place", "token"), *_MARKS)
     several = rows.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("token")
     return durable(rows.join(several, "token"), "open")
 
@@ -334,7 +349,7 @@ def open_members(sets: DataFrame, labels: DataFrame) -> DataFrame:
 def still_open(members: DataFrame, tokens: DataFrame, labels: DataFrame) -> DataFrame:
     """The members of the tokens, in the components of now."""
     rows = members.join(tokens.select("token"), "token", "left_semi").join(labels, "node", "left")
-    return durable(rows.select("token", "place", "node", "n", F.coalesce("label", "comp").alias("comp")), "open")
+    return durable(rows.select("token", "place", "node", "n", F.coalesce("label", "comp").alias("comp"), *_MARKS), "open")
 
 
 def token_hearts(members: DataFrame, turn: int) -> DataFrame:
@@ -346,12 +361,16 @@ def token_hearts(members: DataFrame, turn: int) -> DataFrame:
     return per_component.groupBy("token").agg(F.sum("n").alias("sets"), best).select("token", "sets", F.col("best.n").alias("most"), F.col("best.comp").alias("common"), F.col("best.nodes").alias("hearts"))
 
 
-# sizes that allow a link, and enough of both sets after the shared token
-_FITS = "ca <> cb and 5 * least(na, nb) >= 4 * greatest(na, nb) and least(na - ata, nb - atb) >= (4 * (na + nb) + 8) div 9"
+# sizes that allow a link, enough of both sets after the shared token, and marks that differ in
+# no more cells than linked sets differ in shingles: in a ninth of both sizes
+_FITS = (
+    "ca <> cb and 5 * least(na, nb) >= 4 * greatest(na, nb) and least(na - ata, nb - atb) >= (4 * (na + nb) + 8) div 9"
+    f" and 9 * ({' + '.join(f'bit_count({m}a ^ {m}b)' for m in _MARKS)}) <= na + nb"
+)
 
 
 def _member(s: str) -> list:
-    return [F.col(c).alias(n + s) for c, n in (("node", ""), ("n", "n"), ("comp", "c"), ("place", "at"))]
+    return [F.col(c).alias(n + s) for c, n in (("node", ""), ("n", "n"), ("comp", "c"), ("place", "at"), *zip(_MARKS, _MARKS, strict=True))]
 
 
 def _fitting(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
@@ -385,7 +404,7 @@ def components(sets: DataFrame, left: int = LEFT) -> DataFrame | None:
     for x in (stars, links):
         discard(x)
     members, turn = open_members(sets, none if labels is None else labels), 0
-    enough, success = left * sets.count(), 1.0
+    many, gained = sets.count(), True
     while True:
         hearts = durable(token_hearts(members, turn).where("sets > most"), "hearts")
         made = (F.col("sets") - F.col("most")).cast("double") * F.col("sets")
@@ -394,8 +413,8 @@ def components(sets: DataFrame, left: int = LEFT) -> DataFrame | None:
             for x in (members, hearts):
                 discard(x)
             return labels
-        # stars end when a turn joined few of the pairs it made, or when all pairs are few enough
-        stars = success * 4 >= 1 and (size["pairs"] or 0) > enough
+        # stars end when a turn joined few of the pairs it made or few sets, or when all pairs are few enough
+        stars = gained and (size["pairs"] or 0) > left * many
         wide = made > SETTLED * left if stars else F.lit(False)
         pairs = [left_over_pairs(members, hearts.where(~wide))]
         if stars:
@@ -403,7 +422,7 @@ def components(sets: DataFrame, left: int = LEFT) -> DataFrame | None:
         pairs = durable(reduce(DataFrame.unionAll, pairs).distinct(), "pairs")
         links = linked(pairs, sets)
         found = links.count()
-        success = found / max(pairs.count(), 1)
+        gained = 4 * found >= max(pairs.count(), 1) and GAIN * found >= many
         if found:
             labels = joined(labels, links)
         for x in (links, pairs):

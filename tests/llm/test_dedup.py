@@ -96,6 +96,25 @@ def test_near_duplicates_match_brute_force(spark, left):
     assert [got[k]["component_id"] for k in range(len(texts))] == components
 
 
+def test_marks_differ_no_more_than_sets():
+    rng = np.random.default_rng(3)
+    for n in (1, 40, 700, 5000):
+        a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        b = np.concatenate([a[n // 8 :], rng.integers(0, 1 << 63, n // 9).astype(np.uint64)])
+        apart = sum(bin(int(x) & (1 << 64) - 1).count("1") for x in jaccard_join.marks(a) ^ jaccard_join.marks(b))
+        assert apart <= len(np.setxor1d(a, b)) and (n > 1000 or apart >= n // 12)
+
+
+def test_shared_passages_make_no_pairs(spark, monkeypatch):
+    """Each text holds two of twelve passages, so it shares half of its set with twenty others."""
+    passages = [long_text(200 + k, 30) for k in range(12)]
+    texts = [passages[a] + " " + passages[b] for a in range(12) for b in range(a)]
+    made, linked = [], jaccard_join.linked
+    monkeypatch.setattr(jaccard_join, "linked", lambda pairs, sets: made.append(pairs.count()) or linked(pairs, sets))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(table(spark, texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == near_brute(texts)[1] and sum(made) <= len(texts)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert jaccard_join.near_duplicates(table(spark, ["a"]).limit(0)).count() == 0
     rows = jaccard_join.near_duplicates(table(spark, ["a b c d e f", "a b c d e f", None], [4, None, None])).collect()
