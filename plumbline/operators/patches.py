@@ -375,9 +375,9 @@ def run_components(found: DataFrame, reach: int) -> DataFrame:
     spread = lambda lo, hi: F.explode(F.sequence(F.floor(lo / STRETCH), F.floor(hi / STRETCH)))
     upper = named.select("patch_id", (F.col("i") + 1).alias("i"), F.col("lo").alias("l"), F.col("hi").alias("h"), F.col("node").alias("a"), spread(F.col("lo") - reach, F.col("hi") + reach).alias("s"))
     lower = named.withColumn("s", spread(F.col("lo"), F.col("hi")))
-    meet = upper.join(lower, ["patch_id", "i", "s"]).where((F.col("l") <= F.col("hi") + reach) & (F.col("h") >= F.col("lo") - reach)).select("a", F.col("node").alias("b")).distinct()
+    meet = upper.join(lower.hint("merge"), ["patch_id", "i", "s"]).where((F.col("l") <= F.col("hi") + reach) & (F.col("h") >= F.col("lo") - reach)).select("a", F.col("node").alias("b")).distinct()
     comp = connected_components(named.select("node", F.col("node").alias("label")), meet)
-    return named.join(comp, "node").drop("node")
+    return named.join(comp.hint("merge"), "node").drop("node")
 
 
 def holes(places: DataFrame) -> DataFrame:
@@ -418,7 +418,7 @@ def integrability(quad_table: DataFrame, axis: DataFrame) -> DataFrame:
     q = durable(quad_table.select("patch_id", "i", "j", *[mean(k).alias(k) for k in "xyz"], *[F.col(f"c00.{k}").alias(f"k{k}") for k in "xyz"]), "centres")
     angle = to_cylindrical(q.select("patch_id", "i", "j", "x", "y", "z"), axis).select("patch_id", "i", "j", F.col("theta").alias("t"))
     corner = to_cylindrical(q.select("patch_id", "i", "j", F.col("kx").alias("x"), F.col("ky").alias("y"), F.col("kz").alias("z")), axis).select("patch_id", "i", "j", F.col("theta").alias("k"))
-    cells = durable(angle.join(corner, ["patch_id", "i", "j"]), "angles")
+    cells = durable(angle.join(corner.hint("merge"), ["patch_id", "i", "j"]), "angles")
     block = durable(_blocks(cells, F.struct("t", "k")), "blocks")
     t = lambda n: F.col(f"{n}.t")
     has = {n: F.col(n).isNotNull() for n in "abcd"}
@@ -437,7 +437,7 @@ def integrability(quad_table: DataFrame, axis: DataFrame) -> DataFrame:
     # around a hole, the block's cells in it on the left hand
     inside = holes(cells.select("patch_id", "i", "j"))
     corners = _blocks(inside, F.col("hole")).select("patch_id", "i", "j", *[F.col(n).alias("h" + n) for n in "abcd"])
-    near = corners.join(known, ["patch_id", "i", "j"], "left")
+    near = corners.join(known.hint("merge"), ["patch_id", "i", "j"], "left")
     ring, turn = "abdc", {("a", "b"): F.col("ab"), ("b", "d"): F.col("bd"), ("d", "c"): -F.col("cd"), ("c", "a"): -F.col("ac"), ("a", "d"): F.col("ad"), ("b", "c"): F.col("bc")}
     turn |= {(r, p): -v for (p, r), v in list(turn.items())}
     ways = []

@@ -7,7 +7,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import audit, matching, settings
+from plumbline.operators import audit, components, matching, settings
 from plumbline.operators.components import durable
 
 
@@ -59,3 +59,14 @@ def test_only_nodes_with_several_points_are_dealt_by_centre(spark, monkeypatch):
     got = matching.crowded_centres(cells, settings.FIXTURE)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and {r["vetoed"] for r in want.collect()} == {True, False}
     assert not dealt[0].where("nkey like 'same:x%'").count() and dealt[0].count() <= 5 * 120
+
+
+def test_labels_of_components_are_not_broadcast(spark, monkeypatch):
+    rows = [(f"n{k:03}", f"n{k + 1:03}") for k in range(40) if k % 10 != 9]
+    edges = spark.createDataFrame(rows, "a string, b string")
+    nodes = spark.createDataFrame([(f"n{k:03}",) * 2 for k in range(40)], "node string, label string")
+    plans, write = [], components.durable
+    monkeypatch.setattr(components, "durable", lambda df, name: plans.append(plan(df)) or write(df, name))
+    got = components.connected_components(nodes, edges)
+    assert {r["node"]: r["label"] for r in got.collect()} == {f"n{k:03}": f"n{k // 10 * 10:03}" for k in range(40)}
+    assert len(plans) > 3 and not any("BroadcastHashJoin" in p for p in plans)
