@@ -7,8 +7,9 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import audit, components, matching, settings
+from plumbline.operators import audit, components, graph, matching, settings
 from plumbline.operators.components import durable
+from plumbline.plans import audit_queries
 
 
 def plan(df):
@@ -70,3 +71,47 @@ def test_labels_of_components_are_not_broadcast(spark, monkeypatch):
     got = components.connected_components(nodes, edges)
     assert {r["node"]: r["label"] for r in got.collect()} == {f"n{k:03}": f"n{k // 10 * 10:03}" for k in range(40)}
     assert len(plans) > 3 and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def copied_points(copies, seed=3):
+    """Points of 20 nodes near each other, each node several times; the last ones differ in a label."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for k in range(20):
+        own = [(float(rng.uniform(0, 0.4)), float(100 + rng.integers(0, 9) * 10), float(rng.integers(0, 3) * 10), int(rng.integers(0, 3)), None if rng.random() < 0.7 else 0.1) for _ in range(5)]
+        own.append(own[0])
+        for c in range(copies if k % 4 else 1):
+            odd = c == 3 and k % 8 == 1
+            rows += [(f"same:{c}.{k:02}", f"n{c}.{k:02}", 1000 * k + 10 * c + i, t, r, z, w + (odd and i == 5), s, int(z // 10), int(t / 6.283185307179586 * 90), True) for i, (t, r, z, w, s) in enumerate(own)]
+    return rows, "nkey string, node string, pid long, theta double, r double, z double, label long, slope double, zi long, ti long, seam_safe boolean"
+
+
+def test_order_meets_classes_of_nodes_not_copies(spark, monkeypatch):
+    rows, schema = copied_points(4)
+    cells = durable(spark.createDataFrame(rows, schema), "cells")
+    pairs, found = matching.candidate_pairs(cells, settings.FIXTURE, None), matching.links(cells, settings.FIXTURE)
+    want = sorted(map(tuple, pairs.groupBy(F.col("a.node"), F.col("b.node")).agg(F.count(F.lit(1)), F.count_if(F.abs("gap") > 20.0)).collect()))
+    arcs = sorted(map(tuple, graph.order_arcs(pairs, found, 20.0, 1.0, 2).collect()))
+    compared, compare = [], matching.compared
+    monkeypatch.setattr(matching, "compared", lambda p, cfg: compared.append(p) or compare(p, cfg))
+    monkeypatch.setattr(audit_queries, "cells", lambda *_: cells)
+    assert sorted(map(tuple, audit_queries.order_candidates(spark, "").collect())) == want
+    assert sorted(map(tuple, audit_queries.order_arcs(spark, "").collect())) == arcs and len(arcs) > 200
+    assert compared[0].count() < pairs.count() / 2  # a first and a second node a class, of four
+
+
+def test_classes_need_equal_places_not_equal_hashes(spark, monkeypatch):
+    rows, schema = copied_points(4)
+    cells = spark.createDataFrame(rows, schema)
+    named = {r["nkey"]: r["cls"] for r in matching.node_classes(cells).collect()}
+    assert named["same:2.02"] == "same:0.02" and named["same:3.01"] == "same:3.01" and named["same:0.04"] == "same:0.04"
+    monkeypatch.setattr(F, "xxhash64", lambda *_: F.lit(1).cast("long"))
+    assert {r["nkey"]: r["cls"] for r in matching.node_classes(cells).collect() if r["cls"] != r["nkey"]}.items() <= named.items()
+
+
+def test_far_parents_are_written_seldom(spark, monkeypatch):
+    rows = [(f"n{k:03}", f"n{(k + 1) % 40:03}") for k in range(40)]
+    now, written, write = spark.createDataFrame(rows, "node string, parent string"), [], graph.durable
+    monkeypatch.setattr(graph, "durable", lambda df, name: written.append(name) or write(df, name))
+    far = {r["node"]: r["up"] for r in graph._far_parents(now, 40).collect()}
+    assert far == {f"n{k:03}": f"n{(k + 64) % 40:03}" for k in range(40)} and len(written) <= 2
