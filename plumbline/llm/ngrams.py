@@ -62,9 +62,14 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -35.0, 35.0)))
 
 
+def pulled(x: np.ndarray, err: np.ndarray, most: int = 128) -> np.ndarray:
+    """x.T @ err, `most` columns at a time: err is in double precision, and x would be copied to it whole."""
+    return np.concatenate([x[:, at : at + most].T @ err for at in range(0, x.shape[1], most)] or [np.zeros(0)])
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, rounds: int = 300) -> tuple[np.ndarray, float]:
     """Ridge-penalised weighted logistic regression by accelerated gradient steps."""
-    x = x.astype(np.float32)
+    x = x.astype(np.float32, copy=False)
     total = weight.sum()
     v = np.random.default_rng(5).normal(size=x.shape[1]).astype(np.float32)
     top = 1.0
@@ -80,6 +85,6 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float,
         yw, yb = w + m * (w - pw), b + m * (b - pb)
         err = (weight * (sigmoid(x @ yw + yb) - y)).astype(np.float32) / total
         pw, pb = w, b
-        w = (yw - step * (x.T @ err + ridge * yw)).astype(np.float32)
+        w = (yw - step * (pulled(x, err) + ridge * yw)).astype(np.float32)
         b = yb - step * float(err.sum())
     return w, b

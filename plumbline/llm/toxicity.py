@@ -136,8 +136,16 @@ def feature_rows(texts: DataFrame, column: np.ndarray, columns: int) -> tuple[np
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(bits, pa.binary())], ["doc_id", "label", "bits"])
 
     got = texts.select("doc_id", "label", "text").mapInArrow(rows, "doc_id long, label int, bits binary").toPandas().sort_values(["doc_id", "bits"])
-    x = np.array([np.unpackbits(np.frombuffer(b, np.uint8), count=columns) for b in got.bits], bool).reshape(len(got), columns)
-    return x, got.label.to_numpy()
+    packed = np.frombuffer(b"".join(got.bits), np.uint8).reshape(len(got), -(-columns // 8))
+    return np.unpackbits(packed, axis=1, count=columns).view(bool), got.label.to_numpy()
+
+
+def scaled(x: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """x * scale in single precision, without the whole in double precision on the way: it is the
+    driver's largest array."""
+    out = x.astype(np.float32)
+    out *= scale.astype(np.float32)
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE, columns: int = COLUMNS) -> NgramModel:
@@ -155,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SA
     column[best] = np.arange(len(best))
     x, y = feature_rows(texts, column, len(best))
     scale = ratio / max(np.abs(ratio).max(), 1e-9)
-    w, b = fit_logistic(x * scale, y, np.ones(len(y)), RIDGE)
+    w, b = fit_logistic(scaled(x, scale), y, np.ones(len(y)), RIDGE)
     b += np.log(all1 / all0) - np.log(per_class[1] / per_class[0])
     return NgramModel(column, w.astype(np.float64) * scale, float(b))
 

@@ -105,3 +105,23 @@ def test_quality_of_repeated_long_and_clashing(spark):
 
 def test_buckets_are_in_range():
     assert all(0 <= b < 1 << BITS for b in buckets("any text at all"))
+
+
+def test_fit_makes_one_matrix_on_the_driver():
+    """12,000 x 1,024 values are 49 MB in single precision; nothing beside them may be as large."""
+    import tracemalloc
+
+    import numpy as np
+
+    from plumbline.llm import toxicity
+    from plumbline.llm.ngrams import fit_logistic
+
+    rng = np.random.default_rng(1)
+    x, scale, y = rng.random((3000, 1024)) < 0.2, rng.normal(size=1024), rng.integers(0, 2, 3000)
+    want = fit_logistic(x * scale, y, np.ones(3000), 1e-4, rounds=3)
+    tracemalloc.start()
+    got = fit_logistic(toxicity.scaled(x, scale), y, np.ones(3000), 1e-4, rounds=3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(got[0], want[0], atol=1e-6) and abs(got[1] - want[1]) < 1e-6
+    assert peak < 1.6 * 4 * x.size
