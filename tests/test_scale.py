@@ -115,3 +115,35 @@ def test_far_parents_are_written_seldom(spark, monkeypatch):
     monkeypatch.setattr(graph, "durable", lambda df, name: written.append(name) or write(df, name))
     far = {r["node"]: r["up"] for r in graph._far_parents(now, 40).collect()}
     assert far == {f"n{k:03}": f"n{(k + 64) % 40:03}" for k in range(40)} and len(written) <= 2
+
+
+def test_margins_meet_classes_of_nodes_not_copies(spark, monkeypatch):
+    rows, schema = copied_points(4)
+    cells = durable(spark.createDataFrame(rows, schema), "cells")
+    pairs, found = matching.candidate_pairs(cells, settings.FIXTURE, None), matching.links(cells, settings.FIXTURE)
+    want = graph.margin_grid(pairs, found, 20.0, audit_queries.MARGINS, 2).collect()
+    compared, compare = [], matching.compared
+    monkeypatch.setattr(matching, "compared", lambda p, cfg: compared.append(p) or compare(p, cfg))
+    monkeypatch.setattr(audit_queries, "cells", lambda *_: cells)
+    got = audit_queries.margin_grid(spark, "").collect()
+    assert got == want
+    classes = matching.node_classes(cells)
+    first = matching.of_first_nodes(cells, classes)
+    few, linked = matching.candidate_pairs(first, settings.FIXTURE, None, ordered=False), lambda p: matching.as_links(p.where(F.abs("gap") <= 7.0))
+    grids = [graph.margin_grid(p, linked(p), 20.0, [1.0, 2.0], 1, *more).collect() for p, *more in ((pairs,), (few, classes))]
+    assert grids[0] == grids[1] and grids[0][0]["n_conflicts"] > 0
+    assert compared[0].count() < pairs.count() / 3  # the first nodes of classes, and a first with its second
+
+
+def test_cycles_are_sought_among_two_nodes_of_a_class(spark, monkeypatch):
+    rows, schema = copied_points(4)
+    cells = durable(spark.createDataFrame(rows, schema), "cells")
+    every = graph.order_arcs(matching.candidate_pairs(cells, settings.FIXTURE, None), matching.links(cells, settings.FIXTURE), 20.0, 1.0, 2)
+    monkeypatch.setattr(audit_queries, "cells", lambda *_: cells)
+    bounds = audit_queries.class_bounds(spark, "")
+    ok, dist = graph.feasible(every)
+    assert (bounds.feasible(), bounds.n) == (ok, dist.count())
+    columns = ["cycle", "u", "v", "bound", "grp", "total"]
+    want = sorted(map(tuple, graph.all_negative_cycles(every).select(columns).collect()))
+    assert sorted(map(tuple, bounds.negative_cycles().select(columns).collect())) == want and want
+    assert bounds.arcs.count() < every.groupBy("u", "v").agg(F.min("bound")).count() / 2
