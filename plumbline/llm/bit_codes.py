@@ -12,7 +12,7 @@ The index is dealt into blocks of about `block` vectors by a hash, and each quer
 block once: only queries are copied, once for every `block` vectors, and a task holds one block
 and one batch of queries. Within a block, the exact inner products of the k best estimates give a
 bound that the block's k-th best reaches; every vector whose upper error bound reaches it is
-measured exactly, and the block's k best go on. A query's blocks meet as k rows each.
+measured, in single precision first, and exactly if that leaves it among the k best; those go on. A query's blocks meet as k rows each.
 
 Work is (queries) * (vectors) estimates: coarse cells wouldn't lessen it on vectors without
 clusters (see README), so none are used and no vector is out of reach.
@@ -41,6 +41,7 @@ SEED = 13
 CONFIDENCE = 3.0
 BLOCK = 16_384
 TOGETHER = 64  # queries that are estimated at once
+RUN = 128  # values in a run, when the greatest are looked for
 INDEX = "vec_id long, copies long, embedding array<double>, code binary, length double, align double"
 
 
@@ -107,38 +108,55 @@ class Block:
         bits = np.unpackbits(np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(len(ids), -1), axis=1, count=dims)
         align, length = batch.column("align").to_numpy(), batch.column("length").to_numpy()
         self.signs = (bits.astype(np.float32) * 2 - 1).T
-        self.scale = length / align / np.sqrt(dims)
-        self.slack = length * (confidence * np.sqrt(np.maximum(0, 1 - align * align) / (align * align) / max(1, dims - 1)) + 1e-5)
+        # single precision where no length is beyond it
+        kind = np.float32 if 1e-15 < length.min() and length.max() < 1e15 else np.float64
+        self.scale = (length / align / np.sqrt(dims)).astype(kind)
+        self.slack = (length * (confidence * np.sqrt(np.maximum(0, 1 - align * align) / (align * align) / max(1, dims - 1)) + 1e-5)).astype(kind)
         self.turn, self.dims = rotation(dims, seed), dims
+        self.single, self.length = unit(self.vectors)[0].T.astype(np.float32), length
+        # twice what rounding the components and their sum can do to the product of unit vectors
+        self.blur = length * (dims + 8) * 2.0**-23
 
     def exact(self, query: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Inner products in double precision, summed from the first component on."""
-        total, found = np.zeros(len(at)), self.vectors[at]
-        for d in range(self.dims):
-            total += query[d] * found[:, d]
-        return total
+        return np.cumsum(self.vectors[at] * query, axis=1)[:, -1] if len(at) else np.zeros(0)
 
     def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(places in the block, scores) of each query's k best, best first."""
+        """(places in the block, scores) of each query's k best, best first. What the codes' bound lets
+        through is measured in single precision, and what may be among the k best by that exactly."""
         units, length = unit(queries)
         estimates = ((units @ self.turn).astype(np.float32) @ self.signs) * self.scale
-        for query, own_id, about, size in zip(queries, own, estimates, length, strict=True):
+        nearly = units.astype(np.float32) @ self.single
+        for query, own_id, about, single, size in zip(queries, own, estimates, nearly, length, strict=True):
             about[self.known & (self.ids == own_id)] = -np.inf
-            at = np.argpartition(-about, k - 1)[:k] if k < len(about) else np.arange(len(about))
+            at = greatest(about, k)
             at = at[about[at] > -np.inf]
             if not len(at):
                 yield at, np.zeros(0)
                 continue
             if len(at) == k:
                 least = self.exact(query, at).min() / size
-                at = np.flatnonzero(about + self.slack >= least)
-            else:
-                at = np.flatnonzero(about > -np.inf)
+                passed = about + self.slack >= least
+                score = np.where(passed, single * self.length, -np.inf)
+                sure = greatest(score - self.blur, k)  # at least k pass, those that gave the bound
+                at = np.flatnonzero(score + self.blur >= (score[sure] - self.blur[sure]).min())
             score = self.exact(query, at)
             first = np.lexsort((~self.known[at], self.ids[at], -score))[:k]
             yield at[first], score[first]
 
 
+def greatest(values: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k greatest values (all, if fewer). The k-th of the runs' greatest is no greater than
+    the k-th of all, so only what reaches it is put in order."""
+    if len(values) <= k:
+        return np.arange(len(values))
+    at = np.arange(len(values))
+    if len(values) >= RUN * k:
+        runs = np.maximum.reduceat(values, np.arange(0, len(values), RUN))
+        at = np.flatnonzero(values >= np.partition(runs, len(runs) - k)[len(runs) - k])
+    return at[np.argpartition(-values[at], k - 1)[:k]]
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, confidence: float = CONFIDENCE, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """query_id, rank, vec_id, score: of queries (vec_id, embedding) among vectors."""
     every, asked = usable(vectors), usable(queries.where("vec_id IS NOT NULL"))
@@ -147,7 +165,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, confidence: floa
     empty = [F.lit(None).cast(t).alias(c) for c, t in (("code", "binary"), ("length", "double"), ("align", "double"))]
     held = one_bit_codes(every, dims, seed).select("*", F.lit(None).cast("binary").alias("mark"), F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks)).cast("int").alias("block"))
     mark = F.unhex(F.sha2(F.array_join(F.transform("embedding", lambda x: x.cast("string")), ",").cast("binary"), 256))
-    sent = asked.select("vec_id", "copies", "embedding", *empty, mark.alias("mark"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    # marked before a query is copied for each block
+    sent = asked.withColumn("mark", mark).select("vec_id", "copies", "embedding", *empty, "mark", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     dealt = held.unionByName(sent).repartitionById(blocks, "block").sortWithinPartitions("block", F.col("mark").isNotNull())
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

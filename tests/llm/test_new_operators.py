@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from plumbline.llm import bit_codes, conversations, vector_codes
@@ -113,6 +114,29 @@ def test_bit_codes_match_brute_force(spark):
     assert len(got & {(q, i) for q, _, i, _ in want}) >= 0.98 * len(got)
 
 
+def test_bit_codes_measure_few_exactly(monkeypatch):
+    """What passes the codes' wide bound is measured in single precision first."""
+    rng = np.random.default_rng(6)
+    n, dims, k = 6000, 64, 20
+    for size in (np.ones(n), 10.0 ** rng.uniform(-100, 100, n), np.where(np.arange(n) % 2, 1e-30, 1e-32)):
+        v = rng.standard_normal((n, dims)) * size[:, None]
+        v[7] = v[3007]
+        turned, length = bit_codes.unit(v)
+        turned = turned @ bit_codes.rotation(dims)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * dims, pa.int32()), pa.array(v.ravel()))
+        codes = pa.array([b.tobytes() for b in np.packbits(turned >= 0, axis=1)], pa.binary())
+        columns = [pa.array(np.arange(n)), pa.array(np.ones(n, int)), lists, codes, pa.array(length), pa.array(np.abs(turned).sum(axis=1) / np.sqrt(dims))]
+        batch = pa.RecordBatch.from_arrays(columns, ["vec_id", "copies", "embedding", "code", "length", "align"])
+        block, measured, exact = bit_codes.Block(batch, dims, 6.0, bit_codes.SEED), [], bit_codes.Block.exact
+        monkeypatch.setattr(bit_codes.Block, "exact", lambda self, q, at, exact=exact, measured=measured: measured.append(len(at)) or exact(self, q, at))
+        for own, (at, score) in zip(range(10), block.search(v[:10], np.arange(10), k), strict=True):
+            every = np.cumsum(v * v[own], axis=1)[:, -1]
+            want = [x for x in np.lexsort((np.arange(n), -every)) if x != own][:k]
+            assert at.tolist() == want and score.tolist() == every[want].tolist()
+        monkeypatch.undo()
+        assert sum(measured) < 10 * 3 * k
+
+
 def test_bit_codes_few_and_none(spark):
     df = vector_table(spark, [(0, [1.0], 0), (1, [2.0], 0), (2, [3e38], 0)])
     got = [tuple(r) for r in bit_codes.nearest(df, df.where("vec_id = 0")).collect()]
